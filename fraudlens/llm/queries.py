@@ -17,6 +17,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orderBy(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("first_position", 9).alias("first_position"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.exact_dedup import exact_dedup
 
@@ -29,6 +35,18 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_through_orc(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.sentencepiece_ids import round_trip
 
@@ -41,7 +59,7 @@ def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_token_orc, op9_sentencepiece, op10_shard_slots)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_main_text, op3_exact_dedup, op5_token_orc, op6_language_id, op7_url_filter, op9_sentencepiece, op10_shard_slots)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
