@@ -29,6 +29,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.token_orc import tokens_through_orc
 
@@ -47,6 +53,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.near_dedup import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), words=4)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.sentencepiece_ids import round_trip
 
@@ -59,7 +71,7 @@ def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_main_text, op3_exact_dedup, op5_token_orc, op6_language_id, op7_url_filter, op9_sentencepiece, op10_shard_slots)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_main_text, op3_exact_dedup, op4_ann_search, op5_token_orc, op6_language_id, op7_url_filter, op8_near_dedup, op9_sentencepiece, op10_shard_slots)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
