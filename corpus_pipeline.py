@@ -1,13 +1,60 @@
-"""A corpus pipeline: language ID, exact dedup, near dedup, mixing, SentencePiece ids."""
+"""A corpus pipeline: language ID, exact dedup, near dedup, mixing, SentencePiece ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from fraudlens.llm.exact_dedup import drop_exact_copies
+from fraudlens.llm.langid import keep_identified
+from fraudlens.llm.mixing import training_order
+from fraudlens.llm.near_dedup import keep_one_of_each
+from fraudlens.llm.sentencepiece_ids import round_trip
+from fraudlens.llm.storage import cut
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; ``und`` and near-uniform predictions go."""
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each content."""
+    return drop_exact_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at similarity 0.8 on five-word shingles."""
+    return keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in training order, a row for each reading."""
+    return training_order(docs)
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each reading."""
+    return round_trip(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("sentencepiece_ids", sentencepiece_ids),
+]
+#: The first and third stage cannot be expressed in SQL; the tests hold the rows against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
