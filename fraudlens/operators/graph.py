@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudlens.functions import scores, text
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors reach;
@@ -55,3 +57,161 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"labels still change after {max_iter} rounds")
     return labels.select("node", F.col("label").alias("component"))
+
+
+def _filled(x: Column) -> Column:
+    return F.nullif(F.trim(x), F.lit(""))
+
+
+def edges_resolved(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(a, b) entity keys of edges. A key stored on the edge wins over the key
+    found by id; unresolved ends and self-loops go."""
+    keys = vertices.select(F.col("id").alias("_id"), text.entity_key(F.col("entity_type"), F.col("value")).alias("_key"))
+    stored = lambda name: _filled(F.col(name)) if name in edges.columns else F.lit(None).cast("string")
+    out = edges.withColumn("_a", stored("source_key")).withColumn("_b", stored("target_key"))
+    for end, col in (("_a", "source_id"), ("_b", "target_id")):
+        out = out.join(keys.withColumnsRenamed({"_id": f"{end}_id", "_key": f"{end}_key"}), F.col(col) == F.col(f"{end}_id"), "left").withColumn(end, F.coalesce(end, f"{end}_key")).drop(f"{end}_id", f"{end}_key")
+    return out.filter("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+
+def adjacency(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Distinct (node, neighbour) in both directions, without self-loops."""
+    one = edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour"))
+    both = one.unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("neighbour")))
+    return both.filter("node <> neighbour AND node <> '' AND neighbour <> ''").distinct()
+
+
+def component_summaries(components: DataFrame) -> DataFrame:
+    """One row for each component of entity keys: members, phones, payment ids, risk, whether it qualifies, fingerprint."""
+    parts = components.select("component", "node", text.entity_key_parts(F.col("node")).alias("p")).filter("p.entity_value <> ''")
+    kind = lambda k: F.sort_array(F.collect_set(F.when(F.col("p.entity_type") == k, F.col("p.entity_value"))))
+    grouped = parts.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("entities"), kind("phone").alias("phones"), kind("upi").alias("upis"))
+    n_phones, n_upis, n = F.size("phones"), F.size("upis"), F.size("entities")
+    return grouped.select(
+        F.sha2(F.array_join("entities", "|"), 256).alias("fingerprint"),
+        n.cast("long").alias("cluster_size"),
+        "phones",
+        "upis",
+        "entities",
+        scores.cluster_risk(n_phones, n_upis, n).alias("risk_score"),
+        ((n_phones >= 3) | ((n_phones >= 2) & (n_upis >= 1))).alias("is_potential_syndicate"),
+    )
+
+
+def syndicates(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Components of an edge table that qualify."""
+    return component_summaries(connected_components(edges, a, b)).filter("is_potential_syndicate").drop("is_potential_syndicate")
+
+
+def syndicate_members(found: DataFrame) -> DataFrame:
+    """(fingerprint, entity_key, entity_type, entity_value, risk_score), one row for each member."""
+    rows = found.select("fingerprint", "risk_score", F.explode("entities").alias("entity_key"))
+    return rows.select("fingerprint", "entity_key", text.entity_key_parts(F.col("entity_key")).alias("p"), "risk_score").select("fingerprint", "entity_key", "p.entity_type", "p.entity_value", "risk_score").distinct()
+
+
+def syndicate_membership(entity_rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Does a message (msg_id, entity_type, value) name a member of a syndicate?"""
+    known = members.select(F.col("entity_type").alias("_t"), F.col("entity_value").alias("_v")).distinct().withColumn("_in", F.lit(True))
+    joined = entity_rows.join(known, (F.col("entity_type") == F.col("_t")) & (F.col("value") == F.col("_v")), "left")
+    return joined.groupBy("msg_id").agg(F.bool_or(F.coalesce("_in", F.lit(False))).alias("in_syndicate"), F.sum(F.coalesce(F.col("_in").cast("long"), F.lit(0))).alias("matches"))
+
+
+def vertex_id(kind: Column, value: Column) -> Column:
+    return F.sha2(F.concat_ws(":", kind, value), 256)
+
+
+_LISTS = (("company", "company"), ("phones", "phone"), ("location", "location"), ("agent", "person"), ("upi_ids", "upi"))
+
+
+def _lists(entity_rows: DataFrame) -> DataFrame:
+    """Entity columns as arrays of trimmed values that are not empty."""
+    kinds = dict(entity_rows.dtypes)
+    as_list = lambda c: F.col(c) if kinds[c].startswith("array") else F.array(F.col(c))
+    clean = lambda c: F.array_distinct(F.filter(F.transform(as_list(c), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    return entity_rows.select("msg_id", *[clean(c).alias(k) for c, k in _LISTS])
+
+
+def graph_edges(entity_rows: DataFrame) -> DataFrame:
+    """Typed edges of messages (msg_id, company, phones, location, agent,
+    upi_ids): a company with each of its phones, places, people and payment
+    ids, and a phone with each payment id. ``weight`` counts messages."""
+    rows = _lists(entity_rows)
+
+    def triples(left: str, relation: str, right: str) -> Column:
+        triple = lambda a, b: F.struct(F.lit(left).alias("source_type"), a.alias("source_value"), F.lit(relation).alias("relationship_type"), F.lit(right).alias("target_type"), b.alias("target_value"))
+        return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: triple(a, b))))
+
+    kinds = (("company", "contact_phone", "phone"), ("company", "located_in", "location"), ("company", "hr_contact", "person"), ("company", "payment_upi", "upi"), ("phone", "uses_upi", "upi"))
+    flat = rows.select("msg_id", F.explode(F.array_distinct(F.concat(*[triples(*k) for k in kinds]))).alias("t")).select("msg_id", "t.*")
+    grouped = flat.groupBy("source_type", "source_value", "relationship_type", "target_type", "target_value").agg(F.count(F.lit(1)).alias("weight"))
+    ends = [vertex_id(F.col(f"{e}_type"), F.col(f"{e}_value")).alias(f"{e}_id") for e in ("source", "target")]
+    return grouped.select(*ends, "relationship_type", "source_type", "source_value", "target_type", "target_value", "weight")
+
+
+def graph_vertices(entity_rows: DataFrame) -> DataFrame:
+    """Distinct nodes with an id made of type and value."""
+    rows = _lists(entity_rows)
+    typed = lambda k: F.transform(k, lambda v: F.struct(F.lit(k).alias("entity_type"), v.alias("value")))
+    nodes = F.concat(*[typed(k) for _, k in _LISTS])
+    flat = rows.select(F.explode(nodes).alias("n")).select("n.*").distinct()
+    return flat.select(vertex_id(F.col("entity_type"), F.col("value")).alias("id"), "entity_type", "value")
+
+
+def new_vertices(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """Those that are not stored yet: append these and the write can be repeated."""
+    return found.join(existing.select("id"), "id", "left_anti")
+
+
+def cooccurrence_edges(entity_rows: DataFrame) -> DataFrame:
+    """Unordered pairs of the phones, payment ids and agents of one message:
+    weight counts messages, last_seen is the latest. Needs ts as well."""
+    kinds = dict(entity_rows.dtypes)
+    values = lambda c: F.col(c) if kinds[c].startswith("array") else F.array(F.col(c))
+    keys = lambda c, k: F.transform(F.filter(F.transform(values(c), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), lambda v: F.concat(F.lit(k + ":"), v))
+    nodes = F.array_sort(F.array_distinct(F.concat(keys("phones", "phone"), keys("upi_ids", "upi"), keys("agent", "agent"))))
+    rows = entity_rows.select("msg_id", "ts", nodes.alias("nodes")).filter(F.size("nodes") > 1)
+    pairs = F.flatten(F.transform("nodes", lambda a, i: F.transform(F.filter("nodes", lambda b: b > a), lambda b: F.struct(a.alias("entity_a"), b.alias("entity_b")))))
+    flat = rows.select("ts", F.explode(pairs).alias("p")).select("ts", "p.*")
+    grouped = flat.groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("weight"), F.max("ts").alias("last_seen"))
+    kind = lambda c: F.get(F.split(c, ":", 2), F.lit(0))
+    return grouped.select("entity_a", "entity_b", kind("entity_a").alias("entity_a_type"), kind("entity_b").alias("entity_b_type"), "weight", "last_seen")
+
+
+ROLE_RELATIONS = ("has_role", "role", "offers_role", "job_role")
+LICENCE_RELATIONS = ("has_license", "license", "licensed_as", "license_number")
+
+
+def consistency_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: contradictions, checks and their ratio over a whole graph.
+
+    Checks: companies and phones with more than one location; companies with a
+    role whose licences are not exactly one; companies with neither a valid
+    phone nor a named contact."""
+    v = vertices.select(F.trim("id").alias("id"), F.lower(F.trim(F.coalesce("entity_type", F.lit("")))).alias("kind"), F.trim("value").alias("value")).filter("id <> ''")
+    end = lambda p: v.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "kind", "value")])
+    rel = F.lower(F.trim(F.coalesce("relationship_type", F.lit(""))))
+    e = edges.select(F.trim("source_id").alias("s_id"), F.trim("target_id").alias("t_id"), rel.alias("rel")).filter("s_id <> '' AND t_id <> '' AND rel <> ''")
+    e = e.join(end("s"), "s_id").join(end("t"), "t_id")
+    low = F.nullif(F.lower("t_value"), F.lit(""))
+    from_company = F.col("s_kind") == "company"
+    cleaned = F.regexp_replace(F.coalesce("t_value", F.lit("")), r"[ \t\n\r\f()\-]", "")
+    by_company = e.filter(from_company).groupBy(F.col("s_id").alias("id")).agg(
+        F.count_distinct(F.when((F.col("rel") == "located_in") & (F.col("t_kind") == "location"), low)).alias("places"),
+        F.count_distinct(F.when(F.col("rel").isin(*ROLE_RELATIONS) | (F.col("t_kind") == "role"), low)).alias("roles"),
+        F.count_distinct(F.when(F.col("rel").isin(*LICENCE_RELATIONS) | F.col("t_kind").isin("license", "license_number"), low)).alias("licences"),
+        F.coalesce(F.bool_or((F.col("rel") == "contact_phone") & (F.col("t_kind") == "phone") & cleaned.rlike("^[+]?[0-9]{10,15}$")), F.lit(False)).alias("has_phone"),
+        F.coalesce(F.bool_or(F.col("rel").isin("hr_contact", "contact_person") & F.col("t_kind").isin("person", "agent") & low.isNotNull()), F.lit(False)).alias("has_person"),
+    )
+    companies = v.filter("kind = 'company'").select("id").join(by_company, "id", "left").na.fill(0, ["places", "roles", "licences"]).na.fill(False, ["has_phone", "has_person"])
+    located = e.filter("rel = 'located_in' AND t_kind = 'location'").select("s_id", "s_kind", low.alias("place")).filter("place IS NOT NULL")
+    direct = located.filter("s_kind = 'phone'").select(F.col("s_id").alias("phone"), "place")
+    contacts = e.filter(from_company & (F.col("rel") == "contact_phone") & (F.col("t_kind") == "phone")).select(F.col("s_id").alias("company"), F.col("t_id").alias("phone")).distinct()
+    through = contacts.join(located.filter("s_kind = 'company'").select(F.col("s_id").alias("company"), "place").distinct(), "company").select("phone", "place")
+    phones = direct.unionByName(through).groupBy("phone").agg(F.count_distinct("place").alias("places"))
+    check = lambda test, fails: (F.sum(test.cast("long")), F.sum((test & fails).cast("long")))
+    sums = {"company_location": check(F.col("places") > 0, F.col("places") > 1), "role_licence": check(F.col("roles") > 0, F.col("licences") != 1), "contact": check(F.lit(True), ~F.col("has_phone") & ~F.col("has_person"))}
+    columns = [x.alias(f"{n}_{k}") for n, pair in sums.items() for k, x in zip(("checks", "fails"), pair)]
+    one = companies.agg(*columns).crossJoin(phones.agg(F.count(F.lit(1)).alias("phone_checks"), F.sum((F.col("places") > 1).cast("long")).alias("phone_fails"))).na.fill(0)
+    checks = F.col("company_location_checks") + F.col("role_licence_checks") + F.col("contact_checks") + F.col("phone_checks")
+    fails = F.col("company_location_fails") + F.col("role_licence_fails") + F.col("contact_fails") + F.col("phone_fails")
+    return one.select(fails.alias("contradictions"), checks.alias("checks"), F.round(F.when(checks > 0, fails / checks).otherwise(F.lit(0.0)), 4).alias("consistency_score"))

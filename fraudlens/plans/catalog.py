@@ -1,2 +1,641 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The registered queries of the library and their SQL equivalents.
+
+A query takes (spark, sf_dir) and returns a DataFrame over the standard tables.
+The SQL runs on the same tables in another engine; the views that stand in for
+the domain tables are written a second time there, as common table expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fraudlens import constants as C
+from fraudlens.functions import scores, text
+from fraudlens.operators import dashboard, embedding, entities, graph, media_text, propagation, registry, upsert, verdict
+from fraudlens.plans import sql
+from fraudlens.sources import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- reports -------------------------------------------------------------
+
+
+@query(sql.with_reports("SELECT id, scam_phone, upi_id, company_name, job_role, salary, fee, location, risk_score, trust_weight, report_time FROM reports ORDER BY report_time DESC, id LIMIT 1000"))
+def scan_latest_reports(spark, sf):
+    return dashboard.scan_latest_reports(A.reports_view(spark, sf))
+
+
+@query(sql.with_reports(sql.REPUTATION))
+def phone_reputation(spark, sf):
+    return dashboard.phone_reputation(A.reports_view(spark, sf))
+
+
+@query(sql.with_reports(sql.STATS))
+def dashboard_stats(spark, sf):
+    return dashboard.dashboard_stats(A.reports_view(spark, sf))
+
+
+@query(sql.with_reports(sql.RECENT))
+def recent_reports(spark, sf):
+    return dashboard.recent_reports(A.reports_view(spark, sf), 50)
+
+
+@query(sql.with_reports("SELECT trim(location) AS state, count(*) AS count FROM reports WHERE trim(location) <> '' GROUP BY 1"))
+def report_heatmap(spark, sf):
+    return dashboard.report_heatmap(A.reports_view(spark, sf))
+
+
+def _coordinates(spark, sf):
+    """A place for each nation; the label is its region."""
+    nation, region = A.table(spark, sf, "nation"), A.table(spark, sf, "region")
+    key = F.regexp_replace(F.lower("n_name"), "[^a-z]", "")
+    joined = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).filter("n_nationkey <> 3")
+    return joined.select(key.alias("key"), F.col("r_name").alias("label"), (F.col("n_nationkey") * 1.5).alias("lat"), (F.col("n_nationkey") * 2.5).alias("lng"))
+
+
+@query(sql.with_reports(sql.HEAT_POINTS))
+def heatmap_points(spark, sf):
+    return dashboard.heatmap_points(dashboard.report_heatmap(A.reports_view(spark, sf)), _coordinates(spark, sf))
+
+
+@query(sql.with_reports(sql.TREND))
+def report_trend(spark, sf):
+    return dashboard.report_trend(A.reports_view(spark, sf), 7)
+
+
+@query(sql.with_reports(f"SELECT id, {sql.risk_label('risk_score')} AS risk FROM reports"))
+def risk_labels(spark, sf):
+    return dashboard.risk_labels(A.reports_view(spark, sf))
+
+
+@query(sql.with_reports(f"SELECT l.risk, count(r.risk) AS count FROM (VALUES ('High Risk'), ('Suspicious'), ('Safe')) l(risk) LEFT JOIN (SELECT {sql.risk_label('risk_score')} AS risk FROM reports) r ON l.risk = r.risk GROUP BY l.risk"))
+def risk_distribution(spark, sf):
+    return dashboard.risk_distribution(A.reports_view(spark, sf))
+
+
+def _asked_phones(spark, sf):
+    """Numbers to look up: one for each customer, in another format; most were never reported."""
+    return A.table(spark, sf, "customer").select(F.concat(F.lit("91-9 "), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("number"))
+
+
+@query(sql.with_reports(sql.PHONE_LOOKUP))
+def phone_lookup(spark, sf):
+    return dashboard.phone_lookup(A.reports_view(spark, sf), _asked_phones(spark, sf))
+
+
+@query(sql.with_reports(sql.PHONE_RECENT))
+def phone_recent(spark, sf):
+    return dashboard.phone_recent(A.reports_view(spark, sf))
+
+
+@query(sql.with_reports(sql.CHECK_PHONE))
+def check_phone(spark, sf):
+    asked = A.table(spark, sf, "customer").select(F.concat(F.lit("+91-9"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("number"))
+    return dashboard.check_phone(dashboard.phone_reputation(A.reports_view(spark, sf)), asked)
+
+
+@query(sql.with_reports(sql.LINKS))
+def network_links(spark, sf):
+    return dashboard.network_links(A.reports_view(spark, sf))
+
+
+@query(sql.with_reports(sql.NODES))
+def network_nodes(spark, sf):
+    return dashboard.network_nodes(A.reports_view(spark, sf))
+
+
+@query("WITH " + sql.TYPED_EDGES + sql.NETWORK_FROM_EDGES)
+def network_from_edges(spark, sf):
+    e = A.typed_edges_view(spark, sf).groupBy(F.col("source_id").alias("entity_a"), F.col("target_id").alias("entity_b")).agg(F.count(F.lit(1)).alias("weight"), F.max("ts").alias("last_seen"))
+    return dashboard.network_from_edges(e.withColumns({"entity_a_type": F.lit("phone"), "entity_b_type": F.lit("upi")}))
+
+
+@query(f"SELECT event_id, {sql.score_to_int('value')} AS score FROM events")
+def score_to_int(spark, sf):
+    return A.table(spark, sf, "events").select("event_id", scores.score_to_int(F.col("value")).cast("long").alias("score"))
+
+
+# --- text ----------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {sql.NORMAL} AS normalized FROM documents")
+def text_normalize(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", text.text_normalized(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, sha256({sql.NORMAL}) AS message_hash FROM documents")
+def message_fingerprint(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("message_hash"))
+
+
+@query("WITH " + sql.MESSAGES + r" SELECT msg_id, 'analysis:v1:' || source_channel || ':' || sha256(regexp_replace(text, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) AS cache_key FROM messages")
+def analysis_cache_key(spark, sf):
+    return A.messages_view(spark, sf).select("msg_id", text.analysis_key(F.col("text"), F.col("source_channel")).alias("cache_key"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM part")
+def name_key(spark, sf):
+    return A.table(spark, sf, "part").select("p_partkey", text.name_key(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("name_key"))
+
+
+@query(sql.with_reports("SELECT id, regexp_replace(scam_phone, '[^0-9]', '', 'g') AS digits FROM reports"))
+def phone_digits(spark, sf):
+    return A.reports_view(spark, sf).select("id", text.digits(F.col("scam_phone")).alias("digits"))
+
+
+@query(sql.PHONE_CANONICAL)
+def phone_canonical(spark, sf):
+    c = F.col("c_custkey")
+    forms = F.when(c % 5 == 0, F.concat(F.lit("+91 98"), F.lpad(c.cast("string"), 8, "0"))).when(c % 5 == 1, F.concat(F.lit("098"), F.lpad(c.cast("string"), 8, "0"))).when(c % 5 == 2, F.concat(F.lit("(987) 6-"), F.lpad(c.cast("string"), 6, "0"))).when(c % 5 == 3, F.concat(F.lit("+971-50-"), F.lpad(c.cast("string"), 7, "0"))).otherwise(c.cast("string"))
+    return A.table(spark, sf, "customer").select("c_custkey", text.phone_canonical(forms).alias("phone"))
+
+
+@query(sql.EXTRACT_PHONES)
+def extract_phones(spark, sf):
+    return A.job_messages_view(spark, sf).select("msg_id", text.phones(F.col("text")).alias("phones"))
+
+
+@query(sql.EXTRACT_UPIS)
+def extract_upis(spark, sf):
+    return A.job_messages_view(spark, sf).select("msg_id", text.upi_ids(F.col("text")).alias("upi_ids"))
+
+
+@query(sql.EXTRACT_AMOUNTS)
+def extract_amounts(spark, sf):
+    t = F.col("text")
+    return A.job_messages_view(spark, sf).select("msg_id", text.amount(t, C.SALARY_WORDS).alias("salary"), text.amount(t, C.FEE_WORDS).alias("fee"))
+
+
+@query()
+def extract_parties(spark, sf):
+    t = F.col("text")
+    return A.job_messages_view(spark, sf).select("msg_id", text.agent(t).alias("agent"), text.company(t).alias("company"), text.role(t, text.location(t)).alias("role"))
+
+
+@query()
+def extract_location(spark, sf):
+    return A.job_messages_view(spark, sf).select("msg_id", text.location(F.col("text")).alias("location"))
+
+
+@query(sql.URGENCY)
+def urgency_flags(spark, sf):
+    return A.job_messages_view(spark, sf).select("msg_id", text.urgency_flags(F.col("text")).alias("flags"))
+
+
+def _entities(spark, sf):
+    return entities.entity_columns(A.job_messages_view(spark, sf))
+
+
+@query()
+def entities_struct(spark, sf):
+    return _entities(spark, sf).drop("n_chars")
+
+
+@query()
+def entity_table(spark, sf):
+    return entities.entity_table(A.job_messages_view(spark, sf))
+
+
+@query()
+def entity_prevalence(spark, sf):
+    return entities.entity_prevalence(A.job_messages_view(spark, sf))
+
+
+@query()
+def amount_profile(spark, sf):
+    return entities.amount_profile(A.job_messages_view(spark, sf))
+
+
+@query("WITH " + sql.JOB_MESSAGES + f" SELECT msg_id, {sql.LANGUAGE} AS language FROM job_messages")
+def detect_language(spark, sf):
+    return A.job_messages_view(spark, sf).select("msg_id", text.detected_language(F.col("text")).alias("language"))
+
+
+@query("WITH " + sql.JOB_MESSAGES + f" SELECT source_channel AS channel, {sql.LANGUAGE} AS language, count(*) AS count FROM job_messages GROUP BY 1, 2")
+def language_mix(spark, sf):
+    return propagation.language_mix(A.job_messages_view(spark, sf))
+
+
+@query(sql.SCRIPT_HINT)
+def script_hint(spark, sf):
+    c = F.col("doc_id") % 4
+    mixed = F.concat(F.when(c == 0, F.lit("यह नौकरी असली नहीं है और पैसे मत भेजो")).when(c == 1, F.lit("இந்த வேலை உண்மை இல்லை நம்பாதே")).when(c == 2, F.lit("नौकरी चाहिए salary and fee details ")).otherwise(F.lit("")), F.when(c < 2, F.lit("")).otherwise(F.col("text")))
+    return A.table(spark, sf, "documents").select("doc_id", text.script_hint(mixed).alias("script"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS cleaned FROM (SELECT doc_id, replace(replace(replace(text, '. ', '.   ' || chr(9)), ', ', ',' || chr(10) || chr(10) || chr(10) || chr(10)), 'a', chr(12)) AS text FROM documents) d0, LATERAL (SELECT replace(d0.text, chr(12), '') AS text) d".replace("regexp_replace(text, '\\n", "regexp_replace(d.text, '\\n"))
+def text_clean(spark, sf):
+    t = F.replace(F.replace(F.replace("text", F.lit(". "), F.lit(".   \t")), F.lit(", "), F.lit(",\n\n\n\n")), F.lit("a"), F.lit("\f"))
+    return A.table(spark, sf, "documents").select("doc_id", text.text_clean(t).alias("cleaned"))
+
+
+@query(sql.LANGUAGE_COMMAND)
+def language_command(spark, sf):
+    c = F.col("conv_id") % 5
+    body = F.when(c == 0, "EN!").when(c == 1, " language hindi. ").when(c == 2, "हिंदी").otherwise(F.col("text"))
+    return A.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", text.language_command(body).alias("command"))
+
+
+@query(sql.INBOUND)
+def normalize_inbound(spark, sf):
+    return entities.normalize_inbound(A.inbound_view(spark, sf))
+
+
+@query("SELECT c_custkey, coalesce(nullif(lower(trim(c_mktsegment)), ''), 'unknown') || ':' || trim(c_name) AS entity_key, lower(trim(c_mktsegment)) AS entity_type, trim(c_name) AS entity_value FROM customer")
+def entity_keys(spark, sf):
+    rows = A.table(spark, sf, "customer").select("c_custkey", text.entity_key(F.col("c_mktsegment"), F.col("c_name")).alias("entity_key"))
+    return rows.select("c_custkey", "entity_key", text.entity_key_parts(F.col("entity_key")).alias("p")).select("c_custkey", "entity_key", "p.entity_type", "p.entity_value")
+
+
+@query(sql.PAGE_TEXT)
+def page_text(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", text.page_text(F.col("html")).alias("text"))
+
+
+# --- propagation ---------------------------------------------------------
+
+
+@query("WITH " + sql.FINGERPRINTS + " SELECT * FROM fps")
+def fingerprints(spark, sf):
+    return propagation.fingerprints(A.messages_view(spark, sf))
+
+
+@query("WITH " + sql.FINGERPRINTS + sql.PROPAGATION_SCORE)
+def propagation_score(spark, sf):
+    return propagation.propagation_score(propagation.fingerprints(A.messages_view(spark, sf)))
+
+
+@query("WITH " + sql.FINGERPRINTS + sql.FINGERPRINT_TABLE)
+def fingerprint_table(spark, sf):
+    fps = propagation.fingerprints(A.messages_view(spark, sf))
+    return propagation.propagation_score(fps).groupBy("is_broadcast", "source_channels_count").agg(F.count(F.lit(1)).alias("fingerprints"), F.sum("seen_count").alias("messages"))
+
+
+@query("WITH " + sql.MESSAGES + sql.HISTORY)
+def propagation_history(spark, sf):
+    return propagation.propagation_history(A.messages_view(spark, sf))
+
+
+@query("WITH " + sql.FINGERPRINTS + " SELECT * FROM fps")
+def fingerprint_upsert(spark, sf):
+    m = A.messages_view(spark, sf)
+    return propagation.fingerprint_upsert(propagation.fingerprints(m.filter("msg_id % 2 = 0")), propagation.fingerprints(m.filter("msg_id % 2 = 1")))
+
+
+@query(sql.UPSERT)
+def upsert_latest(spark, sf):
+    e = A.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return upsert.upsert_latest(e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0"), ["user_id", "event_type"], "event_id")
+
+
+@query(sql.RATE_LIMIT)
+def rate_limit_flags(spark, sf):
+    return propagation.rate_limit_flags(A.requests_view(spark, sf), limit=3, window_s=3600 * 24)
+
+
+@query(sql.DEDUPE)
+def analysis_dedupe(spark, sf):
+    return propagation.analysis_dedupe(A.messages_view(spark, sf), ttl_s=6 * 3600)
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) t WHERE text IS DISTINCT FROM b")
+def consecutive_dedupe(spark, sf):
+    return propagation.consecutive_dedupe(A.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) t WHERE n = 1")
+def latest_per_user(spark, sf):
+    return propagation.latest_per_user(A.table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id")
+
+
+# --- graph ---------------------------------------------------------------
+
+
+def _edge_keys(spark, sf):
+    return A.typed_edges_view(spark, sf).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+
+
+@query("WITH " + sql.TYPED_EDGES + ", k AS (SELECT source_id AS a, target_id AS b FROM typed_edges) SELECT DISTINCT node, neighbour FROM (SELECT a AS node, b AS neighbour FROM k UNION ALL SELECT b, a FROM k) t WHERE node <> neighbour")
+def adjacency(spark, sf):
+    return graph.adjacency(_edge_keys(spark, sf))
+
+
+@query("WITH RECURSIVE " + sql.COMPONENTS + " SELECT node, component FROM comp")
+def connected_components(spark, sf):
+    return graph.connected_components(_edge_keys(spark, sf), "a", "b")
+
+
+@query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + " SELECT fingerprint, cluster_size, phones, upis, entities, risk_score FROM synd")
+def syndicates(spark, sf):
+    return graph.syndicates(_edge_keys(spark, sf))
+
+
+@query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + ", m AS (SELECT fingerprint, risk_score, unnest(entities) AS entity_key FROM synd) SELECT fingerprint, entity_key, split_part(entity_key, ':', 1) AS entity_type, split_part(entity_key, ':', 2) AS entity_value, risk_score FROM m")
+def syndicate_members(spark, sf):
+    return graph.syndicate_members(graph.syndicates(_edge_keys(spark, sf)))
+
+
+@query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + sql.MEMBERSHIP)
+def syndicate_membership(spark, sf):
+    events = A.table(spark, sf, "events")
+    rows = events.select(F.col("event_id").alias("msg_id"), F.lit("phone").alias("entity_type"), F.col("user_id").cast("string").alias("value"))
+    return graph.syndicate_membership(rows, graph.syndicate_members(graph.syndicates(_edge_keys(spark, sf))))
+
+
+@query("WITH " + sql.TYPED_EDGES + ", e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM typed_edges) SELECT a, b FROM e WHERE CAST(split_part(a, ':', 2) AS BIGINT) % 10 <> 0")
+def edges_resolved(spark, sf):
+    e = A.typed_edges_view(spark, sf).select("source_id", "target_id").distinct()
+    ids = e.select(graph.vertex_id(F.lit("n"), F.col("source_id")).alias("source_id"), graph.vertex_id(F.lit("n"), F.col("target_id")).alias("target_id"))
+    nodes = e.select(F.explode(F.array("source_id", "target_id")).alias("k")).distinct().withColumn("p", text.entity_key_parts(F.col("k")))
+    known = nodes.filter("NOT (p.entity_type = 'phone' AND CAST(p.entity_value AS BIGINT) % 10 = 0)")
+    return graph.edges_resolved(ids, known.select(graph.vertex_id(F.lit("n"), F.col("k")).alias("id"), "p.entity_type", F.col("p.entity_value").alias("value")))
+
+
+def _report_entities(spark, sf):
+    r = A.reports_view(spark, sf)
+    return r.select(F.col("id").alias("msg_id"), F.col("report_time").alias("ts"), F.col("company_name").alias("company"), F.array("scam_phone").alias("phones"), "location", F.lit(None).cast("string").alias("agent"), F.array("upi_id").alias("upi_ids"))
+
+
+@query(sql.with_reports(sql.GRAPH_EDGES))
+def graph_edges(spark, sf):
+    return graph.graph_edges(_report_entities(spark, sf)).select("source_type", "source_value", "relationship_type", "target_type", "target_value", "weight")
+
+
+@query(sql.with_reports(sql.GRAPH_VERTICES))
+def graph_vertices(spark, sf):
+    return graph.graph_vertices(_report_entities(spark, sf))
+
+
+@query(sql.with_reports("SELECT 'phone:' || scam_phone AS entity_a, 'upi:' || upi_id AS entity_b, 'phone' AS entity_a_type, 'upi' AS entity_b_type, count(*) AS weight, max(report_time) AS last_seen FROM reports GROUP BY 1, 2"))
+def cooccurrence_edges(spark, sf):
+    return graph.cooccurrence_edges(_report_entities(spark, sf))
+
+
+@query(sql.with_reports(sql.CONSISTENCY))
+def consistency_counts(spark, sf):
+    rows = _report_entities(spark, sf)
+    edges = graph.graph_edges(rows)
+    licences = A.table(spark, sf, "part").select(F.concat("p_brand", F.lit(" "), (F.col("p_partkey") % 20).cast("string")).alias("company"), F.col("p_type").alias("role"), (F.col("p_size") % 3).cast("string").alias("licence"))
+    kinds = (("company", "role", "has_role"), ("company", "licence", "has_license"))
+    names = {"company": "company", "role": "role", "licence": "license"}
+    ident = lambda k: graph.vertex_id(F.lit(names[k]), F.col(k))
+    more_edges = None
+    for a, b, rel in kinds:
+        part = licences.select(ident(a).alias("source_id"), ident(b).alias("target_id"), F.lit(rel).alias("relationship_type")).distinct()
+        more_edges = part if more_edges is None else more_edges.unionByName(part)
+    more_nodes = None
+    for k in names:
+        part = licences.select(ident(k).alias("id"), F.lit(names[k]).alias("entity_type"), F.col(k).alias("value")).distinct()
+        more_nodes = part if more_nodes is None else more_nodes.unionByName(part)
+    return graph.consistency_counts(graph.graph_vertices(rows).unionByName(more_nodes), edges.select("source_id", "target_id", "relationship_type").unionByName(more_edges))
+
+
+# --- registry ------------------------------------------------------------
+
+
+@query("WITH " + sql.CLAIMS + " SELECT c.claim_id, c.company, r.name AS registered_name FROM claims c LEFT JOIN registry r ON r.key = c.key")
+def registry_exact(spark, sf):
+    return registry.registry_exact(A.claims_view(spark, sf), A.registry_view(spark, sf))
+
+
+@query("WITH " + sql.CLAIMS + sql.FUZZY + " SELECT c.claim_id, c.company, b.name AS registered_name, b.d AS distance, b.pos FROM claims c LEFT JOIN best b ON b.key = c.key")
+def registry_fuzzy(spark, sf):
+    return registry.registry_fuzzy(A.claims_view(spark, sf), A.registry_view(spark, sf))
+
+
+@query("WITH " + sql.CLAIMS + sql.FUZZY + " SELECT c.claim_id, c.company, t.name IS NOT NULL AS typo_suspected, t.name AS typo_target, t.d AS distance FROM claims c LEFT JOIN typo t ON t.key = c.key")
+def typosquat(spark, sf):
+    return registry.typosquat(A.claims_view(spark, sf), A.registry_view(spark, sf))
+
+
+@query("WITH " + sql.CLAIMS + sql.COUNTRIES + " SELECT phone, country FROM pc")
+def phone_country(spark, sf):
+    return registry.phone_country(A.claims_view(spark, sf).filter("phone IS NOT NULL"), A.prefixes_view(spark))
+
+
+@query("WITH " + sql.CLAIMS + f" SELECT claim_id, {sql.WORK_COUNTRY} AS work_country FROM claims")
+def work_country(spark, sf):
+    return A.claims_view(spark, sf).select("claim_id", registry.work_country(F.col("location")).alias("work_country"))
+
+
+def _checked(spark, sf):
+    return registry.registry_check(A.claims_view(spark, sf), A.registry_view(spark, sf), A.prefixes_view(spark))
+
+
+@query("WITH " + sql.CLAIMS + sql.FUZZY + sql.COUNTRIES + sql.CHECK + " SELECT * FROM checked")
+def registry_check(spark, sf):
+    return _checked(spark, sf)
+
+
+@query("WITH " + sql.CLAIMS + sql.FUZZY + sql.COUNTRIES + sql.CHECK + " SELECT company, count(*) AS claims, CAST(sum(db_contradictions) AS BIGINT) AS contradictions, CAST(sum(db_checks_run) AS BIGINT) AS checks, bool_or(company_found_in_registry) AS found, bool_or(typosquatting_suspected) AS typosquatting FROM checked GROUP BY company")
+def registry_report(spark, sf):
+    return registry.registry_report(_checked(spark, sf))
+
+
+# --- embeddings ----------------------------------------------------------
+
+
+@query("WITH " + sql.CENTROIDS + " SELECT cluster, sample_count, list_transform(centroid, lambda x: round(x, 4)) AS centroid FROM centroids")
+def centroids(spark, sf):
+    return embedding.centroids(A.vectors_view(spark, sf)).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 4)))
+
+
+@query("WITH " + sql.CENTROIDS + sql.EMBEDDING_SCORE)
+def embedding_score(spark, sf):
+    v = A.vectors_view(spark, sf)
+    return embedding.embedding_score(v, embedding.centroids(v))
+
+
+@query("SELECT vec_id, len(embedding) AS length, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE round(CAST(embedding[1] AS DOUBLE), 4) END AS first FROM embeddings")
+def vector_parse(spark, sf):
+    v = A.table(spark, sf, "embeddings")
+    shown = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ","), F.when(F.col("vec_id") % 5 == 0, F.lit(",x]")).otherwise(F.lit("]")))
+    parsed = embedding.vector_parse(shown)
+    return v.select("vec_id", F.size("embedding").cast("long").alias("length"), F.round(F.get(parsed, F.lit(0)), 4).alias("first"))
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding IS NULL AND d.text IS NOT NULL")
+def missing_embeddings(spark, sf):
+    d, e = A.table(spark, sf, "documents"), A.table(spark, sf, "embeddings")
+    return embedding.missing_embeddings(d.join(e, d["doc_id"] == e["vec_id"], "left")).select("doc_id")
+
+
+# --- verdicts ------------------------------------------------------------
+
+
+def _verdicts(spark, sf):
+    return verdict.verdict_normalize(A.llm_raw_view(spark, sf))
+
+
+@query("WITH " + sql.RAW + " SELECT msg_id, j IS NOT NULL AS parsed, word AS verdict FROM parsed")
+def verdict_parse(spark, sf):
+    a = verdict.verdict_parse(F.col("llm_raw"))
+    return A.llm_raw_view(spark, sf).select("msg_id", a.alias("a")).select("msg_id", F.col("a").isNotNull().alias("parsed"), "a.verdict")
+
+
+@query("WITH " + sql.RAW + sql.VERDICTS + " SELECT msg_id, verdict, confidence, reasoning, key_contradiction, hindi_worker_message, risk_score FROM verdicts")
+def verdict_normalize(spark, sf):
+    return _verdicts(spark, sf)
+
+
+def _layers(spark, sf):
+    """Layer results of each message, joined on its id."""
+    m = A.messages_view(spark, sf)
+    history = propagation.propagation_history(m)
+    args = (F.col("forwarded_flag"), F.col("seen_count"), F.col("source_channels_count"), F.col("n"))
+    lengths = m.select("msg_id", "source_channel", "ts", F.length(text.text_normalized(F.col("text"))).alias("n"))
+    out = history.join(lengths, "msg_id").withColumn("signals", scores.propagation_signals(*args))
+    checked = _checked(spark, sf).select(F.col("claim_id").alias("msg_id"), "contradiction_details", F.col("db_contradictions").alias("contradictions"), F.col("db_checks_run").alias("checks"))
+    v = A.vectors_view(spark, sf)
+    layer = embedding.embedding_score(v, embedding.centroids(v)).select(F.col("vec_id").alias("msg_id"), "embedding_score")
+    return out.join(checked, "msg_id", "left").join(layer, "msg_id", "left")
+
+
+def _results(spark, sf):
+    return verdict.verdict_rows(_layers(spark, sf), _verdicts(spark, sf))
+
+
+@query()
+def verdict_rows(spark, sf):
+    return _results(spark, sf)
+
+
+@query("WITH " + sql.RAW + sql.VERDICTS + ", r AS (SELECT coalesce(nullif(risk_score, 0), 0.52) AS s, verdict, coalesce(nullif(confidence, 0), 55) AS c FROM verdicts) SELECT CASE WHEN s < 0.35 THEN 'LOW' WHEN s <= 0.65 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, verdict, count(*) AS messages, round(avg(c), 4) AS avg_confidence FROM r GROUP BY 1, 2")
+def verdict_table(spark, sf):
+    return verdict.verdict_table(_results(spark, sf))
+
+
+@query()
+def reasons(spark, sf):
+    return _results(spark, sf).select("msg_id", "reasons")
+
+
+@query("WITH " + sql.RAW + sql.VERDICTS + " SELECT msg_id, verdict FROM verdicts WHERE NOT contains(lower(reasoning), 'ai investigator unavailable')")
+def cacheable_results(spark, sf):
+    return verdict.cacheable_results(_results(spark, sf)).select("msg_id", "verdict")
+
+
+@query("WITH " + sql.RAW + sql.VERDICTS + " SELECT msg_id, risk_score FROM verdicts WHERE risk_score > 0.6")
+def high_risk_reports(spark, sf):
+    return verdict.high_risk_reports(_results(spark, sf)).select("msg_id", "risk_score")
+
+
+@query()
+def report_rows(spark, sf):
+    return verdict.report_rows(_results(spark, sf).join(_entities(spark, sf).drop("source_channel", "n_chars"), "msg_id"))
+
+
+@query()
+def evidence_bundle(spark, sf):
+    found = _entities(spark, sf).join(A.messages_view(spark, sf).select("msg_id", "text"), "msg_id")
+    layers = _layers(spark, sf).withColumn("is_broadcast", F.col("propagation_score") >= C.BROADCAST_FROM).drop("source_channel", "ts")
+    media = F.when(F.col("msg_id") % 9 == 0, F.create_map(F.lit("kind"), F.lit("image"), F.lit("pages"), F.col("n_chars").cast("string")))
+    return verdict.evidence_bundle(found.withColumn("media_context", media).join(layers, "msg_id"))
+
+
+def _languages(spark, sf):
+    m = A.job_messages_view(spark, sf)
+    n = F.col("msg_id")
+    rows = m.select("msg_id", F.col("text").alias("body_text"), F.when(n % 10 == 0, "Hindi").alias("explicit"), F.when(n % 10 == 1, "aap kaise hai").alias("extracted_text"), F.when(n % 10 == 2, " EN ").alias("preference"))
+    return verdict.reply_language(rows)
+
+
+@query("WITH " + sql.JOB_MESSAGES + f" SELECT msg_id, CASE WHEN msg_id % 10 IN (0, 1) THEN 'hi' WHEN msg_id % 10 = 2 THEN 'en' ELSE {sql.LANGUAGE} END AS language FROM job_messages")
+def reply_language(spark, sf):
+    return _languages(spark, sf)
+
+
+@query()
+def reply_table(spark, sf):
+    return verdict.reply_table(_results(spark, sf).join(_languages(spark, sf), "msg_id"))
+
+
+@query()
+def reply_text(spark, sf):
+    return verdict.roman_reply(_results(spark, sf))
+
+
+# --- media ---------------------------------------------------------------
+
+
+@query(sql.OCR_LINES)
+def ocr_lines(spark, sf):
+    return media_text.ocr_lines(A.words_view(spark, sf))
+
+
+@query(sql.OCR_BEST)
+def ocr_best_pass(spark, sf):
+    words = A.words_view(spark, sf).withColumn("pass", F.element_at(F.array(*[F.lit(p).cast("long") for p in C.OCR_PASSES]), ((F.col("pos") + F.col("line")) % 4 + 1).cast("int")))
+    shifted = words.withColumn("conf", F.col("conf") - F.when(F.col("doc_id") % 3 == 0, 10).otherwise(0))
+    return media_text.ocr_best_pass(shifted)
+
+
+@query(sql.TWO_COLUMN)
+def two_column_merge(spark, sf):
+    lines = F.split("text", "\n")
+    odd = F.array_join(F.filter(lines, lambda x, i: i % 2 == 0), "\n")
+    even = F.array_join(F.filter(lines, lambda x, i: i % 2 == 1), "\n")
+    return media_text.two_column_merge(A.table(spark, sf, "documents").select("doc_id", odd.alias("left_text"), even.alias("right_text")))
+
+
+@query("WITH " + sql.TRANSCRIPTS + " SELECT * FROM stats")
+def transcript_stats(spark, sf):
+    return media_text.transcript_stats(A.transcripts_view(spark, sf))
+
+
+@query("WITH " + sql.TRANSCRIPTS + " SELECT language_name, count(*) AS transcripts, round(sum(duration_seconds), 4) AS seconds, round(avg(confidence), 6) AS confidence, round(avg(CAST(urgency_detected AS DOUBLE)), 6) AS urgency_share FROM stats GROUP BY language_name")
+def transcript_audit(spark, sf):
+    return media_text.transcript_audit(media_text.transcript_stats(A.transcripts_view(spark, sf)))
+
+
+@query("WITH " + sql.LETTERS + " SELECT * FROM fields")
+def document_fields(spark, sf):
+    return media_text.document_fields(A.letters_view(spark, sf))
+
+
+@query("WITH " + sql.LETTERS + sql.BRANDS + " SELECT doc_id, similar_to, distance FROM brands")
+def brand_impersonation(spark, sf):
+    return media_text.brand_impersonation(media_text.document_fields(A.letters_view(spark, sf)))
+
+
+def _forgery(spark, sf):
+    fields = media_text.document_fields(A.letters_view(spark, sf))
+    return media_text.document_forgery(fields, media_text.brand_impersonation(fields))
+
+
+@query("WITH " + sql.LETTERS + sql.BRANDS + sql.FORGERY + " SELECT doc_id, score, risk, reasons FROM forgery")
+def document_forgery(spark, sf):
+    return _forgery(spark, sf)
+
+
+@query("WITH " + sql.LETTERS + sql.BRANDS + sql.FORGERY + " SELECT risk, count(*) AS documents, round(avg(score), 4) AS avg_score FROM forgery GROUP BY risk")
+def document_audit(spark, sf):
+    return media_text.document_audit(_forgery(spark, sf))
+
+
+@query(sql.MEDIA)
+def media_inventory(spark, sf):
+    d = A.table(spark, sf, "documents")
+    n = F.col("doc_id") % 4
+    ending = F.when(n == 0, ".PDF").when(n == 1, ".ogg").when(n == 2, ".png").otherwise(".txt")
+    content = F.when(n == 0, F.concat(F.lit("%PDF-1.7"), "text")).when(F.col("doc_id") % 8 == 1, F.concat(F.lit("PK"), "text")).otherwise(F.col("text"))
+    files = d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), ending).alias("path"), (F.col("n_chars") * 4096).alias("length"), content.cast("binary").alias("content"))
+    return media_text.media_inventory(files)
+
+
+QUERIES["entities"] = QUERIES.pop("entities_struct")
