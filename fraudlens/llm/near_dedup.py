@@ -7,18 +7,19 @@ so ``m * m`` tables of ``2 r`` minhashes each cost ``2 m r`` minhashes and not
 after the full shingle sets were compared.
 
 Documents with equal shingle sets are one class first. Classes that share keys
-are compared in rounds, each on what the rounds before left apart:
+are then compared in two rounds:
 
-1. each class with the candidate it resembles most among the least members of its keys,
-2. for any two components that still share a key, the pairs that resemble each other most,
-3. every other pair of classes that share a key and lie in different components.
+1. each class with the one it resembles most among the least members of its keys;
+2. where a key still holds several components, its classes meet once for each
+   of their ``u`` groups. A task counts the shared shingles of all its classes from
+   one inverted index and gives only links that join two components, so what
+   leaves it is bounded by its classes, never by their pairs. Large groups are
+   dealt over a grid of blocks of bounded size.
 
-Pairs inside a component need no comparison, since a further link could not
-change the result; so groups of copies are never expanded into all pairs, and no
-pair that could join two components is left out. Pairs whose set sizes rule a
-link out are dropped before their texts are fetched, and so are pairs whose
-64-bit sketches agree in fewer bits than pairs at the threshold do in all but
-about one case in ten thousand.
+Classes already in one component need no comparison, since a further link could
+not change the result. In round 1 pairs whose set sizes rule a link out, or whose
+64-bit sketches differ more than those of linked pairs do, are not compared;
+they are met again in round 2.
 
 Defined cases: a null or blank text has the empty set and is linked with
 nothing; with fewer words than a shingle has, the whole sequence is the
@@ -37,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from fraudlens.llm.storage import cut
 from fraudlens.operators.graph import connected_components
@@ -49,6 +49,8 @@ GROUPS, GROUP_SIZE = 8, 2
 #: Bits of 64 that two sketches must agree in.
 SKETCH_AGREES = 46
 TABLE_WORDS = 500_000
+#: Shingles of a block in round 2: 16 MB of hashes.
+BLOCK_SHINGLES = 2_000_000
 
 
 class _WordHashes(dict):
@@ -77,12 +79,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(w) - words + 1)
     size = min(words, len(w))
+    n = len(w) - size + 1
     h = np.full(n, size, np.uint64)
-    for i in range(size):
-        h = _mixed(h * _MIX + w[i : i + n])
-    return np.unique(h)
+    for i, seed in enumerate(_seeds(size)):
+        h += w[i : i + n] * seed
+    h = np.sort(_mixed(h))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def _seeds(count: int) -> np.ndarray:
@@ -90,47 +93,57 @@ def _seeds(count: int) -> np.ndarray:
 
 
 def minhashes(s: np.ndarray, count: int) -> np.ndarray:
-    out = np.empty(count, np.uint64)
-    for i, seed in enumerate(_seeds(count)):
-        h = s * seed
-        out[i] = (h ^ (h >> np.uint64(32))).min() if i % 2 else (h ^ (h >> np.uint64(29))).min()
-    return out
-
-
-def table_keys(signature: np.ndarray, groups: int = GROUPS, size: int = GROUP_SIZE) -> np.ndarray:
-    """The ``groups * groups`` table keys of ``2 * groups * size`` minhashes."""
+    """The least of each of ``count`` 32-bit hashes over a set."""
+    seeds = _seeds(count)
+    times, plus = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds * _MIX >> np.uint64(32)).astype(np.uint32)
+    low = (s >> np.uint64(32)).astype(np.uint32)
+    out = np.full(count, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 2048):
+        h = low[None, at : at + 2048] * times[:, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        h += plus[:, None]
+        np.minimum(out, h.min(axis=1), out=out)
+    return out.astype(np.uint64)
+
+
+def table_keys(signature: np.ndarray, groups: int = GROUPS, size: int = GROUP_SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """The ``groups * groups`` table keys of ``2 * groups * size`` minhashes, and the names of the ``u`` groups."""
     parts = signature.reshape(2, groups, size)
     names = np.zeros((2, groups), np.uint64)
     for k in range(size):
         names = _mixed(names * _MIX + parts[:, :, k])
+    names = _mixed(names + np.arange(groups, dtype=np.uint64)[None, :] * _MIX)
     pair = names[0][:, None] * np.uint64(3) + names[1][None, :]
     number = np.arange(groups * groups, dtype=np.uint64).reshape(groups, groups)
-    return _mixed(_mixed(pair) + number * _MIX).ravel()
+    return _mixed(_mixed(pair) + number * _MIX).ravel(), names[0]
 
 
 def _signatures(words: int, groups: int, size: int):
     count = 2 * groups * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = np.uint64(3)
+        two, shifts = np.uint64(3), np.arange(0, 64, 2, dtype=np.uint64)[: min(32, count)]
         for batch in batches:
-            sizes, digests, keys, sketches = [], [], [], []
+            sizes, digests, keys, firsts, sketches = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, words)
                 sizes.append(len(s))
                 if not len(s):
                     digests.append(None)
                     keys.append(None)
+                    firsts.append(None)
                     sketches.append(None)
                     continue
                 signature = minhashes(s, count)
                 digests.append(hashlib.sha256(s.tobytes()).digest())
-                keys.append(table_keys(signature, groups, size).view(np.int64))
-                bits = _mixed(signature) & two
-                sketches.append(sum(int(b) << (2 * i % 64) for i, b in enumerate(bits[:32].tolist())))
+                tables, first = table_keys(signature, groups, size)
+                keys.append(tables.view(np.int64))
+                firsts.append(first.view(np.int64))
+                sketches.append(int(((_mixed(signature)[:32] & two) << shifts).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in sketches], pa.int64())],
-                names=["doc_id", "n", "digest", "keys", "sketch"],
+                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in sketches], pa.int64())],
+                names=["doc_id", "n", "digest", "keys", "firsts", "sketch"],
             )
 
     return run
@@ -154,6 +167,56 @@ def _compared(words: int, percent: int):
     return run
 
 
+def _joining(percent: int):
+    """Links of one block (or pair of blocks) of classes that join two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [[], []]
+        ids, component = table["class"].to_pylist(), table["component"].to_pylist()
+        sets = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
+        at = table["_b"].to_numpy()
+        sizes = np.array([len(x) for x in sets])
+        rows = np.repeat(np.arange(len(sets)), sizes)
+        values, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(number, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        owners, begins = rows[order], np.concatenate(([0], np.cumsum(sizes)))
+        above = {}
+
+        def root(x):
+            while above.get(x, x) != x:
+                above[x] = above.get(above[x], above[x])
+                x = above[x]
+            return x
+
+        low, high = (table["_low"][0].as_py(), table["_high"][0].as_py())
+        for i in range(len(sets)):
+            own = number[begins[i] : begins[i + 1]]
+            own = own[counts[own] > 1]
+            if not len(own) or at[i] != low:
+                continue
+            shared = np.bincount(np.concatenate([owners[ends[k] : ends[k + 1]] for k in own.tolist()]), minlength=len(sets))
+            linked = 100 * shared >= percent * (sizes[i] + sizes - shared)
+            for j in np.flatnonzero(linked & (at == high)).tolist():
+                if j != i and root(component[i]) != root(component[j]):
+                    a, b = sorted((root(component[i]), root(component[j])))
+                    above[b] = a
+                    out[0].append(ids[i])
+                    out[1].append(ids[j])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(text, words).astype("<u8", copy=False).tobytes() for text in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    return run
+
+
 def _may_link(a: str, b: str, percent: int):
     """Size and sketch conditions on two classes, as a join condition."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -172,7 +235,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(words, groups, size), "doc_id long, n long, digest binary, keys array<long>, sketch long"), "signatures")
+    signed = cut(texts.mapInArrow(_signatures(words, groups, size), "doc_id long, n long, digest binary, keys array<long>, firsts array<long>, sketch long"), "signatures")
     numbered = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(numbered.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     # both sides are scans of written tables, so AQE can split the join at a class of many documents
@@ -180,7 +243,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # keys that more than one class has; of a class only its first member brings keys
     firsts = numbered.join(classes, (numbered["digest"] == classes["digest"]) & (numbered["doc_id"] == classes["class"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    keyed = firsts.select(F.col("doc_id").alias("class"), "n", "sketch", F.explode("keys").alias("key"))
+    keyed = firsts.select(F.col("doc_id").alias("class"), "n", "sketch", "firsts", F.posexplode("keys").alias("_table", "key"))
+    keyed = keyed.select("class", "n", "sketch", "key", F.get("firsts", F.floor(F.col("_table") / groups).cast("int")).alias("first"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("class", "n", "sketch")).alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = cut(shared.select("key", "least.*"), "shared_keys")
     buckets = cut(keyed.join(shared.select("key"), "key", "left_semi"), "buckets")
@@ -203,24 +267,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_links(best, texts, words, percent), "links")
     labels = merged(links, None)
 
-    # rounds 2 and 3: of keys that still hold several components, the pairs across them
-    for last in (False, True):
-        placed = buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        open_keys = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
-        open_rows = cut(placed.join(open_keys, "key", "left_semi"), "open_rows")
-        across = open_rows.alias("a").join(
-            open_rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent)
-        )
-        pairs = across.select(F.col("a.component").alias("ca"), F.col("b.component").alias("cb"), F.col("a.class").alias("a"), F.col("b.class").alias("b"), agreed.alias("off"))
-        if last:
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            pairs = pairs.groupBy("ca", "cb").agg(F.min(F.struct("off", "a", "b")).alias("p")).select("p.a", "p.b")
-        links = cut(_links(pairs, texts, words, percent), "links")
-        if links.isEmpty():
-            if last or open_rows.isEmpty():
-                break
-            continue
+    # round 2
+    placed = buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    several = lambda *by: placed.groupBy(*by).agg((F.min("component") < F.max("component")).alias("open")).filter("open").select(*by)
+    meets = placed.join(several("key"), "key", "left_semi").select("first", "class", "n", "component").distinct()
+    meets = cut(meets, "meets")
+    sums = meets.groupBy("first").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_all")).filter("_rows > 1")
+    blocks = sums.select("first", F.ceil(F.col("_all") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+    dealt = meets.join(blocks, "first").withColumn("_b", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
+    low_high = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, F.col("_b")).alias("_low"), F.greatest(x, F.col("_b")).alias("_high")))
+    texts_of = texts.join(meets.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(texts_of.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    grid = dealt.withColumn("_at", F.explode(low_high)).select("first", "class", "component", "_b", "_at.*")
+    links = grid.join(sets, grid["class"] == sets["doc_id"]).select("first", "class", "component", "shingles", "_b", "_low", "_high")
+    links = cut(links.groupBy("first", "_low", "_high").applyInArrow(_joining(percent), "a long, b long").distinct(), "links")
+    if not links.isEmpty():
         labels = merged(links, labels)
 
     placed = members.join(labels, "class", "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "class").alias("component_id"))
