@@ -183,8 +183,7 @@ def extract_amounts(spark, sf):
 
 @query()
 def extract_parties(spark, sf):
-    t = F.col("text")
-    return A.job_messages_view(spark, sf).select("msg_id", text.agent(t).alias("agent"), text.company(t).alias("company"), text.role(t, text.location(t)).alias("role"))
+    return entities.entity_columns(A.job_messages_view(spark, sf)).select("msg_id", "agent", "company", "role")
 
 
 @query()
