@@ -5,9 +5,9 @@ partition is tokenised in Arrow batches and becomes one run of ORC stripes.
 ORC stores the integers with run-length encoding and keeps row indexes and, on
 doc_id, Bloom filters, so readers split files by stripe and skip stripes by id.
 
-The word table: a word's ids do not depend on its neighbours (the tokenizer
-drops white space and never merges across it), so each task keeps a bounded
-table from words to their ids and encodes unknown words in batches.
+The ids of a word do not depend on its neighbours (the tokenizer drops white
+space and never merges across it), so each task keeps a bounded table from
+words to their ids and encodes unknown words in batches.
 
 Defined cases: null text is empty and gets the end id alone; null ids sort
 first; rows that repeat an id stay separate rows, ordered by n_tokens then
@@ -17,21 +17,24 @@ checksum; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fraudlens.llm.storage import scratch_folder
+from fraudlens.llm.storage import cut, scratch_folder
 
 END_ID = 2
-#: Words (and pieces of words) a task remembers before it starts a new table.
+#: Words, and half as many pre-tokens, that a task remembers.
 TABLE_WORDS = 700_000
-ROWS_A_BATCH = 256
+ROWS_A_BATCH = 2048
 
 
 def default_tokenizer() -> str:
@@ -40,70 +43,100 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Bounded(dict):
+    """A table that is begun anew when it would hold more than ``most`` names."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def missing(self, names: set[str]) -> set[str]:
+        """The names to be learned, with room made for them."""
+        unknown = names.difference(self)
+        if len(self) + len(unknown) > self.most:
+            self.clear()
+            return names
+        return unknown
+
+
 class WordTable:
     """Ids of white-space separated words as little-endian unsigned 32-bit integers.
 
-    Unknown words are cut into the tokenizer's own pre-tokens, which many words
-    share; unknown pre-tokens are encoded together and told apart by the
-    end-of-word mark of their last piece. Words with characters whose
-    normalisation depends on tables (from U+0250 on) or that may hold a
-    special token go to the tokenizer as they are."""
-
-    #: Fixed value: the pre-token pattern of the vocabulary file.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    New words are cut into the tokenizer's own pre-tokens, which many words
+    share; merges never leave a pre-token, so new ones are encoded many
+    together and told apart by the end-of-word mark of their last id. Words with
+    characters from U+0180 on, whose normalisation depends on tables, or with
+    what may be a special token go to the tokenizer as they are."""
 
     def __init__(self, path: str, most: int = TABLE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.ids, self.pieces = Tokenizer.from_file(path), most, {}, {}
-        self.cut = regex.compile(self.PATTERN).findall
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        # for pre-tokens, which are normalised and cut already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer, self.ids, self.pieces = Tokenizer.from_file(path), Bounded(most), Bounded(most // 2)
+        simple = [chr(i) for i in range(0x180)]
+        kind = lambda k: "".join(re.escape(c) for c in simple if unicodedata.category(c)[0] == k)
+        letter, number = kind("L"), kind("N")
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+").findall
+        self.special = re.compile("[^\x00-\u017f]|[\x1c-\x1f]|<\\|").search
+        self.words = re.compile("(?:[^\\s]|[\x1c-\x1f])+").findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
+        some = [pieces[at : at + 100] for at in range(0, len(pieces), 100)]
+        for names, coded in zip(some, self.plain.encode_batch_fast(list(map(" ".join, some)), add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(names):
                 raise ValueError("pre-tokens and end marks differ in number")
             raw, start = ids.tobytes(), 0
-            for piece, end in zip(some, ends.tolist()):
-                self.pieces[piece] = raw[4 * start : 4 * end]
+            for name, end in zip(names, ends):
+                self.pieces[name] = raw[4 * start : 4 * end]
                 start = end
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > self.most:
-            self.ids.clear()
-            self.pieces.clear()
-        cut, plain, odd = {}, [], []
+        cut, odd = {}, []
         for word in words:
-            if max(word) >= "\u0250" or "<|" in word:
-                odd.append(word)
-            else:
+            if word.isalpha() and (word.isascii() or not self.special(word)):
                 low = word.lower()
                 cut[word] = (low,) if low.isalpha() else self.cut(low)
-        unknown = {piece for pieces in cut.values() for piece in pieces}.difference(self.pieces)
-        plain = list(unknown)
-        self._learn_pieces(plain)
+            elif self.special(word):
+                odd.append(word)
+            else:
+                cut[word] = self.cut(word.lower())
+        self._learn_pieces(list(self.pieces.missing({piece for pieces in cut.values() for piece in pieces})))
+        get = self.pieces.__getitem__
         for word, pieces in cut.items():
-            self.ids[word] = self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+            self.ids[word] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
         for word, coded in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.ids[word] = np.array(coded.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        words = set().union(*split)
-        unknown = words.difference(self.ids)
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, where each text begins and the last one ends).
+
+        Arrow splits the texts and numbers their distinct words; only those
+        are looked up here, and their ids are gathered by number."""
+        odd = pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py()  # blanks to Arrow but not to the tokenizer
+        words = pa.array([self.words(x) for x in texts.to_pylist()], pa.list_(pa.string())) if odd else pc.utf8_split_whitespace(texts)
+        numbered = words.flatten().dictionary_encode()
+        names = numbered.dictionary.to_pylist()
+        unknown = self.ids.missing(set(names))
         if unknown:
             self._learn(unknown)
-            if not words <= self.ids.keys():  # the table was begun anew
-                self._learn(words.difference(self.ids))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        coded = list(map(self.ids.__getitem__, names))
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        pool = np.frombuffer(b"".join(coded), "<u4")
+        at = numbered.indices.to_numpy()
+        each = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        shift = (np.cumsum(lengths) - lengths)[at] - ends[:-1]
+        ids = pool[np.repeat(shift, each) + np.arange(ends[-1])]
+        rows = words.offsets.to_numpy()
+        return ids, ends[rows - rows[0]]
 
 
 #: Tables outlive a task where Spark keeps its Python workers.
@@ -118,14 +151,13 @@ def word_table(path: str, most: int) -> WordTable:
 
 def encode_partition(path: str, end_id: int, most: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = None, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            table = table or word_table(path, most)
+            table = word_table(path, most)
             for at in range(0, batch.num_rows, ROWS_A_BATCH):
                 rows = batch.slice(at, ROWS_A_BATCH)
-                coded = [x + end for x in table.encode(rows["text"].to_pylist())]
-                ends = np.cumsum([0] + [len(x) // 4 for x in coded]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+                found, ends = table.encode(rows["text"])
+                values = np.insert(found, ends[1:], end_id).astype("<i4")
+                ids = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["part"], ids], names=["doc_id", "part", "ids"])
 
     return encode
@@ -160,7 +192,7 @@ def token_index(tokens: DataFrame) -> DataFrame:
 
     Running sums inside each range, then the ranges' own offsets: one row for
     each range of documents, the only rows that meet in one task."""
-    rows = tokens.mapInArrow(_checksums, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    rows = cut(tokens.mapInArrow(_checksums, "doc_id long, part int, n_tokens long, ids_crc32 long"), "token_index")  # used twice below
     inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
