@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Chunks a task remembers before it starts a new table.
+#: Chunks a task remembers before it starts a new table; those of one batch are always held, however many.
 TABLE_CHUNKS = 400_000
 ROWS_A_BATCH = 256
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*").findall
@@ -58,10 +58,16 @@ class ChunkTable:
                 return words
         return [x[1:].replace(MARK, " ") for x in _CHUNK(MARK + text.replace(" ", MARK))]
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > self.most:
+    def _missing(self, chunks: set[str]) -> set[str]:
+        """The chunks to be learned, with room made for them: all of them if the table is begun anew."""
+        unknown = chunks.difference(self.ids)
+        if unknown and len(self.ids) + len(unknown) > self.most:
             self.ids.clear()
             self.told.clear()
+            return chunks
+        return unknown
+
+    def _learn(self, chunks: set[str]) -> None:
         new = list(chunks)
         for chunk, ids in zip(new, self.model.encode(new, num_threads=1)):
             ids = ids or [self.model.piece_to_id(MARK)]
@@ -71,22 +77,19 @@ class ChunkTable:
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text, all of them in the table."""
         split = [self.chunks(text) for text in texts]
-        all_chunks = set().union(*split)
-        unknown = all_chunks.difference(self.ids)
+        unknown = self._missing(set().union(*split))
         if unknown:
             self._learn(unknown)
-            if not all_chunks <= self.ids.keys():  # the table was begun anew
-                self._learn(all_chunks.difference(self.ids))
         return split
 
 
-_TABLES: dict[str, ChunkTable] = {}
+_TABLES: dict[tuple[str, int], ChunkTable] = {}
 
 
 def chunk_table(path: str, most: int = TABLE_CHUNKS) -> ChunkTable:
-    if path not in _TABLES:
-        _TABLES[path] = ChunkTable(path, most)
-    return _TABLES[path]
+    if (path, most) not in _TABLES:
+        _TABLES[path, most] = ChunkTable(path, most)
+    return _TABLES[path, most]
 
 
 def _encode(path: str, most: int, with_ids: bool):

@@ -161,6 +161,21 @@ def test_sentencepiece(spark):
     assert all(back[i].text == (p.decode(p.encode(x)) if x else "") for i, x in enumerate(texts))
 
 
+def test_chunk_table_begins_anew_between_overlapping_batches():
+    from fraudlens.llm.sentencepiece_ids import ChunkTable, chunk_table, default_model
+
+    table = ChunkTable(default_model(), 40)
+    words = [f"w{i}x" for i in range(200)]
+    most = 40
+    for first, last in ((0, 10), (5, 50), (45, 60), (0, 200), (190, 200), (195, 235)):
+        text = " ".join((words + words)[first:last])
+        (split,) = table.encode([text])
+        assert [i for x in split for i in table.ids[x]] == table.model.encode(text) and set(split) <= table.told.keys()
+        most = max(most, len(set(split)))
+        assert len(table.ids) == len(table.told) <= most
+    assert chunk_table(default_model(), 3).most == 3 and chunk_table(default_model(), 4).most == 4
+
+
 # --- near dedup
 
 
