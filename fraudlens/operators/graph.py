@@ -30,33 +30,44 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every endpoint; a component is named by its least node.
 
-    Each round a node takes the least label among its neighbours and itself,
-    then the label of that label (pointer jumping). Labels are written each
-    round, so plans stay small and a lost executor repeats one round at most;
-    both sides of each join are then plain scans, whose skew AQE can split. Hub
-    nodes meet their neighbours' labels after a map-side minimum. Rounds end
-    when no label changes; only that count reaches the driver. Null endpoints
-    and self-loops are ignored (a node of self-loops only is its own component).
+    Each round a node is hooked to the least of its neighbours and itself, the
+    hooks are followed to their ends by pointer doubling, and edges and labels
+    are contracted to those ends. A node that no hook joins to another is less
+    than its neighbours, all of which then belong to something less, so it is
+    joined in the next round: two rounds halve the nodes at least, and rounds
+    grow with the logarithm of the nodes, whatever the diameter. Rounds end when
+    no edge is left; only counts reach the driver.
+
+    What a round gives is written, so plans stay small and a lost executor
+    repeats one round at most; both sides of each join are then plain scans,
+    whose skew AQE can split. Hub nodes meet their neighbours after a map-side
+    minimum. Null endpoints and self-loops are ignored (a node of self-loops
+    only is its own component).
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    links = both.filter("a <> b")
-    for _ in range(max_iter):
-        told = links.join(labels, links["b"] == labels["node"]).groupBy(F.col("a").alias("to")).agg(F.min("label").alias("least"))
-        nearer = written(labels.join(told, labels["node"] == told["to"], "left").select("node", "label", F.least("label", F.coalesce("least", "label")).alias("near")))
-        up = nearer.select(F.col("node").alias("up"), F.col("near").alias("jump"))
-        jumped = written(nearer.join(up, nearer["near"] == up["up"], "left").select("node", "label", F.least("near", F.coalesce("jump", "near")).alias("next")))
-        changed = jumped.filter("next <> label").count()
-        labels = jumped.select("node", F.col("next").alias("label"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still change after {max_iter} rounds")
-    return labels.select("node", F.col("label").alias("component"))
+    links, labels = both.filter("a <> b"), None
+    while True:
+        # all nodes in the first round, then those that still have edges
+        hooks = written((both if labels is None else links).groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("up")))
+        while True:
+            above = hooks.select(F.col("node").alias("at"), F.col("up").alias("next"))
+            jumped = written(hooks.join(above, hooks["up"] == above["at"]).select("node", "up", "next"))
+            changed = jumped.filter("next <> up").count()
+            hooks = jumped.select("node", F.col("next").alias("up"))
+            if not changed:
+                break
+        to = lambda end: hooks.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up"))
+        if labels is None:
+            labels = hooks.select("node", F.col("up").alias("label"))
+        else:
+            labels = written(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label")))
+        links = written(links.join(to("a"), "a").join(to("b"), "b").filter("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
+        if links.isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def _filled(x: Column) -> Column:

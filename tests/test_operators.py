@@ -94,6 +94,14 @@ def test_components_equal_union_find(spark, seed):
     assert got == components(pairs)
 
 
+def test_components_of_a_long_path(spark):
+    order = list(range(2000))
+    random.Random(7).shuffle(order)
+    pairs = list(zip(order, order[1:])) + [(5000, 5001)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == components(pairs)
+
+
 def test_components_of_nothing(spark):
     assert graph.connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
 
