@@ -13,7 +13,8 @@ decides that two texts are equal.
 Defined cases: a null text is the empty text; an empty table gives an empty
 result; of rows with equal content the one with most code points stays, ties go
 to the smallest id, null ids come last; rows that repeat an id and a content
-share one answer. Other columns of the input are ignored, whatever their names.
+share one answer in ``exact_dedup``, while ``drop_exact_copies`` keeps one row of
+each content whatever the ids. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlens.llm.storage import cut
+from fraudlens.llm.storage import cut, row_hash
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Groups with at least this share of all rows are joined by broadcast; there are at most so many of them.
@@ -40,15 +41,17 @@ def exact_groups(
     text_col: str = "text",
     salts: int = 16,
     digest: Callable[[Column], Column] = sha256_hex,
+    tie: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): ``rows`` has a narrow row for each document (_id,
     _digest, _check), ``groups`` one for each content (_digest, _check, _keep,
-    _size). ``_check`` is a second hash that tells contents of equal digest
+    _size, and _best, the rank of the row that stays, in which ``tie`` comes last). ``_check`` is a second hash that tells contents of equal digest
     apart; should both agree for different contents the job fails."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_n"), F.regexp_replace(text, SPACES, "").alias("_content"))
-    base = base.select("_id", "_n", "_content", digest(F.col("_content")).alias("_digest"))
-    rank = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"))
+    ties = [] if tie is None else ["_tie"]
+    base = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_n"), F.regexp_replace(text, SPACES, "").alias("_content"), *([] if tie is None else [tie.alias("_tie")]))
+    base = base.select("_id", "_n", "_content", *ties, digest(F.col("_content")).alias("_digest"))
+    rank = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), *[F.col(c).alias("tie") for c in ties])
     salted = (
         base.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
         .groupBy("_digest", "_content", "_salt")
@@ -64,6 +67,7 @@ def exact_groups(
             "_check",
             F.when(F.col("_contents") > 1, F.raise_error(F.lit("two contents share both hashes"))).otherwise(F.col("_best.id")).alias("_keep"),
             "_size",
+            *(["_best"] if ties else []),
         )
     )
     return base.select("_id", "_digest", F.xxhash64("_content").alias("_check")), cut(groups, "exact_groups")
@@ -100,6 +104,18 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each content, with all its columns; ids may be null or repeated.
+
+    A row is known by its content's hashes, length, id and a hash of all its
+    columns; rows that agree in all of these are copies of which one stays. They
+    are combined where they are read, and combining and the join with the
+    winners share one shuffle."""
+    tie = row_hash(docs)
+    _, groups = exact_groups(docs, id_col, text_col, tie=tie)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    content = F.regexp_replace(text, SPACES, "")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
+    by = ["_digest", "_check", "_n", "_no_id", "_id", "_tie"]
+    rows = docs.select(sha256_hex(content).alias("_digest"), F.xxhash64(content).alias("_check"), F.char_length(text).alias("_n"), F.col(id_col).isNull().alias("_no_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), tie.alias("_tie"), whole)
+    winners = groups.select("_digest", "_check", (-F.col("_best.n")).alias("_n"), F.col("_best.no_id").alias("_no_id"), F.coalesce(F.col("_best.id").cast("string"), F.lit("")).alias("_id"), F.col("_best.tie").alias("_tie"))
+    return rows.groupBy(*by).agg(F.first("_doc").alias("_doc")).join(winners, by, "left_semi").select("_doc.*")

@@ -12,8 +12,9 @@ bucket), so a source with a third of all rows is spread over many tasks.
 
 Defined cases: null text has size 0; null source is a source of its own, last
 in order; documents of size 0 are never taken; an empty table gives an empty
-result; rows with equal ids are ordered by size; other columns are ignored by
-``plan_mix`` and kept by ``training_order``.
+result; ids may be null or repeated, rows with equal ids are ordered by size,
+then by a hash of all columns; other columns are ignored by ``plan_mix`` and
+kept by ``training_order``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fraudlens.llm.storage import row_hash
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Schedules by rank of the source: (time, weight), linear between; their integrals are 5, 2 and 1.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (0.5, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -74,29 +77,33 @@ def source_targets(sources: DataFrame, schedules=SCHEDULES, most_repeats: int =
 
 
 def plan_mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most_repeats: int = MOST_REPEATS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most_repeats: int = MOST_REPEATS, carry: bool = False
 ) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken,
     and first_position (null if not taken) in training time, plus _start (words
-    before it in its source's stream), _kind and _stream, a running number of no meaning
-    beyond its order."""
+    before it in its source's stream) and _kind. With ``carry`` the document's
+    own columns come along as the struct _doc, and _tie orders rows of equal id and size."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), words.alias("size"), order.alias("_hash"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), words.alias("size"), order.alias("_hash"), *([row_hash(docs).alias("_tie"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")] if carry else []))
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    # plain keys, equal for a null source as well: the window and the join below share one shuffle
+    rows = rows.withColumn("_none", F.col("_source").isNull()).withColumn("_name", F.coalesce(F.col("_source").cast("string"), F.lit("")))
     buckets = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_bucket_size"))
     sources = source_targets(buckets.groupBy("_source").agg(F.sum("_bucket_size").alias("_source_size")), schedules, most_repeats)
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = buckets.select("_source", "_bucket", F.coalesce(F.sum("_bucket_size").over(ahead), F.lit(0)).alias("_from")).alias("b")
     begins = begins.join(sources.alias("s"), F.col("b._source").eqNullSafe(F.col("s._source"))).select("b._source", "b._bucket", "_from", "_kind", "_source_size", "_target")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.withColumn("_none", F.col("_source").isNull()).withColumn("_name", F.coalesce(F.col("_source").cast("string"), F.lit("")))
+    carried = ["_tie", "_doc"] if carry else []
+    inside = Window.partitionBy("_none", "_name", "_bucket").orderBy("_hash", "doc_id", "size", *carried[:1]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
-    both = rows.join(begins.alias("b"), F.col("r._source").eqNullSafe(F.col("b._source")) & (F.col("r._bucket") == F.col("b._bucket")))
+    both = rows.join(begins.drop("_source").alias("b"), ["_none", "_name", "_bucket"])
     full = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("_target") - full * F.col("_source_size")).cast("long")
     start = F.col("_from") + F.col("_ahead")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start)).cast("long")
-    planned = both.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), start.alias("_start"), (full * F.col("size") + part).alias("taken"), "_kind")
+    planned = both.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), start.alias("_start"), (full * F.col("size") + part).alias("taken"), "_kind", *carried)
     return planned.withColumn("first_position", F.when(F.col("taken") > 0, _position(F.col("_start"), schedules)))
 
 
@@ -108,10 +115,9 @@ def _position(offset: Column, schedules) -> Column:
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """The documents as training reads them: all their columns, a row for each
     reading, range-sorted by position. A last reading that the demand cuts
-    counts if at least half of the document is in it. The plan meets the
-    documents by id, so ids must be unique and not null."""
-    plan = plan_mix(docs, id_col, text_col, source_col, schedules, most_repeats).select(F.col("doc_id").alias("_plan_id"), "size", "source_size", "target", "taken", "_start", "_kind")
+    counts if at least half of the document is in it. Each row is planned with
+    its own columns, so ids may be null or repeated."""
+    plan = plan_mix(docs, id_col, text_col, source_col, schedules, most_repeats, carry=True)
     plan = plan.withColumn("_times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")).filter("_times > 0")
-    reads = plan.select("_plan_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("_times") - 1), lambda k: _position(F.col("_start") + k * F.col("source_size"), schedules))).alias("_position"))
-    names = docs.columns
-    return docs.join(reads, docs[id_col] == reads["_plan_id"]).orderBy("_position", "_plan_id").select(*[docs[c] for c in names])
+    reads = plan.select("doc_id", "_tie", "_doc", F.explode(F.transform(F.sequence(F.lit(0), F.col("_times") - 1), lambda k: _position(F.col("_start") + k * F.col("source_size"), schedules))).alias("_position"))
+    return reads.orderBy("_position", "doc_id", "_tie").select("_doc.*")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlens.llm.storage import cut
+from fraudlens.llm.storage import cut, numbered
 from fraudlens.operators.graph import connected_components
 
 WORDS = 5
@@ -236,13 +236,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_signatures(words, groups, size), "doc_id long, n long, digest binary, keys array<long>, firsts array<long>, sketch long"), "signatures")
-    numbered = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(numbered.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
+    named = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = cut(named.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     # both sides are scans of written tables, so AQE can split the join at a class of many documents
-    members = cut(numbered.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class"), "members")
+    members = cut(named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class"), "members")
 
     # keys that more than one class has; of a class only its first member brings keys
-    firsts = numbered.join(classes, (numbered["digest"] == classes["digest"]) & (numbered["doc_id"] == classes["class"]), "left_semi").dropDuplicates(["doc_id", "digest"])
+    firsts = named.join(classes, (named["digest"] == classes["digest"]) & (named["doc_id"] == classes["class"]), "left_semi").dropDuplicates(["doc_id", "digest"])
     keyed = firsts.select(F.col("doc_id").alias("class"), "n", "sketch", "firsts", F.posexplode("keys").alias("_table", "key"))
     keyed = keyed.select("class", "n", "sketch", "key", F.get("firsts", F.floor(F.col("_table") / groups).cast("int")).alias("first"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("class", "n", "sketch")).alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -292,6 +292,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The documents, all columns, without those of a component that are not its first."""
-    gone = near_components(docs, id_col, text_col, words, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents, all columns, without those of a component that are not
+    its first by id, null ids last. Rows are told apart by a written number, so
+    ids may be null or repeated."""
+    names = docs.columns
+    rows = numbered(docs, "near_rows")
+    found = near_components(rows, "_row", text_col, words, percent).select("doc_id", "component_id")
+    # only components of several rows: all others stay as they are
+    several = found.filter("doc_id <> component_id").select("component_id").distinct()
+    linked = cut(found.join(several, "component_id", "left_semi"), "linked")
+    ranked = linked.join(rows.select("_row", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_rank")), linked["doc_id"] == F.col("_row"))
+    first = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first")).select(F.col("_first.row").alias("doc_id"))
+    gone = linked.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").select(*names)

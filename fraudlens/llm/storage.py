@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -32,3 +33,13 @@ def cut(frame: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/{label}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def row_hash(frame: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, to order rows the same way in every run; never a row's name."""
+    return F.xxhash64(*[frame[name] for name, kind in frame.dtypes if "map<" not in kind and kind != "variant"])
+
+
+def numbered(frame: DataFrame, label: str, name: str = "_row") -> DataFrame:
+    """``frame`` with a long of its own for each row, written so that it stays the same in all that follows."""
+    return cut(frame.withColumn(name, F.monotonically_increasing_id()), label)

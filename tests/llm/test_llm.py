@@ -348,6 +348,47 @@ def test_ann_recall_and_ranks(spark):
 # --- pipeline
 
 
+#: (doc_id, text, source): null ids, ids of several rows and of several texts, whole copies.
+REPEATED = [(None, "a b"), (None, "ab"), (None, "other text here"), (7, "seven eight"), (7, "seven eight"), (7, "seveneight"), (7, "unlike"), (8, "unlike"), (9, "ab")]
+
+
+def repeated(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0, "x", "y", "z") for i, t, s in rows], SCHEMA).repartition(3)
+
+
+def test_drop_exact_copies_with_null_and_repeated_ids(spark):
+    from fraudlens.llm.exact_dedup import drop_exact_copies
+
+    out = drop_exact_copies(repeated(spark, [(i, t, "a") for i, t in REPEATED])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == [("7", "seven eight"), ("7", "unlike"), ("None", "a b"), ("None", "other text here")]
+
+
+def test_keep_one_of_each_with_null_and_repeated_ids(spark):
+    from fraudlens.llm.near_dedup import keep_one_of_each
+
+    long, far = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, long), (None, long + " end"), (3, long), (3, far), (3, far), (2, far + " end"), (None, None), (None, None), (None, "lone text")]
+    out = keep_one_of_each(repeated(spark, [(i, t, "a") for i, t in rows])).collect()
+    want = [("2", far + " end"), ("3", long), ("None", "None"), ("None", "None"), ("None", "lone text")]
+    assert out[0].asDict().keys() == {c.split()[0] for c in SCHEMA.split(", ")} and sorted((str(r.doc_id), str(r.text)) for r in out) == sorted(want)
+
+
+def test_training_order_with_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    from fraudlens.llm.mixing import plan_mix, training_order
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, i]), f"t{i} " * rng.randrange(1, 30), rng.choice(["a", "b", None])) for i in range(120)]
+    frame = repeated(spark, rows)
+    out = Counter(r.text for r in training_order(frame).collect())
+    plan = plan_mix(frame, carry=True).select("_doc.text", "size", "taken").collect()
+    assert len(plan) == 120 and all(out[r.text] == int(r.taken / r.size + 0.5) for r in plan)
+    assert any(out[t] for i, t, _ in rows if i is None) and max(out.values()) <= 3
+    again = [(r.doc_id, r.text) for r in training_order(frame.repartition(5)).collect()]
+    assert again == [(r.doc_id, r.text) for r in training_order(frame).collect()]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
