@@ -2,32 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.functions import scores, text
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors reach;
-    on one machine without that setting, a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fraudlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fraudlens-{uuid.uuid4().hex}"
-
-
-def written(frame: DataFrame) -> DataFrame:
-    """``frame`` as a table in the shared folder: the lineage ends here."""
-    spark = frame.sparkSession
-    path = shared_folder(spark)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+from fraudlens.storage import discard, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -48,25 +27,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     only is its own component).
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    links, labels = both.filter("a <> b"), None
+    links = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = None
     while True:
         # all nodes in the first round, then those that still have edges
-        hooks = written((both if labels is None else links).groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("up")))
+        hooks = written(links.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("up")), "hooks")
         while True:
             above = hooks.select(F.col("node").alias("at"), F.col("up").alias("next"))
-            jumped = written(hooks.join(above, hooks["up"] == above["at"]).select("node", "up", "next"))
-            changed = jumped.filter("next <> up").count()
-            hooks = jumped.select("node", F.col("next").alias("up"))
-            if not changed:
+            jumped = written(hooks.join(above, hooks["up"] == above["at"]).select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "hooks")
+            discard(hooks)
+            hooks = jumped
+            if hooks.filter("moved").isEmpty():
                 break
         to = lambda end: hooks.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up"))
         if labels is None:
-            labels = hooks.select("node", F.col("up").alias("label"))
+            joined = hooks.select("node", F.col("up").alias("label"))
         else:
-            labels = written(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label")))
-        links = written(links.join(to("a"), "a").join(to("b"), "b").filter("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
+            joined = labels.join(to("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label"))
+        labels, old = written(joined, "labels"), labels
+        left, done = links.filter("a <> b").join(to("a"), "a").join(to("b"), "b").filter("a_up <> b_up"), links
+        links = written(left.select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct(), "links")
+        discard(old, hooks, done)
         if links.isEmpty():
+            discard(links)
             return labels.select("node", F.col("label").alias("component"))
 
 

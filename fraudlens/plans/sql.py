@@ -90,7 +90,7 @@ NODES = """p AS (
   UNION SELECT job_role, 3, 'Job Role' FROM reports UNION SELECT company_name, 4, 'Company Name' FROM reports)
 SELECT node, CAST(min(g) AS BIGINT) AS "group", min_by(label, g) AS label FROM p WHERE node <> '' GROUP BY node"""
 TYPED_EDGES = """typed_edges AS (
-  SELECT 'phone:' || CAST(user_id AS VARCHAR) AS source_id, 'upi:' || json_extract_string(props, '$.k') AS target_id, ts FROM events WHERE value > 300)
+  SELECT 'phone:' || CAST(user_id AS VARCHAR) AS source_id, 'upi:' || json_extract_string(props, '$.k') AS target_id, ts FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL)
 """
 NETWORK_FROM_EDGES = """, e AS (SELECT source_id AS a, target_id AS b, max(ts) AS last_seen FROM typed_edges GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 300),
 n AS (SELECT a AS node, 1 AS g, 'Phone Number' AS label FROM e UNION ALL SELECT b, 2, 'UPI ID' FROM e)

@@ -90,17 +90,14 @@ def job_messages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(docs.select(F.col("doc_id").alias("msg_id"), F.concat(sentence, F.lit(".\n"), "text").alias("text"), "n_chars"), "msg_id")
 
 
-def typed_edges_view(spark: SparkSession, sf_dir: str, above: float = 300.0) -> DataFrame:
-    """Edges ``phone:<user>`` - ``upi:<k>`` of events of high value."""
-    return (
-        table(spark, sf_dir, "events")
-        .filter(F.col("value") > above)
-        .select(
-            F.concat(F.lit("phone:"), F.col("user_id").cast("string")).alias("source_id"),
-            F.concat(F.lit("upi:"), _k().cast("string")).alias("target_id"),
-            F.lit("paid_with").alias("relationship_type"),
-            F.col("ts").alias("ts"),
-        )
+def typed_edges_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges ``phone:<user>`` - ``upi:<k>`` of all events that have both."""
+    events = table(spark, sf_dir, "events").select("user_id", _k().alias("k"), "ts").filter("user_id IS NOT NULL AND k IS NOT NULL")
+    return events.select(
+        F.concat(F.lit("phone:"), F.col("user_id").cast("string")).alias("source_id"),
+        F.concat(F.lit("upi:"), F.col("k").cast("string")).alias("target_id"),
+        F.lit("paid_with").alias("relationship_type"),
+        "ts",
     )
 
 

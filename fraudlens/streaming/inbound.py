@@ -101,19 +101,21 @@ def dedupe_stream(messages: DataFrame, ttl_s: int = C.DEDUPE_TTL_S) -> DataFrame
 
 
 class LatestValue(StatefulProcessor):
-    """The latest value of a key, kept for a time."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    """The latest value of a key by the rows' own times. No timer is set, so a
+    run over what is available ends."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "ts timestamp, value string", self.ttl_ms)
+        self.state = handle.getValueState("latest", "ts timestamp, value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("ts").iloc[-1]
-        if not self.state.exists() or pd.Timestamp(self.state.get()[0]) <= last["ts"]:
-            self.state.update((last["ts"].to_pydatetime(), last["value"]))
-        ts, value = self.state.get()
+        ts, value = self.state.get() if self.state.exists() else (None, None)
+        seen = False
+        for some in rows:  # one Arrow batch of the key's rows at a time
+            newest = some.sort_values(["ts", "value"]).iloc[-1]
+            if ts is None or pd.Timestamp(ts) <= newest["ts"]:
+                ts, value, seen = newest["ts"].to_pydatetime(), newest["value"], True
+        if seen:
+            self.state.update((ts, value))
         yield pd.DataFrame({"key": [key[0]], "ts": [pd.Timestamp(ts)], "value": [value]})
 
     def close(self) -> None:
@@ -121,5 +123,7 @@ class LatestValue(StatefulProcessor):
 
 
 def preference_stream(rows: DataFrame, ttl_days: int = 30) -> DataFrame:
-    """The stored preference of each user (key, ts, value) after each batch."""
-    return rows.groupBy("key").transformWithStateInPandas(LatestValue(ttl_days * 86_400_000), "key string, ts timestamp, value string", "Update", "ProcessingTime")
+    """The preference of each user (key, ts, value) after each batch, and
+    ``valid_until``, the end of its lifetime, from which on readers ignore it."""
+    latest = rows.groupBy("key").transformWithStateInPandas(LatestValue(), "key string, ts timestamp, value string", "Update", "None")
+    return latest.withColumn("valid_until", F.col("ts") + F.make_dt_interval(F.lit(ttl_days)))
