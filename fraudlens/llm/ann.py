@@ -1,12 +1,18 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample the graph of nearest neighbours is cut into balanced parts,
-and a small network learns to tell a vector's part. It then places every vector
-of the table in its most probable part; a query visits its several most probable
+and a small softmax classifier learns to tell a vector's part and those of its
+neighbours. Parts and classifier are refined in turn, and offsets keep the
+parts balanced. The classifier then places every vector of the table in its
+most probable part; a query visits its several most probable
 parts, whose vectors are ranked by their exact cosine. How many parts are
 visited is measured on the sample: the least number that finds the wanted share
 of true neighbours there.
 
+The number of parts grows with the square root of the table, and the sample with
+the parts, up to ``MOST_PARTS``: finer parts are left out more exactly, so the
+share of the table that a query meets falls as the table grows.
+
 Vectors and queries meet in blocks of bounded size: a part with many vectors is
 dealt over many blocks, and a block with many queries likewise.
 
@@ -21,6 +27,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,30 +39,35 @@ from pyspark.sql import Window
 
 from fraudlens.llm.storage import cut
 
-#: Expected vectors of the sample, parts, and neighbours of the graph.
-SAMPLE_ROWS, PARTS, GRAPH_NEIGHBOURS = 3000, 16, 30
+#: The sample has at least so many vectors (expected), and so many for each part.
+SAMPLE_ROWS, SAMPLE_ROWS_A_PART = 3000, 24
+#: Parts for each square root of the table's rows, and at most: the sample is bounded by 24 x 512 vectors.
+PARTS_A_ROOT, MOST_PARTS = 2.0, 512
+#: Neighbours of a node of the graph.
+GRAPH_NEIGHBOURS = 20
 #: Share of the true neighbours in the sample that the visited parts must hold.
-WANTED_RECALL = 0.95
+WANTED_RECALL = 0.93
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
 @dataclass
 class Router:
-    """A network with one hidden layer from unit vectors to parts."""
+    """A linear classifier from unit vectors to parts, and how many parts a query visits."""
 
-    length: int
-    hidden: np.ndarray
-    out: np.ndarray
+    weights: np.ndarray
+    offsets: np.ndarray
     visits: int
 
     def scores(self, unit: np.ndarray) -> np.ndarray:
-        return _forward(unit, self.hidden, self.out)[1]
+        return unit @ self.weights + self.offsets
 
+    @property
+    def parts(self) -> int:
+        return len(self.offsets)
 
-def _forward(x: np.ndarray, hidden: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones((len(x), 1))
-    h = np.maximum(0.0, np.hstack([x, one]) @ hidden)
-    return h, np.hstack([h, one]) @ out
+    @property
+    def length(self) -> int:
+        return len(self.weights)
 
 
 def balanced_parts(near: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.1, seed: int = 7) -> np.ndarray:
@@ -70,14 +82,13 @@ def balanced_parts(near: np.ndarray, parts: int, rounds: int = 12, slack: float
             both[j].add(i)
     rng = np.random.default_rng(seed)
     at = np.full(n, -1)
-    order, waiting = rng.permutation(n), []
-    free = iter(order.tolist())
+    free = iter(rng.permutation(n).tolist())
     for part in range(parts):  # breadth-first growth to the mean size
-        goal, size, waiting = -(-n * (part + 1) // parts) - -(-n * part // parts), 0, []
+        goal, size, waiting = -(-n * (part + 1) // parts) - -(-n * part // parts), 0, deque()
         while size < goal:
             while waiting and at[waiting[0]] >= 0:
-                waiting.pop(0)
-            node = waiting.pop(0) if waiting else next(i for i in free if at[i] < 0)
+                waiting.popleft()
+            node = waiting.popleft() if waiting else next(i for i in free if at[i] < 0)
             at[node], size = part, size + 1
             waiting.extend(j for j in both[node] if at[j] < 0)
     sizes = np.bincount(at, minlength=parts)
@@ -101,31 +112,37 @@ def balanced_parts(near: np.ndarray, parts: int, rounds: int = 12, slack: float
     return at
 
 
-def train_router(unit: np.ndarray, part: np.ndarray, parts: int, width: int = 256, epochs: int = 10, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression on a hidden layer, by Adam in small batches."""
+def train_router(unit: np.ndarray, near: np.ndarray, parts: int, turns: int = 5, epochs: int = 2, sharpness: float = 12.0, rate: float = 0.02, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, offsets) of a softmax classifier. It begins with the parts'
+    mean vectors and learns, by Adam in small batches, each vector's part and
+    the parts of its neighbours; then its own parts take the place of the old."""
     rng = np.random.default_rng(seed)
-    d = unit.shape[1]
-    weights = [rng.normal(0, np.sqrt(2 / d), (d + 1, width)), rng.normal(0, np.sqrt(1 / width), (width + 1, parts))]
-    first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for _ in range(epochs):
-        order = rng.permutation(len(unit))
-        for start in range(0, len(order), 256):
-            i = order[start : start + 256]
-            one = np.ones((len(i), 1))
-            h, z = _forward(unit[i], *weights)
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(i)), part[i]] -= 1
-            p /= len(i)
-            back = (p @ weights[1][:-1].T) * (h > 0)
-            gradients = [np.hstack([unit[i], one]).T @ back, np.hstack([h, one]).T @ p]
-            step += 1
-            for k, g in enumerate(gradients):
-                g = g + 1e-2 * weights[k]
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                weights[k] -= 0.003 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return weights[0], weights[1]
+    at, n = balanced_parts(near, parts), len(unit)
+    for _ in range(turns):
+        sums = np.zeros((parts, unit.shape[1]))
+        np.add.at(sums, at, unit)
+        weights = sharpness * (sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))).T
+        first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
+        for _ in range(epochs):
+            order = rng.permutation(n)
+            for i in np.array_split(order, -(-n // 256)):
+                z = unit[i] @ weights
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(i)), at[i]] -= 0.5
+                for others in near[i].T:
+                    p[np.arange(len(i)), at[others]] -= 0.5 / near.shape[1]
+                gradient = unit[i].T @ p / len(i) + 1e-4 * weights
+                step += 1
+                first = 0.9 * first + 0.1 * gradient
+                second = 0.999 * second + 0.001 * gradient * gradient
+                weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        scores, offsets = unit @ weights, np.zeros(parts)
+        for _ in range(60):
+            sizes = np.bincount((scores + offsets).argmax(axis=1), minlength=parts)
+            offsets -= 0.15 * np.log((sizes + 1) / (n / parts + 1))
+        at = (scores + offsets).argmax(axis=1)
+    return weights, offsets
 
 
 def _usable(vector: Column) -> Column:
@@ -137,44 +154,68 @@ def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def fit_router(vectors: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS, wanted: float = WANTED_RECALL) -> Router | None:
-    """Learn from about ``sample_rows`` usable vectors (_id, _v), taken by hash."""
+def _similar(unit: np.ndarray, count: int, rows: np.ndarray) -> np.ndarray:
+    """The ``count`` nearest others of the given rows, by blocks of rows."""
+    out = []
+    for at in range(0, len(rows), 1024):
+        some = rows[at : at + 1024]
+        cosine = (unit[some] @ unit.T).astype(np.float32)
+        cosine[np.arange(len(some)), some] = -2
+        out.append(np.argpartition(-cosine, count - 1, axis=1)[:, :count])
+    return np.concatenate(out)
+
+
+def parts_for(rows: int) -> int:
+    return max(1, min(MOST_PARTS, int(PARTS_A_ROOT * rows**0.5)))
+
+
+def fit_router(vectors: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS, parts: int | None = None, wanted: float = WANTED_RECALL) -> Router | None:
+    """Learn from a sample of usable vectors (_id, _v), taken by hash. ``parts``
+    follows the number of rows if it is not given."""
     lengths = vectors.groupBy(F.size("_v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if lengths is None:
         return None
-    share = min(1.0, sample_rows / lengths["count"])
+    parts = parts or parts_for(lengths["count"])
+    share = min(1.0, max(sample_rows, SAMPLE_ROWS_A_PART * parts) / lengths["count"])
     picked = vectors.filter((F.size("_v") == lengths["size"]) & (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30)))
     table = picked.select("_id", "_v").toArrow().sort_by("_id")
-    if not len(table):  # a tiny table whose hashes all fall outside
-        return Router(lengths["size"], np.zeros((lengths["size"] + 1, 1)), np.zeros((2, 1)), 1)
+    parts = min(parts, len(table) // 8)
+    if parts < 2 or len(table) <= GRAPH_NEIGHBOURS:  # a few vectors: one part is all of them
+        return Router(np.zeros((lengths["size"], 1)), np.zeros(1), 1)
     unit = _units(np.array(table["_v"].to_pylist(), dtype=np.float64))
-    parts = max(1, min(parts, len(unit) // 64))
-    if parts == 1:
-        return Router(lengths["size"], np.zeros((unit.shape[1] + 1, 1)), np.zeros((2, 1)), 1)
-    cosine = (unit @ unit.T).astype(np.float32)
-    np.fill_diagonal(cosine, -2)
-    near = np.argpartition(-cosine, GRAPH_NEIGHBOURS, axis=1)[:, :GRAPH_NEIGHBOURS]
-    asked, taught = np.arange(0, len(unit), 5), np.setdiff1d(np.arange(len(unit)), np.arange(0, len(unit), 5))
-    hidden, out = train_router(unit[taught], balanced_parts(near, parts)[taught], parts)
-    scores = _forward(unit, hidden, out)[1]
-    placed = scores.argmax(axis=1)
-    rank = np.empty_like(scores, dtype=np.int64)
-    np.put_along_axis(rank, np.argsort(-scores, axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
-    best = np.argpartition(-cosine[asked], min(k, len(unit) - 1), axis=1)[:, :k]
-    needed = np.take_along_axis(rank[asked], placed[best], axis=1)
-    visits = next(m for m in range(1, parts + 1) if (needed < m).mean() >= wanted)
-    return Router(lengths["size"], hidden, out, visits)
+    every = np.arange(len(unit))
+    router = Router(*train_router(unit, _similar(unit, GRAPH_NEIGHBOURS, every), parts), parts)
+    asked = every[::5]
+    order = np.argsort(-router.scores(unit), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
+    needed = np.take_along_axis(rank[asked], order[:, 0][_similar(unit, min(k, len(unit) - 1), asked)], axis=1)
+    wanted = min(1.0, wanted + 0.5 / needed.size**0.5)  # the share is itself measured on few rows
+    router.visits = next(m for m in range(1, parts + 1) if (needed < m).mean() >= wanted)
+    return router
 
 
 def _placed(router: Router):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.array(batch["_v"].to_pylist(), dtype=np.float64)
-            order = np.argsort(-router.scores(_units(rows)), axis=1, kind="stable").astype(np.int32)
-            orders = pa.array([x if q else None for x, q in zip(order.tolist(), batch["_query"].to_pylist())], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_v"], pa.array(order[:, 0]), orders], names=["_id", "_v", "_part", "_order"])
+            if batch.num_rows:
+                part = router.scores(_units(np.array(batch["_v"].to_pylist(), dtype=np.float64))).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch["_id"], batch["_v"], batch["_query"], pa.array(part.astype(np.int32))], names=["_id", "_v", "_query", "_part"])
+
+    return run
+
+
+def _routed(router: Router, held: np.ndarray, k: int):
+    """The parts that each query visits: the router's number of them, and
+    further ones until they hold more than k vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = np.argsort(-router.scores(_units(np.array(batch["_v"].to_pylist(), dtype=np.float64))), axis=1, kind="stable")
+                enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+                visits = [x[:m] for x, m in zip(order.tolist(), np.maximum(enough, router.visits).tolist())]
+                yield pa.RecordBatch.from_arrays([batch["_id"], batch["_v"], pa.array(visits, pa.list_(pa.int32()))], names=["_id", "_v", "_visits"])
 
     return run
 
@@ -219,13 +260,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     if router is None:
         return spark.createDataFrame([], schema)
     kind = dict(rows.dtypes)["_v"]
-    placed = cut(rows.filter(F.size("_v") == router.length).mapInArrow(_placed(router), f"_id long, _v {kind}, _part int, _order array<int>"), "placed")
+    placed = cut(rows.filter(F.size("_v") == router.length).mapInArrow(_placed(router), f"_id long, _v {kind}, _query boolean, _part int"), "placed")
 
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
-    held = F.array(*[F.lit(counts.get(p, 0)) for p in range(router.out.shape[1])])
-    enough = lambda m: F.aggregate(F.slice("_order", 1, m), F.lit(0).cast("long"), lambda n, p: n + F.get(held, p)) > k
-    visits = F.coalesce(*[F.when(enough(m), F.lit(m)) for m in range(router.visits, router.out.shape[1])], F.lit(router.out.shape[1]))
-    queries = placed.filter("_order IS NOT NULL").select("_id", "_v", F.explode(F.slice("_order", 1, visits)).alias("_part"))
+    held = np.array([counts.get(p, 0) for p in range(router.parts)])
+    queries = placed.filter("_query").select("_id", "_v").mapInArrow(_routed(router, held, k), f"_id long, _v {kind}, _visits array<int>")
+    queries = cut(queries.select("_id", "_v", F.explode("_visits").alias("_part")), "routed")
     asked = {r["_part"]: r["n"] for r in queries.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     grid = [(p, -(-counts[p] // BLOCK_ROWS), -(-asked.get(p, 0) // BLOCK_QUERIES)) for p in sorted(counts) if asked.get(p)]
     if not grid:

@@ -1,38 +1,44 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text leaves are grouped by their tag path from the root. For each path
-the text length and the punctuation are set against its number of leaves; the
-two ratios are fused, each leaf takes its path's value, the values are smoothed
-over the neighbouring leaves and those that reach the threshold are content.
-The content leaves choose the element that holds the article; its text is
-given whole, without the elements that are never article text.
+the text length and the punctuation are set against its number of leaves, the
+two ratios are fused, and each leaf takes its path's value. The values are
+smoothed over the neighbouring leaves, and those that reach a share of the
+page's mean are content. The content leaves choose the page's region: the
+deepest container that holds most of their text. Inside it blocks below the
+threshold still belong to the article (a headline, a list's items) unless
+something speaks against them.
 
-Each page is worked out on its own, so Spark deals pages over tasks, nothing is
-shuffled and memory is bounded by one page.
+Element names and names in attributes are evidence only: they scale a leaf's
+value down, so among alike paths the one without them wins, while a name on the
+article's own wrapper scales the whole page and changes nothing. Never shown
+are scripts, styles, controls and the like.
+
+Each page is worked out on its own, in time linear in its length, so Spark deals
+pages over tasks, nothing is shuffled and memory is bounded by one page.
 
 Defined cases: null html is the empty page (text ``''``, 0 code points); pages
 without content leaves give the empty text; ids and urls are passed through as
-they are, repeated or null; an empty table gives no rows; other columns are
-ignored.
+they are, repeated or null; repeated rows give equal rows; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 from html import unescape
-from math import exp
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Element names and name parts of attributes, from the HTML standard and common practice.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset(
-    "script style textarea title xmp iframe noembed noframes noscript template head nav header footer aside form button select option "
-    "input label fieldset object svg canvas math dialog menu audio video map".split()
-)
+SKIPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head button select option input object svg canvas math dialog audio video map".split())
+BESIDE = frozenset("nav header footer aside form fieldset label menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -57,6 +63,9 @@ ENDS = {
     "option": frozenset(["option", "optgroup"]),
     "head": frozenset(["body"]),
 }
+#: The other way round: what a start tag of a name may end; and the elements that it does not look beyond.
+ENDED_BY = {name: tuple(e for e, names in ENDS.items() if name in names) for name in frozenset().union(*ENDS.values())}
+WALLS = CONTAINERS | {"ul", "ol", "dl", "table"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -68,155 +77,213 @@ _HINTS = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 
 
-def _not_article(name: str, attributes: str) -> bool:
+#: What evidence leaves of a leaf's value: an element or role that stands beside articles, a whole
+#: name in class or id, a part of one, a block that is all links.
+BESIDE_FACTOR, NAME_FACTOR, PART_FACTOR, LINK_FACTOR = 0.05, 0.2, 0.4, 0.3
+#: Block elements whose own class and id say nothing: headings and paragraphs often carry words of their text.
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
+
+
+@lru_cache(4096)
+def _evidence(name: str, attributes: str, in_article: bool) -> float:
+    """The factor of an element on its leaves' values; 0 if it is never shown."""
     if name in SKIPPED:
-        return True
-    if not attributes or name in ("body", "html"):
-        return False
+        return 0.0
+    heading = in_article and name in ("header", "hgroup")
+    factor = BESIDE_FACTOR if name in BESIDE and not heading else 1.0
+    named = name in BLOCKS and name not in UNNAMED and not heading
     for hint in _HINTS.finditer(attributes):
         kind, value = hint[1].lower(), (hint[2] or hint[3] or hint[4] or "")
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True
+            return 0.0
         if kind == "role" and value.strip().lower() in NOT_ARTICLE_ROLES:
-            return True
-        if kind in ("class", "id") and any(part.lower() in NOT_ARTICLE for part in _PARTS.findall(value)):
-            return True
-    return False
+            factor = min(factor, BESIDE_FACTOR)
+        elif kind in ("class", "id") and named:
+            if not NOT_ARTICLE.isdisjoint(value.lower().split()):
+                factor = min(factor, NAME_FACTOR)
+            elif any(part.lower() in NOT_ARTICLE for part in _PARTS.findall(value)):
+                factor = min(factor, PART_FACTOR)
+    return factor
 
 
 class _Element:
-    __slots__ = ("name", "parent", "skipped", "path", "block", "depth")
+    """An element; ``path`` is the number of its tag path, ``at`` its place in the stack of open elements."""
+
+    __slots__ = ("name", "parent", "factor", "path", "in_article", "in_link", "at", "number")
+
+    def __init__(self, name: str, parent: _Element | None, factor: float, path: int, number: int):
+        self.name, self.parent, self.path, self.number = name, parent, path, number
+        self.factor = factor * (parent.factor if parent else 1.0)
+        self.in_article = name in ("article", "main") or bool(parent and parent.in_article)
+        self.in_link = name == "a" or bool(parent and parent.in_link)
+        self.at = parent.at + 1 if parent else 0
+
+
+class _Open:
+    """The open elements, and for each name those that carry it, so that no tag walks the whole stack."""
+
+    def __init__(self):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.elements = [_Element("", None, 1.0, 0, 0)]
+        self.stack = list(self.elements)
+        self.named: dict[str, list[_Element]] = {}
+        self.blocks, self.walls = [self.stack[0]], [self.stack[0]]
+
+    @property
+    def here(self) -> _Element:
+        return self.stack[-1]
+
+    def push(self, name: str, attributes: str) -> None:
+        path = self.paths.setdefault((self.here.path, name), len(self.paths) + 1)
+        new = _Element(name, self.here, _evidence(name, attributes, self.here.in_article), path, len(self.elements))
+        self.elements.append(new)
+        self.stack.append(new)
+        self.named.setdefault(name, []).append(new)
+        if name in BLOCKS:
+            self.blocks.append(new)
+        if name in WALLS:
+            self.walls.append(new)
 
-    def __init__(self, name: str, parent: _Element | None, skipped: bool, block: int):
-        self.name, self.parent, self.block = name, parent, block
-        self.skipped = skipped or bool(parent and parent.skipped)
-        self.path = f"{parent.path}/{name}" if parent else name
-        self.depth = parent.depth + 1 if parent else 0
+    def close(self, element: _Element) -> None:
+        """Close ``element`` and all that is open in it."""
+        while len(self.stack) > element.at:
+            x = self.stack.pop()
+            self.named[x.name].pop()
+            for some in (self.blocks, self.walls):
+                if some[-1] is x:
+                    some.pop()
 
+    def innermost(self, name: str) -> _Element | None:
+        some = self.named.get(name)
+        return some[-1] if some else None
 
-def text_leaves(html: str) -> list[tuple[_Element, int, str]]:
-    """(element, block, text) of the text that may be shown, in page order."""
+    def end(self, name: str) -> None:
+        """An end tag: it closes the innermost element of its name, an inline one only inside its block."""
+        x = self.innermost(name)
+        if x and (name in BLOCKS or x.at > self.blocks[-1].at):
+            self.close(x)
+
+    def begin(self, name: str) -> None:
+        """What a start tag closes by itself."""
+        wall = self.walls[-1]
+        ended = [x for x in (self.innermost(e) for e in ENDED_BY.get(name, ())) if x and x.at > wall.at]
+        if ended:
+            self.close(max(ended, key=lambda x: x.at))
+        elif wall.name in ("td", "th") and name in ENDS[wall.name]:
+            self.close(wall)
+
+
+def text_leaves(html: str) -> tuple[list[tuple[_Element, int, str]], list[_Element]]:
+    """((element, block, text) of the text that may be shown, in page order; all elements, parents first)."""
     leaves, block = [], 0
-    top = here = _Element("", None, False, 0)
+    tree = _Open()
     at, end = 0, len(html)
     raw = None
     while at <= end:
         if raw:  # all up to the end tag is text of this element
-            close = re.compile(f"</{re.escape(raw)}(?=[\\s/>]|$)", re.I).search(html, at)
+            close = _raw_end(raw).search(html, at)
             at, raw = (close.start() if close else end), None
         tag = _TOKEN.search(html, at)
         text = html[at : tag.start() if tag else end]
-        if text and not here.skipped:
-            leaves.append((here, block, text))
+        if text and tree.here.factor:
+            leaves.append((tree.here, block, text))
         if not tag:
             break
         at = tag.end()
         name = tag["name"] or tag["name2"]
         if not name:
-            if tag[0].startswith("<![CDATA[") and not here.skipped:
-                leaves.append((here, block, tag[0][9:].removesuffix("]]>")))
+            if tag[0].startswith("<![CDATA[") and tree.here.factor:
+                leaves.append((tree.here, block, tag[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if name in BLOCKS:
             block += 1
         if tag["end"] or tag["end2"]:
-            x = here
-            while x is not top and x.name != name and not (name not in BLOCKS and x.name in BLOCKS):
-                x = x.parent
-            if x is not top and x.name == name:
-                here = x.parent
-            continue
-        if name == "br":
-            if not here.skipped:
-                leaves.append((here, block, "\n"))
-            continue
-        if name in VOID:
-            continue
-        x = here
-        while x is not top and x.name not in CONTAINERS and x.name not in ("ul", "ol", "dl", "table"):
-            if name in ENDS.get(x.name, ()):
-                here = x.parent
-                break
-            x = x.parent
-        else:
-            if x.name in ("td", "th") and name in ENDS[x.name]:
-                here = x.parent
-        attributes = tag["attributes"] or tag["attributes2"] or ""
-        here = _Element(name, here, _not_article(name, attributes), block)
-        if name in RAW:
-            raw = name
-    return leaves
-
-
-def content_leaves(leaves: list[tuple[_Element, int, str]], spread: float = 1.0, share: float = 0.5) -> list[bool]:
-    """Which leaves are content: fused path ratios, smoothed with a Gaussian
-    over two neighbours at each side, at least ``share`` of their mean over text."""
-    sizes = [len("".join(text.split())) for _, _, text in leaves]
-    marks = [len(PUNCTUATION.findall(text)) for _, _, text in leaves]
-    paths: dict[str, list[int]] = {}
-    for (element, _, _), size, mark in zip(leaves, sizes, marks):
-        if size:
-            sums = paths.setdefault(element.path, [0, 0, 0])
-            sums[0] += size
-            sums[1] += mark
-            sums[2] += 1
-    fused = {path: (size / n) * (1 + mark / n) for path, (size, mark, n) in paths.items()}
-    shown = [i for i, size in enumerate(sizes) if size]
-    values = [fused[leaves[i][0].path] for i in shown]
-    kernel = [exp(-(d * d) / (2 * spread * spread)) for d in (-2, -1, 0, 1, 2)]
-    smooth = []
-    for k in range(len(values)):
-        near = [(kernel[d + 2], values[k + d]) for d in (-2, -1, 0, 1, 2) if 0 <= k + d < len(values)]
-        smooth.append(sum(a * b for a, b in near) / sum(a for a, _ in near))
-    total = sum(sizes[i] for i in shown)
-    least = share * sum(v * sizes[i] for v, i in zip(smooth, shown)) / total if total else 0
-    out = [False] * len(leaves)
-    for value, i in zip(smooth, shown):
-        out[i] = value >= least
+            tree.end(name)
+        elif name == "br":
+            if tree.here.factor:
+                leaves.append((tree.here, block, "\n"))
+        elif name not in VOID:
+            tree.begin(name)
+            tree.push(name, tag["attributes"] or tag["attributes2"] or "")
+            raw = name if name in RAW else None
+    return leaves, tree.elements
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?=[\\s/>]|$)", re.I)
+
+
+def leaf_values(leaves: list[tuple[_Element, int, str]], sizes: np.ndarray, spread: float = 1.0) -> np.ndarray:
+    """The value of each leaf: its path's ratios of text and of punctuation to
+    leaves, fused, smoothed with a Gaussian over two neighbours at each side and
+    scaled by the leaf's evidence; blank leaves have 0."""
+    shown = np.flatnonzero(sizes)
+    if not len(shown):
+        return np.zeros(len(leaves))
+    some = [leaves[i] for i in shown]
+    marks = np.fromiter((len(PUNCTUATION.findall(text)) for _, _, text in some), float, len(some))
+    _, path = np.unique([element.path for element, _, _ in some], return_inverse=True)
+    count = np.bincount(path)
+    fused = np.bincount(path, sizes[shown]) / count * (1 + np.bincount(path, marks) / count)
+    kernel = np.exp(-(np.arange(-2, 3) ** 2) / (2 * spread * spread))
+    near = lambda x: np.convolve(x, kernel)[2:-2]
+    smooth = near(fused[path]) / near(np.ones(len(some)))
+    _, block = np.unique([block for _, block, _ in some], return_inverse=True)
+    unlinked = np.bincount(block, [not element.in_link for element, _, _ in some]) > 0
+    out = np.zeros(len(leaves))
+    out[shown] = smooth * [element.factor for element, _, _ in some] * np.where(unlinked[block], 1.0, LINK_FACTOR)
     return out
 
 
-def _region(leaves: list[tuple[_Element, int, str]], content: list[bool], share: float = 0.8) -> _Element | None:
-    """The article: the article or main element with most content text, if it
-    has most of it; else the deepest container with at least ``share`` of it."""
-    weights: dict[_Element, int] = {}
-    total = 0
-    for (element, _, text), is_content in zip(leaves, content):
-        if is_content:
-            size = len("".join(text.split()))
-            total += size
-            while element:
-                weights[element] = weights.get(element, 0) + size
-                element = element.parent
-    if not total:
+def content_leaves(leaves: list[tuple[_Element, int, str]], sizes: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """Which leaves are content: their value is at least ``share`` of the
+    values' mean over text, in which text counts as far as evidence lets it."""
+    values = leaf_values(leaves, sizes)
+    weights = sizes * np.fromiter((element.factor for element, _, _ in leaves), float, len(leaves))
+    return (sizes > 0) & (values * weights.sum() >= share * (values @ weights))
+
+
+def _region(leaves: list[tuple[_Element, int, str]], elements: list[_Element], sizes: np.ndarray, content: np.ndarray, share: float = 0.8) -> _Element | None:
+    """The deepest container with at least ``share`` of the content text. An
+    article or main element round it, which may hold its headline, breaks the tie
+    between containers of the same content."""
+    weights = [0] * len(elements)
+    for i in np.flatnonzero(content).tolist():
+        weights[leaves[i][0].number] += int(sizes[i])
+    for x in reversed(elements[1:]):
+        weights[x.parent.number] += weights[x.number]
+    if not weights[0]:
         return None
-    named = [x for x in weights if x.name in ("article", "main") and 2 * weights[x] >= total]
-    if named:
-        return min(named, key=lambda x: (x.name != "article", x.depth))
-    return max((x for x in weights if (x.name in CONTAINERS or not x.parent) and weights[x] >= share * total), key=lambda x: (x.depth, weights[x]))
+    found = max((x for x in elements if (x.name in CONTAINERS or not x.parent) and weights[x.number] >= share * weights[0]), key=lambda x: (x.at, weights[x.number]))
+    x = found
+    while x is not None and x.name not in ("article", "main"):
+        x = x.parent
+    return x or found
 
 
 def main_text(html: str | None) -> str:
-    leaves = text_leaves(html or "")
-    region = _region(leaves, content_leaves(leaves))
+    leaves, elements = text_leaves(html or "")
+    sizes = np.fromiter((len("".join(text.split())) for _, _, text in leaves), np.int64, len(leaves))
+    content = content_leaves(leaves, sizes)
+    region = _region(leaves, elements, sizes, content)
     if region is None:
         return ""
-    blocks: list[list[str]] = []
+    inside = [False] * len(elements)
+    for x in elements:
+        inside[x.number] = x is region or x.parent is not None and inside[x.parent.number]
+    blocks: list[list[tuple[_Element, bool, str]]] = []
     last = None
-    inside = {region: True}
-    for element, block, text in leaves:
-        x, seen = element, []
-        while x is not None and x not in inside:
-            seen.append(x)
-            x = x.parent
-        known = x is not None and inside[x]
-        inside.update((y, known) for y in seen)
-        if known:
+    for (element, block, text), is_content in zip(leaves, content.tolist()):
+        if inside[element.number]:
             if block != last:
                 blocks.append([])
                 last = block
-            blocks[-1].append(text)
-    lines = (" ".join(unescape("".join(parts)).split()) for parts in blocks)
+            blocks[-1].append((element, is_content, text))
+    # a block goes if none of its leaves is content and evidence below the region speaks against it
+    kept = (b for b in blocks if any(c for _, c, _ in b) or all(x.factor >= region.factor for x, _, _ in b))
+    lines = (" ".join(unescape("".join(text for _, _, text in b)).split()) for b in kept)
     return "\n".join(line for line in lines if line)
 
 

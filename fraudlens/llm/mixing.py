@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fraudlens.llm.storage import row_hash
+from fraudlens.llm.storage import cut, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Schedules by rank of the source: (time, weight), linear between; their integrals are 5, 2 and 1.
@@ -56,24 +56,43 @@ def invert(knots: Sequence[tuple[float, float]], share: Column) -> Column:
     return F.least(F.lit(knots[-1][0]), out)
 
 
+def ranked_sources(sources: DataFrame) -> DataFrame:
+    """``_rank`` of each _source in code point order, null last, from 0.
+
+    Sources are sorted in ranges; a source's rank is its place in its range
+    plus the sizes of the ranges before, one row for each range."""
+    key = F.struct(F.col("_source").isNull().alias("none"), F.col("_source").alias("name"))
+    ranges = cut(sources.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id()), "sources")
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_from"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
+    return ranges.withColumn("_place", place).join(F.broadcast(sizes), "_part").select(*sources.columns, (F.col("_from") + F.col("_place")).alias("_rank"))
+
+
 def source_targets(sources: DataFrame, schedules=SCHEDULES, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """Targets of sources (_source, _source_size): shares by schedule integral
     in code point order, none above ``most_repeats`` times its source, the
-    excess reshared. Sources sorted by room over weight: those that cannot
-    hold the level reached without them are capped."""
+    excess reshared by weight until none is above.
+
+    ``level`` is the target of weight 1. Each round caps the sources that it
+    would overfill and shares what is left among the others, which raises it; it
+    stays once no further source is capped. A round is one sum over the sources."""
     n = len(schedules)
-    by_name = Window.orderBy(F.col("_source").asc_nulls_last())
+    kind = F.pmod(F.col("_rank"), F.lit(n)).cast("int")
     weight = reduce(lambda out, i: F.when(F.col("_kind") == i, F.lit(float(integral(schedules[i])))).otherwise(out), range(n), F.lit(0.0))
-    ranked = sources.withColumn("_rank", F.row_number().over(by_name) - 1).withColumn("_kind", F.col("_rank") % n).withColumn("_weight", weight)
-    ranked = ranked.withColumn("_most", F.col("_source_size") * most_repeats)
-    order = Window.orderBy(F.col("_most") / F.col("_weight"), "_rank")
-    whole = Window.partitionBy()
-    before = F.coalesce(F.sum("_most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("_weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    levels = ranked.withColumn("_level", (F.sum("_source_size").over(whole) - before) / left).withColumn("_capped", F.col("_most") < F.col("_level") * F.col("_weight"))
-    level = F.max(F.when(~F.col("_capped"), F.col("_level"))).over(whole)
-    target = F.when(F.col("_capped"), F.col("_most").cast("double")).otherwise(level * F.col("_weight"))
-    return levels.select("_source", "_kind", "_source_size", F.least(target, F.col("_most").cast("double")).alias("_target"))
+    ranked = cut(ranked_sources(sources).withColumn("_kind", kind).withColumn("_weight", weight).withColumn("_most", F.col("_source_size") * most_repeats), "ranked_sources")
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("_most") < F.lit(level) * F.col("_weight")
+        sums = ranked.agg(
+            F.sum("_source_size").alias("all"), F.sum(F.when(over, F.col("_most"))).alias("held"), F.sum(F.when(~over, F.col("_weight"))).alias("left"), F.count(F.when(over, F.lit(1))).alias("capped")
+        ).first()
+        if sums["capped"] == capped or not sums["left"]:
+            break
+        level, capped = (sums["all"] - (sums["held"] or 0)) / sums["left"], sums["capped"]
+    most = F.col("_most").cast("double")
+    return ranked.select("_source", "_kind", "_source_size", F.least(F.lit(level) * F.col("_weight"), most).alias("_target"))
 
 
 def plan_mix(
@@ -84,12 +103,13 @@ def plan_mix(
     before it in its source's stream) and _kind. With ``carry`` the document's
     own columns come along as the struct _doc, and _tie orders rows of equal id and size."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # null ids are dealt by their row, so that many of them do not meet in one bucket
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), row_hash(docs).cast("string"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), words.alias("size"), order.alias("_hash"), *([row_hash(docs).alias("_tie"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")] if carry else []))
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     # plain keys, equal for a null source as well: the window and the join below share one shuffle
     rows = rows.withColumn("_none", F.col("_source").isNull()).withColumn("_name", F.coalesce(F.col("_source").cast("string"), F.lit("")))
-    buckets = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_bucket_size"))
+    buckets = cut(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_bucket_size")), "mix_buckets")
     sources = source_targets(buckets.groupBy("_source").agg(F.sum("_bucket_size").alias("_source_size")), schedules, most_repeats)
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = buckets.select("_source", "_bucket", F.coalesce(F.sum("_bucket_size").over(ahead), F.lit(0)).alias("_from")).alias("b")

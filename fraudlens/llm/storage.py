@@ -1,38 +1,15 @@
-"""Shared scratch tables: how the operators cut a lineage."""
+"""How the operators cut a lineage, and names for rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fraudlens.storage import discard, shared_folder, written
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.
-
-    The setting names a folder that every executor can reach. Only where it is
-    unset (tests on one machine) a folder of this machine is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fraudlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fraudlens-{uuid.uuid4().hex}"
-
-
-def cut(frame: DataFrame, label: str) -> DataFrame:
-    """Write ``frame`` to the shared folder and read it again.
+__all__ = ["cut", "discard", "numbered", "row_hash", "shared_folder"]
 
-    What follows depends on the files only, so a lost executor costs a re-read
-    and not the work that led there.
-    """
-    spark = frame.sparkSession
-    path = f"{scratch_folder(spark)}/{label}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+cut = written
 
 
 def row_hash(frame: DataFrame) -> Column:
