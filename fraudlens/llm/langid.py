@@ -3,7 +3,7 @@
 Features are hashed character n-grams (1 to 3) of the letters of a text, with
 blanks between words, weighted by TF-IDF and scaled to length 1. Document
 frequencies are counted over all labelled training rows. The weights are
-learned from a bounded sample of these rows by follow-the-regularised-leader
+learned from a bounded sample of these rows (a number for each language) by follow-the-regularised-leader
 with elastic-net penalties, then a temperature is fitted on rows of the sample
 that were not learned from. Only the sample, the frequencies (one number for
 each hash) and the weights pass through the driver; their sizes are parameters.
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Hashed features, a power of two.
 FEATURES = 1 << 15
-#: Expected rows of the sample that the weights are learned from.
-SAMPLE_ROWS = 2000
-#: Learned languages; the labels with most rows are taken.
-MOST_LANGUAGES = 200
+#: Expected rows of the sample that the weights are learned from, and at least so many of each language.
+SAMPLE_ROWS, SAMPLE_ROWS_A_LANGUAGE = 2000, 20
+#: Weights (features times languages) that the driver and each task hold; with very many languages the features are fewer.
+MOST_WEIGHTS, LEAST_FEATURES = 1 << 24, 1 << 10
 _BLANK = 32
 _SYMBOLS: np.ndarray | None = None
 
@@ -123,6 +123,13 @@ def _sample_features(features: int):
     return run
 
 
+def features_for(languages: int, features: int = FEATURES) -> int:
+    """Halved until the weights of all languages fit."""
+    while features > LEAST_FEATURES and features * languages > MOST_WEIGHTS:
+        features //= 2
+    return features
+
+
 def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
     """FTRL-proximal for softmax regression: rows are (feature numbers, values, class)."""
     z, n = np.zeros((features, classes)), np.zeros((features, classes))
@@ -160,20 +167,21 @@ def fit_temperature(scores: np.ndarray, classes: np.ndarray) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", features: int = FEATURES, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    by_lang = rows.groupBy("lang").count().collect()  # a row for each language, all of which are learned
     languages = sorted(r["lang"] for r in by_lang)
     total = sum(r["count"] for r in by_lang)
     if not total:
         return Model()
+    features, sample_rows = features_for(len(by_lang), features), max(sample_rows, SAMPLE_ROWS_A_LANGUAGE * len(by_lang))
     counted = rows.select("text").mapInArrow(_document_frequencies(features), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(features)
     frequency[counted["feature"].to_numpy()] = counted["n"].to_numpy()
     model = Model(languages, np.log((1.0 + total) / (1.0 + frequency)) + 1.0)
     # the same number of rows is expected of each language: shares by hash of the row
     share = {r["lang"]: min(1.0, sample_rows / len(by_lang) / r["count"]) for r in by_lang}
-    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    shares = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
     order = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
-    picked = rows.withColumn("order", order).filter(F.col("order") < F.coalesce(F.try_element_at(shares, "lang"), F.lit(0.0)) * float(1 << 40))
+    picked = rows.withColumn("order", order).join(F.broadcast(shares), "lang").filter(F.col("order") < F.col("share") * float(1 << 40))
     sample = picked.select("text", "lang", "order").mapInArrow(_sample_features(features), "lang string, order long, at binary, counts binary").toArrow().sort_by([("order", "ascending"), ("lang", "ascending")])
     number = {x: i for i, x in enumerate(languages)}
     data = []

@@ -10,11 +10,14 @@ Documents with equal shingle sets are one class first. Classes that share keys
 are then compared in two rounds:
 
 1. each class with the one it resembles most among the least members of its keys;
-2. where a key still holds several components, its classes meet once for each
-   of their ``u`` groups. A task counts the shared shingles of all its classes from
-   one inverted index and gives only links that join two components, so what
-   leaves it is bounded by its classes, never by their pairs. Large groups are
-   dealt over a grid of blocks of bounded size.
+2. where a key still holds several components, the classes of those keys meet
+   once for each of their ``u`` groups. The group's largest component is only met
+   by the others: its own members need no comparison. A task finds the pairs
+   that may be linked by the rarest shingles of each set (a set shares one of
+   them with every set it is linked with) and by what the rest can still add, and
+   compares those on their full sets, unless both are in one component by then.
+   What leaves it are links that join two components, bounded by its classes.
+   Large groups are dealt over blocks of bounded size.
 
 Classes already in one component need no comparison, since a further link could
 not change the result. In round 1 pairs whose set sizes rule a link out, or whose
@@ -23,10 +26,10 @@ they are met again in round 2.
 
 Defined cases: a null or blank text has the empty set and is linked with
 nothing; with fewer words than a shingle has, the whole sequence is the
-shingle; texts are read whole; rows that repeat an id share one component, the
-least that one of them reaches; rows with a null id have a null component and
-are linked with nothing; an empty table gives no rows; other columns are
-ignored.
+shingle; texts are read whole; each row is linked by its own text, so rows that
+repeat an id with different texts may be in different components; rows with a
+null id are linked like others but name no component (one without any id is
+null); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlens.llm.storage import cut, numbered
+from fraudlens.llm.storage import cut, discard, numbered
 from fraudlens.operators.graph import connected_components
 
 WORDS = 5
@@ -51,6 +54,8 @@ SKETCH_AGREES = 46
 TABLE_WORDS = 500_000
 #: Shingles of a block in round 2: 16 MB of hashes.
 BLOCK_SHINGLES = 2_000_000
+#: Tasks that the rows of one group meet its block counts in.
+SALTS = 16
 
 
 class _WordHashes(dict):
@@ -125,26 +130,32 @@ def _signatures(words: int, groups: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, shifts = np.uint64(3), np.arange(0, 64, 2, dtype=np.uint64)[: min(32, count)]
         for batch in batches:
-            sizes, digests, keys, firsts, sketches = [], [], [], [], []
+            sizes, digests, signatures, sketches = [], [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, words)
-                sizes.append(len(s))
-                if not len(s):
-                    digests.append(None)
-                    keys.append(None)
-                    firsts.append(None)
-                    sketches.append(None)
-                    continue
                 signature = minhashes(s, count)
-                digests.append(hashlib.sha256(s.tobytes()).digest())
-                tables, first = table_keys(signature, groups, size)
-                keys.append(tables.view(np.int64))
-                firsts.append(first.view(np.int64))
-                sketches.append(int(((_mixed(signature)[:32] & two) << shifts).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in sketches], pa.int64())],
-                names=["doc_id", "n", "digest", "keys", "firsts", "sketch"],
-            )
+                sizes.append(len(s))
+                digests.append(hashlib.sha256(s.tobytes()).digest() if len(s) else None)
+                signatures.append(signature.astype("<u4").tobytes() if len(s) else None)
+                sketches.append(((_mixed(signature)[:32] & two) << shifts).sum())
+            columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(np.array(sketches, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *columns], names=["doc_id", "h", "n", "digest", "signature", "sketch"])
+
+    return run
+
+
+def _keyed(groups: int, size: int):
+    """A row for each table key of each class, with the name of the ``u`` group it is made of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [table_keys(np.frombuffer(x, "<u4").astype(np.uint64), groups, size) for x in batch["signature"].to_pylist()]
+            keys = np.concatenate([tables for tables, _ in found]).view(np.int64)
+            firsts = np.concatenate([np.repeat(first, groups) for _, first in found]).view(np.int64)
+            same = [pa.array(np.repeat(batch[c].to_numpy(), groups * groups)) for c in ("class", "n", "sketch")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(keys), pa.array(firsts)], names=["class", "n", "sketch", "key", "first"])
 
     return run
 
@@ -168,41 +179,59 @@ def _compared(words: int, percent: int):
 
 
 def _joining(percent: int):
-    """Links of one block (or pair of blocks) of classes that join two components."""
+    """Links of one block, or pair of blocks, of classes that join two components."""
 
     def run(table: pa.Table) -> pa.Table:
         out = [[], []]
-        ids, component = table["class"].to_pylist(), table["component"].to_pylist()
+        ids, at = table["class"].to_numpy(), table["_b"].to_numpy()
+        low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
+        component = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
         sets = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
-        at = table["_b"].to_numpy()
         sizes = np.array([len(x) for x in sets])
+        # each set with its rarest shingles first; ``number`` ranks shingles by how many of these sets have them
+        _, value, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.empty(len(counts), np.int64)
+        number[np.argsort(counts, kind="stable")] = np.arange(len(counts))
         rows = np.repeat(np.arange(len(sets)), sizes)
-        values, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        order = np.argsort(number, kind="stable")
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        owners, begins = rows[order], np.concatenate(([0], np.cumsum(sizes)))
-        above = {}
-
-        def root(x):
-            while above.get(x, x) != x:
-                above[x] = above.get(above[x], above[x])
+        order = np.lexsort((number[value], rows))
+        number, counts = number[value[order]], counts[value[order]]
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        place = np.arange(len(rows)) - begins[rows]
+        rare = place < (sizes + (-percent * sizes) // 100 + 1)[rows]  # a linked set has one of these among its own rare ones
+        index = np.flatnonzero(rare & (at == high)[rows] & (counts > 1))
+        index = index[np.argsort(number[index], kind="stable")]
+        names = number[index]
+        above = np.arange(component.max() + 1)
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
                 x = above[x]
             return x
 
-        low, high = (table["_low"][0].as_py(), table["_high"][0].as_py())
-        for i in range(len(sets)):
-            own = number[begins[i] : begins[i + 1]]
-            own = own[counts[own] > 1]
-            if not len(own) or at[i] != low:
+        asks = at == low
+        if low == high:  # of two components one at least is not the largest, and its members ask
+            asks &= component != np.bincount(component).argmax()
+        for i in np.flatnonzero(asks).tolist():
+            own = np.arange(begins[i], begins[i + 1])
+            own = own[rare[own] & (counts[own] > 1)]
+            left, right = np.searchsorted(names, number[own]), np.searchsorted(names, number[own], "right")
+            met = right - left
+            if not met.sum():
                 continue
-            shared = np.bincount(np.concatenate([owners[ends[k] : ends[k + 1]] for k in own.tolist()]), minlength=len(sets))
-            linked = 100 * shared >= percent * (sizes[i] + sizes - shared)
-            for j in np.flatnonzero(linked & (at == high)).tolist():
-                if j != i and root(component[i]) != root(component[j]):
-                    a, b = sorted((root(component[i]), root(component[j])))
-                    above[b] = a
-                    out[0].append(ids[i])
-                    out[1].append(ids[j])
+            entries = index[np.repeat(left - np.cumsum(met) + met, met) + np.arange(met.sum())]
+            other, first = np.unique(rows[entries], return_index=True)  # the first shingle that both have
+            mine, theirs = np.repeat(place[own], met)[first], place[entries[first]]
+            both = sizes[i] + sizes[other]
+            may = (100 + percent) * np.minimum(sizes[i] - mine, sizes[other] - theirs) >= percent * both
+            for j in other[may & (component[other] != component[i])].tolist():
+                one, two = root(component[i]), root(component[j])
+                if one != two:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
+                        above[max(one, two)] = min(one, two)
+                        out[0].append(ids[i])
+                        out[1].append(ids[j])
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
@@ -212,7 +241,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(text, words).astype("<u8", copy=False).tobytes() for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["class"], pa.array(found, pa.binary())], names=["class", "shingles"])
 
     return run
 
@@ -224,31 +253,54 @@ def _may_link(a: str, b: str, percent: int):
     return sizes & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= 64 - SKETCH_AGREES)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text"))
+def _class_texts(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class, text) of the wanted classes: the text of one row that each is known by."""
+    names = classes.join(wanted, "class", "left_semi").select("class", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    rows = names.join(texts, (texts["h"] == names["_h"]) & texts["doc_id"].eqNullSafe(names["_id"]))
+    return rows.select("class", "text").dropDuplicates(["class"])
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    found = _class_texts(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes, texts)
+    text = lambda x: found.select(F.col("class").alias(x), F.col("text").alias(f"{x}_text"))
     both = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "a_text", "b_text")
     return both.mapInArrow(_compared(words, percent), "a long, b long, linked boolean").filter("linked").select("a", "b")
 
 
+def _blocks(meets: DataFrame) -> DataFrame:
+    """``meets`` with the blocks each class is in: _b its own, and a row for each
+    pair (_low, _high) of blocks that it has a part in. Blocks from 0 hold what
+    is outside a group's largest component and meet each other and all others;
+    the blocks after them hold the largest component and do not meet each other."""
+    parts = meets.groupBy("first", "component").agg(F.sum("n").alias("_n"))
+    most = parts.groupBy("first").agg(F.max(F.struct("_n", "component")).alias("_most"), F.sum("_n").alias("_all"))
+    full = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_SHINGLES))).cast("int")
+    one = F.col("_all") <= BLOCK_SHINGLES
+    blocks = most.select("first", F.col("_most.component").alias("_main"), F.when(one, 1).otherwise(full(F.col("_all") - F.col("_most._n"))).alias("_rest"), F.when(one, 0).otherwise(full(F.col("_most._n"))).alias("_mains"))
+    # the rows of a large group meet its row, which stands once for each salt, in many tasks
+    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = meets.withColumn("_salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(salted, ["first", "_salt"])
+    is_main = (F.col("component") == F.col("_main")) & (F.col("_mains") > 0)
+    dealt = dealt.withColumn("_b", F.when(is_main, F.col("_rest") + F.pmod(F.xxhash64("class", F.lit(1)), F.col("_mains"))).otherwise(F.pmod(F.xxhash64("class", F.lit(1)), F.col("_rest"))).cast("int"))
+    last = F.when(is_main, F.col("_rest") - 1).otherwise(F.col("_rest") + F.col("_mains") - 1)
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.least(x, F.col("_b")).alias("_low"), F.greatest(x, F.col("_b")).alias("_high")))
+    return dealt.withColumn("_at", F.explode(pairs)).select("first", "class", "component", "_b", "_at.*")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY_PERCENT, groups: int = GROUPS, size: int = GROUP_SIZE) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(words, groups, size), "doc_id long, n long, digest binary, keys array<long>, firsts array<long>, sketch long"), "signatures")
-    named = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(named.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
-    # both sides are scans of written tables, so AQE can split the join at a class of many documents
-    members = cut(named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class"), "members")
-
-    # keys that more than one class has; of a class only its first member brings keys
-    firsts = named.join(classes, (named["digest"] == classes["digest"]) & (named["doc_id"] == classes["class"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    keyed = firsts.select(F.col("doc_id").alias("class"), "n", "sketch", "firsts", F.posexplode("keys").alias("_table", "key"))
-    keyed = keyed.select("class", "n", "sketch", "key", F.get("firsts", F.floor(F.col("_table") / groups).cast("int")).alias("first"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = cut(texts.mapInArrow(_signatures(words, groups, size), "doc_id long, h long, n long, digest binary, signature binary, sketch long"), "signatures")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(rank).alias("rank"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.select("digest", "rank.doc_id", "rank.h", "n", "signature", "sketch", F.monotonically_increasing_id().alias("class")), "classes")
+
+    # keys that more than one class has
+    keyed = classes.select("class", "n", "sketch", "signature").mapInArrow(_keyed(groups, size), "class long, n long, sketch long, key long, first long")
     shared = keyed.groupBy("key").agg(F.min(F.struct("class", "n", "sketch")).alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = cut(shared.select("key", "least.*"), "shared_keys")
     buckets = cut(keyed.join(shared.select("key"), "key", "left_semi"), "buckets")
-    labels = None
 
     def merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Labels (class, component) after more links; only contracted links are walked."""
@@ -263,31 +315,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # round 1
     star = buckets.alias("b").join(shared.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & _may_link("a", "b", percent))
     agreed = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
-    best = star.groupBy(F.col("b.class").alias("b")).agg(F.min(F.struct(agreed.alias("off"), F.col("a.class").alias("a"))).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = cut(_links(best, texts, words, percent), "links")
+    best = cut(star.groupBy(F.col("b.class").alias("b")).agg(F.min(F.struct(agreed.alias("off"), F.col("a.class").alias("a"))).alias("best")).select(F.col("best.a").alias("a"), "b"), "best")
+    links = cut(_links(best, classes, texts, words, percent), "links")
     labels = merged(links, None)
+    discard(best, links, shared)
 
     # round 2
     placed = buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    several = lambda *by: placed.groupBy(*by).agg((F.min("component") < F.max("component")).alias("open")).filter("open").select(*by)
-    meets = placed.join(several("key"), "key", "left_semi").select("first", "class", "n", "component").distinct()
-    meets = cut(meets, "meets")
-    sums = meets.groupBy("first").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_all")).filter("_rows > 1")
-    blocks = sums.select("first", F.ceil(F.col("_all") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    dealt = meets.join(blocks, "first").withColumn("_b", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
-    low_high = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, F.col("_b")).alias("_low"), F.greatest(x, F.col("_b")).alias("_high")))
-    texts_of = texts.join(meets.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(texts_of.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
-    grid = dealt.withColumn("_at", F.explode(low_high)).select("first", "class", "component", "_b", "_at.*")
-    links = grid.join(sets, grid["class"] == sets["doc_id"]).select("first", "class", "component", "shingles", "_b", "_low", "_high")
-    links = cut(links.groupBy("first", "_low", "_high").applyInArrow(_joining(percent), "a long, b long").distinct(), "links")
+    several = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
+    meets = cut(placed.join(several, "key", "left_semi").select("first", "class", "n", "component").distinct(), "meets")
+    discard(buckets)
+    found = _class_texts(meets.select("class").distinct(), classes, texts)
+    sets = cut(found.mapInArrow(_sets(words), "class long, shingles binary"), "sets")
+    joined = _blocks(meets).join(sets, "class").select("first", "class", "component", "shingles", "_b", "_low", "_high")
+    links = cut(joined.groupBy("first", "_low", "_high").applyInArrow(_joining(percent), "a long, b long").distinct(), "links")
     if not links.isEmpty():
         labels = merged(links, labels)
+    discard(meets, sets, links)
 
-    placed = members.join(labels, "class", "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "class").alias("component_id"))
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"))
-    out = rows.join(placed.groupBy("_id").agg(F.min("component_id").alias("component_id")), rows["doc_id"] == F.col("_id"), "left")
-    component = F.coalesce("component_id", "doc_id")
+    named = classes.join(labels, "class", "left").select("digest", "doc_id", F.coalesce("component", "class").alias("component"))
+    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = cut(named.join(names, "component").select("digest", "component_id"), "components")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

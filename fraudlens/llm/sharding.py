@@ -1,10 +1,12 @@
 """Sharding over fixed virtual slots, with DataFrame functions only.
 
 Records are hashed into a fixed number of virtual slots. Bytes are summed for
-each slot, and a table ``(version, slot, shard, bytes, rows)`` says which shard
-holds a slot. The first version places the slots, largest first, on the least
-loaded shard; rebalancing edits the table and writes the next version, moving
-whole slots and no others.
+each slot, and a stored table ``(version, v_slot, shard, bytes, rows)`` says which
+shard holds a slot. The first version places the slots, largest first, on the
+least loaded shard. Rebalancing, for other sizes or another number of shards,
+edits the newest version: slots leave shards that hold too much and no others
+move. The edit is stored as the next version; readers take the newest, or one
+that they name.
 
 Defined cases: a null text has no bytes (size 1); null ids are dealt by their
 text; repeated rows share a virtual slot; an empty table gives an empty map and
@@ -13,13 +15,15 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fraudlens.llm.storage import cut
+from fraudlens.llm.storage import shared_folder
 
 SLOTS = 4096
+MAP = "v_slot int, shard int, bytes long, rows long, version int"
+MAP_COLUMNS = ("version", "v_slot", "shard", "bytes", "rows")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -56,25 +60,42 @@ def place_slots(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
     )
 
 
-def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
-    """The next version of a map for more shards: each shard gives slots, the
-    smallest first, until it is down to the new mean; only those slots move,
-    and they are dealt over the new shards by bytes."""
-    version = slot_map.agg(F.max("version")).first()[0] or 0
-    newest = slot_map.filter(F.col("version") == version)
-    old = (newest.agg(F.max("shard")).first()[0] or 0) + 1
-    if shards <= old:
-        raise ValueError(f"{shards} shards, {old} in use")
+def store_map(slot_map: DataFrame, folder: str) -> None:
+    """Add a version to the stored map; storing it again replaces it."""
+    slot_map.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(folder)
+
+
+def stored_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """One version of the stored map, the newest if none is named."""
+    versions = spark.read.schema(MAP).parquet(folder)
+    if version is None:
+        version = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version").eqNullSafe(F.lit(version))).select(*MAP_COLUMNS)
+
+
+def rebalance(slot_map: DataFrame, shards: int, sizes: DataFrame | None = None) -> DataFrame:
+    """The next version of a map, for as many, more or fewer shards and, if
+    given, the slots' new ``sizes``. A shard gives slots, the smallest first,
+    while it stays at or above the new mean; shards that are no more give all.
+    Only those slots move: they are dealt over all shards, the largest first, to
+    the least loaded."""
+    newest = slot_map.join(F.broadcast(slot_map.agg(F.max("version").alias("version"))), "version")
+    if sizes is not None:  # one row for each slot on both sides
+        newest = sizes.join(newest.select("version", "v_slot", "shard"), "v_slot", "full").select(
+            F.max("version").over(Window.partitionBy()).alias("version"), "v_slot", F.coalesce("shard", F.lit(shards)).alias("shard"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows")
+        )
     order = Window.partitionBy("shard").orderBy("bytes", "v_slot")
-    given = (
-        newest.crossJoin(F.broadcast(newest.agg((F.sum("bytes") / F.lit(shards)).alias("_mean"))))
-        .withColumn("_gone", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_load", F.sum("bytes").over(Window.partitionBy("shard")))
-        .withColumn("_moves", F.col("_load") - F.col("_gone") >= F.col("_mean"))
-    )
-    stays = given.filter(~F.col("_moves")).select(F.lit(version + 1).alias("version"), "v_slot", "shard", "bytes", "rows")
-    moved = place_slots(given.filter("_moves").select("v_slot", "bytes", "rows"), shards - old, version + 1)
-    return stays.unionByName(moved.withColumn("shard", F.col("shard") + F.lit(old)))
+    mean = F.sum("bytes").over(Window.partitionBy()) / F.lit(shards)  # the map has a fixed number of rows
+    left = F.sum("bytes").over(Window.partitionBy("shard")) - F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    edited = newest.withColumn("_moves", (F.col("shard") >= shards) | (left >= mean)).withColumn("version", (F.col("version") + 1).cast("int"))
+    loads = edited.filter("NOT _moves").groupBy("shard").agg(F.sum("bytes").alias("load"))
+    held = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("held"))
+    loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0).cast("long")))
+    slots = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "v_slot", "version", "bytes", "rows")))
+    moved = edited.filter("_moves").agg(slots.alias("slots")).join(F.broadcast(held)).withColumn("at", _deal(F.col("slots"), loads))
+    moved = moved.select(F.explode(F.arrays_zip("slots", "at")).alias("x"))
+    moved = moved.select("x.slots.version", "x.slots.v_slot", F.col("x.at").alias("shard"), "x.slots.bytes", "x.slots.rows")
+    return edited.filter("NOT _moves").select(*MAP_COLUMNS).unionByName(moved)
 
 
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -92,7 +113,8 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard and the virtual slot."""
     rows = sized(docs, id_col, text_col, slots)
-    slot_map = cut(place_slots(slot_sizes(rows), shards), "slot_map")
-    return assign(rows, slot_map).select(
+    folder = shared_folder(docs.sparkSession) + "/slot_map"
+    store_map(place_slots(slot_sizes(rows), shards), folder)
+    return assign(rows, stored_map(docs.sparkSession, folder)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "v_slot"
     )

@@ -3,15 +3,16 @@
 Documents are range-partitioned by id and sorted inside each partition; every
 partition is tokenised in Arrow batches and becomes one run of ORC stripes.
 ORC stores the integers with run-length encoding and keeps row indexes and, on
-doc_id, Bloom filters, so readers split files by stripe and skip stripes by id.
+doc_id, Bloom filters. Readers split a file between its stripes, and
+``lookup_tokens`` reads only the stripes and row groups that an id may be in.
 
 The ids of a word do not depend on its neighbours (the tokenizer drops white
 space and never merges across it), so each task keeps a bounded table from
 words to their ids and encodes unknown words in batches.
 
 Defined cases: null text is empty and gets the end id alone; null ids sort
-first; rows that repeat an id stay separate rows, ordered by n_tokens then
-checksum; an empty table gives no rows; other columns are ignored.
+first; rows that repeat an id stay separate rows, dealt over ranges by their
+text and in a range ordered by n_tokens then checksum; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fraudlens.llm.storage import cut, scratch_folder
+from fraudlens.llm.storage import cut, shared_folder
 
 END_ID = 2
 #: Words, and half as many pre-tokens, that a task remembers.
 TABLE_WORDS = 700_000
 ROWS_A_BATCH = 2048
+#: Bytes of a stripe, the unit of parallel reads, and rows of an index entry, the unit that a lookup skips.
+STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 10_000
 
 
 def default_tokenizer() -> str:
@@ -140,13 +143,13 @@ class WordTable:
 
 
 #: Tables outlive a task where Spark keeps its Python workers.
-_TABLES: dict[str, WordTable] = {}
+_TABLES: dict[tuple[str, int], WordTable] = {}
 
 
 def word_table(path: str, most: int) -> WordTable:
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path, most)
-    return _TABLES[path]
+    if (path, most) not in _TABLES:
+        _TABLES[path, most] = WordTable(path, most)
+    return _TABLES[path, most]
 
 
 def encode_partition(path: str, end_id: int, most: int):
@@ -163,13 +166,14 @@ def encode_partition(path: str, end_id: int, most: int):
     return encode
 
 
-def write_token_orc(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, most_words: int = TABLE_WORDS) -> None:
+def write_token_orc(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, most_words: int = TABLE_WORDS, stripe_bytes: int = STRIPE_BYTES, stride_rows: int = STRIDE_ROWS) -> None:
     """Write (doc_id, part, ids) in ascending id order; ``part`` is the range a document is in."""
     path = tokenizer or default_tokenizer()
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
     ids = ordered.mapInArrow(encode_partition(path, end_id, most_words), "doc_id long, part int, ids array<int>")
-    ids.write.option("compression", "zstd").option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(folder)
+    indexed = {"orc.create.index": "true", "orc.row.index.stride": stride_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": stripe_bytes}
+    ids.write.options(compression="zstd", **indexed).orc(folder)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +191,12 @@ def read_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("doc_id long, part int, ids array<int>").orc(folder)
 
 
+def lookup_tokens(spark: SparkSession, folder: str, ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of a few documents. The condition reaches the ORC reader,
+    which tests it against each stripe's range, row index and Bloom filter."""
+    return read_token_orc(spark, folder).filter(F.col("doc_id").isin(ids)).select("doc_id", "ids")
+
+
 def token_index(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files.
 
@@ -203,6 +213,6 @@ def token_index(tokens: DataFrame) -> DataFrame:
 
 def tokens_through_orc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     spark = docs.sparkSession
-    folder = scratch_folder(spark) + "/token_orc"
+    folder = shared_folder(spark) + "/token_orc"
     write_token_orc(docs, folder, id_col, text_col, tokenizer, end_id)
     return token_index(read_token_orc(spark, folder))
