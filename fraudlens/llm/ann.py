@@ -157,11 +157,11 @@ def _units(rows: np.ndarray) -> np.ndarray:
 def _similar(unit: np.ndarray, count: int, rows: np.ndarray) -> np.ndarray:
     """The ``count`` nearest others of the given rows, by blocks of rows."""
     out = []
-    for at in range(0, len(rows), 1024):
-        some = rows[at : at + 1024]
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
         cosine = (unit[some] @ unit.T).astype(np.float32)
         cosine[np.arange(len(some)), some] = -2
-        out.append(np.argpartition(-cosine, count - 1, axis=1)[:, :count])
+        out.append(np.argpartition(-cosine, count - 1, axis=1)[:, :count].copy())  # not a view that keeps the whole block
     return np.concatenate(out)
 
 
