@@ -8,6 +8,10 @@ table of distinct chunks, segments each new one once and joins the ids back by
 position. The table is bounded and begun anew when full, so memory does not
 grow with the data, nothing is shuffled, and a lost task is simply run again.
 
+``encode_by_table`` keeps one table for the whole cluster instead: the distinct
+chunks are shuffled, segmented once, and joined back to their places by another
+shuffle. It gives the same ids; what it costs is in the README.
+
 Defined cases: null text is empty (no ids, empty decoding); a literal U+2581 is
 a marker, as in the library; rows keep their number and ids of documents may
 repeat or be null; an empty table gives no rows; other columns are ignored.
@@ -24,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraudlens.llm.storage import cut, numbered
+
 MARK = "▁"
 #: Chunks a task remembers before it starts a new table; those of one batch are always held, however many.
 TABLE_CHUNKS = 400_000
@@ -123,6 +129,53 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _texts(docs, id_col, text_col).mapInArrow(_encode(model or default_model(), most, True), "doc_id long, ids array<int>")
 
 
+def _places(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = chunk_table(path).chunks
+            rows, names, places = [], [], []
+            for row, text in zip(batch["_row"].to_pylist(), batch["text"].to_pylist()):
+                found: dict[str, list[int]] = {}
+                for place, chunk in enumerate(split(text)):
+                    found.setdefault(chunk, []).append(place)
+                rows.extend([row] * len(found))
+                names.extend(found)
+                places.extend(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["_row", "chunk", "places"])
+
+    return run
+
+
+def _segmented(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model = chunk_table(path).model
+            mark = model.piece_to_id(MARK)
+            ids = [x or [mark] for x in model.encode(batch["chunk"].to_pylist(), num_threads=1)]
+            yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "ids"])
+
+    return run
+
+
+def _joined_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for met in batch["met"].to_pylist():
+            at = {place: x["ids"] for x in met or () for place in x["places"]}
+            out.append(list(chain.from_iterable(at[k] for k in range(len(at)))))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+
+def encode_by_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """doc_id and ids of each document by one chunk table of the whole cluster."""
+    path = model or default_model()
+    rows = numbered(_texts(docs, id_col, text_col), "sentencepiece_rows")
+    places = cut(rows.select("_row", "text").mapInArrow(_places(path), "_row long, chunk string, places array<int>"), "chunk_places")
+    table = cut(places.select("chunk").distinct().mapInArrow(_segmented(path), "chunk string, ids array<int>"), "chunk_table")
+    met = places.join(table, "chunk").groupBy("_row").agg(F.collect_list(F.struct("places", "ids")).alias("met"))
+    return rows.select("_row", "doc_id").join(met, "_row", "left").select("doc_id", "met").mapInArrow(_joined_back, "doc_id long, ids array<int>")
+
+
 def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and decoded text of (doc_id, ids)."""
     path = model or default_model()
