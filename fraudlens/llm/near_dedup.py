@@ -52,8 +52,8 @@ GROUPS, GROUP_SIZE = 8, 2
 #: Bits of 64 that two sketches must agree in.
 SKETCH_AGREES = 46
 TABLE_WORDS = 500_000
-#: Shingles of a block in round 2: 16 MB of hashes.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles of a block in round 2, at most (16 MB of hashes), and of a group that is one block.
+BLOCK_SHINGLES, SMALL_SHINGLES = 2_000_000, 100_000
 #: Tasks that the rows of one group meet its block counts in.
 SALTS = 16
 
@@ -272,12 +272,16 @@ def _blocks(meets: DataFrame) -> DataFrame:
     """``meets`` with the blocks each class is in: _b its own, and a row for each
     pair (_low, _high) of blocks that it has a part in. Blocks from 0 hold what
     is outside a group's largest component and meet each other and all others;
-    the blocks after them hold the largest component and do not meet each other."""
+    the blocks after them hold the largest component and do not meet each other.
+    These are no larger than what they meet, so that a hot group with few others
+    in it is spread over many small tasks, and sending the others there costs no
+    more than the group itself."""
     parts = meets.groupBy("first", "component").agg(F.sum("n").alias("_n"))
     most = parts.groupBy("first").agg(F.max(F.struct("_n", "component")).alias("_most"), F.sum("_n").alias("_all"))
-    full = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_SHINGLES))).cast("int")
-    one = F.col("_all") <= BLOCK_SHINGLES
-    blocks = most.select("first", F.col("_most.component").alias("_main"), F.when(one, 1).otherwise(full(F.col("_all") - F.col("_most._n"))).alias("_rest"), F.when(one, 0).otherwise(full(F.col("_most._n"))).alias("_mains"))
+    full = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    one, rest = F.col("_all") <= SMALL_SHINGLES, F.col("_all") - F.col("_most._n")
+    main_size = F.greatest(F.lit(SMALL_SHINGLES), F.least(F.lit(BLOCK_SHINGLES), rest))
+    blocks = most.select("first", F.col("_most.component").alias("_main"), F.when(one, 1).otherwise(full(rest, F.lit(BLOCK_SHINGLES))).alias("_rest"), F.when(one, 0).otherwise(full(F.col("_most._n"), main_size)).alias("_mains"))
     # the rows of a large group meet its row, which stands once for each salt, in many tasks
     salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = meets.withColumn("_salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(salted, ["first", "_salt"])

@@ -11,8 +11,8 @@ space and never merges across it), so each task keeps a bounded table from
 words to their ids and encodes unknown words in batches.
 
 Defined cases: null text is empty and gets the end id alone; null ids sort
-first; rows that repeat an id stay separate rows, dealt over ranges by their
-text and in a range ordered by n_tokens then checksum; an empty table gives no rows; other columns are ignored.
+first; rows that repeat an id stay separate rows of one range, ordered by
+n_tokens then checksum; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +83,7 @@ class WordTable:
         kind = lambda k: "".join(re.escape(c) for c in simple if unicodedata.category(c)[0] == k)
         letter, number = kind("L"), kind("N")
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+").findall
+        self.unlike = re.compile("[^\x00-\u017f]|\u0130").search  # the lower case of U+0130 is two characters
         self.special = re.compile("[^\x00-\u017f]|[\x1c-\x1f]|<\\|").search
         self.words = re.compile("(?:[^\\s]|[\x1c-\x1f])+").findall
         vocabulary = self.tokenizer.get_vocab()
@@ -102,19 +103,22 @@ class WordTable:
                 start = end
 
     def _learn(self, words: set[str]) -> None:
+        letters = [word for word in words if word.isalpha()]
+        # a word of letters below U+0180 is one pre-token, its lower case
+        single = [word for word in letters if word.isascii()]
+        single += [word for word in letters if not word.isascii() and not self.unlike(word)]
         cut, odd = {}, []
-        for word in words:
-            if word.isalpha() and (word.isascii() or not self.special(word)):
-                low = word.lower()
-                cut[word] = (low,) if low.isalpha() else self.cut(low)
-            elif self.special(word):
+        for word in words.difference(single):
+            if self.special(word):
                 odd.append(word)
             else:
                 cut[word] = self.cut(word.lower())
-        self._learn_pieces(list(self.pieces.missing({piece for pieces in cut.values() for piece in pieces})))
+        lower = list(map(str.lower, single))
+        self._learn_pieces(list(self.pieces.missing(set(lower).union(*cut.values()))))
         get = self.pieces.__getitem__
+        self.ids.update(zip(single, map(get, lower)))
         for word, pieces in cut.items():
-            self.ids[word] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
+            self.ids[word] = b"".join(map(get, pieces))
         for word, coded in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.ids[word] = np.array(coded.ids, dtype="<u4").tobytes()
 
@@ -131,15 +135,12 @@ class WordTable:
         if unknown:
             self._learn(unknown)
         coded = list(map(self.ids.__getitem__, names))
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ends = np.zeros(len(coded) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, coded), np.int32, len(coded)) // 4, out=ends[1:])
         pool = np.frombuffer(b"".join(coded), "<u4")
-        at = numbered.indices.to_numpy()
-        each = lengths[at]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        shift = (np.cumsum(lengths) - lengths)[at] - ends[:-1]
-        ids = pool[np.repeat(shift, each) + np.arange(ends[-1])]
-        rows = words.offsets.to_numpy()
-        return ids, ends[rows - rows[0]]
+        each = pa.ListArray.from_arrays(pa.array(ends), pa.array(pool)).take(numbered.indices)
+        ids, ends, rows = each.flatten().to_numpy(), each.offsets.to_numpy(), words.offsets.to_numpy()
+        return ids, (ends - ends[0])[rows - rows[0]]
 
 
 #: Tables outlive a task where Spark keeps its Python workers.
@@ -169,7 +170,7 @@ def encode_partition(path: str, end_id: int, most: int):
 def write_token_orc(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, most_words: int = TABLE_WORDS, stripe_bytes: int = STRIPE_BYTES, stride_rows: int = STRIDE_ROWS) -> None:
     """Write (doc_id, part, ids) in ascending id order; ``part`` is the range a document is in."""
     path = tokenizer or default_tokenizer()
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
     ids = ordered.mapInArrow(encode_partition(path, end_id, most_words), "doc_id long, part int, ids array<int>")
     indexed = {"orc.create.index": "true", "orc.row.index.stride": stride_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": stripe_bytes}

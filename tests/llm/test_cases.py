@@ -224,6 +224,7 @@ def test_blocks_of_a_large_group_meet_all_but_the_largest_component(spark, monke
     from fraudlens.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    monkeypatch.setattr(near_dedup, "SMALL_SHINGLES", 50)
     rows = [(1, i, 10, 0) for i in range(60)] + [(1, 60 + i, 10, 60 + i) for i in range(35)] + [(2, 0, 10, 0), (2, 99, 10, 99)]
     meets = spark.createDataFrame(rows, "first long, class long, n long, component long")
     at = {}
