@@ -17,6 +17,8 @@ SEEN_OFTEN, SEEN_VERY_OFTEN, CHANNELS_MANY = 3, 10, 2
 VERDICT_SCORES = {"SAFE": 0.12, "SUSPICIOUS": 0.52, "HIGH_RISK": 0.92}
 VERDICT_SYNONYMS = {"SCAM": "HIGH_RISK", "HIGH": "HIGH_RISK", "HIGH-RISK": "HIGH_RISK", "MEDIUM": "SUSPICIOUS", "UNCERTAIN": "SUSPICIOUS"}
 DEFAULT_CONFIDENCE, FAILED_CONFIDENCE, DEFAULT_SCORE = 60, 55, 0.52
+#: Risk score of a message whose analysis failed.
+FAILED_SCORE = 0.5
 TYPO_MAX, MATCH_MAX = 3, 2
 RATE_LIMIT, RATE_WINDOW_S = 10, 60
 DEDUPE_TTL_S = 86_400
@@ -81,3 +83,37 @@ REASONS_ROMAN = {
 }
 EDGE_GROUPS = {"phone": (1, "Phone Number"), "upi": (2, "UPI ID"), "agent": (3, "Agent")}
 EDGE_OTHER = (3, "Entity")
+
+# The replies: fixed values, in the order danger, doubt, low risk.
+REPLY_EN = {
+    "title": "Job Safety Check",
+    "verdict": "Verdict",
+    "score": "Risk Score",
+    "why": "Reasons",
+    "advice": "Advice",
+    "none": "No clear red flags found",
+    "verdicts": ("DANGER", "SUSPICIOUS", "LOW RISK"),
+    "advices": (
+        "Do not send any payment. Verify the company and contact first.",
+        "Avoid payment for now. Verify company registration and contact details.",
+        "Risk appears low, but still verify details before you act.",
+    ),
+    "switch": "Reply *HI* to view this in Hindi.",
+    "foot": "_We never ask for money, OTP, or Aadhaar._",
+}
+REPLY_HI = {
+    "title": "जॉब सेफ्टी चेक",
+    "verdict": "वर्डिक्ट",
+    "score": "रिस्क स्कोर",
+    "why": "कारण",
+    "advice": "सलाह",
+    "none": "कोई स्पष्ट रेड फ्लैग नहीं मिला",
+    "verdicts": ("खतरा", "संदिग्ध", "कम जोखिम"),
+    "advices": (
+        "कोई भुगतान न करें। कंपनी और नंबर सत्यापित किए बिना आगे न बढ़ें।",
+        "अभी भुगतान न करें। कंपनी पंजीकरण और संपर्क विवरण जांचें।",
+        "फिलहाल जोखिम कम लगता है, फिर भी सत्यापन करके ही निर्णय लें।",
+    ),
+    "switch": "अंग्रेज़ी में देखने के लिए *EN* लिखें।",
+    "foot": "_हम कभी पैसे, OTP, या आधार नहीं मांगते।_",
+}

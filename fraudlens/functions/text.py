@@ -57,6 +57,7 @@ def phone_canonical(x: Column) -> Column:
     return F.when((n < 10) | (n > 15), None).when(local, last).otherwise(F.concat(F.lit("+"), d))
 
 
+# What counts as a phone, a payment id, an amount, an agent, a place, a role and a company.
 PHONE_PATTERN = r"(?:^|[^A-Za-z0-9_])(\+?[0-9][0-9 \t\n\r\f()\-]{8,}[0-9])"
 UPI_PATTERN = r"(?:^|[^A-Za-z0-9_])([a-zA-Z0-9_][a-zA-Z0-9.\-_]+@[a-zA-Z]{2,})"
 
@@ -76,14 +77,17 @@ def upi_ids(x: Column, exclude_email: bool = False) -> Column:
 
 
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]+)(?:\.[0-9]+)?"
-CURRENCY = r"(?:rs\.?|inr|aed)?"
-GAP = r"[ \t\n\r\f]*"
+GAP, GAPS = r"[ \t\n\r\f]*", r"[ \t\n\r\f]+"
 
 
 def amount_patterns(words: Sequence[str]) -> tuple[str, str]:
+    """The word and the number are whole words: something that is no word
+    character stands between them, and round both."""
     key = any_of(words)
-    after = f"(?i){START}(?:{key}){GAP}(?::|=|is)?{GAP}{CURRENCY}{GAP}({NUMBER})"
-    before = f"(?i){START}({NUMBER}){GAP}{CURRENCY}{GAP}(?:{key}){END}"
+    currency = rf"(?:(?:rs|inr|aed){GAPS}|rs\.{GAP})"
+    plain, marked = f"(?:{GAPS}(?:is{GAPS})?|{GAP}[:=]{GAP})", f"(?:{GAPS}(?:is{GAP})?|{GAP}[:=]{GAP})"
+    after = f"(?i){START}(?:{key})(?:{plain}|{marked}{currency})({NUMBER}){END}"
+    before = f"(?i){START}({NUMBER}){GAPS}{currency}?(?:{key}){END}"
     return after, before
 
 
@@ -122,12 +126,12 @@ LOCATION_PATTERNS = (
 
 def location(x: Column) -> Column:
     """A place named after a location word, cut at stop tokens, five words at
-    most; else the longest known place in the text. Capitals follow blanks."""
+    most; else the longest known place in the text, the first listed of equals. Capitals follow blanks."""
     named = [F.nullif(cleaned_phrase(before_stop_token(cleaned_phrase(_first(x, p)))), F.lit("")) for p in LOCATION_PATTERNS]
     named = F.array_join(F.slice(F.split(F.coalesce(*named), " "), 1, 5), " ")
     low = F.lower(F.coalesce(x, F.lit("")))
     found = F.regexp_extract_all(low, F.lit(f"{START}({any_of(C.LOCATIONS)})(?![A-Za-z0-9_])"), F.lit(1))
-    known = F.array_min(F.transform(found, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))["w"]
+    known = F.array_min(F.transform(found, lambda w: F.struct((-F.length(w)).alias("n"), F.array_position(F.array(*map(F.lit, C.LOCATIONS)), w).alias("i"), w.alias("w"))))["w"]
     return F.initcap(F.lower(F.coalesce(named, known)))
 
 
@@ -141,8 +145,10 @@ def role(x: Column, place: Column) -> Column:
     the first keyword if it has one to six words and is no urgency phrase."""
     text = F.coalesce(x, F.lit(""))
     tagged = F.nullif(cleaned_phrase(_first(text, ROLE_PATTERN)), F.lit(""))
-    at = F.coalesce(F.nullif(F.position(F.lower(place), F.lower(text)), F.lit(0)), F.length(text) + 1)
-    head = F.substring(text, F.lit(1), at - 1)
+    # the text before the place as a whole word; a character that ends the word before stays
+    at = F.regexp_instr(text, F.concat(F.lit(f"(?is){START}\\Q"), place, F.lit(f"\\E{END}")))
+    first = (at == 1) & F.startswith(F.lower(text), F.lower(place))
+    head = F.when(place.isNull() | (at == 0), text).otherwise(F.substring(text, F.lit(1), F.when(first, F.lit(0)).otherwise(at)))
     head = F.regexp_replace(head, f"(?is)(?:^|(?<=[^A-Za-z0-9_]))(?:{any_of(ROLE_ENDS)})(?![A-Za-z0-9_]).*$", "")
     head = F.nullif(cleaned_phrase(head), F.lit(""))
     fits = (F.size(F.split(head, " ")) <= 6) & ~F.lower(head).isin("urgent", "immediate", "apply now", "apply today")
@@ -197,6 +203,20 @@ def language_command(x: Column) -> Column:
     return F.when(v.isin(*english), "en").when(v.isin(*hindi), "hi")
 
 
+def parsed_timestamp(x: Column) -> Column:
+    """An ISO 8601 date or time as an instant: ``Z`` and offsets are read, a
+    time without one is UTC; null if it does not parse."""
+    v = F.regexp_replace(stripped(x), "Z$", "+00:00")
+    iso = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?:[+-][0-9]{2}:[0-9]{2})?)?$")
+    offset = v.rlike("[+-][0-9]{2}:[0-9]{2}$")
+    return F.when(iso, F.when(offset, v).otherwise(F.concat(v, F.when(F.length(v) == 10, F.lit(" 00:00:00+00:00")).otherwise(F.lit("+00:00")))).try_cast("timestamp"))
+
+
+def iso_timestamp(x: Column) -> Column:
+    """An instant in ISO 8601, UTC."""
+    return F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def parsed_bool(x: Column) -> Column:
     return F.lower(F.trim(F.coalesce(x, F.lit("")))).isin("1", "true", "yes")
 

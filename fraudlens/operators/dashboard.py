@@ -41,10 +41,12 @@ def dashboard_stats(reports: DataFrame) -> DataFrame:
     return one.select("total_reports", "suspicious_numbers", (F.col("shared_upi") + F.col("shared_company")).alias("detected_syndicates"), "companies_seen_once", F.col("companies_seen_once").alias("verified_companies"))
 
 
-def report_message(company: Column, role: Column, fee: Column, salary: Column) -> Column:
-    part = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(f"{name}: "), x.cast("string")))
-    joined = F.concat_ws(" | ", part("Company", F.nullif(company, F.lit(""))), part("Role", F.nullif(role, F.lit(""))), part("Fee", F.nullif(fee, F.lit(0))), part("Salary", F.nullif(salary, F.lit(0))))
-    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("Scam report submitted"))
+def report_message(company: Column, role: Column, salary: Column, fee: Column, upi: Column) -> Column:
+    """What a report names, in one line; empty texts and zero amounts are left out."""
+    plain = lambda x: F.nullif(x, F.lit(""))
+    amount = lambda name, x: F.when(x != 0, F.concat(F.lit(name + " "), x.cast("string")))
+    joined = F.concat_ws(" | ", plain(company), plain(role), amount("Salary", salary), amount("Fee", fee), plain(upi))
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("Scam report received"))
 
 
 def recent_reports(reports: DataFrame, limit: int = 10) -> DataFrame:
@@ -52,7 +54,7 @@ def recent_reports(reports: DataFrame, limit: int = 10) -> DataFrame:
     return top.select(
         "id",
         F.coalesce(F.nullif("scam_phone", F.lit("")), F.lit("Unknown")).alias("phone"),
-        report_message(F.col("company_name"), F.col("job_role"), F.col("fee"), F.col("salary")).alias("message"),
+        report_message(*[F.col(c) for c in ("company_name", "job_role", "salary", "fee", "upi_id")]).alias("message"),
         scores.risk_label(F.col("risk_score")).alias("risk"),
         F.coalesce(F.nullif("location", F.lit("")), F.lit("Unknown")).alias("location"),
         F.coalesce(F.date_format("report_time", "yyyy-MM-dd hh:mm a"), F.lit("Unknown")).alias("timestamp"),
@@ -74,6 +76,11 @@ def heatmap_points(heat: DataFrame, coordinates: DataFrame) -> DataFrame:
     return out.select("label", "count", "lat", "lng", "intensity", scores.heat_colour(F.col("intensity")).alias("colour"), F.round(8 + F.col("intensity") * 16, 4).alias("radius"), F.round(F.greatest(F.lit(4.0), F.col("intensity") * 100), 4).alias("bar"))
 
 
+def top_locations(points: DataFrame, n: int = 8) -> DataFrame:
+    """The n map points of most reports, ties by label."""
+    return points.orderBy(F.desc("count"), "label").limit(n)
+
+
 def report_trend(reports: DataFrame, days: int = 7, as_of: str | None = None) -> DataFrame:
     """Reports of each of the last ``days`` days (1 to 30), zero where none. The
     last day is ``as_of`` or the latest report's."""

@@ -37,17 +37,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 def embedding_score(vectors: DataFrame, found: DataFrame) -> DataFrame:
     """Nearness to the scam against the legitimate centroid, 0 to 1; 0.5 where a
-    vector or a centroid is missing. The centroids come as one broadcast row."""
+    vector or a centroid is missing. Where there is a column ``text``, a blank one
+    is not compared either. The centroids come as one broadcast row."""
     one = found.filter(F.col("cluster").isin("legitimate", "scam")).agg(F.max(F.when(F.col("cluster") == "legitimate", F.col("centroid"))).alias("_legit"), F.max(F.when(F.col("cluster") == "scam", F.col("centroid"))).alias("_scam"))
     rows = vectors.crossJoin(F.broadcast(one)).withColumn("_l", cosine(F.col("embedding"), F.col("_legit"))).withColumn("_s", cosine(F.col("embedding"), F.col("_scam")))
-    both = F.col("_l").isNotNull() & F.col("_s").isNotNull()
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f]+", " ")) == "" if "text" in vectors.columns else F.lit(False)
+    both = F.col("_l").isNotNull() & F.col("_s").isNotNull() & ~blank
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_s") - F.col("_l") + 1) / 2))
-    status = F.when(F.col("embedding").isNull(), "no_embedding").when(~both, "no_centroids").otherwise("ok")
+    status = F.when(blank, "empty_input").when(F.col("embedding").isNull(), "no_embedding").when(~both, "no_centroids").otherwise("ok")
     return rows.select(
         "vec_id",
-        F.when(both, F.round("_l", 4)).alias("sim_to_legitimate"),
-        F.when(both, F.round("_s", 4)).alias("sim_to_scam"),
-        F.when(both, F.round(F.abs(F.col("_s") - F.col("_l")), 4)).alias("boundary_distance"),
+        F.when(blank, F.lit(0.0)).when(both, F.round("_l", 4)).alias("sim_to_legitimate"),
+        F.when(blank, F.lit(0.0)).when(both, F.round("_s", 4)).alias("sim_to_scam"),
+        F.when(blank, F.lit(0.0)).when(both, F.round(F.abs(F.col("_s") - F.col("_l")), 4)).alias("boundary_distance"),
         F.when(both, F.round(score, 4)).otherwise(F.lit(0.5)).alias("embedding_score"),
         status.alias("status"),
     )

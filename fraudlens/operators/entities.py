@@ -45,8 +45,8 @@ def amount_profile(messages: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("location", F.lit("unknown")).alias("location")).agg(F.count(F.lit(1)).alias("messages"), *stats, *means, F.round(F.avg(F.col("fee").isNotNull().cast("double")), 6).alias("fee_share"))
 
 
-def normalize_inbound(jobs: DataFrame) -> DataFrame:
-    """Raw chat jobs with typed, cleaned fields."""
+def normalize_inbound(jobs: DataFrame, *more: str) -> DataFrame:
+    """Raw chat jobs with typed, cleaned fields, and ``more`` columns as they are."""
     return jobs.select(
         "conv_id",
         "turn",
@@ -55,4 +55,5 @@ def normalize_inbound(jobs: DataFrame) -> DataFrame:
         text.parsed_bool(F.col("forwarded_many_times")).alias("forwarded"),
         F.coalesce(text.safe_int(F.col("media_count")), F.lit(0)).alias("media_count"),
         text.source_name(F.col("source")).alias("source"),
+        *more,
     )

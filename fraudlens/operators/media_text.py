@@ -73,49 +73,73 @@ def transcript_audit(stats: DataFrame) -> DataFrame:
     return stats.groupBy("language_name").agg(F.count(F.lit(1)).alias("transcripts"), F.round(F.sum("duration_seconds"), 4).alias("seconds"), F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg(F.col("urgency_detected").cast("double")), 6).alias("urgency_share"))
 
 
+# Company suffixes, tax and registration numbers, phrases of fees and of urgency.
 SUFFIX = (
     r"(?:Pvt\.?[ \t\n\r]*Ltd\.?|Private[ \t\n\r]+Limited|Ltd\.?|Limited|Inc\.?|LLP|Enterprises?|Solutions?|Services?|Consultanc(?:y|ies)|Agenc(?:y|ies)|"
     r"Recruitment|International|Intl\.?|Overseas|Manpower|Technologies|Tech\.?|Group|Corp\.?|Corporation)"
 )
+#: A name of 3 to 46 characters that ends before a suffix, and what such names are made of.
 COMPANY = rf"(?i)([A-Z][A-Za-z0-9 \t\n\r&.\-]{{2,45}}?)[ \t\n\r]*{SUFFIX}"
+COMPANY_RUN = r"[A-Za-z0-9 \t\n\r&.\-]{4,}"
 GST = r"(?:^|[^A-Za-z0-9_])([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])(?:[^A-Za-z0-9_]|$)"
 CIN = r"(?:^|[^A-Za-z0-9_])([LU][0-9]{5}[A-Z]{2}[0-9]{4}(?:PLC|PTC|OPC|NPL|GAP|GOI)[0-9]{6})(?:[^A-Za-z0-9_]|$)"
 FEE = r"(?i)(?:registration|medical|processing|security|visa|advance|joining)[ \t\n\r]*(?:fee|fees|charge|deposit)"
 URGENT = r"(?i)(?:^|[^A-Za-z0-9_])(?:urgent|immediately|asap|today only|limited time|act now)(?:[^A-Za-z0-9_]|$)"
 
 
+def company_name(x: Column) -> Column:
+    """The first name before a company suffix.
+
+    A name lies in one run of its characters, so runs without a suffix are
+    passed over, and of the others only what is near enough before the first
+    suffix, and what follows, is matched."""
+
+    def match(run: Column) -> Column:
+        at = F.regexp_instr(run, F.lit(f"(?i){SUFFIX}"))
+        head = F.substring(run, F.lit(1), at - 1)
+        blanks = F.length(head) - F.length(F.regexp_replace(head, "[ \\t\\n\\r]+$", ""))
+        near = F.substring(run, F.greatest(F.lit(1), at - blanks - 46), F.length(run))
+        return F.when(at > 1, F.nullif(F.regexp_extract(near, COMPANY, 1), F.lit("")))
+
+    runs = F.filter(F.regexp_extract_all(x, F.lit(COMPANY_RUN), F.lit(0)), lambda run: run.rlike(f"(?i){SUFFIX}"))
+    found = F.filter(F.transform(runs, match), lambda name: name.isNotNull())
+    return F.trim(F.regexp_replace(F.get(found, F.lit(0)), text.BLANKS, " "))
+
+
 def document_fields(letters: DataFrame) -> DataFrame:
     """Company, tax and registration numbers, fee and urgency phrases of offer letters (doc_id, text)."""
     t = F.coalesce("text", F.lit(""))
-    found = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    company = F.trim(F.regexp_replace(found(COMPANY), text.BLANKS, " "))
-    return letters.select("doc_id", company.alias("company"), found(GST).alias("gst"), found(CIN).alias("cin"), t.rlike(FEE).alias("asks_fee"), t.rlike(URGENT).alias("urgent"))
+    found = {"gst": F.regexp_extract(t, GST, 1), "cin": F.regexp_extract(t, CIN, 1)}
+    rows = letters.select("doc_id", company_name(t).alias("company"), *[x.alias(c) for c, x in found.items()], t.rlike(FEE).alias("asks_fee"), t.rlike(URGENT).alias("urgent"))
+    return rows.withColumns({c: F.nullif(c, F.lit("")) for c in found})
+
+
+def _near_brand(company: Column) -> Column:
+    """struct(d, b): the first brand in the fixed list at distance 1 to 3."""
+    low = F.lower(F.trim(company))
+    hits = F.array(*[F.struct(F.levenshtein(low, F.lit(b.lower()), 3).alias("d"), F.lit(b).alias("b")) for b in C.BRANDS])
+    return F.get(F.filter(hits, lambda x: x["d"].between(1, 3)), F.lit(0))
 
 
 def brand_impersonation(fields: DataFrame) -> DataFrame:
-    """(doc_id, similar_to, distance): the first brand in the list at distance 1
-    to 3. The brands are a fixed list, compared once for each distinct company."""
-    names = fields.filter("company IS NOT NULL").select("company").distinct()
-    low = F.lower(F.trim("company"))
-    hits = F.filter(F.array(*[F.struct(F.levenshtein(low, F.lit(b.lower())).alias("d"), F.lit(b).alias("b")) for b in C.BRANDS]), lambda x: x["d"].between(1, 3))
-    near = names.select("company", F.get(hits, F.lit(0)).alias("x"))
-    return fields.select("doc_id", "company").join(near, "company", "left").select("doc_id", F.col("x.b").alias("similar_to"), F.col("x.d").cast("long").alias("distance"))
-
-
-def document_forgery(fields: DataFrame, brands: DataFrame) -> DataFrame:
-    """Score, band and the first three reasons."""
-    rows = fields.join(brands, "doc_id", "left")
+    """(doc_id, similar_to, distance): the first brand in the list at distance 1 to 3."""
+    return fields.select("doc_id", _near_brand(F.col("company")).alias("x")).select("doc_id", F.col("x.b").alias("similar_to"), F.col("x.d").cast("long").alias("distance"))
+
+
+def document_forgery(fields: DataFrame) -> DataFrame:
+    """Score, band and the first three reasons, from one reading of each document."""
+    rows = fields.withColumn("resembles", _near_brand(F.col("company")).isNotNull())
     tests = (
         (F.col("company").isNull(), 25, "No company name found in document"),
         (F.col("gst").isNull(), 20, "No GST number found"),
-        (F.col("similar_to").isNotNull(), 25, "Company name resembles a known brand (possible impersonation)"),
+        (F.col("resembles"), 25, "Company name resembles a known brand (possible impersonation)"),
         (F.col("asks_fee"), 40, "Document asks for upfront fee"),
         (F.col("urgent"), 15, "Urgency language is unusual for formal offer documents"),
     )
     total = F.least(F.lit(100), sum((F.when(t, F.lit(n)).otherwise(F.lit(0)) for t, n, _ in tests), F.lit(0)))
     why = F.slice(F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, _, r in tests])), 1, 3)
-    rows = rows.withColumn("score", total.cast("long"))
-    return rows.select("doc_id", "score", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "medium").otherwise("low").alias("risk"), why.alias("reasons"))
+    rows = rows.select("doc_id", total.cast("long").alias("score"), why.alias("reasons"))
+    return rows.select("doc_id", "score", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "medium").otherwise("low").alias("risk"), "reasons")
 
 
 def document_audit(forgery: DataFrame) -> DataFrame:
@@ -123,4 +147,5 @@ def document_audit(forgery: DataFrame) -> DataFrame:
 
 
 def image_quality(images: DataFrame) -> DataFrame:
+    """Images (width, height) with a quality label by their area."""
     return images.withColumn("quality", scores.quality_label(F.col("width"), F.col("height")))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from fraudlens import constants as C
 from fraudlens.functions import scores, text
+from fraudlens.storage import written
 
 
 def channel_name(x: Column) -> Column:
@@ -40,13 +41,22 @@ def propagation_score(fps: DataFrame) -> DataFrame:
 
 def propagation_history(messages: DataFrame) -> DataFrame:
     """What each message sees on arrival: running count, channels, forwarded
-    flag and score. First arrivals by channel are counted, so no set grows."""
-    rows = hashed(messages)
-    order = Window.partitionBy("message_hash").orderBy("ts", "msg_id")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(Window.partitionBy("message_hash", "channel").orderBy("ts", "msg_id")) == 1
-    rows = rows.withColumn("_first", first.cast("long"))
-    rows = rows.withColumn("seen_count", F.row_number().over(order).cast("long")).withColumn("source_channels_count", F.sum("_first").over(running)).withColumn("forwarded_flag", F.bool_or("forwarded").over(running))
+    flag and score.
+
+    Messages are sorted in ranges of (hash, time, id), so one text that fills the
+    table is spread over ranges. Running values inside a range are added to
+    what the hash's earlier ranges hold, one row for each range of a hash."""
+    order = ("ts", "msg_id")
+    rows = written(hashed(messages).repartitionByRange("message_hash", *order).withColumn("_part", F.spark_partition_id()), "history")
+    running = Window.partitionBy("message_hash", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy("message_hash", "_part").agg(F.count(F.lit(1)).alias("n"), F.bool_or("forwarded").alias("f"), F.collect_set("channel").alias("c"))
+    ahead = Window.partitionBy("message_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast("array<string>")
+    before = parts.select("message_hash", "_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_n"), F.coalesce(F.bool_or("f").over(ahead), F.lit(False)).alias("_f"), F.coalesce(F.array_distinct(F.flatten(F.collect_list("c").over(ahead))), none).alias("_c"))
+    rows = rows.select("*", F.row_number().over(running).alias("_nth"), F.bool_or("forwarded").over(running).alias("_flag"), F.collect_set("channel").over(running).alias("_channels")).join(before, ["message_hash", "_part"])
+    rows = rows.select(
+        "msg_id", "message_hash", "text_length", (F.col("_n") + F.col("_nth")).alias("seen_count"), F.size(F.array_union("_c", "_channels")).cast("long").alias("source_channels_count"), (F.col("_f") | F.col("_flag")).alias("forwarded_flag")
+    )
     args = (F.col("forwarded_flag"), F.col("seen_count"), F.col("source_channels_count"), F.col("text_length"))
     return rows.select("msg_id", "message_hash", (F.col("seen_count") == 1).alias("is_new_message"), "seen_count", "source_channels_count", "forwarded_flag", scores.propagation_score(*args).alias("propagation_score"))
 
@@ -68,20 +78,24 @@ def anchored_windows(requests: DataFrame, window_s: int) -> DataFrame:
     begins at the first request after the window before has ended.
 
     The fold over a key is sequential; it runs over the key's sorted distinct
-    times in one expression, without Python."""
-    rows = requests.select("key", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    times = rows.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("times"))
+    times in one expression, without Python. Windows begin at least their length
+    apart, so a bucket of that length has one beginning at most, and a request's
+    window begins in its bucket or the one before: an equi-join on key and bucket."""
     span = window_s * 1_000_000
+    bucket = lambda t: t - F.pmod(t, F.lit(span))
+    rows = requests.select("key", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("bucket", bucket(F.col("at")))
+    times = rows.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("times"))
 
     def step(acc: Column, t: Column) -> Column:
         ended = F.coalesce(t - F.try_element_at(acc, F.lit(-1)) >= span, F.lit(True))
         return F.when(ended, F.concat(acc, F.array(t))).otherwise(acc)
 
-    starts = times.select("key", F.aggregate("times", F.array().cast("array<bigint>"), step).alias("starts"))
-    spans = starts.select("key", F.explode(F.arrays_zip(F.col("starts").alias("begin"), F.slice("starts", F.lit(2), F.size("starts")).alias("next"))).alias("w")).select("key", "w.begin", "w.next")
-    placed = rows.alias("r").join(spans.alias("s"), (F.col("r.key") == F.col("s.key")) & (F.col("at") >= F.col("begin")) & (F.col("next").isNull() | (F.col("at") < F.col("next"))))
-    nth = F.row_number().over(Window.partitionBy("r.key", "begin").orderBy("at", "seq"))
-    return placed.select("r.key", "r.ts", "r.seq", "begin", nth.cast("long").alias("nth"))
+    begins = times.select("key", F.explode(F.aggregate("times", F.array().cast("array<bigint>"), step)).alias("begin"))
+    places = F.array(F.struct(bucket(F.col("begin")).alias("bucket"), F.col("begin").alias("own")), F.struct((bucket(F.col("begin")) + span).alias("bucket"), F.lit(None).cast("bigint").alias("own")))
+    begins = begins.select("key", "begin", F.explode(places).alias("p")).groupBy("key", "p.bucket").agg(F.max("p.own").alias("own"), F.max(F.when(F.col("p.own").isNull(), F.col("begin"))).alias("before"))
+    placed = rows.join(begins, ["key", "bucket"]).withColumn("begin", F.when(F.col("at") >= F.col("own"), F.col("own")).otherwise(F.col("before")))
+    nth = F.row_number().over(Window.partitionBy("key", "begin").orderBy("at", "seq"))
+    return placed.select("key", "ts", "seq", "begin", nth.cast("long").alias("nth"))
 
 
 def rate_limit_flags(requests: DataFrame, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
@@ -102,10 +116,11 @@ def consecutive_dedupe(turns: DataFrame, key: str = "conv_id", order: str = "tur
     return turns.withColumn("_before", before).filter(~F.col(body).eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def debounced(turns: DataFrame, key: str, ts: str, gap_ms: int = 500) -> DataFrame:
-    """Rows that no other row of the client follows within the gap."""
-    after = F.lead(F.unix_micros(F.col(ts).cast("timestamp"))).over(Window.partitionBy(key).orderBy(ts))
-    return turns.withColumn("_after", after).filter(F.col("_after").isNull() | (F.col("_after") - F.unix_micros(F.col(ts).cast("timestamp")) >= gap_ms * 1000)).drop("_after")
+def debounced(turns: DataFrame, key: str, order: tuple[str, ...], gap_ms: int = 500) -> DataFrame:
+    """Rows that no other row of the client follows within the gap; the first of ``order`` is the time."""
+    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    after = F.lead(at).over(Window.partitionBy(key).orderBy(*order))
+    return turns.withColumn("_after", after).filter(F.col("_after").isNull() | (F.col("_after") - at >= gap_ms * 1000)).drop("_after")
 
 
 def latest_per_user(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Cross-checks against the company registry and the phone prefixes.
 
 Names are compared once for each distinct pair of spellings. Fuzzy matches are
-found by deletion neighbourhoods: two strings within edit distance d share a
-string that each gives by deleting d characters or fewer, so an equi-join on
-these variants finds every candidate and neither side is broadcast or crossed.
+found by segments: a name cut into d + 1 pieces keeps one of them unchanged, and
+at most d characters from its place, in every string within d edits. An equi-join
+on pieces finds all candidates; their number a name depends on d alone, and
+neither side is broadcast or crossed.
 """
 
 from __future__ import annotations
@@ -15,20 +16,38 @@ from fraudlens import constants as C
 from fraudlens.functions import text
 
 
-def deletions(x: Column, most: int) -> Column:
-    """The distinct strings that deleting up to ``most`` characters gives."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    out = level = F.array(x)
-    for _ in range(most):
-        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda s: F.length(s) > 0), one)))
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+def _signature(length: Column, piece: int, part: Column) -> Column:
+    return F.concat_ws("|", length.cast("string"), F.lit(str(piece)), part)
+
+
+def pieces(target: Column, most: int) -> Column:
+    """The ``most + 1`` signatures (length, number, piece) of a registered name."""
+    n = F.length(target)
+    cut = lambda i: F.floor(n * i / (most + 1)).cast("int")
+    return F.array(*[_signature(n, i, F.substring(target, cut(i) + 1, cut(i + 1) - cut(i))) for i in range(most + 1)])
+
+
+def probes(key: Column, most: int) -> Column:
+    """The signatures of all names within ``most`` edits that a key may share a
+    piece with: names of nearby lengths, pieces up to ``most`` characters off."""
+    n = F.length(key)
+
+    def of_length(m: Column) -> Column:
+        cut = lambda i: F.floor(m * i / (most + 1)).cast("int")
+        found = []
+        for i in range(most + 1):
+            for shift in range(-most, most + 1):
+                at, size = cut(i) + shift, cut(i + 1) - cut(i)
+                found.append(F.when((at >= 0) & (at + size <= n), _signature(m, i, F.substring(key, at + 1, size))))
+        return F.array_compact(F.array(*found))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), n - most), n + most), of_length)))
 
 
 def near_names(names: DataFrame, registry: DataFrame, most: int) -> DataFrame:
     """(key, pos, name, target, distance) of registry names within ``most`` edits of each key."""
-    left = names.select("key").distinct().withColumn("v", F.explode(deletions(F.col("key"), most)))
-    right = registry.select("pos", "name", "target").withColumn("v", F.explode(deletions(F.col("target"), most)))
+    left = names.select("key").distinct().withColumn("v", F.explode(probes(F.col("key"), most)))
+    right = registry.select("pos", "name", "target").withColumn("v", F.explode(pieces(F.col("target"), most)))
     pairs = left.join(right, "v").select("key", "pos", "name", "target").distinct()
     return pairs.withColumn("distance", F.levenshtein("key", "target", most)).filter("distance >= 0")
 
@@ -133,7 +152,10 @@ def full_consistency(graph_counts: DataFrame, checked: DataFrame) -> DataFrame:
     g = graph_counts.select(F.col("contradictions").alias("graph_contradictions"), F.col("checks").alias("graph_checks"))
     rows = checked.crossJoin(F.broadcast(g))
     fails, checks = F.col("db_contradictions") + F.col("graph_contradictions"), F.col("db_checks_run") + F.col("graph_checks")
-    return rows.select("claim_id", fails.alias("contradictions"), checks.alias("checks"), F.round(F.when(checks > 0, fails / checks).otherwise(0.0), 4).alias("consistency_score"), "graph_contradictions", "graph_checks", "db_contradictions", "db_checks_run")
+    return rows.select(
+        "claim_id", fails.alias("contradictions"), checks.alias("checks"), F.round(F.when(checks > 0, fails / checks).otherwise(0.0), 4).alias("consistency_score"), "graph_contradictions", "graph_checks", "db_contradictions", "db_checks_run",
+        "contradiction_details", "company_found_in_registry", "company_is_blacklisted", "typosquatting_suspected", "typosquatting_target",
+    )
 
 
 def registry_report(checked: DataFrame) -> DataFrame:

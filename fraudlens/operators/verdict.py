@@ -58,21 +58,38 @@ def reasons(reasoning: Column, contradiction: Column, details: Column, signals:
 
 
 def evidence_bundle(rows: DataFrame) -> DataFrame:
-    """msg_id and the evidence text: fixed sections, ``N/A`` for what is missing, media lines where there are any."""
-    na = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    """msg_id and the evidence text: fixed sections, ``N/A`` for entities that
+    are missing, empty or 0, ``None`` for missing layer results, media lines where there are any."""
+    kinds = dict(rows.dtypes)
+
+    def named(c: str) -> Column:
+        x = F.col(c)
+        return F.coalesce(F.when(x != (F.lit("") if kinds[c] == "string" else F.lit(0)), x.cast("string")), F.lit("N/A"))
+
+    def told(c: str) -> Column:
+        x = F.col(c).cast("string") if c in kinds else F.lit(None).cast("string")
+        if kinds.get(c) == "boolean":
+            x = F.initcap(x)
+        if kinds.get(c) == "double":  # four places at most, without an exponent
+            x = F.regexp_replace(F.regexp_replace(F.col(c).cast("decimal(20,4)").cast("string"), "0+$", ""), "[.]$", ".0")
+        return F.coalesce(x, F.lit("None"))
+
     listed = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))).otherwise("N/A")
+    title = lambda x: [F.lit(""), F.lit(f"=== {x} ===")]
     line = lambda name, x: F.concat(F.lit(name + ": "), x)
-    fixed = [
-        F.lit("=== MESSAGE ==="), text.stripped(F.coalesce("text", F.lit(""))), F.lit(""), F.lit("=== EXTRACTED ENTITIES ==="),
-        line("Company", na("company")), line("Phones", listed("phones")), line("Salary claimed", na("salary")), line("Fee requested", na("fee")), line("Claimed location", na("location")),
-        line("Job role", na("role")), line("UPI IDs", listed("upi_ids")), line("Urgency phrases", listed("urgency_flags")), F.lit(""), F.lit("=== LAYER 1 - EMBEDDING SIMILARITY ==="),
-        line("Embedding scam score", na("embedding_score")), F.lit(""), F.lit("=== LAYER 2 - CROSS-REFERENCE CONSISTENCY ==="), line("Total contradictions", na("contradictions")), line("Checks run", na("checks")),
-        line("DB details", listed("contradiction_details")), F.lit(""), F.lit("=== LAYER 3 - PROPAGATION ANALYSIS ==="), line("Seen count", na("seen_count")), line("Source channels", na("source_channels_count")),
-        line("Broadcast score", na("propagation_score")), line("Broadcast pattern", na("is_broadcast")),
+    lines = [
+        *title("MESSAGE")[1:], text.stripped(F.coalesce("text", F.lit(""))),
+        *title("EXTRACTED ENTITIES"), line("Company", named("company")), line("Phones", listed("phones")), line("Salary claimed", named("salary")), line("Fee requested", named("fee")),
+        line("Claimed location", named("location")), line("Job role", named("role")), line("UPI IDs", listed("upi_ids")), line("Urgency phrases", listed("urgency_flags")),
+        *title("LAYER 1 - EMBEDDING SIMILARITY"), line("Similarity to legitimate cluster", told("sim_to_legitimate")), line("Similarity to scam cluster", told("sim_to_scam")),
+        line("Boundary distance", told("boundary_distance")), line("Embedding scam score", told("embedding_score")),
+        *title("LAYER 2 - CROSS-REFERENCE CONSISTENCY"), line("Total contradictions", told("contradictions")), line("Checks run", told("checks")), line("DB details", listed("contradiction_details")),
+        *title("LAYER 3 - PROPAGATION ANALYSIS"), line("Seen count", told("seen_count")), line("Source channels", told("source_channels_count")), line("Forwarded many times", told("forwarded_flag")),
+        line("Broadcast score", told("propagation_score")), line("Broadcast pattern", told("is_broadcast")),
     ]
     media = F.transform(F.map_entries(F.coalesce("media_context", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    extra = F.when(F.size(media) > 0, F.concat(F.array(F.lit(""), F.lit("=== MEDIA CONTEXT ===")), media)).otherwise(F.array().cast("array<string>"))
-    return rows.select("msg_id", F.array_join(F.concat(F.array(*fixed), extra), "\n").alias("evidence"))
+    extra = F.when(F.size(media) > 0, F.concat(F.array(*title("MEDIA CONTEXT")), media)).otherwise(F.array().cast("array<string>"))
+    return rows.select("msg_id", F.array_join(F.concat(F.array(*lines), extra), "\n").alias("evidence"))
 
 
 def verdict_rows(layers: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -140,17 +157,19 @@ def reply_table(results: DataFrame) -> DataFrame:
     """The reply to each result (msg_id, risk_score, reasons, language), in English or Hindi."""
     percent = scores.score_percent(F.col("risk_score"))
     band = scores.reply_band(percent)
-    pick = lambda danger, doubt, low: F.when(band == "DANGER", danger).when(band == "SUSPICIOUS", doubt).otherwise(low)
     three = F.slice(F.coalesce("reasons", F.array().cast("array<string>")), 1, 3)
-    bullets = lambda items, none: F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda r: F.concat(F.lit("* "), r)), "\n")).otherwise(F.lit("* " + none))
-    english = F.concat_ws(
-        "\n", F.lit("*Job safety check*"), F.concat(F.lit("Verdict: "), band), F.concat(F.lit("Risk Score: "), percent.cast("string"), F.lit("%")), F.lit("Reasons:"), bullets(F.transform(three, lambda r: F.trim(r)), "No clear red flags found"),
-        F.concat(F.lit("Advice: "), pick("Do not send any payment. Verify the company and contact first.", "Avoid payment for now. Verify company registration and contact details.", "Risk appears low, but still verify details before you act.")),
-    )
-    hindi = F.concat_ws(
-        "\n", F.lit("*जॉब सेफ्टी चेक*"), F.concat(F.lit("वर्डिक्ट: "), pick("खतरा", "संदिग्ध", "कम जोखिम")), F.concat(F.lit("रिस्क स्कोर: "), percent.cast("string"), F.lit("%")), F.lit("कारण:"), bullets(_translated(three, C.REASONS_HI), "कोई स्पष्ट रेड फ्लैग नहीं मिला"),
-        F.concat(F.lit("सलाह: "), pick("कोई भुगतान न करें। कंपनी और नंबर सत्यापित किए बिना आगे न बढ़ें।", "अभी भुगतान न करें। कंपनी पंजीकरण और संपर्क विवरण जांचें।", "फिलहाल जोखिम कम लगता है, फिर भी सत्यापन करके ही निर्णय लें।")),
-    )
+
+    def reply(words: dict, reasons: Column) -> Column:
+        """Fixed parts (see constants) round the verdict, score, reasons and advice."""
+        pick = lambda kind: F.when(band == "DANGER", words[kind][0]).when(band == "SUSPICIOUS", words[kind][1]).otherwise(words[kind][2])
+        bullets = F.when(F.size(reasons) > 0, F.array_join(F.transform(reasons, lambda r: F.concat(F.lit("* "), r)), "\n")).otherwise(F.lit("* " + words["none"]))
+        score = F.concat(F.lit(words["score"] + ": "), percent.cast("string"), F.lit("%"))
+        said = (F.concat(F.lit(words[k] + sep), x) for k, sep, x in (("verdict", ": ", pick("verdicts")), ("why", ":\n", bullets), ("advice", ": ", pick("advices"))))
+        verdict, why, advice = said
+        head = F.concat_ws("\n", F.lit(f"*{words['title']}*"), F.lit("-" * 31), verdict, score)
+        return F.concat_ws("\n\n", head, why, advice, F.lit(words["switch"] + "\n" + words["foot"]))
+
+    english, hindi = reply(C.REPLY_EN, F.transform(three, lambda r: F.trim(r))), reply(C.REPLY_HI, _translated(three, C.REASONS_HI))
     return results.select("msg_id", "language", percent.cast("long").alias("percent"), F.when(F.col("language") == "hi", hindi).otherwise(english).alias("reply"))
 
 

@@ -73,6 +73,21 @@ def heatmap_points(spark, sf):
     return dashboard.heatmap_points(dashboard.report_heatmap(A.reports_view(spark, sf)), _coordinates(spark, sf))
 
 
+@query(sql.with_reports(sql.HEAT_POINTS + " ORDER BY count DESC, label LIMIT 3"))
+def top_locations(spark, sf):
+    return dashboard.top_locations(dashboard.heatmap_points(dashboard.report_heatmap(A.reports_view(spark, sf)), _coordinates(spark, sf)), 3)
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+00:00') END AS iso FROM events""")
+def timestamp_parse(spark, sf):
+    """Times as texts of several forms: ``Z``, an offset, naive, a broken one and none."""
+    e, n = A.table(spark, sf, "events"), F.col("event_id") % 5
+    said = F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    shifted = F.concat(F.date_format(F.date_trunc("second", "ts") + F.expr("INTERVAL '05:30' HOUR TO MINUTE"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))
+    form = F.when(n == 0, F.concat(said, F.lit("Z"))).when(n == 1, shifted).when(n == 2, said).when(n == 3, F.concat(F.lit("at "), said))
+    return e.select("event_id", text.iso_timestamp(text.parsed_timestamp(form)).alias("iso"))
+
+
 @query(sql.with_reports(sql.TREND))
 def report_trend(spark, sf):
     return dashboard.report_trend(A.reports_view(spark, sf), 7)
@@ -181,12 +196,12 @@ def extract_amounts(spark, sf):
     return A.job_messages_view(spark, sf).select("msg_id", text.amount(t, C.SALARY_WORDS).alias("salary"), text.amount(t, C.FEE_WORDS).alias("fee"))
 
 
-@query()
+@query("WITH " + sql.ENTITIES + " SELECT msg_id, agent, company, role FROM ent")
 def extract_parties(spark, sf):
     return entities.entity_columns(A.job_messages_view(spark, sf)).select("msg_id", "agent", "company", "role")
 
 
-@query()
+@query("WITH " + sql.ENTITIES + " SELECT msg_id, location FROM ent")
 def extract_location(spark, sf):
     return A.job_messages_view(spark, sf).select("msg_id", text.location(F.col("text")).alias("location"))
 
@@ -200,22 +215,22 @@ def _entities(spark, sf):
     return entities.entity_columns(A.job_messages_view(spark, sf))
 
 
-@query()
+@query("WITH " + sql.ENTITIES + " SELECT ent.*, sender, forwarded FROM ent JOIN messages USING (msg_id)")
 def entities_struct(spark, sf):
     return _entities(spark, sf).drop("n_chars")
 
 
-@query()
+@query("WITH " + sql.ENTITIES + sql.ENTITY_TABLE + " SELECT * FROM entity_table")
 def entity_table(spark, sf):
     return entities.entity_table(A.job_messages_view(spark, sf))
 
 
-@query()
+@query("WITH " + sql.ENTITIES + sql.ENTITY_TABLE + sql.PREVALENCE)
 def entity_prevalence(spark, sf):
     return entities.entity_prevalence(A.job_messages_view(spark, sf))
 
 
-@query()
+@query("WITH " + sql.ENTITIES + sql.AMOUNT_PROFILE)
 def amount_profile(spark, sf):
     return entities.amount_profile(A.job_messages_view(spark, sf))
 
@@ -317,6 +332,12 @@ def consecutive_dedupe(spark, sf):
     return propagation.consecutive_dedupe(A.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+@query("SELECT user_id, event_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events) t WHERE a IS NULL OR epoch_us(a) - epoch_us(ts) >= 3600000000")
+def debounced_events(spark, sf):
+    """Requests that their client does not follow up within an hour."""
+    return propagation.debounced(A.table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", ("ts", "event_id"), gap_ms=3_600_000)
+
+
 @query("SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) t WHERE n = 1")
 def latest_per_user(spark, sf):
     return propagation.latest_per_user(A.table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id")
@@ -387,6 +408,11 @@ def cooccurrence_edges(spark, sf):
 
 @query(sql.with_reports(sql.CONSISTENCY))
 def consistency_counts(spark, sf):
+    return _graph_counts(spark, sf)
+
+
+def _graph_counts(spark, sf):
+    """Counts over the graph of reports and licences."""
     rows = _report_entities(spark, sf)
     edges = graph.graph_edges(rows)
     licences = A.table(spark, sf, "part").select(F.concat("p_brand", F.lit(" "), (F.col("p_partkey") % 20).cast("string")).alias("company"), F.col("p_type").alias("role"), (F.col("p_size") % 3).cast("string").alias("licence"))
@@ -446,6 +472,16 @@ def registry_report(spark, sf):
     return registry.registry_report(_checked(spark, sf))
 
 
+_CONSISTENCY_ONE = sql.CONSISTENCY.replace("SELECT contradictions, checks, round", ", one AS (SELECT contradictions AS gc, checks AS gk, round") + ")"
+
+
+@query("WITH " + sql.REPORTS + ", " + _CONSISTENCY_ONE + ", " + sql.CLAIMS + sql.FUZZY + sql.COUNTRIES + sql.CHECK + """ SELECT claim_id, CAST(gc + db_contradictions AS BIGINT) AS contradictions, CAST(gk + db_checks_run AS BIGINT) AS checks,
+  round((gc + db_contradictions) / (gk + db_checks_run), 4) AS consistency_score, gc AS graph_contradictions, gk AS graph_checks, db_contradictions, db_checks_run,
+  contradiction_details, company_found_in_registry, company_is_blacklisted, typosquatting_suspected, typosquatting_target FROM checked, one""")
+def full_consistency(spark, sf):
+    return registry.full_consistency(_graph_counts(spark, sf), _checked(spark, sf))
+
+
 # --- embeddings ----------------------------------------------------------
 
 
@@ -460,6 +496,17 @@ def embedding_score(spark, sf):
     return embedding.embedding_score(v, embedding.centroids(v))
 
 
+@query("WITH " + sql.CENTROIDS + ", " + sql.EMBEDDING_SCORE.lstrip(", ").replace("SELECT vec_id, round(l, 4)", ", scored AS (SELECT vec_id, round(l, 4)") + """)
+SELECT d.doc_id AS vec_id, CASE WHEN d.doc_id % 4 = 0 THEN 0.0 ELSE sim_to_legitimate END AS sim_to_legitimate, CASE WHEN d.doc_id % 4 = 0 THEN 0.0 ELSE sim_to_scam END AS sim_to_scam,
+  CASE WHEN d.doc_id % 4 = 0 THEN 0.0 ELSE boundary_distance END AS boundary_distance, CASE WHEN d.doc_id % 4 = 0 OR s.vec_id IS NULL THEN 0.5 ELSE embedding_score END AS embedding_score,
+  CASE WHEN d.doc_id % 4 = 0 THEN 'empty_input' WHEN s.vec_id IS NULL THEN 'no_embedding' ELSE 'ok' END AS status FROM documents d LEFT JOIN scored s ON d.doc_id = s.vec_id""")
+def message_embedding_score(spark, sf):
+    """Messages with the vector of their id; every fourth text is blanked."""
+    v, d = A.vectors_view(spark, sf), A.table(spark, sf, "documents")
+    rows = d.select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 4 == 0, F.lit(" \n\t")).otherwise(F.col("text")).alias("text")).join(v.select("vec_id", "embedding"), "vec_id", "left")
+    return embedding.embedding_score(rows, embedding.centroids(v))
+
+
 @query("SELECT vec_id, len(embedding) AS length, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE round(CAST(embedding[1] AS DOUBLE), 4) END AS first FROM embeddings")
 def vector_parse(spark, sf):
     v = A.table(spark, sf, "embeddings")
@@ -501,7 +548,7 @@ def _layers(spark, sf):
     out = history.join(lengths, "msg_id").withColumn("signals", scores.propagation_signals(*args))
     checked = _checked(spark, sf).select(F.col("claim_id").alias("msg_id"), "contradiction_details", F.col("db_contradictions").alias("contradictions"), F.col("db_checks_run").alias("checks"))
     v = A.vectors_view(spark, sf)
-    layer = embedding.embedding_score(v, embedding.centroids(v)).select(F.col("vec_id").alias("msg_id"), "embedding_score")
+    layer = embedding.embedding_score(v, embedding.centroids(v)).select(F.col("vec_id").alias("msg_id"), "embedding_score", "sim_to_legitimate", "sim_to_scam", "boundary_distance")
     return out.join(checked, "msg_id", "left").join(layer, "msg_id", "left")
 
 
@@ -509,9 +556,10 @@ def _results(spark, sf):
     return verdict.verdict_rows(_layers(spark, sf), _verdicts(spark, sf))
 
 
-@query()
+@query(sql.with_results(" SELECT * FROM results"))
 def verdict_rows(spark, sf):
-    return _results(spark, sf)
+    layers = {"layer_embedding": "embedding", "layer_contradictions": "consistency_contradictions", "layer_propagation": "propagation", "layer_confidence": "llm_confidence"}
+    return _results(spark, sf).withColumns({c: F.col(f"layer_scores.{x}") for c, x in layers.items()}).drop("layer_scores")
 
 
 @query("WITH " + sql.RAW + sql.VERDICTS + ", r AS (SELECT coalesce(nullif(risk_score, 0), 0.52) AS s, verdict, coalesce(nullif(confidence, 0), 55) AS c FROM verdicts) SELECT CASE WHEN s < 0.35 THEN 'LOW' WHEN s <= 0.65 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, verdict, count(*) AS messages, round(avg(c), 4) AS avg_confidence FROM r GROUP BY 1, 2")
@@ -519,7 +567,7 @@ def verdict_table(spark, sf):
     return verdict.verdict_table(_results(spark, sf))
 
 
-@query()
+@query(sql.with_results(" SELECT msg_id, reasons FROM results"))
 def reasons(spark, sf):
     return _results(spark, sf).select("msg_id", "reasons")
 
@@ -534,12 +582,12 @@ def high_risk_reports(spark, sf):
     return verdict.high_risk_reports(_results(spark, sf)).select("msg_id", "risk_score")
 
 
-@query()
+@query(sql.with_results(sql.REPORT_ROWS, entities=True))
 def report_rows(spark, sf):
     return verdict.report_rows(_results(spark, sf).join(_entities(spark, sf).drop("source_channel", "n_chars"), "msg_id"))
 
 
-@query()
+@query(sql.with_results(sql.EVIDENCE, entities=True))
 def evidence_bundle(spark, sf):
     found = _entities(spark, sf).join(A.messages_view(spark, sf).select("msg_id", "text"), "msg_id")
     layers = _layers(spark, sf).withColumn("is_broadcast", F.col("propagation_score") >= C.BROADCAST_FROM).drop("source_channel", "ts")
@@ -559,12 +607,12 @@ def reply_language(spark, sf):
     return _languages(spark, sf)
 
 
-@query()
+@query(sql.with_results(sql.REPLY_TABLE, entities=True))
 def reply_table(spark, sf):
     return verdict.reply_table(_results(spark, sf).join(_languages(spark, sf), "msg_id"))
 
 
-@query()
+@query(sql.with_results(sql.REPLY_TEXT))
 def reply_text(spark, sf):
     return verdict.roman_reply(_results(spark, sf))
 
@@ -613,8 +661,7 @@ def brand_impersonation(spark, sf):
 
 
 def _forgery(spark, sf):
-    fields = media_text.document_fields(A.letters_view(spark, sf))
-    return media_text.document_forgery(fields, media_text.brand_impersonation(fields))
+    return media_text.document_forgery(media_text.document_fields(A.letters_view(spark, sf)))
 
 
 @query("WITH " + sql.LETTERS + sql.BRANDS + sql.FORGERY + " SELECT doc_id, score, risk, reasons FROM forgery")
@@ -637,4 +684,10 @@ def media_inventory(spark, sf):
     return media_text.media_inventory(files)
 
 
-QUERIES["entities"] = QUERIES.pop("entities_struct")
+@query("SELECT page_id, n AS width, m AS height, CASE WHEN n * m >= 1000000 THEN 'good' WHEN n * m >= 200000 THEN 'low' ELSE 'very_low' END AS quality FROM (SELECT page_id, length(html) AS n, CAST(page_id % 900 AS INT) AS m FROM pages) t")
+def image_quality(spark, sf):
+    """Pages as pictures: as wide as their html is long."""
+    return media_text.image_quality(A.table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("width"), (F.col("page_id") % 900).cast("int").alias("height")))
+
+
+QUERIES["entities"], ORACLE_SQL["entities"] = QUERIES.pop("entities_struct"), ORACLE_SQL.pop("entities_struct")

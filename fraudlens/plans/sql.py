@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from fraudlens import constants as C
-from fraudlens.functions import text as T
-from fraudlens.operators import media_text as M
 from fraudlens.sources import adapters as A
 
 
@@ -56,7 +54,7 @@ SELECT count(*) AS total_reports, count(DISTINCT phone) AS suspicious_numbers,
   (SELECT count(*) FROM (SELECT company FROM r GROUP BY company HAVING count(*) = 1) c) AS companies_seen_once,
   (SELECT count(*) FROM (SELECT company FROM r GROUP BY company HAVING count(*) = 1) c) AS verified_companies
 FROM r"""
-RECENT = f"""SELECT id, scam_phone AS phone, 'Company: ' || company_name || ' | Role: ' || job_role || CASE WHEN fee <> 0 THEN ' | Fee: ' || fee ELSE '' END AS message,
+RECENT = f"""SELECT id, scam_phone AS phone, company_name || ' | ' || job_role || CASE WHEN fee <> 0 THEN ' | Fee ' || fee ELSE '' END || ' | ' || upi_id AS message,
   {risk_label('risk_score')} AS risk, location, strftime(report_time, '%Y-%m-%d %I:%M %p') AS timestamp
 FROM (SELECT * FROM reports ORDER BY report_time DESC, id LIMIT 50) t"""
 HEAT_POINTS = """h AS (SELECT trim(location) AS state, count(*) AS count FROM reports GROUP BY 1),
@@ -135,15 +133,61 @@ def _first_seen(items: str) -> str:
     return f"list_filter({items}, lambda x, i: x IS NOT NULL AND list_position({items}, x) = i)"
 
 
-EXTRACT_PHONES = f"WITH {JOB_MESSAGES}, f AS (SELECT msg_id, list_transform(regexp_extract_all(text, {_re(T.PHONE_PATTERN)}, 1), lambda c: {_canonical('c')}) AS p FROM job_messages) SELECT msg_id, {_first_seen('p')} AS phones FROM f"
-EXTRACT_UPIS = f"WITH {JOB_MESSAGES}, f AS (SELECT msg_id, list_transform(regexp_extract_all(text, {_re(T.UPI_PATTERN + T.END)}, 1), lambda c: lower(c)) AS u FROM job_messages) SELECT msg_id, {_first_seen('u')} AS upi_ids FROM f"
+EXTRACT_PHONES = rf"WITH {JOB_MESSAGES}, f AS (SELECT msg_id, list_transform(regexp_extract_all(text, '(?:^|\W)(\+?\d[\d\s()\-]{{8,}}\d)', 1), lambda c: {_canonical('c')}) AS p FROM job_messages) SELECT msg_id, {_first_seen('p')} AS phones FROM f"
+EXTRACT_UPIS = rf"WITH {JOB_MESSAGES}, f AS (SELECT msg_id, list_transform(regexp_extract_all(text, '\b[a-zA-Z0-9.\-_]{{2,}}@[a-zA-Z]{{2,}}\b'), lambda c: lower(c)) AS u FROM job_messages) SELECT msg_id, {_first_seen('u')} AS upi_ids FROM f"
 
 
 def _amount(words) -> str:
-    found = (f"nullif(regexp_extract(text, {_re(p)}, 1), '')" for p in T.amount_patterns(words))
+    """The number after a word, else before one; written for itself, with this engine's word bounds."""
+    key, number = "|".join(words), r"\b(?:\d{1,3}(?:,\d{2,3})+|\d+)(?:\.\d+)?\b"
+    found = (
+        f"nullif(regexp_extract(text, '{p}', 1), '')"
+        for p in (rf"(?i)\b(?:{key})\b\s*(?::|=|is)?\s*(?:rs\.?|inr|aed)?\s*({number})", rf"(?i)({number})\s*(?:rs\.?|inr|aed)?\s*\b(?:{key})\b")
+    )
     return f"CAST(trunc(CAST(replace(coalesce({', '.join(found)}), ',', '') AS DOUBLE)) AS BIGINT)"
 
 
+def _clean(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '^[ \-,:.;]+|[ \-,:.;]+$', '', 'g')"
+
+
+def _title(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+def _found(pattern: str, x: str = "text") -> str:
+    return f"nullif(regexp_extract({x}, '{pattern}', 1), '')"
+
+
+_STOPS = rf"\b(?:{'|'.join(C.STOP_TOKENS)})\b"
+_PLACES = (
+    r"(?i)\b(?:location|loc|place)\s*[:=-]?\s*([A-Za-z][A-Za-z\s,.-]{2,60})",
+    r"(?i)\b(?:based\s+in|posted\s+in|work\s+location)\s*[:=-]?\s*([A-Za-z][A-Za-z\s,.-]{2,60})",
+    r"(?i)\b(?:in|at|from|to)\s+([A-Za-z][A-Za-z\s,.-]{2,50})",
+)
+_NAMED = ", ".join("nullif(" + _clean(f"trim(regexp_replace({_clean(_found(p))}, '(?is){_STOPS}.*$', ''))") + ", '')" for p in _PLACES)
+_KNOWN = f"list_filter({_list(sorted(C.LOCATIONS, key=lambda w: -len(w)))}, lambda w: regexp_matches(lower(text), '\\b' || w || '\\b'))[1]"
+_FIRM = r"([A-Za-z][A-Za-z0-9&.,''\- \s]{1,60}?)"
+_COMPANY = ", ".join(f"nullif({_clean(_found(p))}, '')" for p in (rf"(?i)\b(?:company|organization|firm)\s*[:=-]?\s*{_FIRM}(?:{_STOPS}|$)", rf"(?i)\b(?:at|from)\s+{_FIRM}(?:{_STOPS}|$)"))
+_TAGGED = _found(rf"(?i)\b(?:role|position|job|vacancy|opening|designation)\s*(?::|as|for)?\s+([A-Za-z][A-Za-z\s]{{1,50}}?)(?:{_STOPS}|$)")
+_HEAD = r"regexp_replace(CASE WHEN location IS NULL THEN text ELSE regexp_replace(text, '(?is)\b' || replace(location, '.', '\.') || '\b.*$', '') END, '(?is)\b(?:salary|fee|registration|call|contact|agent|broker|phone|company|location)\b.*$', '')"
+ENTITIES = JOB_MESSAGES + f""", e0 AS (SELECT msg_id, ts, source_channel, text, coalesce({_NAMED}) AS named, {_KNOWN} AS known, {_title(_clean(_found(r"(?i)\b(?:agent|broker|contact(?:\s+person)?)\s*[:=-]?\s*([A-Za-z][A-Za-z.''-]*)")))} AS agent,
+  {_title(f"coalesce({_COMPANY})")} AS company, {_amount(C.SALARY_WORDS)} AS salary, {_amount(C.FEE_WORDS)} AS fee, list_filter({_list(C.URGENCY_PHRASES)}, lambda p: contains(lower(text), p)) AS urgency_flags,
+  list_transform(regexp_extract_all(text, '(?:^|\\W)(\\+?\\d[\\d\\s()\\-]{{8,}}\\d)', 1), lambda c: {_canonical('c')}) AS p, list_transform(regexp_extract_all(text, '\\b[a-zA-Z0-9.\\-_]{{2,}}@[a-zA-Z]{{2,}}\\b'), lambda c: lower(c)) AS u FROM job_messages),
+e1 AS (SELECT *, {_title("coalesce(array_to_string(string_split(named, ' ')[1:5], ' '), known)")} AS location FROM e0),
+e2 AS (SELECT *, nullif({_clean(_TAGGED)}, '') AS tagged, nullif({_clean(_HEAD)}, '') AS head FROM e1),
+ent AS (SELECT msg_id, ts, source_channel, location, fee, urgency_flags, coalesce(tagged, CASE WHEN len(string_split(head, ' ')) <= 6 AND lower(head) NOT IN ('urgent', 'immediate', 'apply now', 'apply today') THEN head END) AS role,
+  {_first_seen('p')} AS phones, {_first_seen('u')} AS upi_ids, salary, agent, company, fee IS NOT NULL AS has_fee, len(urgency_flags) > 0 AS has_urgency FROM e2)"""
+ENTITY_TABLE = """, items AS (
+  SELECT msg_id, 'phone' AS entity_type, unnest(phones) AS value, generate_subscripts(phones, 1) - 1 AS pos FROM ent
+  UNION ALL SELECT msg_id, 'upi', unnest(upi_ids), generate_subscripts(upi_ids, 1) - 1 FROM ent UNION ALL SELECT msg_id, 'urgency', unnest(urgency_flags), generate_subscripts(urgency_flags, 1) - 1 FROM ent
+  UNION ALL SELECT msg_id, 'salary', CAST(salary AS VARCHAR), 0 FROM ent UNION ALL SELECT msg_id, 'fee', CAST(fee AS VARCHAR), 0 FROM ent UNION ALL SELECT msg_id, 'role', role, 0 FROM ent
+  UNION ALL SELECT msg_id, 'location', location, 0 FROM ent UNION ALL SELECT msg_id, 'agent', agent, 0 FROM ent UNION ALL SELECT msg_id, 'company', company, 0 FROM ent),
+entity_table AS (SELECT msg_id, entity_type, value, CAST(pos AS BIGINT) AS pos FROM items WHERE value IS NOT NULL)"""
+PREVALENCE = """ SELECT entity_type, value, count(*) AS messages, count(DISTINCT source_channel) AS channels, min(ts) AS first_seen, max(ts) AS last_seen
+FROM (SELECT DISTINCT msg_id, entity_type, value FROM entity_table) i JOIN ent USING (msg_id) GROUP BY 1, 2"""
+AMOUNT_PROFILE = """ SELECT coalesce(location, 'unknown') AS location, count(*) AS messages, min(salary) AS min_salary, max(salary) AS max_salary, min(fee) AS min_fee, max(fee) AS max_fee,
+  round(avg(salary), 4) AS avg_salary, round(avg(fee), 4) AS avg_fee, round(avg(CAST(fee IS NOT NULL AS DOUBLE)), 6) AS fee_share FROM ent GROUP BY 1"""
 EXTRACT_AMOUNTS = f"WITH {JOB_MESSAGES} SELECT msg_id, {_amount(C.SALARY_WORDS)} AS salary, {_amount(C.FEE_WORDS)} AS fee FROM job_messages"
 URGENCY = f"WITH {JOB_MESSAGES} SELECT msg_id, list_filter({_list(C.URGENCY_PHRASES)}, lambda p: contains(lower(text), p)) AS flags FROM job_messages"
 _WORDS = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
@@ -180,8 +224,8 @@ _SCORED = f""", scored AS (SELECT message_hash, seen_count, CAST(len(source_chan
     CASE WHEN len(source_channels) >= 2 THEN 'cross_channel_spread' END, CASE WHEN text_length < 180 THEN 'short_broadcast_style_message' END], lambda x: x IS NOT NULL) AS signals FROM fps)"""
 PROPAGATION_SCORE = _SCORED + " SELECT *, propagation_score >= 0.5 AS is_broadcast FROM scored"
 FINGERPRINT_TABLE = _SCORED + " SELECT propagation_score >= 0.5 AS is_broadcast, source_channels_count, count(*) AS fingerprints, CAST(sum(seen_count) AS BIGINT) AS messages FROM scored GROUP BY 1, 2"
-HISTORY = _HASHED.removeprefix(MESSAGES) + f""", f AS (SELECT *, row_number() OVER (PARTITION BY message_hash, channel ORDER BY ts, msg_id) = 1 AS first FROM hashed),
-w AS (SELECT *, row_number() OVER o AS seen_count, CAST(sum(CAST(first AS INT)) OVER o AS BIGINT) AS source_channels_count, bool_or(forwarded) OVER o AS forwarded_flag FROM f
+HISTORY = _HASHED.removeprefix(MESSAGES) + f""", arrivals AS (SELECT *, row_number() OVER (PARTITION BY message_hash, channel ORDER BY ts, msg_id) = 1 AS first FROM hashed),
+w AS (SELECT *, row_number() OVER o AS seen_count, CAST(sum(CAST(first AS INT)) OVER o AS BIGINT) AS source_channels_count, bool_or(forwarded) OVER o AS forwarded_flag FROM arrivals
       WINDOW o AS (PARTITION BY message_hash ORDER BY ts, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT msg_id, message_hash, seen_count = 1 AS is_new_message, seen_count, source_channels_count, forwarded_flag, {_score('forwarded_flag', 'seen_count', 'source_channels_count', 'text_length')} AS propagation_score FROM w"""
 UPSERT = "SELECT user_id, event_type, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) t WHERE n = 1"
@@ -289,6 +333,95 @@ verdicts AS (SELECT msg_id, verdict,
   CASE WHEN j IS NULL THEN 'System busy hai, verification ke bina payment na karein.' WHEN verdict = 'HIGH_RISK' THEN 'Yeh offer high risk lag raha hai, paise mat bhejiye.' WHEN verdict = 'SUSPICIOUS' THEN 'Is offer ko verify kiye bina koi payment mat kijiye.' ELSE 'Offer filhal theek lagta hai, fir bhi details verify kar lijiye.' END AS hindi_worker_message,
   CASE verdict WHEN 'SAFE' THEN 0.12::DOUBLE WHEN 'HIGH_RISK' THEN 0.92::DOUBLE ELSE 0.52::DOUBLE END AS risk_score FROM v0)"""
 
+_FILLED = "lambda x: x IS NOT NULL AND trim(x) <> ''"
+_SIGNALS = """list_filter([CASE WHEN forwarded_flag THEN 'whatsapp_forwarded_many_times' END, CASE WHEN seen_count >= 3 THEN 'seen_in_3_or_more_messages' END, CASE WHEN seen_count >= 10 THEN 'high_repeat_volume' END,
+    CASE WHEN source_channels_count >= 2 THEN 'cross_channel_spread' END, CASE WHEN text_length < 180 THEN 'short_broadcast_style_message' END], lambda x: x IS NOT NULL)"""
+_RUNNING = HISTORY.rsplit("\nSELECT ", 1)[0]
+LAYERS = f"""{_RUNNING.removeprefix(", ")}, scores AS ({EMBEDDING_SCORE.removeprefix(", ").replace("v AS (SELECT", "WITH v AS (SELECT", 1)}),
+layers AS (SELECT w.msg_id, w.channel AS source_channel, w.ts, seen_count, source_channels_count, forwarded_flag, {_score('forwarded_flag', 'seen_count', 'source_channels_count', 'text_length')} AS propagation_score, {_SIGNALS} AS signals,
+  k.contradiction_details, k.db_contradictions AS contradictions, k.db_checks_run AS checks, s.embedding_score, s.sim_to_legitimate, s.sim_to_scam, s.boundary_distance
+  FROM w LEFT JOIN checked k ON k.claim_id = w.msg_id LEFT JOIN scores s ON s.vec_id = w.msg_id)"""
+RESULTS = f""", r0 AS (SELECT l.*, v.verdict, v.reasoning, v.key_contradiction, v.hindi_worker_message, coalesce(nullif(v.risk_score, 0), {C.DEFAULT_SCORE}::DOUBLE) AS score, CAST(coalesce(nullif(v.confidence, 0), {C.FAILED_CONFIDENCE}) AS BIGINT) AS confidence,
+  list_filter([trim(v.reasoning), v.key_contradiction], {_FILLED}) AS head FROM layers l LEFT JOIN verdicts v USING (msg_id)),
+r1 AS (SELECT *, list_concat(head, list_transform(list_filter(coalesce(contradiction_details, []), {_FILLED}), lambda x: trim(x))[1:greatest(1, 4 - len(head))]) AS taken FROM r0),
+r2 AS (SELECT *, list_concat(taken, list_transform(signals, lambda x: replace(x, '_', ' '))[1:greatest(1, 5 - len(taken))]) AS told FROM r1),
+r3 AS (SELECT *, list_filter(told, lambda x, i: list_position(list_transform(told, lambda y: lower(y)), lower(x)) = i)[1:5] AS once FROM r2),
+results AS (SELECT msg_id, round(score, 2) AS risk_score, CASE WHEN score < {C.LEVEL_LOW_BELOW} THEN 'LOW' WHEN score <= {C.LEVEL_HIGH_ABOVE} THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, score >= {C.SCAM_FROM} AS is_scam, coalesce(verdict, 'SUSPICIOUS') AS verdict,
+  confidence, CASE WHEN len(once) > 0 THEN once ELSE ['No major contradiction identified.'] END AS reasons, key_contradiction, hindi_worker_message, coalesce(trim(reasoning), '') AS english_summary, embedding_score AS layer_embedding,
+  contradictions AS layer_contradictions, propagation_score AS layer_propagation, confidence AS layer_confidence, source_channel AS source FROM r3)"""
+
+
+def with_results(rest: str, entities: bool = False) -> str:
+    """All layers and verdicts of the messages, then ``rest``."""
+    parts = [ENTITIES if entities else MESSAGES, CLAIMS + FUZZY + COUNTRIES + CHECK, CENTROIDS, LAYERS, RAW + VERDICTS + RESULTS]
+    return "WITH " + ", ".join(x.strip().removeprefix(",") for x in parts) + rest
+
+
+_PERCENT = score_to_int("risk_score")
+REPORT_ROWS = f""" SELECT r.msg_id, nullif(trim(e.phones[1]), '') AS scam_phone, nullif(trim(e.upi_ids[1]), '') AS upi_id, nullif(trim(e.company), '') AS company_name, nullif(trim(e.role), '') AS job_role, nullif(trim(e.location), '') AS location,
+  e.salary, e.fee, {_PERCENT} AS risk_score, 0.0::DOUBLE AS trust_weight, e.ts AS report_time, r.source FROM results r JOIN ent e USING (msg_id) WHERE r.risk_score > {C.STORE_ABOVE}"""
+
+
+def _told(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+
+
+def _flag(x: str) -> str:
+    return f"CASE WHEN {x} THEN 'True' WHEN NOT {x} THEN 'False' ELSE 'None' END"
+
+
+def _quoted(x: str) -> str:
+    return f"CASE WHEN len({x}) > 0 THEN '[''' || array_to_string({x}, ''', ''') || ''']' ELSE 'N/A' END"
+
+
+def _na(x: str, none: str) -> str:
+    return f"coalesce(CAST(nullif({x}, {none}) AS VARCHAR), 'N/A')"
+
+
+_EVIDENCE = (
+    ("=== MESSAGE ===", None), ("", r"regexp_replace(coalesce(m.text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"), ("", None),
+    ("=== EXTRACTED ENTITIES ===", None), ("Company: ", _na("company", "''")), ("Phones: ", _quoted("phones")), ("Salary claimed: ", _na("salary", "0")), ("Fee requested: ", _na("fee", "0")), ("Claimed location: ", _na("location", "''")),
+    ("Job role: ", _na("role", "''")), ("UPI IDs: ", _quoted("upi_ids")), ("Urgency phrases: ", _quoted("urgency_flags")), ("", None),
+    ("=== LAYER 1 - EMBEDDING SIMILARITY ===", None), ("Similarity to legitimate cluster: ", _told("sim_to_legitimate")), ("Similarity to scam cluster: ", _told("sim_to_scam")), ("Boundary distance: ", _told("boundary_distance")),
+    ("Embedding scam score: ", _told("embedding_score")), ("", None),
+    ("=== LAYER 2 - CROSS-REFERENCE CONSISTENCY ===", None), ("Total contradictions: ", _told("contradictions")), ("Checks run: ", _told("checks")), ("DB details: ", _quoted("contradiction_details")), ("", None),
+    ("=== LAYER 3 - PROPAGATION ANALYSIS ===", None), ("Seen count: ", _told("seen_count")), ("Source channels: ", _told("source_channels_count")), ("Forwarded many times: ", _flag("forwarded_flag")), ("Broadcast score: ", _told("propagation_score")),
+    ("Broadcast pattern: ", _flag(f"(propagation_score >= {C.BROADCAST_FROM})")),
+)
+EVIDENCE = (
+    " SELECT e.msg_id, " + " || chr(10) || ".join(f"'{name}'" + (f" || {x}" if x else "") for name, x in _EVIDENCE)
+    + " || CASE WHEN e.msg_id % 9 = 0 THEN chr(10) || chr(10) || '=== MEDIA CONTEXT ===' || chr(10) || 'kind: image' || chr(10) || 'pages: ' || n.n_chars ELSE '' END AS evidence"
+    + " FROM ent e JOIN layers l USING (msg_id) JOIN messages m USING (msg_id) JOIN raw n USING (msg_id)"
+)
+
+
+def _translation(words: dict[str, str]) -> str:
+    cases = " ".join("WHEN '{}' THEN '{}'".format(*(x.replace("'", "''") for x in pair)) for pair in words.items())
+    return f"lambda r: '* ' || CASE lower(trim(r)) {cases} ELSE trim(r) END"
+
+
+def _pick(words) -> str:
+    a, b, c = (w.replace("'", "''") for w in words)
+    return f"CASE WHEN percent >= {C.REPLY_DANGER} THEN '{a}' WHEN percent >= {C.REPLY_SUSPICIOUS} THEN '{b}' ELSE '{c}' END"
+
+
+def _reply(words: dict, each: str) -> str:
+    lines = (
+        f"'*{words['title']}*'", "repeat('-', 31)", f"'{words['verdict']}: ' || {_pick(words['verdicts'])}", f"'{words['score']}: ' || percent || '%'", "''", f"'{words['why']}:'",
+        f"CASE WHEN len(reasons) > 0 THEN array_to_string(list_transform(reasons[1:3], {each}), chr(10)) ELSE '* {words['none']}' END",
+        "''", f"'{words['advice']}: ' || {_pick(words['advices'])}", "''", f"'{words['switch']}'", f"'{words['foot']}'",
+    )
+    return " || chr(10) || ".join(lines)
+
+
+REPLY_TABLE = f""", p AS (SELECT r.msg_id, r.reasons, {_PERCENT} AS percent, CASE WHEN j.msg_id % 10 IN (0, 1) THEN 'hi' WHEN j.msg_id % 10 = 2 THEN 'en' ELSE {LANGUAGE} END AS language FROM results r JOIN job_messages j USING (msg_id))
+SELECT msg_id, language, percent, CASE WHEN language = 'hi' THEN {_reply(C.REPLY_HI, _translation(C.REASONS_HI))} ELSE {_reply(C.REPLY_EN, "lambda r: '* ' || trim(r)")} END AS reply FROM p"""
+REPLY_TEXT = f""", p AS (SELECT *, {_PERCENT} AS percent FROM results)
+SELECT msg_id, CASE WHEN risk_level = 'HIGH' OR percent > {C.HEADLINE_HIGH_ABOVE} THEN 'KHATRA!' WHEN risk_level = 'MEDIUM' OR percent >= {C.HEADLINE_MEDIUM} THEN 'SAAVDHAN!' ELSE 'SURAKSHIT' END || chr(10) || chr(10)
+  || CASE WHEN percent >= 30 THEN 'Yeh naukri sandesh farzi ho sakta hai.' ELSE 'Yeh naukri sandesh filhal kam jokhim wala lagta hai.' END || chr(10) || chr(10) || 'Risk: ' || percent || '%' || chr(10) || chr(10)
+  || 'Karan:' || chr(10) || array_to_string(list_transform(reasons, {_translation(C.REASONS_ROMAN)}), chr(10)) || chr(10) || chr(10)
+  || CASE WHEN percent >= 60 THEN 'Paise mat bhejein.' WHEN percent >= 30 THEN 'Pehle company aur offer verify karein.' ELSE 'Phir bhi documents aur company details verify karein.' END AS reply FROM p"""
+
 _OCR_WORDS = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 w0 AS (SELECT doc_id, line, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) - 1 AS pos FROM ln),
 w AS (SELECT doc_id, line // 3 AS block, line, pos, word, (length(word) * 17 + pos * 7 + doc_id) % 103 - 2 AS conf FROM w0)"""
@@ -310,9 +443,11 @@ SELECT s.doc_id, CASE WHEN coalesce(l, '') <> '' AND coalesce(r, '') <> '' THEN
 TRANSCRIPTS = f"""tr AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text, avg(-(length(text) % 40) / 100.0::DOUBLE) AS confidence, max((turn + 1) * 1.5::DOUBLE) AS duration_seconds, count(*) AS n FROM conversations GROUP BY 1),
 stats AS (SELECT doc_id, round(confidence, 6) AS confidence, duration_seconds, CASE doc_id % 4 WHEN 0 THEN 'Hindi' WHEN 1 THEN 'English' WHEN 2 THEN 'XX' ELSE 'Unknown' END AS language_name,
   len(list_filter({_list(C.TRANSCRIPT_URGENCY)}, lambda x: contains(lower(text), x))) > 0 AS urgency_detected FROM tr)"""
-LETTERS = f"""letters AS (SELECT doc_id, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN '{A.LETTERS[i]}'" for i in range(4))} ELSE '' END || text AS text FROM documents),
-fields AS (SELECT doc_id, trim(regexp_replace(nullif(regexp_extract(text, {_re(M.COMPANY)}, 1), ''), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS company, nullif(regexp_extract(text, {_re(M.GST)}, 1), '') AS gst, nullif(regexp_extract(text, {_re(M.CIN)}, 1), '') AS cin,
-  regexp_matches(text, {_re(M.FEE)}) AS asks_fee, regexp_matches(text, {_re(M.URGENT)}) AS urgent FROM letters)"""
+_SUFFIX = r"(?:pvt\.?\s*ltd\.?|private\s+limited|ltd\.?|limited|inc\.?|llp|enterprises?|solutions?|services?|consultanc(?:y|ies)|agenc(?:y|ies)|recruitment|international|intl\.?|overseas|manpower|technologies|tech\.?|group|corp\.?|corporation)"
+LETTERS = rf"""letters AS (SELECT doc_id, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN '{A.LETTERS[i]}'" for i in range(4))} ELSE '' END || text AS text FROM documents),
+fields AS (SELECT doc_id, trim(regexp_replace(nullif(regexp_extract(text, '(?i)([a-z][a-z0-9 \t\n\r&.\-]{{2,45}}?)\s*{_SUFFIX}', 1), ''), '\s+', ' ', 'g')) AS company,
+  nullif(regexp_extract(text, '\b(\d{{2}}[A-Z]{{5}}\d{{4}}[A-Z][1-9A-Z]Z[0-9A-Z])\b', 1), '') AS gst, nullif(regexp_extract(text, '\b([LU]\d{{5}}[A-Z]{{2}}\d{{4}}(?:PLC|PTC|OPC|NPL|GAP|GOI)\d{{6}})\b', 1), '') AS cin,
+  regexp_matches(text, '(?i)(?:registration|medical|processing|security|visa|advance|joining)\s*(?:fee|fees|charge|deposit)') AS asks_fee, regexp_matches(text, '(?i)\b(?:urgent|immediately|asap|today only|limited time|act now)\b') AS urgent FROM letters)"""
 BRANDS = f""", hits AS (SELECT doc_id, list_filter(list_transform({_list(C.BRANDS)}, lambda b: {{'b': b, 'd': levenshtein(lower(trim(company)), lower(b))}}), lambda x: x.d BETWEEN 1 AND 3) AS h FROM fields),
 brands AS (SELECT doc_id, h[1].b AS similar_to, h[1].d AS distance FROM hits)"""
 FORGERY = """, tests AS (SELECT f.*, b.similar_to FROM fields f JOIN brands b ON f.doc_id = b.doc_id),

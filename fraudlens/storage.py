@@ -55,4 +55,4 @@ def discard(*frames: DataFrame | None) -> None:
         folder = None if frame is None else _FOLDERS.pop(frame, None)
         if folder:
             files, path = _path(frame.sparkSession, folder)
-            files.delete(path, True)
+            files.delete(path.getParent(), True)

@@ -6,7 +6,7 @@ folder named by its batch id, so a repeated batch replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from fraudlens import constants as C
 from fraudlens.functions import text
-from fraudlens.operators import entities, propagation
+from fraudlens.operators import entities, graph, propagation, verdict
 
 JOB = "conv_id long, turn long, from_number string, body_text string, media_count string, forwarded_many_times string, source string, ts timestamp"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,20 +28,50 @@ def job_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_messages(jobs: DataFrame) -> DataFrame:
-    rows = entities.normalize_inbound(jobs)
+    rows = entities.normalize_inbound(jobs, "ts")
     return rows.select(
-        F.concat_ws("-", "conv_id", "turn").alias("msg_id"), F.col("from_number").alias("sender"), F.col("body_text").alias("text"), "forwarded", F.col("source").alias("source_channel")
+        F.concat_ws("-", "conv_id", "turn").alias("msg_id"), F.coalesce("ts", F.current_timestamp()).alias("ts"), F.col("from_number").alias("sender"), F.col("body_text").alias("text"), "forwarded", F.col("source").alias("source_channel")
     )
 
 
-def start_inbound(spark: SparkSession, source_dir: str, sink_dir: str, trigger: dict | None = None) -> StreamingQuery:
-    """Jobs to messages with entities, one folder for each batch."""
-    rows = entities.entity_columns(as_messages(job_stream(spark, source_dir)))
+Analysis = Callable[[DataFrame], DataFrame]
+
+
+def store_batch(messages: DataFrame, batch_id: int, sink_dir: str, analyse: Analysis | None = None) -> None:
+    """One batch of messages with entities and text: the messages, what is
+    known of their fingerprints, and of those whose risk is above the bound the
+    reports and the edges between their entities.
+
+    ``analyse`` gives (msg_id, risk_score) of messages; a message without a
+    result counts as a failed analysis, which is stored with the default score
+    and never reported. Each part is a folder of the batch's number, so a batch
+    that runs again replaces what it wrote."""
+    spark = messages.sparkSession
+    at = lambda part: f"{sink_dir}/{part}/batch={batch_id}"
+    messages.write.mode("overwrite").parquet(at("messages"))
+    kept = spark.read.schema(messages.schema).parquet(at("messages"))
+    propagation.fingerprints(kept).write.mode("overwrite").parquet(at("fingerprints"))
+    found = analyse(kept).select("msg_id", "risk_score") if analyse else spark.createDataFrame([], "msg_id string, risk_score double")
+    failed = F.col("risk_score").isNull()
+    scored = kept.join(found, "msg_id", "left").select(*kept.columns, F.when(failed, F.lit(C.FAILED_SCORE)).otherwise(F.col("risk_score")).alias("risk_score"), failed.alias("failed"), F.col("source_channel").alias("source"))
+    scored.select("msg_id", "risk_score", "failed").write.mode("overwrite").parquet(at("results"))
+    results = kept.join(spark.read.parquet(at("results")), "msg_id").withColumn("source", F.col("source_channel"))
+    verdict.report_rows(results).write.mode("overwrite").parquet(at("reports"))
+    graph.graph_edges(verdict.high_risk_reports(results)).write.mode("overwrite").parquet(at("edges"))
+
+
+def start_inbound(spark: SparkSession, source_dir: str, sink_dir: str, analyse: Analysis | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Jobs to stored messages, fingerprints, results, reports and edges, one folder for each batch."""
+    rows = as_messages(job_stream(spark, source_dir))
+    rows = entities.entity_columns(rows.withColumn("_text", F.col("text"))).withColumnRenamed("_text", "text")
+    write = lambda batch, batch_id: store_batch(batch, batch_id, sink_dir, analyse)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink_dir}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_dir}/messages/batch={batch_id}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink_dir}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+def stored_fingerprints(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The state of all fingerprints: the batches' states merged."""
+    states = spark.read.parquet(f"{sink_dir}/fingerprints").drop("batch")
+    return propagation.fingerprint_upsert(states, states.limit(0))
 
 
 def fingerprint_stream(messages: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def test_embedding_score_edges(spark):
 def test_document_rows(spark):
     rows = [(1, "Infosis Technologies. GST 27ABCDE1234F1Z5."), (2, "pay the registration fee, urgent"), (3, None)]
     fields = media_text.document_fields(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: (r.score, r.risk) for r in media_text.document_forgery(fields, media_text.brand_impersonation(fields)).collect()}
+    got = {r.doc_id: (r.score, r.risk) for r in media_text.document_forgery(fields).collect()}
     assert got == {1: (25, "low"), 2: (100, "high"), 3: (45, "medium")}
 
 
@@ -185,3 +185,126 @@ def test_empty_reports(spark):
 
 def test_names_are_fixed_lists():
     assert len(C.URGENCY_PHRASES) == 18 and len(C.LOCATIONS) == 40 and not re.search("[A-Z]", "".join(C.STOP_TOKENS))
+
+
+# --- hand-worked values
+
+
+@pytest.mark.parametrize(
+    "value, salary, fee",
+    [
+        ("salary 1,20,000 fee 500", 120000, 500), ("Salary: Rs. 25000.75 per month", 25000, None), ("salary is inr 900", 900, None), ("salary=AED 7", 7, None), ("12000 rs salary", 12000, None), ("300 fee", None, 300),
+        ("pay2000", None, None), ("salary 20k", None, None), ("wage 12th", None, None), ("5000rs salary", None, None), ("salary rs5000", None, None), ("salary 20k then salary 30", 30, None),
+        ("unpay 50", None, None), ("salary\n\t: 40", 40, None), ("salaryis 5", None, None), ("x1,20,000 salary", 20000, None), ("salary 10.5.2", 10, None), (None, None, None), ("", None, None),
+    ],
+)
+def test_amounts(spark, value, salary, fee):
+    row = spark.createDataFrame([(value,)], "x string").select(text.amount(F.col("x"), C.SALARY_WORDS).alias("s"), text.amount(F.col("x"), C.FEE_WORDS).alias("f")).first()
+    assert (row.s, row.f) == (salary, fee)
+
+
+def test_amounts_equal_another_reading(spark):
+    import duckdb
+
+    from fraudlens.plans import sql
+
+    rng = random.Random(11)
+    parts = ["salary", "Wage", "fee", "pay", "is", ":", "=", "rs", "rs.", "INR", "aed", " ", " ", "  ", "\n", "500", "1,20,000", "2.5", "k", ".", ",", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    got = [(r.s, r.f) for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(text.amount(F.col("text"), C.SALARY_WORDS).alias("s"), text.amount(F.col("text"), C.FEE_WORDS).alias("f")).collect()]
+    duck = duckdb.connect()
+    duck.execute("create table t (i int, text varchar)")
+    duck.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    want = duck.sql(f"select {sql._amount(C.SALARY_WORDS)}, {sql._amount(C.FEE_WORDS)} from t order by i").fetchall()
+    assert [(t, g) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
+@pytest.mark.parametrize(
+    "value, place, role",
+    [("Cook Dubai salary 5", "Dubai", "Cook"), ("Oman works (Oman) now", "Oman", None), ("Womanly work Oman", "Oman", "Womanly work"), ("dubai cook", "Dubai", None), ("Chef", None, "Chef"), ("Helper-Goa", "Goa", "Helper"), ("Role: Driver salary 9", "Pune", "Driver")],
+)
+def test_role_before_a_whole_place(spark, value, place, role):
+    row = spark.createDataFrame([(value, place)], "x string, p string").select(text.role(F.col("x"), F.col("p")).alias("y")).first()
+    assert row.y == role
+
+
+def test_report_lines(spark):
+    rows = [("Acme", "Cook", 900, 50, "a@upi"), ("", None, 0, 7, None), (None, None, None, None, ""), (None, "Cook", None, None, "a@upi")]
+    got = [r.m for r in spark.createDataFrame(rows, "c string, r string, s long, f long, u string").select(dashboard.report_message(*map(F.col, "crsfu")).alias("m")).collect()]
+    assert got == ["Acme | Cook | Salary 900 | Fee 50 | a@upi", "Fee 7", "Scam report received", "Cook | a@upi"]
+
+
+@pytest.mark.parametrize(
+    "value, want",
+    [("2024-05-06T07:08:09Z", "2024-05-06T07:08:09+00:00"), ("2024-05-06T07:08:09+05:30", "2024-05-06T01:38:09+00:00"), ("2024-05-06 07:08:09", "2024-05-06T07:08:09+00:00"), ("2024-05-06", "2024-05-06T00:00:00+00:00"), ("2024-05-06T07:08:09.123456", "2024-05-06T07:08:09+00:00"), ("2024-13-06", None), ("soon", None), ("", None), (None, None)],
+)
+def test_timestamps(spark, value, want):
+    assert one(spark, lambda x: text.iso_timestamp(text.parsed_timestamp(x)), value) == want
+
+
+def test_evidence(spark):
+    row = {"msg_id": 1, "text": " hi ", "company": "", "phones": ["1", "2"], "salary": 0, "fee": 5, "location": None, "role": "Cook", "upi_ids": [], "urgency_flags": None, "sim_to_legitimate": 0.25, "sim_to_scam": None, "boundary_distance": 0.1,
+           "embedding_score": 0.5, "contradictions": 0, "checks": None, "contradiction_details": ["x"], "seen_count": 3, "source_channels_count": 1, "forwarded_flag": True, "propagation_score": 0.3, "is_broadcast": False, "media_context": None}
+    schema = "msg_id long, text string, company string, phones array<string>, salary long, fee long, location string, role string, upi_ids array<string>, urgency_flags array<string>, sim_to_legitimate double, sim_to_scam double, boundary_distance double, embedding_score double, contradictions long, checks long, contradiction_details array<string>, seen_count long, source_channels_count long, forwarded_flag boolean, propagation_score double, is_broadcast boolean, media_context map<string,string>"
+    got = verdict.evidence_bundle(spark.createDataFrame([tuple(row.values())], schema)).first().evidence.split("\n")
+    assert got == [
+        "=== MESSAGE ===", "hi", "", "=== EXTRACTED ENTITIES ===", "Company: N/A", "Phones: ['1', '2']", "Salary claimed: N/A", "Fee requested: 5", "Claimed location: N/A", "Job role: Cook", "UPI IDs: N/A", "Urgency phrases: N/A",
+        "", "=== LAYER 1 - EMBEDDING SIMILARITY ===", "Similarity to legitimate cluster: 0.25", "Similarity to scam cluster: None", "Boundary distance: 0.1", "Embedding scam score: 0.5",
+        "", "=== LAYER 2 - CROSS-REFERENCE CONSISTENCY ===", "Total contradictions: 0", "Checks run: None", "DB details: ['x']",
+        "", "=== LAYER 3 - PROPAGATION ANALYSIS ===", "Seen count: 3", "Source channels: 1", "Forwarded many times: True", "Broadcast score: 0.3", "Broadcast pattern: False",
+    ]
+
+
+def test_replies(spark):
+    rows = [(1, 0.7, ["Pay first "], "en"), (2, 0.4, [], "en"), (3, 0.1, None, "hi")]
+    got = {r.msg_id: r.reply for r in verdict.reply_table(spark.createDataFrame(rows, "msg_id long, risk_score double, reasons array<string>, language string")).collect()}
+    line = "-" * 31
+    foot = "\n\nReply *HI* to view this in Hindi.\n_We never ask for money, OTP, or Aadhaar._"
+    assert got[1] == f"*Job Safety Check*\n{line}\nVerdict: DANGER\nRisk Score: 70%\n\nReasons:\n* Pay first\n\nAdvice: Do not send any payment. Verify the company and contact first." + foot
+    assert got[2] == f"*Job Safety Check*\n{line}\nVerdict: SUSPICIOUS\nRisk Score: 40%\n\nReasons:\n* No clear red flags found\n\nAdvice: Avoid payment for now. Verify company registration and contact details." + foot
+    assert got[3].startswith(f"*जॉब सेफ्टी चेक*\n{line}\nवर्डिक्ट: कम जोखिम\nरिस्क स्कोर: 10%\n\nकारण:\n* ") and got[3].endswith("_हम कभी पैसे, OTP, या आधार नहीं मांगते।_")
+
+
+def test_company_names_equal_one_pattern(spark):
+    rng = random.Random(5)
+    parts = ["Ltd", "Tech", "Pvt Ltd", "group", "Inc.", "Ab", "x", "Acme", " ", " ", "\n", ",", ".", "9", "&", "(", " " * 50, "word" * 14]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    pattern = re.compile(media_text.COMPANY.replace("(?i)", ""), re.I)
+    want = [" ".join(re.sub("[ \t\n\r\f]+", " ", m[1]).split(" ")).strip(" ") if (m := pattern.search(t)) else None for t in texts]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(media_text.company_name(F.col("t")).alias("c")).collect()]
+    assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
+def test_long_names_give_few_probes(spark):
+    row = spark.createDataFrame([("ab" * 150,)], "x string").select(F.size(registry.probes(F.col("x"), 3)).alias("p"), F.size(registry.pieces(F.col("x"), 3)).alias("q")).first()
+    assert row.p <= 196 and row.q == 4
+
+
+def test_history_of_a_hot_text_equals_a_fold(spark):
+    rng = random.Random(12)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=rng.randrange(300)), rng.choice(["Hot text"] * 3 + ["rare", None, f"t{i}"]), rng.random() < 0.05, rng.choice(["sms", " Web", None])) for i in range(600)]
+    got = {r.msg_id: (r.is_new_message, r.seen_count, r.source_channels_count, r.forwarded_flag) for r in propagation.propagation_history(spark.createDataFrame(rows, "msg_id long, ts timestamp, text string, forwarded boolean, source_channel string")).collect()}
+    want, state = {}, {}
+    for i, _, t, f, c in sorted(rows, key=lambda r: (r[1], r[0])):
+        s = state.setdefault((t or "").strip().lower(), [0, set(), False])
+        s[0] += 1
+        s[1].add((c or "").strip().lower() or "dashboard")
+        s[2] |= f
+        want[i] = (s[0] == 1, s[0], len(s[1]), s[2])
+    assert got == want
+
+
+def test_blank_texts_have_no_embedding_score(spark):
+    c = spark.createDataFrame([("scam", [1.0, 0.0]), ("legitimate", [0.0, 1.0])], "cluster string, centroid array<double>")
+    v = spark.createDataFrame([(1, " \n", [1.0, 0.0]), (2, "x", [1.0, 0.0]), (3, None, None)], "vec_id long, text string, embedding array<float>")
+    got = {r.vec_id: (r.embedding_score, r.status) for r in embedding.embedding_score(v, c).collect()}
+    assert got == {1: (0.5, "empty_input"), 2: (1.0, "ok"), 3: (0.5, "empty_input")}
+
+
+def test_debounce_and_unstored_vertices(spark):
+    start = dt.datetime(2024, 1, 1)
+    turns = spark.createDataFrame([("a", start + dt.timedelta(milliseconds=m), m) for m in (0, 300, 900, 1400)], "key string, ts timestamp, n long")
+    assert sorted(r.n for r in propagation.debounced(turns, "key", ("ts", "n")).collect()) == [300, 900, 1400]
+    found = spark.createDataFrame([("1", "phone"), ("2", "upi")], "id string, entity_type string")
+    assert [r.id for r in graph.new_vertices(found, found.filter("id = '1'")).collect()] == ["2"]

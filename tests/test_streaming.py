@@ -16,20 +16,39 @@ def drain(frame, name, mode, folder):
     return frame.sparkSession.table(name)
 
 
-def test_inbound_drops_bad_lines(spark, tmp_path):
-    source = tmp_path / "in"
+def test_inbound_stores_messages_reports_edges_and_fingerprints(spark, tmp_path):
+    source, sink = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    good = [{"conv_id": i, "turn": 1, "from_number": "whatsapp:+9198", "body_text": "CHECK salary 500 urgent", "media_count": "1", "forwarded_many_times": "true", "source": "sms"} for i in range(3)]
+    good = [{"conv_id": i, "turn": 1, "from_number": "whatsapp:+9198", "body_text": "CHECK company Gulf Star salary 500 urgent call 9876543210", "media_count": "1", "forwarded_many_times": "true", "source": "sms"} for i in range(3)]
     (source / "a.json").write_text("\n".join(map(json.dumps, good)) + "\nnot json\n")
-    inbound.start_inbound(spark, str(source), str(tmp_path / "out")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out/messages"))
-    assert got.count() == 3
-    r = got.first()
+    # message 2 has no result: a failed analysis
+    analyse = lambda m: m.filter("msg_id <> '2-1'").select("msg_id", F.when(F.col("msg_id") == "0-1", 0.6).otherwise(0.9).alias("risk_score"))
+    inbound.start_inbound(spark, str(source), sink, analyse).awaitTermination()
+    read = lambda part: spark.read.parquet(f"{sink}/{part}")
+    assert read("messages").count() == 3
+    r = read("messages").first()
     assert (r.salary, r.forwarded, r.source_channel, r.urgency_flags) == (500, True, "dashboard", ["urgent"])
-    # a line that arrives later is read by the next run alone
+    assert {r.msg_id: (r.risk_score, r.failed) for r in read("results").collect()} == {"0-1": (0.6, False), "1-1": (0.9, False), "2-1": (0.5, True)}
+    assert [(r.msg_id, r.scam_phone, r.company_name, r.risk_score) for r in read("reports").collect()] == [("1-1", "9876543210", "Gulf Star", 90)]
+    assert [(r.source_value, r.relationship_type, r.target_value) for r in read("edges").collect()] == [("Gulf Star", "contact_phone", "9876543210")]
+    # a line that arrives later is read by the next run alone; the fingerprint's states are merged
     (source / "b.json").write_text(json.dumps(good[0] | {"conv_id": 9}))
-    inbound.start_inbound(spark, str(source), str(tmp_path / "out")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/messages")).count() == 4
+    inbound.start_inbound(spark, str(source), sink).awaitTermination()
+    assert read("messages").count() == 4 and read("reports").count() == 1
+    assert [r.seen_count for r in inbound.stored_fingerprints(spark, sink).collect()] == [4]
+    # a batch that runs again replaces what it wrote
+    inbound.store_batch(read("messages").filter("batch = 0").drop("batch"), 7, sink, analyse)
+    inbound.store_batch(read("messages").filter("batch = 0").drop("batch"), 7, sink, analyse)
+    assert read("reports").count() == 2
+
+
+def test_stream_of_messages_is_deduplicated(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=h), t, "web") for i, (h, t) in enumerate([(0, "a"), (1, "a"), (2, "b"), (30, "a")])]
+    schema = "msg_id long, ts timestamp, text string, source_channel string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "m"))
+    got = drain(inbound.dedupe_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "m")), 24 * 3600), "deduped", "append", tmp_path)
+    assert sorted(r.seq for r in got.collect()) == [0, 2, 3]
 
 
 def test_rate_limit_equals_batch(spark, tmp_path):
@@ -67,4 +86,4 @@ def test_preference_keeps_the_latest(spark, tmp_path):
     schema = "key string, ts timestamp, value string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "p"))
     got = drain(inbound.preference_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "p"))), "prefs", "update", tmp_path)
-    assert sorted((r.key, r.value) for r in got.collect()) == [("u1", "hi"), ("u2", "en")]
+    assert sorted((r.key, r.value, r.valid_until - r.ts) for r in got.collect()) == [("u1", "hi", dt.timedelta(days=30)), ("u2", "en", dt.timedelta(days=30))]
