@@ -381,3 +381,63 @@ def test_pipeline_of_nothing_and_of_repeated_rows(spark, tmp_path):
         table.write.parquet(str(tmp_path / name / "documents.parquet"))
         n = corpus_pipeline.run(spark, str(tmp_path / name)).count()
         assert n == at.count() and (n > 0) == (name == "some")
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+
+    from fraudlens.llm.langid import UNKNOWN, identify
+    from fraudlens.llm.mixing import SCHEDULES, integral
+    from fraudlens.llm.sentencepiece_ids import default_model
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(rng.randrange(20, 70))) for _ in range(60)]
+    texts += [t + " " for t in texts[:6]] + [" ".join([*t.split()[:-1], word()]) for t in texts[10:18]] + [None, "12 !", "short one"]
+    rows = [(n, t, "en", ("a", "b", None)[n % 3], len(t or "")) for n, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+
+    known = {r.doc_id for r in identify(table).collect() if r.lang_pred != UNKNOWN and r.score >= 0.3}
+    left = [r for r in rows if r[0] in known]
+    best = {}
+    for r in left:
+        key = "".join(r[1].split())
+        if key not in best or (-len(r[1]), r[0]) < (-len(best[key][1]), best[key][0]):
+            best[key] = r
+    left = sorted(best.values())
+    sets = {r[0]: frozenset(zip(*(r[1].lower().split()[k:] for k in range(5)))) or frozenset([tuple(r[1].lower().split())]) for r in left}
+    at = {i: i for i in sets}
+    for i in sets:  # the links of these texts are pairs: the least id of a pair stays
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                at[j] = min(at[j], at[i])
+    left = [r for r in left if at[r[0]] == r[0]]
+    words = {r[0]: len(r[1].split()) for r in left}
+    by_source = {}
+    for r in sorted(left, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+        by_source.setdefault(r[3], []).append(r)
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    size = {s: sum(words[r[0]] for r in by_source[s]) for s in names}
+    weight = {s: integral(SCHEDULES[k % 3]) for k, s in enumerate(names)}
+    target, free, rest = {}, set(names), sum(size.values())
+    while any(rest / sum(weight[s] for s in free) * weight[s] > 3 * size[s] for s in free):
+        for s in [s for s in free if rest / sum(weight[x] for x in free) * weight[s] > 3 * size[s]]:
+            target[s] = 3 * size[s]
+            free.discard(s)
+            rest -= target[s]
+    target |= {s: rest / sum(weight[x] for x in free) * weight[s] for s in free}
+    want = []
+    p = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    for s in names:
+        full, start = int(target[s] // size[s]), 0
+        more = round(target[s] - full * size[s])
+        for r in by_source[s]:
+            n = words[r[0]]
+            taken = full * n + max(0, min(n, more - start))
+            start += n
+            ids = p.encode(r[1])
+            want += [(r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())] * int(taken / n + 0.5)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert counted(got, "doc_id", "n_tokens", "ids_sha256") == want_counts(want) and 0 < len(left) < len(known) < len(rows)
