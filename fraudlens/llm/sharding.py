@@ -76,7 +76,7 @@ def stored_map(spark: SparkSession, folder: str, version: int | None = None) ->
 def rebalance(slot_map: DataFrame, shards: int, sizes: DataFrame | None = None) -> DataFrame:
     """The next version of a map, for as many, more or fewer shards and, if
     given, the slots' new ``sizes``. A shard gives slots, the smallest first,
-    while it stays at or above the new mean; shards that are no more give all.
+    while that brings it nearer to the new mean; shards that are no more give all.
     Only those slots move: they are dealt over all shards, the largest first, to
     the least loaded."""
     newest = slot_map.join(F.broadcast(slot_map.agg(F.max("version").alias("version"))), "version")
@@ -87,7 +87,7 @@ def rebalance(slot_map: DataFrame, shards: int, sizes: DataFrame | None = None)
     order = Window.partitionBy("shard").orderBy("bytes", "v_slot")
     mean = F.sum("bytes").over(Window.partitionBy()) / F.lit(shards)  # the map has a fixed number of rows
     left = F.sum("bytes").over(Window.partitionBy("shard")) - F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    edited = newest.withColumn("_moves", (F.col("shard") >= shards) | (left >= mean)).withColumn("version", (F.col("version") + 1).cast("int"))
+    edited = newest.withColumn("_moves", (F.col("shard") >= shards) | (left + F.col("bytes") / 2 >= mean)).withColumn("version", (F.col("version") + 1).cast("int"))
     loads = edited.filter("NOT _moves").groupBy("shard").agg(F.sum("bytes").alias("load"))
     held = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("held"))
     loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0).cast("long")))

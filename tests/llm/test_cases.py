@@ -283,7 +283,7 @@ def test_the_stored_map_is_edited(spark, tmp_path):
 
     for version, shards in ((2, 9), (3, 8), (4, 6)):
         store_map(rebalance(stored_map(spark, folder), shards), folder)
-        assert len(loads()) == shards and max(loads()) - min(loads()) < 500 and len(stored_map(spark, folder).collect()) == 400
+        assert len(loads()) == shards and max(loads()) - min(loads()) < 1000 and len(stored_map(spark, folder).collect()) == 400
         assert {r.version for r in stored_map(spark, folder).collect()} == {version}
     assert collect(stored_map(spark, folder, 1), "v_slot") == first and loads(1) == [sum(r.bytes for r in first.values() if r.shard == k) for k in range(8)]
     # the same number of shards, but slots that grew: only what must move moves
