@@ -99,7 +99,7 @@ def company_name(x: Column) -> Column:
         head = F.substring(run, F.lit(1), at - 1)
         blanks = F.length(head) - F.length(F.regexp_replace(head, "[ \\t\\n\\r]+$", ""))
         near = F.substring(run, F.greatest(F.lit(1), at - blanks - 46), F.length(run))
-        return F.when(at > 1, F.nullif(F.regexp_extract(near, COMPANY, 1), F.lit("")))
+        return F.nullif(F.regexp_extract(near, COMPANY, 1), F.lit(""))
 
     runs = F.filter(F.regexp_extract_all(x, F.lit(COMPANY_RUN), F.lit(0)), lambda run: run.rlike(f"(?i){SUFFIX}"))
     found = F.filter(F.transform(runs, match), lambda name: name.isNotNull())
