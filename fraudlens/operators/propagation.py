@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from fraudlens import constants as C
 from fraudlens.functions import scores, text
-from fraudlens.storage import written
+from fraudlens.storage import discard, written
 
 
 def channel_name(x: Column) -> Column:
@@ -47,7 +47,9 @@ def propagation_history(messages: DataFrame) -> DataFrame:
     table is spread over ranges. Running values inside a range are added to
     what the hash's earlier ranges hold, one row for each range of a hash."""
     order = ("ts", "msg_id")
-    rows = written(hashed(messages).repartitionByRange("message_hash", *order).withColumn("_part", F.spark_partition_id()), "history")
+    narrow = written(hashed(messages), "hashed")  # texts are read once, not again for the ranges' bounds
+    rows = written(narrow.repartitionByRange("message_hash", *order).withColumn("_part", F.spark_partition_id()), "history")
+    discard(narrow)
     running = Window.partitionBy("message_hash", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = rows.groupBy("message_hash", "_part").agg(F.count(F.lit(1)).alias("n"), F.bool_or("forwarded").alias("f"), F.collect_set("channel").alias("c"))
     ahead = Window.partitionBy("message_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
