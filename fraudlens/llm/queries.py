@@ -71,7 +71,17 @@ def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_main_text, op3_exact_dedup, op4_ann_search, op5_token_orc, op6_language_id, op7_url_filter, op8_near_dedup, op9_sentencepiece, op10_shard_slots)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+CORPUS = (
+    op1_mix_sources, op2_main_text, op3_exact_dedup, op4_ann_search, op5_token_orc, op6_language_id, op7_url_filter, op8_near_dedup,
+    op9_sentencepiece, op10_shard_slots, op11_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in CORPUS}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
@@ -110,4 +120,38 @@ g AS (
   SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY length(text) DESC, doc_id) AS keep_id,
          count(*) OVER (PARTITION BY content) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda c: list_reduce([c] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc_table),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+c AS (
+  SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (
+  SELECT run, k, xor(list_reduce([4294967295] || flatten(list_transform(string_split(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run), ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END)),
+           lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM c, t),
+d AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM h),
+w AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+x AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+v AS (
+  SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM x),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM v AS a JOIN v AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+b AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS rank, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM w LEFT JOIN b ON w.word = b.word AND b.rank = 1),
+chain AS (
+  SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON chain.at = f.word WHERE f.form IS NOT NULL),
+ends AS (
+  SELECT chain.word, chain.at FROM chain JOIN f ON chain.at = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.at AS root, f.n, f.n_near, f.form_n FROM f JOIN ends ON f.word = ends.word""",
 }
