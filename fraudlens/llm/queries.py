@@ -77,6 +77,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraudlens.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.alignment import align_tokenizers
 
@@ -85,7 +91,7 @@ def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS = (
     op1_mix_sources, op2_main_text, op3_exact_dedup, op4_ann_search, op5_token_orc, op6_language_id, op7_url_filter, op8_near_dedup,
-    op9_sentencepiece, op10_shard_slots, op11_spelling_variants, op13_align_tokenizers,
+    op9_sentencepiece, op10_shard_slots, op11_spelling_variants, op12_personal_data, op13_align_tokenizers,
 )
 QUERIES = {f.__name__: f for f in CORPUS}
 
