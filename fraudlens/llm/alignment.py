@@ -4,6 +4,9 @@ Tokenizer A is byte-level BPE, tokenizer B SentencePiece. Of each text both toke
 sequences spell the same bytes; byte offsets at which tokens of both end cut them
 into groups, and the last tokens of a group, which end together, are a link.
 
+Texts are cut at blanks between words, where tokens of both always end, so a task keeps a
+bounded table of distinct chunks with their groups and aligns each new one once.
+
 Most groups are one token of each side with the same bytes. For them an array
 computed once gives B's id of each A id; such groups are counted in vectors as long as A's
 vocabulary, and a document keeps only their A ids. Only the other, irregular groups
@@ -24,6 +27,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.llm.storage import cut
+from fraudlens.llm.token_orc import Bounded
 
 #: Bytes of text that are worked on at once (a longer text alone), and salts of the join with pair counts.
-SLICE_BYTES, SALTS = 1 << 20, 8
+SLICE_BYTES, SALTS = 4 << 20, 8
+#: Chunks a task remembers, and chunks aligned together.
+TABLE_CHUNKS, JOINED = 250_000, 200
 MARK = "▁"
+_BREAK = re.compile(r"(?<=[^ ]) (?=\S)")
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, same array<int>, pairs array<long>, times array<int>"
 
 
@@ -78,20 +86,159 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         # an id and what follows it in a group's description: "," or, at its side's end, "|" (A) or ";" (B)
         self.told = [f"{i}{x}".encode() for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for x in ends]
+        self.told_size = np.array(list(map(len, self.told)))
 
     @property
     def span(self) -> int:
         """A pair's number is its A id times this, plus its B id."""
         return len(self.b_bytes)
 
+    def aligned(self, texts: list[str]) -> Groups:
+        """Of non-empty texts, those that both sides spell, and their groups one after another."""
+        coded = zip(self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1))
+        rows, a, b = [], [], []
+        for i, (x, y) in enumerate(coded):
+            if b"".join(map(self.a_bytes.__getitem__, x.ids)) == (" " + texts[i]).encode() == b"".join(map(self.b_bytes.__getitem__, y)):
+                rows.append(i)
+                a.extend(x.ids)
+                b.extend(y)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at = np.searchsorted(b_end, a_end)
+        a_last = np.flatnonzero(b_end[np.minimum(at, max(len(b_end) - 1, 0))] == a_end) if len(a) else np.empty(0, np.int64)
+        return Groups(rows, a, b, a_last, at[a_last], a_end[a_last])
+
+    def described(self, g: Groups) -> tuple[bytes, np.ndarray]:
+        """All groups' ids as text, and where in it each group ends: A's ids of a group, then B's."""
+        in_a, in_b = np.diff(g.a_last, prepend=-1), np.diff(g.b_last, prepend=-1)
+        group = np.arange(len(g.a_last))
+        codes = np.empty(len(g.a) + len(g.b), np.int64)
+        for ids, first, last, behind in ((g.a, 0, g.a_last, np.repeat((g.b_last - in_b + 1)[group], in_a)), (g.b, len(self.a_bytes), g.b_last, np.repeat((g.a_last + 1)[group], in_b))):
+            is_last = np.zeros(len(ids), np.int64)
+            is_last[last] = 1
+            codes[np.arange(len(ids)) + behind] = 2 * (first + ids) + is_last
+        ends = np.cumsum(self.told_size[codes])[g.a_last + g.b_last + 1] if len(codes) else np.empty(0, np.int64)
+        return b"".join(map(self.told.__getitem__, codes.tolist())), ends
+
+
+@dataclass
+class Groups:
+    """The texts (by number) that have tokens, the tokens of all of them, for each group its last tokens' places and where it ends in the bytes of all."""
+
+    rows: list[int]
+    a: np.ndarray
+    b: np.ndarray
+    a_last: np.ndarray
+    b_last: np.ndarray
+    end: np.ndarray
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text cut at single blanks that no white space follows. Tokens of
+    both sides end there whatever stands around: A's pre-tokens begin with such a blank, and no
+    piece of B goes on beyond a marker. So a chunk's groups do not depend on its neighbours."""
+    words = text.split(" ")
+    if all(words) and not any(map(str.isspace, [x[0] for x in words])):
+        return words
+    return _BREAK.split(text)
+
+
+#: What is known of a chunk: whether both sides spell it, tokens of A and B, groups as text, A ids of one-to-one links, irregular links.
+Known = tuple[bool, int, int, bytes, bytes, bytes]
+WRONG: Known = (False, 0, 0, b"", b"", b"")
+
+
+class ChunkTable:
+    """Groups of chunks, aligned once each. It is bounded and begun anew when full."""
+
+    def __init__(self, t: Tokenizers, most: int):
+        self.t, self.known = t, Bounded(most)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks without white space are aligned many together, the others, and those of a text that does not fit, each for itself."""
+        plain = [x for x in chunks if MARK not in x and x.split() == [x]]
+        single = list(set(chunks).difference(plain))
+        some = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for members in (some, None):
+            members = members if members is not None else [[x] for x in single]
+            if members:
+                fit = self._aligned(members)
+                if members is some:
+                    single += [x for i, group in enumerate(members) if i not in fit for x in group]
+                else:
+                    self.known.update({group[0]: WRONG for i, group in enumerate(members) if i not in fit})
+
+    def _aligned(self, members: list[list[str]]) -> set[int]:
+        t, g = self.t, self.t.aligned(list(map(" ".join, members)))
+        names = [x for i in g.rows for x in members[i]]
+        told, told_end = t.described(g)
+        link_a, link_b = g.a[g.a_last], g.b[g.b_last]
+        same = (np.diff(g.a_last, prepend=-1) == 1) & (np.diff(g.b_last, prepend=-1) == 1) & (t.same[link_a] == link_b)
+        # the groups of a chunk are those that end up to its end
+        upto = np.searchsorted(g.end, np.cumsum([1 + len(x.encode()) for x in names]), side="right")
+        at = lambda x: [0, *np.concatenate([[0], x])[upto].tolist()]
+        n_a, n_b, text, one = at(g.a_last + 1), at(g.b_last + 1), at(told_end), at(np.cumsum(same))
+        odd = [x - y for x, y in zip([0, *upto.tolist()], one)]
+        same_ids, pairs = link_a[same].astype("<i4").tobytes(), (link_a * t.span + link_b)[~same].astype("<i8").tobytes()
+        for k, name in enumerate(names):
+            self.known[name] = (True, n_a[k + 1] - n_a[k], n_b[k + 1] - n_b[k], told[text[k] : text[k + 1]], same_ids[4 * one[k] : 4 * one[k + 1]], pairs[8 * odd[k] : 8 * odd[k + 1]])
+        return set(g.rows)
+
+    def align(self, texts: list[str | None]) -> list[pa.Array]:
+        """The columns of COUNTED after doc_id."""
+        split = [chunks_of(x) if x else [] for x in texts]
+        numbered = pa.array([x for some in split for x in some], pa.string()).dictionary_encode()
+        names = numbered.dictionary.to_pylist()
+        unknown = self.known.missing(set(names))
+        if unknown:
+            self.learn(list(unknown))
+        fits, n_a, n_b, *held = zip(*map(self.known.__getitem__, names)) if names else ((),) * 6
+        index = numbered.indices.to_numpy()
+        per_row = np.array(list(map(len, split)), np.int64)
+        row = np.repeat(np.arange(len(texts)), per_row)
+        wrong = np.bincount(row, ~np.array(fits, bool)[index], len(texts)) > 0
+        kept = ~wrong[row]
+        index, row, per_row = index[kept], row[kept], np.where(wrong, 0, per_row)
+        ends = np.concatenate([[0], np.cumsum(per_row)])
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(np.array(x, np.int64)[index])])[ends])
+        told, same, pairs = (_joined(x, index, ends) for x in held)
+        sha = [hashlib.sha256(told[0][x : y - 1]).hexdigest() if x < y else "" for x, y in zip(told[1].tolist(), told[1][1:].tolist())]
+        n_same, n_pairs = np.diff(same[1]) // 4, np.diff(pairs[1]) // 8
+        spans = len(self.t.a_bytes) * self.t.span
+        irregular, times = np.unique(np.repeat(np.arange(len(texts)), n_pairs) * spans + np.frombuffer(pairs[0], "<i8"), return_counts=True)
+        return [
+            *map(pa.array, (total(n_a), total(n_b), n_same + n_pairs)), pa.array(sha, pa.string()), _lists(np.frombuffer(same[0], "<i4"), n_same, pa.int32()),
+            *(_lists(x, np.bincount(irregular // spans, minlength=len(texts)), kind) for x, kind in ((irregular % spans, pa.int64()), (times.astype(np.int32), pa.int32()))),
+        ]
+
+
+def _joined(values: tuple[bytes, ...], index: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The values of all chunks end to end, and where each row begins and the last one ends."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(index))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    data = memoryview(taken.buffers()[2] or b"")[int(offsets[0]) : int(offsets[-1])]
+    return data, (offsets - offsets[0])[ends]
+
+
+def _lists(values: np.ndarray, per_row: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(values, kind))
+
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
+#: Tables outlive a task where Spark keeps its Python workers.
+_TABLES: dict[tuple[str, str], Tokenizers] = {}
+_CHUNKS: dict[tuple[tuple[str, str], int], ChunkTable] = {}
 
 
 def tokenizers(paths: tuple[str, str]) -> Tokenizers:
-    if paths not in _TOKENIZERS:
-        _TOKENIZERS[paths] = Tokenizers(*paths)
-    return _TOKENIZERS[paths]
+    if paths not in _TABLES:
+        _TABLES[paths] = Tokenizers(*paths)
+    return _TABLES[paths]
+
+
+def chunk_table(paths: tuple[str, str], most: int = TABLE_CHUNKS) -> ChunkTable:
+    if (paths, most) not in _CHUNKS:
+        _CHUNKS[paths, most] = ChunkTable(tokenizers(paths), most)
+    return _CHUNKS[paths, most]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -103,72 +250,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
-def _ends(counts: list[int]) -> np.ndarray:
-    return np.cumsum([0, *counts])
-
-
-def _lists(values: np.ndarray, per_row: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(_ends(per_row.tolist()).astype(np.int32)), pa.array(values, kind))
-
-
-def align(t: Tokenizers, texts: list[str | None]) -> list[pa.Array]:
-    """The columns of COUNTED after doc_id."""
-    n = len(texts)
-    asked = [i for i in range(n) if texts[i]]
-    coded = zip(t.a.encode_batch_fast([" " + texts[i] for i in asked], add_special_tokens=False), t.b.encode([texts[i] for i in asked], num_threads=1)) if asked else ()
-    rows, a, b = [], [], []
-    for i, (x, y) in zip(asked, coded):
-        ids, raw = x.ids, (" " + texts[i]).encode()
-        if b"".join(map(t.a_bytes.__getitem__, ids)) == raw == b"".join(map(t.b_bytes.__getitem__, y)):
-            rows.append(i)
-            a.append(ids)
-            b.append(y)
-    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    a, b = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
-    a_end, b_end = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
-    at = np.searchsorted(b_end, a_end)
-    a_last = np.flatnonzero(b_end[np.minimum(at, max(len(b_end) - 1, 0))] == a_end) if len(a) else np.empty(0, np.int64)
-    b_last = at[a_last]
-    # tokens of group g: A's up to a_last[g], then B's up to b_last[g]
-    in_a, in_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-    group = np.arange(len(a_last))
-    codes = np.empty(len(a) + len(b), np.int64)
-    a_group, b_group = np.repeat(group, in_a), np.repeat(group, in_b)
-    is_last = np.zeros(len(a), np.int64)
-    is_last[a_last] = 1
-    codes[np.arange(len(a)) + (b_last - in_b + 1)[a_group]] = 2 * a + is_last
-    is_last = np.zeros(len(b), np.int64)
-    is_last[b_last] = 1
-    codes[np.arange(len(b)) + (a_last + 1)[b_group]] = 2 * (len(t.a_bytes) + b) + is_last
-    told, ends = t.told.__getitem__, _ends((n_a + n_b).tolist()).tolist()
-    digests = [hashlib.sha256(b"".join(map(told, codes[x:y].tolist()))[:-1]).hexdigest() for x, y in zip(ends, ends[1:])]
-    # links
-    row = np.searchsorted(_ends(n_a.tolist())[1:], a_last, side="right")
-    link_a, link_b = a[a_last], b[b_last]
-    same = (in_a == 1) & (in_b == 1) & (t.same[link_a] == link_b)
-    pairs = len(t.a_bytes) * t.span
-    irregular, times = np.unique(row[~same] * pairs + link_a[~same] * t.span + link_b[~same], return_counts=True)
-
-    def per_text(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        out[rows] = values
-        return out
-
-    count = lambda x: per_text(np.bincount(x, minlength=len(rows)))
-    sha = np.full(n, "", object)
-    sha[rows] = digests
-    some = count(irregular // pairs)
-    return [
-        *map(pa.array, (per_text(n_a), per_text(n_b), count(row))), pa.array(sha, pa.string()),
-        _lists(link_a[same].astype(np.int32), count(row[same]), pa.int32()), _lists(irregular % pairs, some, pa.int64()), _lists(times.astype(np.int32), some, pa.int32()),
-    ]
-
-
-def _aligned(paths: tuple[str, str]):
+def _aligned(paths: tuple[str, str], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _slices(batch):
-                columns = align(tokenizers(paths), rows["text"].to_pylist())
+                columns = chunk_table(paths, most).align(rows["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], *columns], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "same", "pairs", "times"])
 
     return run
@@ -226,7 +312,7 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
     paths = paths or default_paths()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    aligned = cut(rows.mapInArrow(_aligned(paths), COUNTED).withColumn("_row", F.monotonically_increasing_id()), "aligned")
+    aligned = cut(rows.mapInArrow(_aligned(paths, TABLE_CHUNKS), COUNTED).withColumn("_row", F.monotonically_increasing_id()), "aligned")
     counts, best, pairs = count_pairs(aligned, paths)
     same = tokenizers(paths).same
     regular = aligned.mapInArrow(_same_links(counts, (same >= 0) & (counts == best[same])), "_row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, best long, total long")

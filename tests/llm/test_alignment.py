@@ -1,10 +1,12 @@
 """Alignment of two tokenizers against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -65,8 +67,10 @@ def rows_of(frame):
     return sorted((tuple(r[x] for x in names) for r in frame.collect()), key=str)
 
 
-def test_equals_plain(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "SLICE_BYTES", 500)
+@pytest.mark.parametrize("slice_bytes, most, joined", [(500, 7, 3), (1 << 22, 10**6, 200)])
+def test_equals_plain(spark, monkeypatch, slice_bytes, most, joined):
+    for name, value in (("SLICE_BYTES", slice_bytes), ("TABLE_CHUNKS", most), ("JOINED", joined)):
+        monkeypatch.setattr(alignment, name, value)
     rows = list(enumerate(TEXTS)) + [(None, "The reader reads."), (4, TEXTS[4]), (4, TEXTS[11])]
     frame = spark.createDataFrame([(i, t, "a", "p", "s") for i, t in rows], SCHEMA).repartition(3)
     got, want = rows_of(alignment.align_tokenizers(frame)), sorted(plain(rows), key=str)
@@ -81,9 +85,22 @@ def test_given_texts_equal_plain(spark):
     assert got == sorted(plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]), key=str)
 
 
+def test_odd_white_space_equals_plain():
+    """Chunks and their table against whole texts."""
+    rng = random.Random(2)
+    parts = ["a", "Is", "don't", "é", "12", "…", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x1c", "\x85", "\u3000", "▁", "日本", "😀", "<s>", "<|endoftext|>", "x" * 40, "'", "'s", "\u0301", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(1500)]
+    table = alignment.ChunkTable(alignment.tokenizers(alignment.default_paths()), 50)
+    got = [x for at in range(0, len(texts), 70) for x in zip(*(c.to_pylist() for c in table.align(texts[at : at + 70])[:4]))]
+    want = [(r[1], r[2], r[3], r[7]) for r in plain(list(enumerate(texts)))]
+    assert got == want and sum(x[0] > 0 for x in want) > 700
+    for long in (" " * 300_000 + "a", "a " * 150_000, "\n " * 100_000):
+        assert " ".join(alignment.chunks_of(long)) == long
+
+
 def test_only_irregular_groups_are_pairs():
-    t = alignment.tokenizers(alignment.default_paths())
-    columns = alignment.align(t, ["The reader reads unbelievable things.", None])
+    table = alignment.ChunkTable(alignment.tokenizers(alignment.default_paths()), 50)
+    t, columns = table.t, table.align(["The reader reads unbelievable things.", None])
     n_groups, same, pairs = columns[2].to_pylist(), columns[4].to_pylist(), columns[5].to_pylist()
     assert n_groups[1] == 0 and same[1] == pairs[1] == [] and len(same[0]) >= 3
     assert all(t.a_bytes[i] == t.b_bytes[t.same[i]] for i in same[0])
