@@ -11,14 +11,23 @@ from fraudlens.functions import scores, text
 ANSWER = "struct<verdict:string,confidence:string,reasoning:string,key_contradiction:string,hindi_worker_message:string>"
 
 
+def _json_object(x: Column) -> Column:
+    """``x`` as an answer if it is one JSON object and nothing else. It is read as the first of
+    two elements of an array whose second is a digest of ``x``, which ``x`` cannot
+    contain, so neither text behind the object nor a second value passes."""
+    strict, digest = {"allowSingleQuotes": "false"}, F.sha2(x, 256)
+    pair = F.from_json(F.concat(F.lit("["), x, F.lit(', "'), digest, F.lit('"]')), "array<string>", strict)
+    whole = x.rlike(r"(?s)^\{.*\}$") & (F.size(pair) == 2) & (F.try_element_at(pair, F.lit(2)) == digest)
+    return F.when(whole, F.from_json(x, ANSWER, strict))
+
+
 def verdict_parse(raw: Column) -> Column:
-    """The JSON object of a model answer: the whole text, a fenced block, or
-    from the first brace to the last; null if none parses."""
+    """The JSON object of a model answer: the whole text, else a fenced block, else
+    what stands from the first brace to the last; null if that does not parse."""
     whole = text.stripped(raw)
     fenced = F.regexp_extract(whole, r"(?is)```(?:json)?[ \t\n\r]*(\{.*?\})[ \t\n\r]*```", 1)
     inline = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
-    ok = lambda x: F.when(x.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(x).isNotNull(), F.from_json(x, ANSWER))
-    return F.coalesce(ok(whole), ok(fenced), ok(inline))
+    return F.coalesce(_json_object(whole), _json_object(F.when(fenced != "", fenced).otherwise(inline)))
 
 
 def verdict_normalize(answers: DataFrame) -> DataFrame:

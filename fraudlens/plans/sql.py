@@ -323,13 +323,19 @@ EMBEDDING_SCORE = """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (S
 sims AS (SELECT vec_id, list_cosine_similarity(e, l) AS l, list_cosine_similarity(e, s) AS s FROM v)
 SELECT vec_id, round(l, 4) AS sim_to_legitimate, round(s, 4) AS sim_to_scam, round(abs(s - l), 4) AS boundary_distance, round(greatest(0, least(1, (s - l + 1) / 2)), 4) AS embedding_score, 'ok' AS status FROM sims"""
 
-RAW = """raw AS (SELECT doc_id AS msg_id, doc_id AS n, n_chars, CASE doc_id % 7 WHEN 0 THEN 'HIGH_RISK' WHEN 1 THEN 'safe' WHEN 2 THEN 'scam' WHEN 3 THEN 'medium' WHEN 4 THEN 'SUSPICIOUS' WHEN 5 THEN 'odd' ELSE '' END AS w FROM documents),
-parsed AS (SELECT *, CASE WHEN n % 11 IN (0, 1) THEN NULL ELSE 1 END AS j, CASE WHEN n % 11 IN (0, 1) THEN NULL ELSE w END AS word FROM raw)"""
-VERDICTS = """, v0 AS (SELECT *, CASE WHEN j IS NULL THEN 'SUSPICIOUS' WHEN w IN ('HIGH_RISK', 'scam') THEN 'HIGH_RISK' WHEN w = 'safe' THEN 'SAFE' ELSE 'SUSPICIOUS' END AS verdict FROM parsed),
+RAW = r"""made AS (SELECT doc_id AS msg_id, doc_id AS n, '{"verdict": "' || CASE doc_id % 7 WHEN 0 THEN 'HIGH_RISK' WHEN 1 THEN 'safe' WHEN 2 THEN 'scam' WHEN 3 THEN 'medium' WHEN 4 THEN 'SUSPICIOUS' WHEN 5 THEN 'odd' ELSE '' END
+    || '", "confidence": ' || CASE doc_id % 5 WHEN 0 THEN '"abc"' WHEN 1 THEN '150' WHEN 2 THEN '-5' ELSE CAST(n_chars % 100 AS VARCHAR) END || ', "reasoning": "text of ' || n_chars || ' signs", "key_contradiction": '
+    || CASE doc_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"NULL"' ELSE '"salary of ' || n_chars || '"' END || '}' AS answer FROM documents),
+raw AS (SELECT msg_id, trim(CASE n % 11 WHEN 0 THEN NULL WHEN 1 THEN 'no answer' WHEN 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || answer || chr(10) || '```' || chr(10) || 'Done.' WHEN 3 THEN 'I think ' || answer || ' is right.'
+    WHEN 4 THEN answer || ' trailing {x}' WHEN 5 THEN answer || ' or ' || answer WHEN 6 THEN '```json' || chr(10) || '{broken}' || chr(10) || '```' || chr(10) || answer ELSE answer END) AS llm_raw FROM made),
+picked AS (SELECT *, CASE WHEN json_valid(llm_raw) AND llm_raw LIKE '{%' THEN llm_raw ELSE coalesce(nullif(regexp_extract(llm_raw, '(?is)```(?:json)?\s*(\{.*?\})\s*```', 1), ''), regexp_extract(llm_raw, '(?s)(\{.*\})', 1)) END AS candidate FROM raw),
+parsed AS (SELECT msg_id, llm_raw, CASE WHEN json_valid(candidate) THEN candidate END AS j, CASE WHEN json_valid(candidate) THEN json_extract_string(candidate, '$.verdict') END AS word FROM picked)"""
+VERDICTS = """, v0 AS (SELECT *, CASE WHEN j IS NULL THEN 'SUSPICIOUS' WHEN word IN ('HIGH_RISK', 'scam') THEN 'HIGH_RISK' WHEN word = 'safe' THEN 'SAFE' ELSE 'SUSPICIOUS' END AS verdict,
+    CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.confidence') END AS told, CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.reasoning') END AS why, CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.key_contradiction') END AS against FROM parsed),
 verdicts AS (SELECT msg_id, verdict,
-  CAST(CASE WHEN j IS NULL THEN 55 WHEN n % 5 = 0 THEN 60 WHEN n % 5 = 1 THEN 100 WHEN n % 5 = 2 THEN 0 ELSE n_chars % 100 END AS BIGINT) AS confidence,
-  CASE WHEN n % 11 = 0 THEN 'AI investigator unavailable (no answer).' WHEN j IS NULL THEN 'AI investigator unavailable (answer is not valid JSON).' ELSE 'text of ' || n_chars || ' signs' END AS reasoning,
-  CASE WHEN j IS NOT NULL AND n % 3 = 2 THEN 'salary of ' || n_chars END AS key_contradiction,
+  CAST(CASE WHEN j IS NULL THEN 55 ELSE greatest(0, least(100, coalesce(trunc(TRY_CAST(told AS DOUBLE)), 60))) END AS BIGINT) AS confidence,
+  CASE WHEN llm_raw IS NULL THEN 'AI investigator unavailable (no answer).' WHEN j IS NULL THEN 'AI investigator unavailable (answer is not valid JSON).' ELSE why END AS reasoning,
+  CASE WHEN lower(against) <> 'null' THEN against END AS key_contradiction,
   CASE WHEN j IS NULL THEN 'System busy hai, verification ke bina payment na karein.' WHEN verdict = 'HIGH_RISK' THEN 'Yeh offer high risk lag raha hai, paise mat bhejiye.' WHEN verdict = 'SUSPICIOUS' THEN 'Is offer ko verify kiye bina koi payment mat kijiye.' ELSE 'Offer filhal theek lagta hai, fir bhi details verify kar lijiye.' END AS hindi_worker_message,
   CASE verdict WHEN 'SAFE' THEN 0.12::DOUBLE WHEN 'HIGH_RISK' THEN 0.92::DOUBLE ELSE 0.52::DOUBLE END AS risk_score FROM v0)"""
 

@@ -220,5 +220,7 @@ def llm_raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.when(n % 5 == 0, F.lit('"abc"')).when(n % 5 == 1, F.lit("150")).when(n % 5 == 2, F.lit("-5")).otherwise((F.col("n_chars") % 100).cast("string"))
     contradiction = F.when(n % 3 == 0, F.lit("null")).when(n % 3 == 1, F.lit('"NULL"')).otherwise(F.concat(F.lit('"salary of '), F.col("n_chars").cast("string"), F.lit('"')))
     json = F.concat(F.lit('{"verdict": "'), word, F.lit('", "confidence": '), confidence, F.lit(', "reasoning": "text of '), F.col("n_chars").cast("string"), F.lit(' signs", "key_contradiction": '), contradiction, F.lit("}"))
-    raw = F.when(n % 11 == 0, F.lit(None)).when(n % 11 == 1, F.lit("no answer")).when(n % 11 == 2, F.concat(F.lit("Here:\n```json\n"), json, F.lit("\n```\nDone."))).when(n % 11 == 3, F.concat(F.lit("I think "), json, F.lit(" is right."))).otherwise(json)
+    raw = F.when(n % 11 == 0, F.lit(None)).when(n % 11 == 1, F.lit("no answer")).when(n % 11 == 2, F.concat(F.lit("Here:\n```json\n"), json, F.lit("\n```\nDone."))).when(n % 11 == 3, F.concat(F.lit("I think "), json, F.lit(" is right.")))
+    # none of these is one JSON object: text behind it, two of them, a broken block before a good one
+    raw = raw.when(n % 11 == 4, F.concat(json, F.lit(" trailing {x}"))).when(n % 11 == 5, F.concat(json, F.lit(" or "), json)).when(n % 11 == 6, F.concat(F.lit("```json\n{broken}\n```\n"), json)).otherwise(json)
     return docs.select(F.col("doc_id").alias("msg_id"), raw.alias("llm_raw"))

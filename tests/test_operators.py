@@ -57,6 +57,8 @@ def test_score_to_int(spark, value, want):
     [
         ('{"verdict": "scam", "confidence": 150}', "HIGH_RISK", 100), ('x ```json\n{"verdict": "SAFE", "confidence": "abc"}\n``` y', "SAFE", 60), ('I say {"verdict": "medium", "confidence": -5} ok', "SUSPICIOUS", 0),
         ("none", "SUSPICIOUS", 55), (None, "SUSPICIOUS", 55), ("{broken", "SUSPICIOUS", 55),
+        ('{"verdict":"SCAM"} trailing {x}', "SUSPICIOUS", 55), ('{"verdict":"SAFE"} or {"verdict":"SCAM"}', "SUSPICIOUS", 55), ('{"verdict":"SAFE"}], [{"verdict":"SCAM"}', "SUSPICIOUS", 55),
+        ("{'verdict':'SAFE'}", "SUSPICIOUS", 55), ('```{broken}``` {"verdict":"SAFE"}', "SUSPICIOUS", 55), ('["x"] {"verdict":"SAFE","confidence":7}', "SAFE", 7), ('{"verdict":"SAFE","verdict":"SCAM","confidence":9}', "HIGH_RISK", 9),
     ],
 )
 def test_verdicts(spark, raw, verdict_, confidence):
