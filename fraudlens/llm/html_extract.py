@@ -9,10 +9,13 @@ deepest container that holds most of their text. Inside it blocks below the
 threshold still belong to the article (a headline, a list's items) unless
 something speaks against them.
 
-Element names and names in attributes are evidence only: they scale a leaf's
-value down, so among alike paths the one without them wins, while a name on the
-article's own wrapper scales the whole page and changes nothing. Never shown
-are scripts, styles, controls and the like.
+What stands beside articles by its element, role or whole name (``comments``,
+``comment-list``, but not ``share-price``) is left out before any ratio is taken, however long it is,
+unless it wraps the article itself (an ``article``, ``main`` or ``h1`` that no other such element
+round it explains away) or is all the text there is. Of what is left, an ``article`` or
+``main`` with any text is where the region is looked for. Parts of names are weak evidence: they
+scale a leaf's value down, so among alike paths the one without them wins. A headline before the
+region brings the branch that it stands in. Never shown are scripts, styles, controls and the like.
 
 Each page is worked out on its own, in time linear in its length, so Spark deals
 pages over tasks, nothing is shuffled and memory is bounded by one page.
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 #: Element names and name parts of attributes, from the HTML standard and common practice.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head button select option input object svg canvas math dialog audio video map".split())
+SKIPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head button select option input object svg canvas dialog audio video map annotation annotation-xml".split())
 BESIDE = frozenset("nav header footer aside form fieldset label menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -51,6 +54,12 @@ NOT_ARTICLE = frozenset(
     "replies respond widget widgets toolbar pagination pager copyright".split()
 )
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Words that say nothing in a name made of several, and words that turn it round.
+LAYOUT = frozenset(
+    "list lists area areas wrap wrapper container box section block inner outer top bottom left right post posts article articles page site item items bar panel module link links "
+    "form title body group row col column unit slot button buttons icon icons count thread threads stories tree holder region text secondary global side user blog entry entries".split()
+)
+TURNED = frozenset("no not has have with without is hide show".split())
 #: An open element of these ends when one of the second kind begins.
 ENDS = {
     "p": BLOCKS,
@@ -68,7 +77,7 @@ ENDED_BY = {name: tuple(e for e, names in ENDS.items() if name in names) for nam
 WALLS = CONTAINERS | {"ul", "ol", "dl", "table"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z)",
     re.S,
@@ -80,39 +89,47 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 #: What evidence leaves of a leaf's value: an element or role that stands beside articles, a whole
 #: name in class or id, a part of one, a block that is all links.
 BESIDE_FACTOR, NAME_FACTOR, PART_FACTOR, LINK_FACTOR = 0.05, 0.2, 0.4, 0.3
+#: Signs that an element stands beside the article: its own name or role, or its class or id.
+BY_ELEMENT, BY_NAME = 1, 2
 #: Block elements whose own class and id say nothing: headings and paragraphs often carry words of their text.
 UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 
+def _whole_name(token: str) -> bool:
+    """Whether a class or id names what stands beside articles, alone or with words that say nothing."""
+    parts = [x.lower() for x in _PARTS.findall(token)]
+    return token.lower() in NOT_ARTICLE or any(x in NOT_ARTICLE for x in parts) and all(x in NOT_ARTICLE or x in LAYOUT for x in parts) and not any(x.isdigit() for x in token)
+
+
 @lru_cache(4096)
-def _evidence(name: str, attributes: str, in_article: bool) -> float:
-    """The factor of an element on its leaves' values; 0 if it is never shown."""
+def _evidence(name: str, attributes: str, in_article: bool) -> tuple[float, int]:
+    """The factor of an element on its leaves' values, 0 if it is never shown, and its sign."""
     if name in SKIPPED:
-        return 0.0
+        return 0.0, 0
     heading = in_article and name in ("header", "hgroup")
-    factor = BESIDE_FACTOR if name in BESIDE and not heading else 1.0
+    factor, sign = (BESIDE_FACTOR, BY_ELEMENT) if name in BESIDE and not heading else (1.0, 0)
     named = name in BLOCKS and name not in UNNAMED and not heading
     for hint in _HINTS.finditer(attributes):
         kind, value = hint[1].lower(), (hint[2] or hint[3] or hint[4] or "")
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return 0.0
+            return 0.0, 0
         if kind == "role" and value.strip().lower() in NOT_ARTICLE_ROLES:
-            factor = min(factor, BESIDE_FACTOR)
-        elif kind in ("class", "id") and named:
-            if not NOT_ARTICLE.isdisjoint(value.lower().split()):
-                factor = min(factor, NAME_FACTOR)
-            elif any(part.lower() in NOT_ARTICLE for part in _PARTS.findall(value)):
+            factor, sign = min(factor, BESIDE_FACTOR), sign or BY_ELEMENT
+        elif kind in ("class", "id") and (named or name == "article"):
+            if any(map(_whole_name, value.split())):
+                factor, sign = min(factor, NAME_FACTOR), sign or BY_NAME
+            elif named and any(part.lower() in NOT_ARTICLE for x in value.split() for part in _PARTS.findall(x)) and not any(x.lower() in TURNED for x in _PARTS.findall(value)):
                 factor = min(factor, PART_FACTOR)
-    return factor
+    return factor, sign
 
 
 class _Element:
     """An element; ``path`` is the number of its tag path, ``at`` its place in the stack of open elements."""
 
-    __slots__ = ("name", "parent", "factor", "path", "in_article", "in_link", "at", "number")
+    __slots__ = ("name", "parent", "factor", "sign", "path", "in_article", "in_link", "at", "number")
 
-    def __init__(self, name: str, parent: _Element | None, factor: float, path: int, number: int):
-        self.name, self.parent, self.path, self.number = name, parent, path, number
+    def __init__(self, name: str, parent: _Element | None, factor: float, path: int, number: int, sign: int = 0):
+        self.name, self.parent, self.path, self.number, self.sign = name, parent, path, number, sign
         self.factor = factor * (parent.factor if parent else 1.0)
         self.in_article = name in ("article", "main") or bool(parent and parent.in_article)
         self.in_link = name == "a" or bool(parent and parent.in_link)
@@ -135,7 +152,8 @@ class _Open:
 
     def push(self, name: str, attributes: str) -> None:
         path = self.paths.setdefault((self.here.path, name), len(self.paths) + 1)
-        new = _Element(name, self.here, _evidence(name, attributes, self.here.in_article), path, len(self.elements))
+        factor, sign = _evidence(name, attributes, self.here.in_article)
+        new = _Element(name, self.here, factor, path, len(self.elements), sign)
         self.elements.append(new)
         self.stack.append(new)
         self.named.setdefault(name, []).append(new)
@@ -192,8 +210,6 @@ def text_leaves(html: str) -> tuple[list[tuple[_Element, int, str]], list[_Eleme
         at = tag.end()
         name = tag["name"] or tag["name2"]
         if not name:
-            if tag[0].startswith("<![CDATA[") and tree.here.factor:
-                leaves.append((tree.here, block, tag[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if name in BLOCKS:
@@ -245,12 +261,38 @@ def content_leaves(leaves: list[tuple[_Element, int, str]], sizes: np.ndarray, s
     return (sizes > 0) & (values * weights.sum() >= share * (values @ weights))
 
 
+def _beside(elements: list[_Element]) -> list[bool]:
+    """Which elements stand beside the article: those with a sign, and all in them.
+
+    A sign does not count on an element round an ``article`` or ``main``, nor, if a page has none,
+    round its ``h1``, unless such an element without a sign round it is elsewhere on the page."""
+    signed = [False] * len(elements)
+    for x in elements:
+        signed[x.number] = bool(x.sign) or x.parent is not None and signed[x.parent.number]
+    for names in (("article", "main"), ("h1",)):
+        found = [x for x in elements if x.name in names and not x.sign]
+        if found:
+            if all(signed[x.number] for x in found):
+                wrapping = [False] * len(elements)
+                for x in found[:1] if names == ("h1",) else found:
+                    at = x.parent
+                    while at is not None and not wrapping[at.number]:
+                        wrapping[at.number] = names != ("h1",) or at.sign == BY_NAME or at.name == "form"
+                        at = at.parent
+                for x in elements:
+                    signed[x.number] = bool(x.sign) and not wrapping[x.number] or x.parent is not None and signed[x.parent.number]
+            break
+    return signed
+
+
 def _region(leaves: list[tuple[_Element, int, str]], elements: list[_Element], sizes: np.ndarray, content: np.ndarray, share: float = 0.8) -> _Element | None:
-    """The deepest container with at least ``share`` of the content text. An
-    article or main element round it, which may hold its headline, breaks the tie
-    between containers of the same content."""
+    """The deepest container with at least ``share`` of the content text, looked for in
+    the article and main elements if these have any text. An article or main element round
+    it, which may hold its headline, breaks the tie between containers of the same content."""
+    held = [i for i in np.flatnonzero(sizes).tolist() if leaves[i][0].in_article]
+    some = [i for i in held if content[i]] or held or np.flatnonzero(content).tolist()
     weights = [0] * len(elements)
-    for i in np.flatnonzero(content).tolist():
+    for i in some:
         weights[leaves[i][0].number] += int(sizes[i])
     for x in reversed(elements[1:]):
         weights[x.parent.number] += weights[x.number]
@@ -263,16 +305,44 @@ def _region(leaves: list[tuple[_Element, int, str]], elements: list[_Element], s
     return x or found
 
 
+def _headline_branch(leaves: list[tuple[_Element, int, str]], elements: list[_Element], region: _Element, sizes: np.ndarray) -> _Element | None:
+    """If the region is in no article and has no h1, the branch beside it that holds the last h1 before it."""
+    if region.in_article or region.parent is None:
+        return None
+    on_path, at = set(), region.parent
+    while at is not None:
+        on_path.add(at.number)
+        at = at.parent
+    # for each element the branch that leaves the way from the root to the region, and the h1 that it is in
+    branch_of: list[_Element | None] = [None] * len(elements)
+    heading: list[_Element | None] = [None] * len(elements)
+    for x in elements[1:]:
+        if x.number not in on_path:
+            branch_of[x.number] = branch_of[x.parent.number] or x
+            heading[x.number] = x if x.name == "h1" else heading[x.parent.number]
+    found = None
+    for (x, _, _), size in zip(leaves, sizes.tolist()):
+        if branch_of[x.number] is region:
+            break
+        if size and heading[x.number]:
+            found = branch_of[x.number]
+    return found
+
+
 def main_text(html: str | None) -> str:
     leaves, elements = text_leaves(html or "")
+    beside = _beside(elements)
+    if any(not beside[x.number] and text.strip() for x, _, text in leaves):
+        leaves = [leaf for leaf in leaves if not beside[leaf[0].number]]
     sizes = np.fromiter((len("".join(text.split())) for _, _, text in leaves), np.int64, len(leaves))
     content = content_leaves(leaves, sizes)
     region = _region(leaves, elements, sizes, content)
     if region is None:
         return ""
+    branch = _headline_branch(leaves, elements, region, sizes)
     inside = [False] * len(elements)
     for x in elements:
-        inside[x.number] = x is region or x.parent is not None and inside[x.parent.number]
+        inside[x.number] = x is region or x is branch or x.parent is not None and inside[x.parent.number]
     blocks: list[list[tuple[_Element, bool, str]]] = []
     last = None
     for (element, block, text), is_content in zip(leaves, content.tolist()):
@@ -281,9 +351,9 @@ def main_text(html: str | None) -> str:
                 blocks.append([])
                 last = block
             blocks[-1].append((element, is_content, text))
-    # a block goes if none of its leaves is content and evidence below the region speaks against it
-    kept = (b for b in blocks if any(c for _, c, _ in b) or all(x.factor >= region.factor for x, _, _ in b))
-    lines = (" ".join(unescape("".join(text for _, _, text in b)).split()) for b in kept)
+    # a block goes if none of its leaves is content, weak evidence speaks against it and all of it is links
+    kept = (b for b in blocks if any(c for _, c, _ in b) or all(x.factor >= region.factor for x, _, _ in b) or any(text.strip() and not x.in_link for x, _, text in b))
+    lines = (" ".join("".join(unescape(text) for _, _, text in b).split()) for b in kept)
     return "\n".join(line for line in lines if line)
 
 

@@ -342,6 +342,57 @@ def test_names_are_evidence_only_and_ratios_decide(monkeypatch):
     assert H.main_text(plain) != lines
 
 
+THREADS = [
+    lambda p: f'<section class="comments"><ul>{"".join(f"<li><p>{x}</p></li>" for x in p)}</ul></section>',
+    lambda p: f'<div id=comments>{"".join(f"<div><p>{x}</p></div>" for x in p)}</div>',
+    lambda p: f'<div class="comment-list">{"".join(f"<article class=comment><h4>A reader</h4><p>{x}</p></article>" for x in p)}</div>',
+    lambda p: "".join(f'<div class="comment"><p>{x}</p></div>' for x in p),
+    lambda p: f'<aside>{"".join(f"<p>{x}</p>" for x in p)}</aside>',
+]
+
+
+@pytest.mark.parametrize("thread", THREADS)
+@pytest.mark.parametrize("times", [1, 2, 3, 8])
+@pytest.mark.parametrize("many", [1, 6])
+@pytest.mark.parametrize("short", [False, True])
+def test_comments_go_however_long(thread, times, many, short):
+    from fraudlens.llm.html_extract import main_text
+
+    paragraphs = ["Two short lines, no more.", "This is all of it."] if short else [LONG.strip()] * 4
+    body = "<h1>The title</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+    said = thread([LONG * times] * many)
+    want = "\n".join(["The title", *paragraphs])
+    for page in (f"<body><nav>menu</nav><article>{body}</article>{said}</body>", f"<body><article>{body}{said}</article><footer>foot</footer></body>", f"<main><article>{body}</article>{said}</main>"):
+        assert main_text(page) == want
+    if not short:
+        assert main_text(f"<body><div class=page><div class=story>{body}</div>{said}</div></body>") == want
+
+
+def test_unnamed_thread_beside_an_article():
+    from fraudlens.llm.html_extract import main_text
+
+    page = f"<body><article><h1>T</h1><p>Two short lines, no more.</p></article><div>{'<div><p>' + LONG * 3 + '</p></div>'}</div></body>"
+    assert main_text(page) == "T\nTwo short lines, no more."
+
+
+def test_what_belongs_to_the_article_stays():
+    from fraudlens.llm.html_extract import main_text
+
+    p = f"<p>{LONG}</p>"
+    line = LONG.strip()
+    kept = '<div id="related-work">Earlier, others did so.</div><div class="share-price">It rose to 5.</div><table class="menu-prices"><tr><td>Soup 4</td></tr></table><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p>'
+    assert main_text(f"<article>{p}{kept}{p}</article>") == f"{line}\nEarlier, others did so.\nIt rose to 5.\nSoup 4\nSo x=2.\n{line}"
+    # the title and the lead of a sibling, beside menus and adverts
+    page = f'<body><div class="nav"><a>Home</a></div><div class=wrap><div class=head><h1>Title</h1><p>The lead.</p></div><div class="ad-container"><p>{LONG * 2}</p></div><div class=text>{p * 4}</div></div></body>'
+    assert main_text(page) == "\n".join(["Title", "The lead.", *[line] * 4])
+    # a name on the wrapper of the article, or round the only text, means nothing
+    for wrapper in ('<div class="widget">{}</div><div class="widget">Other</div>', '<form>{}</form>', '<div class="sidebar">{}</div>'):
+        assert main_text("<body><p>skip</p>" + wrapper.format(f"<article>{p}</article>") + "</body>") == line
+    assert main_text(f'<div class="comments">{p}</div>') == line
+    # as browsers read them: the first > ends a CDATA section, references do not cross tags
+    assert main_text(f"<article>{p}<p>a <![CDATA[ hidden > shown ]]> z</p><p>&am<b>p;lt;</b> &lt;b&gt;</p></article>") == f"{line}\na shown ]]> z\n&amp;lt; <b>"
+
+
 @pytest.mark.parametrize("html", ["<b>x" * 100_000, "<b>x</i>" * 100_000, "<p>x" * 100_000, "<i><div>" * 50_000 + "<b>x</i>" * 50_000, "<div class='a b'>" * 100_000, "<!--" * 50_000, "<script>" * 50_000, '<a "' * 50_000])
 def test_deep_and_broken_pages_take_linear_time(html):
     from fraudlens.llm.html_extract import main_text
