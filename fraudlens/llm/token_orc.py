@@ -11,8 +11,8 @@ space and never merges across it), so each task keeps a bounded table from
 words to their ids and encodes unknown words in batches.
 
 Defined cases: null text is empty and gets the end id alone; null ids sort
-first; rows that repeat an id stay separate rows of one range, ordered by
-n_tokens then checksum; an empty table gives no rows; other columns are ignored.
+first; rows that repeat an id stay separate rows, ordered by a hash of the text and dealt
+over as many ranges as they fill; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ TABLE_WORDS = 700_000
 ROWS_A_BATCH = 2048
 #: Bytes of a stripe, the unit of parallel reads, and rows of an index entry, the unit that a lookup skips.
 STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 10_000
+#: Columns of the files; ``tie`` orders rows of one id.
+TOKENS = "doc_id long, tie long, part int, ids array<int>"
 
 
 def default_tokenizer() -> str:
@@ -162,17 +164,23 @@ def encode_partition(path: str, end_id: int, most: int):
                 found, ends = table.encode(rows["text"])
                 values = np.insert(found, ends[1:], end_id).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["part"], ids], names=["doc_id", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["tie"], rows["part"], ids], names=["doc_id", "tie", "part", "ids"])
 
     return encode
 
 
 def write_token_orc(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, most_words: int = TABLE_WORDS, stripe_bytes: int = STRIPE_BYTES, stride_rows: int = STRIDE_ROWS) -> None:
-    """Write (doc_id, part, ids) in ascending id order; ``part`` is the range a document is in."""
+    """Write (doc_id, tie, part, ids) in ascending id order; ``part`` is the range a document is in.
+
+    Rows of one id are ordered, and dealt over ranges, by a hash of the text; equal rows, which
+    may stand in any order, by a number of each row. Both are computed before the exchange, so no
+    id, null or repeated, has to fit into one range."""
     path = tokenizer or default_tokenizer()
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
-    ids = ordered.mapInArrow(encode_partition(path, end_id, most_words), "doc_id long, part int, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("_row", F.xxhash64(F.monotonically_increasing_id()))
+    order = ("doc_id", "tie", "_row")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "tie", F.spark_partition_id().alias("part"), "text")
+    ids = ordered.mapInArrow(encode_partition(path, end_id, most_words), TOKENS)
     indexed = {"orc.create.index": "true", "orc.row.index.stride": stride_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": stripe_bytes}
     ids.write.options(compression="zstd", **indexed).orc(folder)
 
@@ -185,11 +193,11 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = memoryview(np.ascontiguousarray(values)).cast("B")
         sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
         lengths = np.diff(ends).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["part"], pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], batch["part"], pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "tie", "part", "n_tokens", "ids_crc32"])
 
 
 def read_token_orc(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("doc_id long, part int, ids array<int>").orc(folder)
+    return spark.read.schema(TOKENS).orc(folder)
 
 
 def lookup_tokens(spark: SparkSession, folder: str, ids: list[int]) -> DataFrame:
@@ -203,8 +211,8 @@ def token_index(tokens: DataFrame) -> DataFrame:
 
     Running sums inside each range, then the ranges' own offsets: one row for
     each range of documents, the only rows that meet in one task."""
-    rows = cut(tokens.mapInArrow(_checksums, "doc_id long, part int, n_tokens long, ids_crc32 long"), "token_index")  # used twice below
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut(tokens.mapInArrow(_checksums, "doc_id long, tie long, part int, n_tokens long, ids_crc32 long"), "token_index")  # used twice below
+    inside = Window.partitionBy("part").orderBy("doc_id", "tie", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
