@@ -13,8 +13,8 @@ decides that two texts are equal.
 Defined cases: a null text is the empty text; an empty table gives an empty
 result; of rows with equal content the one with most code points stays, ties go
 to the smallest id, null ids come last; rows that repeat an id and a content
-share one answer in ``exact_dedup``, while ``drop_exact_copies`` keeps one row of
-each content whatever the ids. Other columns of the input are ignored, whatever their names.
+share one answer in ``exact_dedup``, but of copies that all have no id one is kept, while
+``drop_exact_copies`` keeps one row of each content whatever the ids. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,17 +43,17 @@ def exact_groups(
     digest: Callable[[Column], Column] = sha256_hex,
     tie: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): ``rows`` has a narrow row for each document (_id,
+    """(rows, groups): ``rows`` has a narrow row for each document (_id, _n, _row,
     _digest, _check), ``groups`` one for each content (_digest, _check, _keep,
     _size, and _best, the rank of the row that stays, in which ``tie`` comes last). ``_check`` is a second hash that tells contents of equal digest
     apart; should both agree for different contents the job fails."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ties = [] if tie is None else ["_tie"]
-    base = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_n"), F.regexp_replace(text, SPACES, "").alias("_content"), *([] if tie is None else [tie.alias("_tie")]))
-    base = base.select("_id", "_n", "_content", *ties, digest(F.col("_content")).alias("_digest"))
+    base = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_n"), F.regexp_replace(text, SPACES, "").alias("_content"), F.monotonically_increasing_id().alias("_row"), *([] if tie is None else [tie.alias("_tie")]))
+    base = base.select("_id", "_n", "_row", "_content", *ties, digest(F.col("_content")).alias("_digest"))
     rank = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), *[F.col(c).alias("tie") for c in ties])
     salted = (
-        base.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
+        base.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
         .groupBy("_digest", "_content", "_salt")
         .agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("_size"))
     )
@@ -70,7 +70,7 @@ def exact_groups(
             *(["_best"] if ties else []),
         )
     )
-    return base.select("_id", "_digest", F.xxhash64("_content").alias("_check")), cut(groups, "exact_groups")
+    return base.select("_id", "_n", "_row", "_digest", F.xxhash64("_content").alias("_check")), cut(groups, "exact_groups")
 
 
 def exact_dedup(
@@ -87,18 +87,22 @@ def exact_dedup(
     spread over the join's tasks; all others are small beside the table.
     """
     rows, groups = exact_groups(docs, id_col, text_col, salts, digest)
+    rows = cut(rows, "exact_rows")  # its row numbers decide below
     total = groups.agg(F.sum("_size")).first()[0] or 0
     hot = groups.filter(F.col("_size") * HOT_GROUPS >= F.lit(total)).filter(F.col("_size") > 1)
     hot = hot.select("_digest", "_check", F.col("_keep").alias("_hot_keep"), F.col("_size").alias("_hot_size"))
-    spread = F.concat(F.lit("hot "), F.pmod(F.xxhash64("_id"), F.lit(HOT_GROUPS)).cast("string"))
+    spread = F.concat(F.lit("hot "), F.pmod(F.xxhash64("_row"), F.lit(HOT_GROUPS)).cast("string"))
+    # of the longest copies without an id the first row; it counts where such a row is what stays
+    nameless = rows.filter("_id IS NULL").groupBy("_digest", "_check").agg(F.min(F.struct((-F.col("_n")).alias("n"), "_row")).alias("_first"))
+    nameless = nameless.select(F.col("_first._row").alias("_row"), F.lit(True).alias("_is_first"))
     rows = rows.join(F.broadcast(hot), ["_digest", "_check"], "left").withColumn("_at", F.when(F.col("_hot_size").isNull(), F.col("_digest")).otherwise(spread))
     rest = groups.select(F.col("_digest").alias("_at"), "_check", "_keep", "_size")
     keep = F.when(F.col("_hot_size").isNull(), F.col("_keep")).otherwise(F.col("_hot_keep"))
-    return rows.join(rest, ["_at", "_check"], "left").select(
+    return rows.join(rest, ["_at", "_check"], "left").join(nameless, "_row", "left").select(
         F.col("_id").alias("doc_id"),
         keep.alias("keep_id"),
         F.coalesce("_hot_size", "_size").alias("group_size"),
-        F.col("_id").eqNullSafe(keep).alias("kept"),
+        F.coalesce(F.col("_id") == keep, F.col("_id").isNull() & keep.isNull() & F.coalesce("_is_first", F.lit(False))).alias("kept"),
         F.col("_digest").alias("text_sha256"),
     )
 
