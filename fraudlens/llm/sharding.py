@@ -8,8 +8,8 @@ edits the newest version: slots leave shards that hold too much and no others
 move. The edit is stored as the next version; readers take the newest, or one
 that they name.
 
-Defined cases: a null text has no bytes (size 1); null ids are dealt by their
-text; repeated rows share a virtual slot; an empty table gives an empty map and
+Defined cases: a null text has no bytes (size 1); records of one
+id, null or repeated, are dealt by their text; repeated rows share a virtual slot; an empty table gives an empty map and
 result; other columns are ignored.
 """
 
@@ -30,8 +30,8 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
     """doc_id, size, text_crc32 and the virtual slot of each record."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    key = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("text_crc32")), "doc_id")
-    return rows.withColumn("v_slot", F.pmod(key, F.lit(slots)).cast("int"))
+    # of the id and the text, so that records of one id, null or repeated, are spread
+    return rows.withColumn("v_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
