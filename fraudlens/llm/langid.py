@@ -6,7 +6,9 @@ frequencies are counted over all labelled training rows. The weights are
 learned from a bounded sample of these rows (a number for each language) by follow-the-regularised-leader
 with elastic-net penalties, then a temperature is fitted on rows of the sample
 that were not learned from. Only the sample, the frequencies (one number for
-each hash) and the weights pass through the driver; their sizes are parameters.
+each hash) and the weights pass through the driver; their sizes are parameters. The
+penalties leave weights at 0; tasks hold those that are not, by feature. While they are learned
+the driver holds two numbers for each language and each feature that the sample has.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 so is every text if no row is labelled; rows with a null language are not
@@ -30,8 +32,6 @@ UNKNOWN = "und"
 FEATURES = 1 << 15
 #: Expected rows of the sample that the weights are learned from, and at least so many of each language.
 SAMPLE_ROWS, SAMPLE_ROWS_A_LANGUAGE = 2000, 20
-#: Weights (features times languages) that the driver and each task hold; with very many languages the features are fewer.
-MOST_WEIGHTS, LEAST_FEATURES = 1 << 24, 1 << 10
 _BLANK = 32
 _SYMBOLS: np.ndarray | None = None
 
@@ -72,11 +72,34 @@ def grams(text: str | None, features: int = FEATURES) -> tuple[np.ndarray, np.nd
     return at.astype(np.int32), counts[at]
 
 
+@dataclass
+class SparseWeights:
+    """The weights that are not 0: those of feature f are at first[f] up to first[f + 1]."""
+
+    first: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+    languages: int
+
+    @staticmethod
+    def of(features: int, at: np.ndarray, dense: np.ndarray) -> SparseWeights:
+        """``dense`` has a row for each of the features ``at``, in ascending order."""
+        row, language = np.nonzero(dense)
+        first = np.concatenate([[0], np.cumsum(np.bincount(at[row], minlength=features))])
+        return SparseWeights(first, language.astype(np.int32), dense[row, language].astype(np.float32), dense.shape[1])
+
+    def scores(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Of each language for a text's features and their values."""
+        some = self.first[at + 1] - self.first[at]
+        which = np.repeat(self.first[at] - np.cumsum(some) + some, some) + np.arange(some.sum())
+        return np.bincount(self.language[which], self.value[which] * np.repeat(x, some), self.languages)
+
+
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
     idf: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    weights: SparseWeights | None = None
     temperature: float = 1.0
 
     def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -84,7 +107,7 @@ class Model:
         return x / max(1e-12, float(np.sqrt(x @ x)))
 
     def probabilities(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        z = self.vector(at, counts) @ self.weights[at] / self.temperature
+        z = self.weights.scores(at, self.vector(at, counts)) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -123,13 +146,6 @@ def _sample_features(features: int):
     return run
 
 
-def features_for(languages: int, features: int = FEATURES) -> int:
-    """Halved until the weights of all languages fit."""
-    while features > LEAST_FEATURES and features * languages > MOST_WEIGHTS:
-        features //= 2
-    return features
-
-
 def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
     """FTRL-proximal for softmax regression: rows are (feature numbers, values, class)."""
     z, n = np.zeros((features, classes)), np.zeros((features, classes))
@@ -172,7 +188,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     total = sum(r["count"] for r in by_lang)
     if not total:
         return Model()
-    features, sample_rows = features_for(len(by_lang), features), max(sample_rows, SAMPLE_ROWS_A_LANGUAGE * len(by_lang))
+    sample_rows = max(sample_rows, SAMPLE_ROWS_A_LANGUAGE * len(by_lang))
     counted = rows.select("text").mapInArrow(_document_frequencies(features), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(features)
     frequency[counted["feature"].to_numpy()] = counted["n"].to_numpy()
@@ -190,11 +206,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if len(at):
             data.append((at, model.vector(at, np.frombuffer(counts, "<i4")), number[lang]))
     learned, apart = [x for i, x in enumerate(data) if i % 5], [x for i, x in enumerate(data) if not i % 5]
-    model.weights = follow_leader(learned or data, features, len(languages))
+    # only features of the rows learned from can have weights
+    learned = learned or data
+    known = np.unique(np.concatenate([at for at, _, _ in learned])) if learned else np.empty(0, np.int64)
+    model.weights = SparseWeights.of(features, known, follow_leader([(np.searchsorted(known, at), x, y) for at, x, y in learned], len(known), len(languages)))
     if apart:
-        scores = np.array([x @ model.weights[at] for at, x, _ in apart])
+        scores = np.array([model.weights.scores(at, x) for at, x, _ in apart])
         model.temperature = fit_temperature(scores, np.array([y for _, _, y in apart]))
-    model.weights = model.weights.astype(np.float32)
     return model
 
 

@@ -133,6 +133,9 @@ def test_language_id_equals_a_plain_softmax(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(table)
     assert model.languages == sorted(kinds)
+    w = model.weights
+    weight = {(f, int(w.language[i])): float(w.value[i]) for f in range(len(w.first) - 1) for i in range(w.first[f], w.first[f + 1])}
+    assert 0 < len(weight) < 3 * len(model.idf)
 
     def plain(text):
         s = " " + re.sub("[^a-z]+", " ", text.lower()).strip() + " "
@@ -150,7 +153,7 @@ def test_language_id_equals_a_plain_softmax(spark):
                 numbers[at] = numbers.get(at, 0) + 1
         x = {at: (1 + math.log(c)) * model.idf[at] for at, c in numbers.items()}
         size = math.sqrt(sum(v * v for v in x.values()))
-        z = [sum(v / size * float(model.weights[at][k]) for at, v in x.items()) / model.temperature for k in range(3)]
+        z = [sum(v / size * weight.get((at, k), 0.0) for at, v in x.items()) / model.temperature for k in range(3)]
         e = [math.exp(v - max(z)) for v in z]
         return max(zip([v / sum(e) for v in e], model.languages))
 
@@ -166,7 +169,102 @@ def test_every_language_is_learned(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(table)
     assert len(model.languages) == len({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}) > 250
-    assert langid.features_for(4) == langid.FEATURES and langid.features_for(100_000) == langid.LEAST_FEATURES
+    assert len(model.idf) == langid.FEATURES  # however many languages there are
+
+
+def test_follow_the_leader_and_temperature_equal_plain_ones():
+    from fraudlens.llm.langid import SparseWeights, fit_temperature, follow_leader
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        y = rng.randrange(3)
+        at = sorted(rng.sample(range(8), 3) if rng.random() < 0.4 else {y, y + 3, rng.randrange(8)})
+        rows.append((np.array(at), np.array([rng.random() for _ in at]), y))
+    alpha, beta, l1, l2 = 0.3, 1.0, 1.0, 0.05
+    z, n = [[0.0] * 3 for _ in range(8)], [[0.0] * 3 for _ in range(8)]
+    w = lambda f, k: 0.0 if abs(z[f][k]) <= l1 else -(z[f][k] - math.copysign(l1, z[f][k])) / ((beta + math.sqrt(n[f][k])) / alpha + l2)
+    for _ in range(2):
+        for at, x, y in rows:
+            held = {(f, k): w(f, k) for f in at for k in range(3)}
+            e = [math.exp(sum(v * held[f, k] for f, v in zip(at, x))) for k in range(3)]
+            for f, v in zip(at, x):
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    z[f][k] += g - (math.sqrt(n[f][k] + g * g) - math.sqrt(n[f][k])) / alpha * held[f, k]
+                    n[f][k] += g * g
+    got = follow_leader(rows, 8, 3, epochs=2, l1=l1)
+    assert np.allclose(got, [[w(f, k) for k in range(3)] for f in range(8)]) and (got == 0).any() and (got != 0).any()
+    sparse = SparseWeights.of(12, np.array([0, 1, 3, 4, 5, 7, 9, 11]), got)
+    at, x = np.array([1, 2, 9, 11]), np.array([0.5, 2.0, 1.0, 3.0])
+    assert np.allclose(sparse.scores(at, x), 0.5 * got[1] + got[6] + 3 * got[7])
+    scores, classes = np.array([x @ got[at] for at, x, _ in rows]) * 9, np.array([y for _, _, y in rows])
+    loss = lambda t: -sum(math.log(math.exp(s[y] / t) / sum(math.exp(v / t) for v in s)) for s, y in zip(scores, classes))
+    t = fit_temperature(scores, classes)
+    assert loss(t) <= min(loss(t * 1.05), loss(t / 1.05)) + 1e-9
+
+
+def test_rows_of_one_id_are_dealt(spark):
+    """A third of the rows, and more, without an id or with one: no range, no shard takes them all."""
+    from fraudlens.llm.exact_dedup import exact_dedup
+    from fraudlens.llm.sharding import shard_by_bytes
+    from fraudlens.llm.token_orc import read_token_orc, tokens_through_orc, write_token_orc
+
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(5, 30)))
+    rows = [(None if i < 3000 else i, "the same text" if i % 3 == 0 else text()) for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        folder = f"{spark.conf.get('spark.checkpoint.dir')}/hot_id"
+        write_token_orc(table, folder)
+        parts = [r["count"] for r in read_token_orc(spark, folder).groupBy("part").count().collect()]
+        assert len(parts) == 8 and max(parts) < 800
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.start, r.n_tokens) for r in tokens_through_orc(table).collect())
+    ends = [0]
+    for _, start, n in sorted(got, key=lambda r: r[1]):
+        assert start == ends[-1]
+        ends.append(start + n)
+    assert [k for k, *_ in sorted(got, key=lambda r: r[1])] == [k for k, *_ in got]
+    loads = {}
+    for r in shard_by_bytes(table).collect():
+        loads[r.shard] = loads.get(r.shard, 0) + r.size * (r.doc_id is None)
+    assert len(loads) == 8 and max(loads.values()) < 3 * min(loads.values())
+    kept = [r for r in exact_dedup(table).collect() if r.kept]
+    assert len(kept) == len({t.replace(" ", "") for _, t in rows}) == len({r.text_sha256 for r in kept})
+
+
+def test_placement_of_slots_equals_a_plain_one(spark):
+    """Slots, largest first, each to the least loaded shard; places in the order of slots, ids, checksums."""
+    from fraudlens.llm.sharding import shard_by_bytes
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 7, i]), rng.choice([None, "", "x" * rng.randrange(1, 90), "same"])) for i in range(400)]
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=3, slots=32).collect()
+    of = {}
+    for r in got:
+        assert of.setdefault((r.doc_id, r.text_crc32, r.size), r.v_slot) == r.v_slot
+    slots = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        slots.setdefault(of[i, zlib.crc32(raw), len(raw) + 1], []).append((i is not None, i or 0, zlib.crc32(raw), len(raw) + 1))
+    loads, at = [0] * 3, [0] * 3
+    shard = {}
+    for v in sorted(slots, key=lambda v: (-sum(x[3] for x in slots[v]), v)):
+        shard[v] = loads.index(min(loads))
+        loads[shard[v]] += sum(x[3] for x in slots[v])
+    want = []
+    for v in sorted(slots):
+        for some, i, crc, size in sorted(slots[v]):
+            want.append((shard[v], at[shard[v]], i if some else None, crc, size))
+            at[shard[v]] += 1
+    assert sorted(((r.shard, r.slot, r.doc_id, r.text_crc32, r.size) for r in got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
 
 
 def test_near_components_with_null_and_repeated_ids(spark):
