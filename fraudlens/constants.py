@@ -22,6 +22,8 @@ FAILED_SCORE = 0.5
 TYPO_MAX, MATCH_MAX = 3, 2
 RATE_LIMIT, RATE_WINDOW_S = 10, 60
 DEDUPE_TTL_S = 86_400
+#: Lifetimes of a user's reply language and last result.
+PREFERENCE_DAYS, LAST_RESULT_DAYS = 30, 7
 OCR_GOOD_CONFIDENCE, OCR_PASSES = 50, (6, 11, 3, 4)
 TREND_DAYS_MOST = 30
 MEDIA_MOST_MB = {"audio": 10, "image": 15, "document": 20}

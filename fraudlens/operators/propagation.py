@@ -75,29 +75,66 @@ def fingerprint_upsert(base: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+def _ranged(rows: DataFrame, *order: str, label: str) -> DataFrame:
+    """``rows`` as a table sorted in ranges of ``order``; ``_part`` is a row's range. A key of any size is spread over ranges."""
+    return written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
+
+
+def _next_times(times: DataFrame, span: int) -> DataFrame:
+    """(key, at, next) of distinct (key, at): the key's first time at least ``span`` later, if there is one.
+
+    Times and the moments to look from are sorted together in ranges; the next time is the one
+    that follows in the range, or the first of the key's later ranges, one row for each of a key's ranges."""
+    both = times.select("key", "at", F.lit(1).alias("is_time")).unionByName(times.select("key", (F.col("at") + span).alias("at"), F.lit(0).alias("is_time")))
+    rows = _ranged(both, "key", "at", "is_time", label="next_times")
+    time = F.when(F.col("is_time") == 1, F.col("at"))
+    later = Window.partitionBy("key").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = rows.groupBy("key", "_part").agg(F.min(time).alias("_first")).select("key", "_part", F.min("_first").over(later).alias("_beyond"))
+    following = Window.partitionBy("key", "_part").orderBy(F.col("at").desc(), F.col("is_time").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select("key", "_part", "at", "is_time", F.last(time, ignorenulls=True).over(following).alias("_here")).filter("is_time = 0").join(beyond, ["key", "_part"])
+    return found.select("key", (F.col("at") - span).alias("at"), F.coalesce("_here", "_beyond").alias("next")).filter("next IS NOT NULL")
+
+
+def window_begins(times: DataFrame, span: int) -> DataFrame:
+    """(key, begin) of each window of distinct (key, at): the first time, then over and over the first one at least ``span`` later.
+
+    Pointers to the next begin are doubled until none is left, so steps of 1, 2, 4, ... windows are tables;
+    taken back from the longest, they lead from each key's first time to all begins. There are as many rounds as the logarithm of
+    the most windows of a key; each is an equi-join on key and time, and no round gathers a key in one place."""
+    times = written(times, "times")
+    steps = [written(_next_times(times, span), "step")]
+    while not steps[-1].isEmpty():
+        ahead = steps[-1].select("key", F.col("at").alias("next"), F.col("next").alias("_then"))
+        steps.append(written(steps[-1].join(ahead, ["key", "next"]).select("key", "at", F.col("_then").alias("next")), "step"))
+    begins = times.groupBy("key").agg(F.min("at").alias("at"))
+    for step in reversed(steps[:-1]):
+        begins = begins.unionByName(begins.join(step, ["key", "at"]).select("key", F.col("next").alias("at")))
+        begins = written(begins, "begins")
+    return begins.select("key", F.col("at").alias("begin"))
+
+
 def anchored_windows(requests: DataFrame, window_s: int) -> DataFrame:
-    """(key, ts, seq) with ``nth``: the request's number in its window. A window
-    begins at the first request after the window before has ended.
+    """(key, ts, seq) with ``begin`` and ``nth``: the request's window and its number in it. A window
+    begins at the first request after the window before has ended. Requests without key or time are left out.
 
-    The fold over a key is sequential; it runs over the key's sorted distinct
-    times in one expression, without Python. Windows begin at least their length
-    apart, so a bucket of that length has one beginning at most, and a request's
-    window begins in its bucket or the one before: an equi-join on key and bucket."""
+    Windows begin at least their length apart, so a bucket of that length has one beginning at most, and a request's
+    window begins in its bucket or the one before: an equi-join on key and bucket. The number is the request's rank in its key,
+    counted in ranges, less the rank of the window's first; so neither a key nor a window has to be in one task."""
     span = window_s * 1_000_000
     bucket = lambda t: t - F.pmod(t, F.lit(span))
-    rows = requests.select("key", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("bucket", bucket(F.col("at")))
-    times = rows.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("times"))
-
-    def step(acc: Column, t: Column) -> Column:
-        ended = F.coalesce(t - F.try_element_at(acc, F.lit(-1)) >= span, F.lit(True))
-        return F.when(ended, F.concat(acc, F.array(t))).otherwise(acc)
-
-    begins = times.select("key", F.explode(F.aggregate("times", F.array().cast("array<bigint>"), step)).alias("begin"))
+    rows = requests.select("key", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).filter("key IS NOT NULL AND at IS NOT NULL")
+    rows = _ranged(rows, "key", "at", "seq", label="requests")
+    ahead = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("key", "_part").count().select("key", "_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
+    rank = F.row_number().over(Window.partitionBy("key", "_part").orderBy("at", "seq"))
+    ranked = rows.withColumn("_rank", rank).join(before, ["key", "_part"]).select("key", "ts", "seq", "at", (F.col("_rank") + F.col("_ahead")).alias("rank"), bucket(F.col("at")).alias("bucket"))
+    begins = window_begins(rows.select("key", "at").distinct(), span)
     places = F.array(F.struct(bucket(F.col("begin")).alias("bucket"), F.col("begin").alias("own")), F.struct((bucket(F.col("begin")) + span).alias("bucket"), F.lit(None).cast("bigint").alias("own")))
     begins = begins.select("key", "begin", F.explode(places).alias("p")).groupBy("key", "p.bucket").agg(F.max("p.own").alias("own"), F.max(F.when(F.col("p.own").isNull(), F.col("begin"))).alias("before"))
-    placed = rows.join(begins, ["key", "bucket"]).withColumn("begin", F.when(F.col("at") >= F.col("own"), F.col("own")).otherwise(F.col("before")))
-    nth = F.row_number().over(Window.partitionBy("key", "begin").orderBy("at", "seq"))
-    return placed.select("key", "ts", "seq", "begin", nth.cast("long").alias("nth"))
+    placed = ranked.join(begins, ["key", "bucket"]).withColumn("begin", F.when(F.col("at") >= F.col("own"), F.col("own")).otherwise(F.col("before")))
+    placed = written(placed.select("key", "ts", "seq", "rank", "begin"), "placed")
+    first = placed.groupBy("key", "begin").agg(F.min("rank").alias("first"))
+    return placed.join(first, ["key", "begin"]).select("key", "ts", "seq", "begin", (F.col("rank") - F.col("first") + 1).cast("long").alias("nth"))
 
 
 def rate_limit_flags(requests: DataFrame, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from fraudlens.functions import text
 from fraudlens.operators import entities, graph, propagation, verdict
 
 JOB = "conv_id long, turn long, from_number string, body_text string, media_count string, forwarded_many_times string, source string, ts timestamp"
+#: Rows of an Arrow batch that a stateful operator gives.
+ROWS_OUT = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -90,70 +93,145 @@ def report_counters(reports: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 class AnchoredWindow(StatefulProcessor):
     """Numbers requests in windows that begin at the first request after the
-    window before. State of a key: start of its window and count."""
+    window before. State of a key: start of its window and count. A timer at the window's
+    end, in the rows' own time, removes the key; the next request would begin a window anyway."""
 
     def __init__(self, window_s: int):
-        self.span = pd.Timedelta(seconds=window_s)
+        self.span = window_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start timestamp, n long")
+        self.handle = handle
+        self.state = handle.getValueState("window", "start long, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        # of a key's rows in this batch only times and numbers are held, to sort them
+        times, seqs = zip(*((x["at"].to_numpy(), x["seq"].to_numpy()) for x in rows))
+        at, seq = np.concatenate(times), np.concatenate(seqs)
+        order = np.lexsort((seq, at))
+        at, seq, nth = at[order], seq[order], np.empty(len(order), np.int64)
         start, n = self.state.get() if self.state.exists() else (None, 0)
-        numbers = []
-        for ts in batch["ts"]:
-            if start is None or ts - pd.Timestamp(start) >= self.span:
-                start, n = ts, 0
-            n += 1
-            numbers.append(n)
-        self.state.update((pd.Timestamp(start).to_pydatetime(), n))
-        yield batch.assign(nth=numbers)[["key", "ts", "seq", "nth"]]
+        before, done = start, 0
+        while done < len(at):
+            upto = done if start is None else int(np.searchsorted(at, start + self.span))
+            if upto <= done:  # the window has ended
+                start, n = int(at[done]), 0
+            else:
+                nth[done:upto] = np.arange(n + 1, n + 1 + upto - done)
+                n, done = n + upto - done, upto
+        if start != before:
+            if before is not None:
+                self.handle.deleteTimer(_millis(before + self.span))
+            self.handle.registerTimer(_millis(start + self.span))
+        self.state.update((start, n))
+        for first in range(0, len(at), ROWS_OUT):
+            some = slice(first, first + ROWS_OUT)
+            yield pd.DataFrame({"key": key[0], "at": at[some], "seq": seq[some], "nth": nth[some]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def anchored_stream(requests: DataFrame, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
-    """(key, ts, seq, nth) of a stream of (key, ts, seq): rate limits and lifetimes."""
-    return requests.groupBy("key").transformWithStateInPandas(AnchoredWindow(window_s), "key string, ts timestamp, seq long, nth long", "Append", "None")
+def _millis(micros: int) -> int:
+    """The first whole millisecond that is not before."""
+    return -(-micros // 1000)
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
-    return anchored_stream(requests, window_s).withColumn("allowed", F.col("nth") <= limit)
+def _timed(rows: DataFrame, lateness: str, *columns: str) -> DataFrame:
+    """Key, columns and the time as microseconds, which no zone changes, under a watermark."""
+    return rows.select("key", "ts", F.unix_micros("ts").alias("at"), *columns).withWatermark("ts", lateness)
 
 
-def dedupe_stream(messages: DataFrame, ttl_s: int = C.DEDUPE_TTL_S) -> DataFrame:
+def anchored_stream(requests: DataFrame, window_s: int = C.RATE_WINDOW_S, lateness: str = "1 hour") -> DataFrame:
+    """(key, ts, seq, nth) of a stream of (key, ts, seq): rate limits and lifetimes. Rows later than
+    ``lateness`` behind the newest are dropped; a window that ended before that has no state."""
+    numbered = _timed(requests, lateness, "seq").groupBy("key").transformWithStateInPandas(AnchoredWindow(window_s), "key string, at long, seq long, nth long", "Append", "EventTime")
+    return numbered.select("key", F.timestamp_micros("at").alias("ts"), "seq", "nth")
+
+
+def rate_limit_stream(requests: DataFrame, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S, lateness: str = "1 hour") -> DataFrame:
+    return anchored_stream(requests, window_s, lateness).withColumn("allowed", F.col("nth") <= limit)
+
+
+def dedupe_stream(messages: DataFrame, ttl_s: int = C.DEDUPE_TTL_S, lateness: str = "1 hour") -> DataFrame:
     """Messages whose key was not analysed in the lifetime before (msg_id long, ts, text, source_channel)."""
     key = text.analysis_key(F.coalesce("text", F.lit("")), F.col("source_channel"))
     keyed = messages.select(key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("msg_id").cast("long").alias("seq"))
-    return anchored_stream(keyed, ttl_s).filter("nth = 1")
+    return anchored_stream(keyed, ttl_s, lateness).filter("nth = 1")
 
 
 class LatestValue(StatefulProcessor):
-    """The latest value of a key by the rows' own times. No timer is set, so a
-    run over what is available ends."""
+    """The latest value of a key by the rows' own times, for a lifetime that each new
+    value renews. A timer at its end removes the key and tells it with a null value. Timers are in
+    the rows' time, so a run over what is available ends."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "ts timestamp, value string")
+        self.handle = handle
+        self.state = handle.getValueState("latest", "at long, value string")
+
+    def _take(self, at: int, value: str | None) -> None:
+        if self.state.exists():
+            self.handle.deleteTimer(_millis(self.state.get()[0] + self.ttl))
+        self.handle.registerTimer(_millis(at + self.ttl))
+        self.state.update((at, value))
+
+    @staticmethod
+    def _newest(rows: pd.DataFrame) -> tuple[int, str | None]:
+        row = rows.sort_values(["at", "value"]).iloc[-1]
+        return int(row["at"]), row["value"]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """What a batch job knew: a row of a key, or the newest of several."""
+        self._take(*self._newest(initialState))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts, value = self.state.get() if self.state.exists() else (None, None)
-        seen = False
+        held = tuple(self.state.get()) if self.state.exists() else None
+        best = held
         for some in rows:  # one Arrow batch of the key's rows at a time
-            newest = some.sort_values(["ts", "value"]).iloc[-1]
-            if ts is None or pd.Timestamp(ts) <= newest["ts"]:
-                ts, value, seen = newest["ts"].to_pydatetime(), newest["value"], True
-        if seen:
-            self.state.update((ts, value))
-        yield pd.DataFrame({"key": [key[0]], "ts": [pd.Timestamp(ts)], "value": [value]})
+            row = self._newest(some)
+            if best is None or best[0] <= row[0]:
+                best = row
+        if best is not held:
+            self._take(*best)
+        yield self._told(key, *best)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self.state.get()[0]
+        self.state.clear()
+        yield self._told(key, at, None)
+
+    def _told(self, key, at: int, value: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "at": [at], "value": pd.Series([value], dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-def preference_stream(rows: DataFrame, ttl_days: int = 30) -> DataFrame:
-    """The preference of each user (key, ts, value) after each batch, and
-    ``valid_until``, the end of its lifetime, from which on readers ignore it."""
-    latest = rows.groupBy("key").transformWithStateInPandas(LatestValue(), "key string, ts timestamp, value string", "Update", "None")
-    return latest.withColumn("valid_until", F.col("ts") + F.make_dt_interval(F.lit(ttl_days)))
+def latest_stream(rows: DataFrame, ttl_s: int, known: DataFrame | None = None, lateness: str = "1 hour") -> DataFrame:
+    """(key, ts, value, valid_until) after each batch for each key in it, and with a null value once its lifetime
+    is over. ``known`` (key, ts, value) is a batch table to begin with; it is read by the first run only."""
+    begun = None if known is None else known.select("key", F.unix_micros("ts").alias("at"), "value").groupBy("key")
+    latest = _timed(rows, lateness, "value").groupBy("key").transformWithStateInPandas(LatestValue(ttl_s), "key string, at long, value string", "Update", "EventTime", begun)
+    return latest.select("key", F.timestamp_micros("at").alias("ts"), "value", F.timestamp_micros(F.col("at") + ttl_s * 1_000_000).alias("valid_until"))
+
+
+def preference_stream(rows: DataFrame, ttl_days: int = C.PREFERENCE_DAYS, known: DataFrame | None = None, lateness: str = "1 hour") -> DataFrame:
+    """The reply language of each user."""
+    return latest_stream(rows, ttl_days * 86400, known, lateness)
+
+
+def last_result_stream(rows: DataFrame, ttl_days: int = C.LAST_RESULT_DAYS, known: DataFrame | None = None, lateness: str = "1 hour") -> DataFrame:
+    """The last analysis result of each user, a JSON text."""
+    return latest_stream(rows, ttl_days * 86400, known, lateness)
+
+
+def last_results(results: DataFrame, key: str = "sender") -> DataFrame:
+    """(key, ts, value) of results with the sender and time of their messages, for ``last_result_stream`` or as its snapshot."""
+    told = [c for c in results.columns if c not in (key, "ts")]
+    return results.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.to_json(F.struct(*told)).alias("value"))

@@ -154,6 +154,29 @@ def test_anchored_windows_equal_a_fold(spark):
     assert got == want
 
 
+def test_many_windows_of_one_key_over_many_ranges(spark):
+    """A key of 1,500 windows beside small ones, in more ranges than it has tasks, and requests without key or time."""
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(4)
+    rows = [("hot", start + dt.timedelta(seconds=40 * i + rng.randrange(40)), i) for i in range(3000)] + [("hot", start, 3000 + i) for i in range(50)] + [(f"k{i}", start + dt.timedelta(seconds=i), 5000 + i) for i in range(40)]
+    frame = spark.createDataFrame(rows + [(None, start, 1), ("x", None, 2)], "key string, ts timestamp, seq long")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.seq: (r.nth, r.begin) for r in propagation.anchored_windows(frame, 60).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want, state = {}, {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        begin, n = state.get(k, (None, 0))
+        if begin is None or (t - begin).total_seconds() >= 60:
+            begin, n = t, 0
+        state[k] = (begin, n + 1)
+        want[i] = (n + 1, int((begin - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000)
+    assert got == want and len({b for _, b in got.values()}) > 1200
+    assert propagation.anchored_windows(frame.limit(0), 60).count() == 0
+
+
 def test_upsert_takes_the_latest(spark):
     base = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k long, v long, x string")
     new = spark.createDataFrame([(1, 2, "c"), (2, 5, "d"), (3, 0, "e")], "k long, v long, x string")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -56,9 +57,7 @@ def test_rate_limit_equals_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = sorted(((f"k{rng.randrange(3)}", start + dt.timedelta(seconds=rng.randrange(0, 600)), i) for i in range(90)), key=lambda r: r[1])
     schema = "key string, ts timestamp, seq long"
-    for part in range(3):
-        spark.createDataFrame(rows[30 * part : 30 * part + 30], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    stream = batches(spark, tmp_path / "in", schema, [rows[at : at + 30] for at in (0, 30, 60)])
     got = drain(inbound.rate_limit_stream(stream, 3, 60), "limited", "append", tmp_path)
     want = propagation.rate_limit_flags(spark.createDataFrame(rows, schema), 3, 60)
     key = lambda df: sorted((r.key, r.seq, r.nth, r.allowed) for r in df.collect())
@@ -81,9 +80,56 @@ def test_fingerprints_and_counters_equal_batch(spark, tmp_path):
     assert key(live) == key(want)
 
 
-def test_preference_keeps_the_latest(spark, tmp_path):
-    rows = [("u1", dt.datetime(2024, 1, 1), "en"), ("u1", dt.datetime(2024, 1, 2), "hi"), ("u2", dt.datetime(2024, 1, 1), "en")]
+def batches(spark, folder, schema, parts):
+    """A stream that gives each part in a micro-batch of its own, in order."""
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"{n}"))
+        for f in (folder / f"{n}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+
+
+def state_keys(spark, folder, name):
+    return sorted(r.key.key for r in spark.read.format("statestore").option("stateVarName", name).load(str(folder)).collect())
+
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def test_window_state_expires(spark, tmp_path):
+    """Keys of windows that ended before the watermark are gone; numbers equal the batch job's."""
+    schema = "key string, ts timestamp, seq long"
+    at = lambda hours, seconds=0: T0 + dt.timedelta(hours=hours, seconds=seconds)
+    parts = [[(f"k{i % 20}", at(0, i), i) for i in range(60)], [("z", at(5), 100), ("k1", at(5, 1), 101)], [("z", at(5, 70), 102), ("k1", at(9), 103)], [("z", at(9, 5), 104)]]
+    stream = batches(spark, tmp_path / "in", schema, parts)
+    got = drain(inbound.rate_limit_stream(stream, 2, 60), "expiring", "append", tmp_path)
+    want = propagation.rate_limit_flags(spark.createDataFrame([r for rows in parts for r in rows], schema), 2, 60)
+    key = lambda df: sorted((r.key, r.seq, r.nth, r.allowed, r.ts) for r in df.collect())
+    assert key(got) == key(want)
+    assert state_keys(spark, tmp_path / "expiring", "window") == ["k1", "z"]  # of 21 keys
+
+
+def test_latest_value_keeps_the_latest_and_expires(spark, tmp_path):
     schema = "key string, ts timestamp, value string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "p"))
-    got = drain(inbound.preference_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "p"))), "prefs", "update", tmp_path)
-    assert sorted((r.key, r.value, r.valid_until - r.ts) for r in got.collect()) == [("u1", "hi", dt.timedelta(days=30)), ("u2", "en", dt.timedelta(days=30))]
+    day = lambda n, s=0: T0 + dt.timedelta(days=n, seconds=s)
+    parts = [[("u1", day(0), "en"), ("u1", day(1), "hi"), ("u2", day(0), "en"), ("u1", day(0, 5), "en")], [("u3", day(20), "hi")], [("u2", day(29), "hi")], [("u4", day(45), "en")]]
+    known = spark.createDataFrame([("u1", day(-5), "fr"), ("u5", day(-1), "ta"), ("u5", day(-2), "en")], schema)
+    got = drain(inbound.preference_stream(batches(spark, tmp_path / "in", schema, parts), known=known), "prefs", "update", tmp_path).collect()
+    told = {}
+    for r in got:
+        told.setdefault(r.key, []).append((r.value, r.ts))
+        assert r.valid_until - r.ts == dt.timedelta(days=30)
+    # the snapshot's value ends at its own lifetime unless a newer one came; a null value is an end
+    assert told == {"u1": [("hi", day(1)), (None, day(1))], "u2": [("en", day(0)), ("hi", day(29))], "u3": [("hi", day(20))], "u4": [("en", day(45))], "u5": [(None, day(-1))]}
+    assert state_keys(spark, tmp_path / "prefs", "latest") == ["u2", "u3", "u4"]
+
+
+def test_last_results(spark, tmp_path):
+    results = spark.createDataFrame([("a", day, n, "LOW") for n, day in enumerate([T0, T0 + dt.timedelta(days=2)])] + [("b", T0, 9, "HIGH"), (None, T0, 10, "HIGH")], "sender string, ts timestamp, msg_id long, risk_level string")
+    rows = inbound.last_results(results)
+    assert sorted((r.key, json.loads(r.value)["msg_id"]) for r in rows.collect()) == [("a", 0), ("a", 1), ("b", 9)]
+    later = [("c", T0 + dt.timedelta(days=8), "{}")]
+    parts = [[tuple(r) for r in rows.collect()], later]
+    got = drain(inbound.last_result_stream(batches(spark, tmp_path / "in", rows.schema, parts)), "last", "update", tmp_path)
+    assert sorted((r.key, json.loads(r.value)["msg_id"] if r.value else -1) for r in got.collect() if r.key < "c") == [("a", 1), ("b", -1), ("b", 9)]
+    assert state_keys(spark, tmp_path / "last", "latest") == ["a", "c"]
