@@ -46,6 +46,8 @@ URGENCY_PHRASES = (
 SALARY_WORDS = ("salary", "sal", "pay", "wage", "income")
 FEE_WORDS = ("fee", "fees", "registration fee", "service charge", "processing")
 ROMAN_HINDI = ("hai", "nahi", "nahin", "kya", "kyu", "kyun", "kaise", "aap", "hum", "paise", "jaldi", "naukri", "farzi", "dhokha")
+#: The same for analysed texts.
+ROMAN_HINDI_ANALYSIS = ("hai", "nahi", "nahin", "kya", "kyu", "kyun", "kaise", "kripya", "aap", "hum", "paise", "bhejo", "bhejiye", "jaldi", "naukri", "farzi", "dhokha")
 COUNTRY_ALIASES = (
     ("uae", "UAE"), ("united arab emirates", "UAE"), ("dubai", "UAE"), ("abu dhabi", "UAE"), ("sharjah", "UAE"), ("qatar", "Qatar"), ("doha", "Qatar"),
     ("saudi", "Saudi Arabia"), ("saudi arabia", "Saudi Arabia"), ("ksa", "Saudi Arabia"), ("riyadh", "Saudi Arabia"), ("jeddah", "Saudi Arabia"),

@@ -27,31 +27,35 @@ def pieces(target: Column, most: int) -> Column:
     return F.array(*[_signature(n, i, F.substring(target, cut(i) + 1, cut(i + 1) - cut(i))) for i in range(most + 1)])
 
 
-def probes(key: Column, most: int) -> Column:
-    """The signatures of all names within ``most`` edits that a key may share a
-    piece with: names of nearby lengths, pieces up to ``most`` characters off."""
+def probes(key: Column, m: Column, most: int) -> Column:
+    """The signatures of all names of length ``m`` within ``most`` edits that a key may share a piece with: pieces up to ``most`` characters off."""
     n = F.length(key)
-
-    def of_length(m: Column) -> Column:
-        cut = lambda i: F.floor(m * i / (most + 1)).cast("int")
-        found = []
-        for i in range(most + 1):
-            for shift in range(-most, most + 1):
-                at, size = cut(i) + shift, cut(i + 1) - cut(i)
-                found.append(F.when((at >= 0) & (at + size <= n), _signature(m, i, F.substring(key, at + 1, size))))
-        return F.array_compact(F.array(*found))
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), n - most), n + most), of_length)))
+    cut = lambda i: F.floor(m * i / (most + 1)).cast("int")
+    found = []
+    for i in range(most + 1):
+        for shift in range(-most, most + 1):
+            at, size = cut(i) + shift, cut(i + 1) - cut(i)
+            found.append(F.when((at >= 0) & (at + size <= n), _signature(m, i, F.substring(key, at + 1, size))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def near_names(names: DataFrame, registry: DataFrame, most: int) -> DataFrame:
-    """(key, pos, name, target, distance) of registry names within ``most`` edits of each key."""
-    left = names.select("key").distinct().withColumn("v", F.explode(probes(F.col("key"), most)))
+    """(key, pos, name, target, distance) of registry names within ``most`` edits of each key. Keys look only for lengths that a registered name has."""
+    n = F.length("key")
+    lengths = registry.select(F.length("target").alias("m")).distinct()
+    left = names.select("key").distinct().withColumn("m", F.explode(F.sequence(F.greatest(F.lit(0), n - most), n + most))).join(lengths, "m")
+    left = left.select("key", F.explode(probes(F.col("key"), F.col("m"), most)).alias("v"))
     right = registry.select("pos", "name", "target").withColumn("v", F.explode(pieces(F.col("target"), most)))
     pairs = left.join(right, "v").select("key", "pos", "name", "target").distinct()
     return pairs.withColumn("distance", F.levenshtein("key", "target", most)).filter("distance >= 0")
 
 
+def nearest(near: DataFrame, match_max: int, typo_max: int) -> DataFrame:
+    """For each key of ``near`` the best match, and the best name that differs from the key, each within its bound (null if there is none)."""
+    best = lambda x: F.min(F.when(x, F.struct("distance", "pos", "name")))
+    return near.groupBy("key").agg(best(F.col("distance") <= match_max).alias("match"), best((F.col("distance") > 0) & (F.col("distance") <= typo_max)).alias("typo"))
+
+
 def _targets(registry: DataFrame) -> DataFrame:
     return registry.withColumn("target", text.name_key(F.coalesce("name_normalized", "name"))).filter("target <> ''")
 
@@ -69,16 +73,15 @@ def registry_exact(claims: DataFrame, registry: DataFrame) -> DataFrame:
 def registry_fuzzy(claims: DataFrame, registry: DataFrame, most: int = C.MATCH_MAX) -> DataFrame:
     """The exact company, else the nearest within ``most`` edits, the first of equals."""
     keyed = _keyed(claims)
-    best = near_names(keyed.filter("key <> ''"), _targets(registry), most).groupBy("key").agg(F.min(F.struct("distance", "pos", "name")).alias("x"))
-    return keyed.join(best, "key", "left").select("claim_id", "company", F.col("x.name").alias("registered_name"), F.col("x.distance").cast("long").alias("distance"), F.col("x.pos").alias("pos"))
+    best = nearest(near_names(keyed.filter("key <> ''"), _targets(registry), most), most, 0)
+    return keyed.join(best, "key", "left").select("claim_id", "company", F.col("match.name").alias("registered_name"), F.col("match.distance").cast("long").alias("distance"), F.col("match.pos").alias("pos"))
 
 
 def typosquat(claims: DataFrame, registry: DataFrame, most: int = C.TYPO_MAX) -> DataFrame:
     """The nearest registered name that differs from the claimed one, within ``most`` edits."""
     keyed = _keyed(claims)
-    near = near_names(keyed.filter("key <> ''"), _targets(registry), most).filter("distance > 0")
-    best = near.groupBy("key").agg(F.min(F.struct("distance", "pos", "name")).alias("x"))
-    return keyed.join(best, "key", "left").select("claim_id", "company", F.col("x").isNotNull().alias("typo_suspected"), F.col("x.name").alias("typo_target"), F.col("x.distance").cast("long").alias("distance"))
+    best = nearest(near_names(keyed.filter("key <> ''"), _targets(registry), most), 0, most)
+    return keyed.join(best, "key", "left").select("claim_id", "company", F.col("typo").isNotNull().alias("typo_suspected"), F.col("typo.name").alias("typo_target"), F.col("typo.distance").cast("long").alias("distance"))
 
 
 def phone_country(phones: DataFrame, prefixes: DataFrame, longest: int = 15) -> DataFrame:
@@ -108,9 +111,10 @@ def registry_check(claims: DataFrame, registry: DataFrame, prefixes: DataFrame,
     """All registry checks of each claim (claim_id, company, location, phone,
     role): counts, details in order, and what was found."""
     trimmed = claims.select("claim_id", *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("company", "location", "phone", "role")])
-    picked = registry_fuzzy(trimmed, registry, match_max).select("claim_id", F.col("pos").alias("_pos"), F.col("distance").alias("_d"))
-    typo = typosquat(trimmed, registry, typo_max).select("claim_id", "typo_suspected", "typo_target")
-    rows = trimmed.join(picked, "claim_id", "left").join(typo, "claim_id", "left")
+    # candidates within the larger bound hold those within the smaller one
+    keyed = _keyed(trimmed)
+    best = nearest(near_names(keyed.filter("key <> ''"), _targets(registry), max(typo_max, match_max)), match_max, typo_max)
+    rows = keyed.join(best, "key", "left").select(*trimmed.columns, F.col("match.pos").alias("_pos"), F.col("match.distance").alias("_d"), F.col("typo").isNotNull().alias("typo_suspected"), F.col("typo.name").alias("typo_target"))
     rows = rows.join(registry.withColumnRenamed("pos", "_rpos"), F.col("_pos") == F.col("_rpos"), "left").join(phone_country(trimmed, prefixes).withColumnRenamed("country", "phone_country"), "phone", "left")
     rows = rows.withColumn("work_country", work_country(F.col("location"))).withColumn("found", F.col("_pos").isNotNull())
     named, placed, has_role = F.col("company") != "", F.col("location") != "", F.col("role") != ""

@@ -240,6 +240,15 @@ def detect_language(spark, sf):
     return A.job_messages_view(spark, sf).select("msg_id", text.detected_language(F.col("text")).alias("language"))
 
 
+@query(f"WITH s AS ({sql.SENT}) SELECT doc_id, {sql.LANGUAGE} AS in_chat, {sql.language(sql.C.ROMAN_HINDI_ANALYSIS)} AS in_analysis FROM s")
+def detect_language_by_path(spark, sf):
+    """Language as the chat and as the analysis detect it, of short texts among the documents'."""
+    n, x = F.col("doc_id"), F.col("text")
+    sent = F.when(n % 6 == 0, "Kripya reply").when(n % 6 == 1, "paise bhejo").when(n % 6 == 2, "kripya apply for the job in the city today").when(n % 6 == 3, "bhejiye kripya the form of the job soon").when(n % 6 == 4, "naukri").otherwise(x)
+    rows = A.table(spark, sf, "documents").select("doc_id", sent.alias("text"))
+    return rows.select("doc_id", text.detected_language(x).alias("in_chat"), text.detected_language(x, sql.C.ROMAN_HINDI_ANALYSIS).alias("in_analysis"))
+
+
 @query("WITH " + sql.JOB_MESSAGES + f" SELECT source_channel AS channel, {sql.LANGUAGE} AS language, count(*) AS count FROM job_messages GROUP BY 1, 2")
 def language_mix(spark, sf):
     return propagation.language_mix(A.job_messages_view(spark, sf))

@@ -191,8 +191,16 @@ AMOUNT_PROFILE = """ SELECT coalesce(location, 'unknown') AS location, count(*)
 EXTRACT_AMOUNTS = f"WITH {JOB_MESSAGES} SELECT msg_id, {_amount(C.SALARY_WORDS)} AS salary, {_amount(C.FEE_WORDS)} AS fee FROM job_messages"
 URGENCY = f"WITH {JOB_MESSAGES} SELECT msg_id, list_filter({_list(C.URGENCY_PHRASES)}, lambda p: contains(lower(text), p)) AS flags FROM job_messages"
 _WORDS = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
-_HITS = f"len(list_filter({_WORDS}, lambda w: w IN {_in(C.ROMAN_HINDI)}))"
-LANGUAGE = f"CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'hi' WHEN {_HITS} >= 2 OR ({_HITS} >= 1 AND len({_WORDS}) <= 6) THEN 'hi' ELSE 'en' END"
+
+
+def language(tokens: tuple[str, ...]) -> str:
+    hits = f"len(list_filter({_WORDS}, lambda w: w IN {_in(tokens)}))"
+    return f"CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'hi' WHEN {hits} >= 2 OR ({hits} >= 1 AND len({_WORDS}) <= 6) THEN 'hi' ELSE 'en' END"
+
+
+LANGUAGE = language(C.ROMAN_HINDI)
+# texts as a user sends them: a few words of which some are of one list only
+SENT = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Kripya reply' WHEN 1 THEN 'paise bhejo' WHEN 2 THEN 'kripya apply for the job in the city today' WHEN 3 THEN 'bhejiye kripya the form of the job soon' WHEN 4 THEN 'naukri' ELSE text END AS text FROM documents"
 _COUNT = "length(regexp_replace(t, '[^{c}]', '', 'g'))"
 SCRIPT_HINT = f"""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'यह नौकरी असली नहीं है और पैसे मत भेजो' WHEN 1 THEN 'இந்த வேலை உண்மை இல்லை நம்பாதே' WHEN 2 THEN 'नौकरी चाहिए salary and fee details ' || text ELSE text END AS t FROM documents),
 n AS (SELECT doc_id, {_COUNT.format(c='ऀ-ॿ')} AS d, {_COUNT.format(c='஀-௿')} AS m, {_COUNT.format(c='A-Za-z')} AS a FROM s)

@@ -301,7 +301,7 @@ def test_company_names_equal_one_pattern(spark):
 
 
 def test_long_names_give_few_probes(spark):
-    row = spark.createDataFrame([("ab" * 150,)], "x string").select(F.size(registry.probes(F.col("x"), 3)).alias("p"), F.size(registry.pieces(F.col("x"), 3)).alias("q")).first()
+    row = spark.createDataFrame([("ab" * 150,)], "x string").select(F.size(registry.probes(F.col("x"), F.lit(300), 3)).alias("p"), F.size(registry.pieces(F.col("x"), 3)).alias("q")).first()
     assert row.p <= 196 and row.q == 4
 
 
