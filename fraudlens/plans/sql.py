@@ -331,10 +331,10 @@ EMBEDDING_SCORE = """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (S
 sims AS (SELECT vec_id, list_cosine_similarity(e, l) AS l, list_cosine_similarity(e, s) AS s FROM v)
 SELECT vec_id, round(l, 4) AS sim_to_legitimate, round(s, 4) AS sim_to_scam, round(abs(s - l), 4) AS boundary_distance, round(greatest(0, least(1, (s - l + 1) / 2)), 4) AS embedding_score, 'ok' AS status FROM sims"""
 
-RAW = r"""made AS (SELECT doc_id AS msg_id, doc_id AS n, '{"verdict": "' || CASE doc_id % 7 WHEN 0 THEN 'HIGH_RISK' WHEN 1 THEN 'safe' WHEN 2 THEN 'scam' WHEN 3 THEN 'medium' WHEN 4 THEN 'SUSPICIOUS' WHEN 5 THEN 'odd' ELSE '' END
+RAW = r"""made AS (SELECT doc_id AS msg_id, doc_id AS n, n_chars, '{"verdict": "' || CASE doc_id % 7 WHEN 0 THEN 'HIGH_RISK' WHEN 1 THEN 'safe' WHEN 2 THEN 'scam' WHEN 3 THEN 'medium' WHEN 4 THEN 'SUSPICIOUS' WHEN 5 THEN 'odd' ELSE '' END
     || '", "confidence": ' || CASE doc_id % 5 WHEN 0 THEN '"abc"' WHEN 1 THEN '150' WHEN 2 THEN '-5' ELSE CAST(n_chars % 100 AS VARCHAR) END || ', "reasoning": "text of ' || n_chars || ' signs", "key_contradiction": '
     || CASE doc_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"NULL"' ELSE '"salary of ' || n_chars || '"' END || '}' AS answer FROM documents),
-raw AS (SELECT msg_id, trim(CASE n % 11 WHEN 0 THEN NULL WHEN 1 THEN 'no answer' WHEN 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || answer || chr(10) || '```' || chr(10) || 'Done.' WHEN 3 THEN 'I think ' || answer || ' is right.'
+raw AS (SELECT msg_id, n, n_chars, trim(CASE n % 11 WHEN 0 THEN NULL WHEN 1 THEN 'no answer' WHEN 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || answer || chr(10) || '```' || chr(10) || 'Done.' WHEN 3 THEN 'I think ' || answer || ' is right.'
     WHEN 4 THEN answer || ' trailing {x}' WHEN 5 THEN answer || ' or ' || answer WHEN 6 THEN '```json' || chr(10) || '{broken}' || chr(10) || '```' || chr(10) || answer ELSE answer END) AS llm_raw FROM made),
 picked AS (SELECT *, CASE WHEN json_valid(llm_raw) AND llm_raw LIKE '{%' THEN llm_raw ELSE coalesce(nullif(regexp_extract(llm_raw, '(?is)```(?:json)?\s*(\{.*?\})\s*```', 1), ''), regexp_extract(llm_raw, '(?s)(\{.*\})', 1)) END AS candidate FROM raw),
 parsed AS (SELECT msg_id, llm_raw, CASE WHEN json_valid(candidate) THEN candidate END AS j, CASE WHEN json_valid(candidate) THEN json_extract_string(candidate, '$.verdict') END AS word FROM picked)"""
