@@ -63,9 +63,12 @@ def propagation_history(messages: DataFrame) -> DataFrame:
     return rows.select("msg_id", "message_hash", (F.col("seen_count") == 1).alias("is_new_message"), "seen_count", "source_channels_count", "forwarded_flag", scores.propagation_score(*args).alias("propagation_score"))
 
 
-def fingerprint_upsert(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """Merge two fingerprint states: the union, aggregated again by key."""
-    return base.unionByName(updates).groupBy("message_hash").agg(
+FINGERPRINT = "message_hash string, first_seen_at timestamp, last_seen_at timestamp, seen_count long, forwarded_flag boolean, source_channels array<string>, text_length long"
+
+
+def fingerprint_fold(states: DataFrame) -> DataFrame:
+    """States of fingerprints, several of one key perhaps, as one of each key."""
+    return states.groupBy("message_hash").agg(
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
         F.sum("seen_count").alias("seen_count"),
@@ -75,6 +78,11 @@ def fingerprint_upsert(base: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_upsert(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """Merge two fingerprint states: the union, folded by key."""
+    return fingerprint_fold(base.unionByName(updates))
+
+
 def _ranged(rows: DataFrame, *order: str, label: str) -> DataFrame:
     """``rows`` as a table sorted in ranges of ``order``; ``_part`` is a row's range. A key of any size is spread over ranges."""
     return written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)

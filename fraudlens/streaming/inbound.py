@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fraudlens import constants as C
+from fraudlens.folded import FoldedTable
 from fraudlens.functions import text
 from fraudlens.operators import entities, graph, propagation, verdict
 
@@ -48,12 +49,14 @@ def store_batch(messages: DataFrame, batch_id: int, sink_dir: str, analyse: Anal
     ``analyse`` gives (msg_id, risk_score) of messages; a message without a
     result counts as a failed analysis, which is stored with the default score
     and never reported. Each part is a folder of the batch's number, so a batch
-    that runs again replaces what it wrote."""
+    that runs again replaces what it wrote; fingerprints are folded as well."""
     spark = messages.sparkSession
     at = lambda part: f"{sink_dir}/{part}/batch={batch_id}"
     messages.write.mode("overwrite").parquet(at("messages"))
     kept = spark.read.schema(messages.schema).parquet(at("messages"))
-    propagation.fingerprints(kept).write.mode("overwrite").parquet(at("fingerprints"))
+    prints = fingerprint_store(spark, sink_dir)
+    prints.put(batch_id, propagation.fingerprints(kept))
+    prints.compact()
     found = analyse(kept).select("msg_id", "risk_score") if analyse else spark.createDataFrame([], "msg_id string, risk_score double")
     failed = F.col("risk_score").isNull()
     scored = kept.join(found, "msg_id", "left").select(*kept.columns, F.when(failed, F.lit(C.FAILED_SCORE)).otherwise(F.col("risk_score")).alias("risk_score"), failed.alias("failed"), F.col("source_channel").alias("source"))
@@ -71,10 +74,13 @@ def start_inbound(spark: SparkSession, source_dir: str, sink_dir: str, analyse:
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink_dir}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def fingerprint_store(spark: SparkSession, sink_dir: str) -> FoldedTable:
+    return FoldedTable(spark, f"{sink_dir}/fingerprints", propagation.FINGERPRINT, propagation.fingerprint_fold)
+
+
 def stored_fingerprints(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The state of all fingerprints: the batches' states merged."""
-    states = spark.read.parquet(f"{sink_dir}/fingerprints").drop("batch")
-    return propagation.fingerprint_upsert(states, states.limit(0))
+    """The state of all fingerprints: a base, and the few batches after it merged into it."""
+    return fingerprint_store(spark, sink_dir).read()
 
 
 def fingerprint_stream(messages: DataFrame) -> DataFrame:
