@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudlens.folded import FoldedTable
+
 
 def vector_parse(x: Column) -> Column:
     """``[a,b]`` as an array, null if it does not parse."""
@@ -55,10 +57,75 @@ def embedding_score(vectors: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def hashed_text_vector(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for a text encoder: hashed words, length 1."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
+#: What parts words: blanks, control characters and punctuation of ASCII.
+WORD_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _with(x: Column, f) -> Column:
+    """``f`` of ``x``, which is evaluated once however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def encoded(text: Column, size: int) -> Column:
+    """A text as a vector of length 1: counts of its words and pairs of neighbouring words, each in the slot of its hash.
+
+    Words are lower-cased in A-Z only. Null for a text without words. Slots are
+    sorted together with one entry of each, so a run's length tells a count: n log n in the
+    words, whatever the size, and no shuffle.
+    """
+    lower = F.translate(text, UPPER, LOWER)
+    words = F.filter(F.split(lower, WORD_BREAKS), lambda w: w != "")
+    pairs = lambda ws: F.filter(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+    slot = lambda g: F.pmod(F.conv(F.substring(F.md5(g.cast("binary")), 1, 7), 16, 10).cast("int"), F.lit(size))
+    slots = _with(words, lambda ws: F.transform(F.concat(ws, pairs(ws)), slot))
+
+    def counts(runs: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (F.get(runs, i) != F.get(runs, i - 1)))
+        return _with(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, size), F.array(F.size(runs))), lambda s, e: (e - s - 1).cast("double")))
+
+    counted = _with(F.sort_array(F.concat(slots, F.sequence(F.lit(0), F.lit(size - 1)))), counts)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return _with(counted, lambda v: _with(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
+
+
+def embed_missing(rows: DataFrame, size: int, vector: str = "embedding", text: str = "text") -> DataFrame:
+    """``rows`` where a vector that is missing is encoded from the text, if that has words."""
+    kind = rows.schema[vector].dataType
+    return rows.withColumn(vector, F.coalesce(F.col(vector), encoded(F.col(text), size).cast(kind)))
+
+
+CENTROID_SUMS = "cluster string, sample_count long, sums array<double>"
+
+
+def _sums(of: str, size: int) -> Column:
+    return F.array(*[F.sum(F.get(of, F.lit(i)).cast("double")) for i in range(size)]).alias("sums")
+
+
+def centroid_sums(vectors: DataFrame, size: int) -> DataFrame:
+    """(cluster, sample_count, sums): what a batch adds to centroids. A cluster leaves a
+    task as one row. Vectors that are missing, of another length, or with a component
+    that is null or not finite are left out."""
+    usable = vectors.filter((F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    return usable.groupBy("cluster").agg(F.count(F.lit(1)).alias("sample_count"), _sums("embedding", size))
+
+
+def centroid_fold(size: int):
+    """Sums of batches as one row of each cluster, the fold of a ``FoldedTable``."""
+    return lambda states: states.groupBy("cluster").agg(F.sum("sample_count").alias("sample_count"), _sums("sums", size))
+
+
+def centroids_of(sums: DataFrame) -> DataFrame:
+    """cluster, sample_count, centroid, as ``centroids`` gives them."""
+    mean = _with(F.transform("sums", lambda x: x / F.col("sample_count")), lambda m: _with(F.sqrt(F.aggregate(m, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.when(n > 0, F.transform(m, lambda x: x / n)).otherwise(m)))
+    return sums.select("cluster", "sample_count", mean.alias("centroid"))
+
+
+def add_postings(store: FoldedTable, batch: int, rows: DataFrame, size: int) -> None:
+    """One batch of postings (cluster, text, embedding): missing vectors are encoded, and the centroids' sums grow by the batch."""
+    store.put(batch, centroid_sums(embed_missing(rows, size), size))
+    store.compact()
+
+
+def centroid_store(spark: SparkSession, folder: str, size: int) -> FoldedTable:
+    return FoldedTable(spark, folder, CENTROID_SUMS, centroid_fold(size))

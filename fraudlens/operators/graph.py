@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.functions import scores, text
-from fraudlens.storage import discard, written
+from fraudlens.storage import discard, selected, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -50,7 +50,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         discard(old, hooks, done)
         if links.isEmpty():
             discard(links)
-            return labels.select("node", F.col("label").alias("component"))
+            return selected(labels, "node", F.col("label").alias("component"))
+
+
+def component_changes(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component, was) of the nodes whose component new edges set or change; ``was`` is null for a new node.
+
+    ``labels`` is (node, component) of all edges before, components named by their
+    least node. The edges are contracted to stored components, so rounds go over
+    no more than the new edges; the stored labels are read to find the ends and,
+    if components were joined, once more to rename members. Components only grow, so changed labels laid over the stored ones
+    equal ``connected_components`` of all edges. Null endpoints are ignored. The result is a written table.
+    """
+    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_was"))
+    ends = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    contracted = written(ends.select(F.coalesce("a_was", "a").alias("a"), F.coalesce("b_was", "b").alias("b"), (F.col("a_was").isNull() | F.col("b_was").isNull()).alias("new")).filter("new OR a <> b").distinct(), "contracted")
+    found = connected_components(contracted, "a", "b")
+    discard(contracted)
+    renamed = found.filter("node <> component").select(F.col("node").alias("was"), F.col("component").alias("_to"))
+    moved = labels.join(renamed, labels["component"] == renamed["was"]).select("node", F.col("_to").alias("component"), "was")
+    # what is no stored component's name is a new node
+    fresh = found.join(labels.select("node"), "node", "left_anti").select("node", "component", F.lit(None).cast(labels.schema["component"].dataType).alias("was"))
+    changes = written(moved.unionByName(fresh), "changes")
+    discard(found)
+    return changes
 
 
 def _filled(x: Column) -> Column:
@@ -76,12 +100,13 @@ def adjacency(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def component_summaries(components: DataFrame) -> DataFrame:
-    """One row for each component of entity keys: members, phones, payment ids, risk, whether it qualifies, fingerprint."""
+    """One row for each component of entity keys: its name, members, phones, payment ids, risk, whether it qualifies, fingerprint."""
     parts = components.select("component", "node", text.entity_key_parts(F.col("node")).alias("p")).filter("p.entity_value <> ''")
     kind = lambda k: F.sort_array(F.collect_set(F.when(F.col("p.entity_type") == k, F.col("p.entity_value"))))
     grouped = parts.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("entities"), kind("phone").alias("phones"), kind("upi").alias("upis"))
     n_phones, n_upis, n = F.size("phones"), F.size("upis"), F.size("entities")
     return grouped.select(
+        "component",
         F.sha2(F.array_join("entities", "|"), 256).alias("fingerprint"),
         n.cast("long").alias("cluster_size"),
         "phones",
@@ -94,7 +119,7 @@ def component_summaries(components: DataFrame) -> DataFrame:
 
 def syndicates(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an edge table that qualify."""
-    return component_summaries(connected_components(edges, a, b)).filter("is_potential_syndicate").drop("is_potential_syndicate")
+    return component_summaries(connected_components(edges, a, b)).filter("is_potential_syndicate").drop("is_potential_syndicate", "component")
 
 
 def syndicate_members(found: DataFrame) -> DataFrame:

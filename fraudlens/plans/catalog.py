@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlens import constants as C
+from fraudlens.folded import FoldedTable
 from fraudlens.functions import scores, text
 from fraudlens.operators import dashboard, embedding, entities, graph, media_text, propagation, registry, upsert, verdict
+from fraudlens.operators.syndicate_store import SyndicateStore
 from fraudlens.plans import sql
 from fraudlens.sources import adapters as A
+from fraudlens.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -320,6 +323,16 @@ def fingerprint_upsert(spark, sf):
     return propagation.fingerprint_upsert(propagation.fingerprints(m.filter("msg_id % 2 = 0")), propagation.fingerprints(m.filter("msg_id % 2 = 1")))
 
 
+@query("WITH " + sql.FINGERPRINTS + " SELECT * FROM fps")
+def fingerprint_store(spark, sf):
+    """Fingerprints of messages that come in five batches, kept as a base and deltas."""
+    m, store = A.messages_view(spark, sf), FoldedTable(spark, shared_folder(spark), propagation.FINGERPRINT, propagation.fingerprint_fold, 2)
+    for n in range(5):
+        store.put(n, propagation.fingerprints(m.filter(F.pmod("msg_id", F.lit(5)) == n)))
+        store.compact()
+    return store.read()
+
+
 @query(sql.UPSERT)
 def upsert_latest(spark, sf):
     e = A.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
@@ -379,6 +392,15 @@ def syndicate_members(spark, sf):
     return graph.syndicate_members(graph.syndicates(_edge_keys(spark, sf)))
 
 
+@query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + ", m AS (SELECT fingerprint, cluster_size, risk_score, unnest(entities) AS entity_key FROM synd) SELECT fingerprint, cluster_size, entity_key, split_part(entity_key, ':', 1) AS entity_type, split_part(entity_key, ':', 2) AS entity_value, risk_score FROM m")
+def syndicates_incremental(spark, sf):
+    """The syndicates and members that are active after the edges of three groups of days, added one after the other."""
+    store, edges = SyndicateStore(spark, shared_folder(spark)), A.typed_edges_view(spark, sf)
+    for n in range(3):
+        store.add(n, edges.filter(F.pmod(F.dayofyear("ts"), F.lit(3)) == n), "source_id", "target_id")
+    return store.members().join(store.syndicates().select("fingerprint", "cluster_size"), "fingerprint")
+
+
 @query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + sql.MEMBERSHIP)
 def syndicate_membership(spark, sf):
     events = A.table(spark, sf, "events")
@@ -524,6 +546,23 @@ def vector_parse(spark, sf):
     return v.select("vec_id", F.size("embedding").cast("long").alias("length"), F.round(F.get(parsed, F.lit(0)), 4).alias("first"))
 
 
+@query("WITH " + sql.POSTINGS + " SELECT doc_id, list_transform(vector, lambda x: round(x, 4)) AS embedding FROM encoded")
+def encode_missing(spark, sf):
+    """Vectors of the postings that have none and whose text has words."""
+    rows = A.postings_view(spark, sf).filter("embedding IS NULL")
+    found = rows.select("doc_id", embedding.encoded(F.col("text"), A.VECTOR_SIZE).alias("embedding")).filter("embedding IS NOT NULL")
+    return found.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 4)))
+
+
+@query("WITH " + sql.POSTINGS + sql.POSTING_CENTROIDS)
+def embed_then_centroids(spark, sf):
+    """Postings in three batches: missing vectors encoded, sums folded, centroids of the sums."""
+    rows, store = A.postings_view(spark, sf), embedding.centroid_store(spark, shared_folder(spark), A.VECTOR_SIZE)
+    for n in range(3):
+        embedding.add_postings(store, n, rows.filter(F.pmod("doc_id", F.lit(3)) == n), A.VECTOR_SIZE)
+    return embedding.centroids_of(store.read()).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 4)))
+
+
 @query("SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding IS NULL AND d.text IS NOT NULL")
 def missing_embeddings(spark, sf):
     d, e = A.table(spark, sf, "documents"), A.table(spark, sf, "embeddings")

@@ -327,6 +327,16 @@ means AS (SELECT cluster, pos, avg(CAST(x AS DOUBLE)) AS x FROM items GROUP BY 1
 packed AS (SELECT cluster, list(x ORDER BY pos) AS mean, sqrt(sum(x * x)) AS norm FROM means GROUP BY cluster),
 counts AS (SELECT CASE WHEN label <= 4 THEN 'legitimate' ELSE 'scam' END AS cluster, count(*) AS sample_count FROM embeddings GROUP BY 1),
 centroids AS (SELECT p.cluster, c.sample_count, list_transform(mean, lambda m: m / norm) AS centroid FROM packed p JOIN counts c ON p.cluster = c.cluster)"""
+POSTINGS = r"""posts AS (SELECT doc_id, text, CASE WHEN label <= 4 THEN 'legitimate' WHEN label > 4 THEN 'scam' WHEN doc_id % 2 = 0 THEN 'legitimate' ELSE 'scam' END AS cluster, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+worded AS (SELECT doc_id, cluster, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM posts WHERE embedding IS NULL),
+grams AS (SELECT doc_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM worded),
+slots AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 7) AS BIGINT) % 64 AS slot, count(*) AS n FROM grams GROUP BY 1, 2),
+lengths AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM slots GROUP BY 1),
+encoded AS (SELECT l.doc_id, list(coalesce(s.n, 0) / norm ORDER BY i) AS vector FROM lengths l CROSS JOIN range(64) r(i) LEFT JOIN slots s ON s.doc_id = l.doc_id AND s.slot = i GROUP BY l.doc_id)"""
+POSTING_CENTROIDS = """, full_rows AS (SELECT p.cluster, coalesce(p.embedding, CAST(e.vector AS FLOAT[])) AS v FROM posts p LEFT JOIN encoded e ON p.embedding IS NULL AND p.doc_id = e.doc_id),
+parts AS (SELECT cluster, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM full_rows WHERE v IS NOT NULL), means AS (SELECT cluster, pos, avg(CAST(x AS DOUBLE)) AS x FROM parts GROUP BY 1, 2),
+packed AS (SELECT cluster, list(x ORDER BY pos) AS mean, sqrt(sum(x * x)) AS norm FROM means GROUP BY cluster), counts AS (SELECT cluster, count(*) AS sample_count FROM full_rows WHERE v IS NOT NULL GROUP BY 1)
+SELECT cluster, sample_count, list_transform(mean, lambda m: round(m / norm, 4)) AS centroid FROM packed JOIN counts USING (cluster)"""
 EMBEDDING_SCORE = """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (SELECT centroid FROM centroids WHERE cluster = 'legitimate') AS l, (SELECT centroid FROM centroids WHERE cluster = 'scam') AS s FROM embeddings),
 sims AS (SELECT vec_id, list_cosine_similarity(e, l) AS l, list_cosine_similarity(e, s) AS s FROM v)
 SELECT vec_id, round(l, 4) AS sim_to_legitimate, round(s, 4) AS sim_to_scam, round(abs(s - l), 4) AS boundary_distance, round(greatest(0, least(1, (s - l + 1) / 2)), 4) AS embedding_score, 'ok' AS status FROM sims"""

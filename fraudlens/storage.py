@@ -49,6 +49,14 @@ def written(frame: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+def selected(frame: DataFrame, *columns) -> DataFrame:
+    """``frame.select`` of a table that ``written`` gave, which ``discard`` then takes instead."""
+    out = frame.select(*columns)
+    if frame in _FOLDERS:
+        _FOLDERS[out] = _FOLDERS.pop(frame)
+    return out
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Remove tables that ``written`` gave and that nothing will read again."""
     for frame in frames:

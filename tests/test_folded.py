@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraudlens.folded import FoldedTable
-from fraudlens.operators import propagation
+from fraudlens.operators import graph, propagation
+from fraudlens.operators.syndicate_store import SyndicateStore
 
 
 def test_fifty_batches_of_fingerprints_in_bounded_folders(spark, tmp_path):
@@ -46,3 +47,32 @@ def test_a_base_whose_write_broke_off_does_not_count(spark, tmp_path):
     assert table.folded() == 1 and [tuple(r) for r in table.read().collect()] == [(1, 3)]
     with pytest.raises(ValueError):
         table.read(before=1)
+
+
+def keys_of(rng, n, nodes):
+    kinds = lambda i: f"{('phone', 'upi', 'agent')[i % 3]}:{i}"
+    return [(kinds(rng.randrange(nodes)), kinds(rng.randrange(nodes))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_syndicates_of_increments_equal_one_run(spark, tmp_path, seed):
+    rng, schema = random.Random(seed), "a string, b string"
+    # ends that are null, self-loops, repeats, components joined late, a batch without edges
+    parts = [keys_of(rng, 25, 60), keys_of(rng, 12, 60) + [("phone:999", "phone:999"), (None, "upi:1")], [], keys_of(rng, 12, 60)]
+    parts[3] += parts[0][:3]
+    edges = [spark.createDataFrame(p, schema).coalesce(1) for p in parts]
+    store = lambda: SyndicateStore(spark, str(tmp_path / "s"), 3)
+    rows = lambda frame: sorted(str(tuple(r)) for r in frame.collect())
+    told = lambda: (rows(store().labels.read().select("node", "component")), rows(store().syndicates()), rows(store().members()))
+    for n, part in enumerate(edges):
+        store().add(n, part)
+        if n == 1:
+            before = told()
+            store().add(n, part)  # again, before it is folded
+            assert told() == before
+    whole = spark.createDataFrame([e for p in parts for e in p], schema).coalesce(1)
+    found = graph.syndicates(whole)
+    want = (rows(graph.connected_components(whole, "a", "b")), rows(found), rows(graph.syndicate_members(found).select(*store().members().columns)))
+    assert len(want[1]) > 0 and told() == want
+    store().add(0, edges[0])  # again, folded since
+    assert told() == want and store().labels.folded() == 2
