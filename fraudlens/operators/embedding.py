@@ -62,6 +62,10 @@ WORD_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def has_words(text: Column) -> Column:
+    return text.rlike(WORD_BREAKS.replace("[", "[^", 1).rstrip("+"))
+
+
 def _with(x: Column, f) -> Column:
     """``f`` of ``x``, which is evaluated once however often ``f`` names it."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
@@ -106,8 +110,10 @@ def centroid_sums(vectors: DataFrame, size: int) -> DataFrame:
     """(cluster, sample_count, sums): what a batch adds to centroids. A cluster leaves a
     task as one row. Vectors that are missing, of another length, or with a component
     that is null or not finite are left out."""
-    usable = vectors.filter((F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
-    return usable.groupBy("cluster").agg(F.count(F.lit(1)).alias("sample_count"), _sums("embedding", size))
+    whole = lambda e: (F.size(e) == size) & F.forall(e, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    # not a filter, which would be pushed down and encode a text once more for each time it names the vector
+    usable = vectors.select("cluster", _with(F.col("embedding"), lambda e: F.when(whole(e), e)).alias("v"))
+    return usable.groupBy("cluster").agg(F.count("v").alias("sample_count"), _sums("v", size)).filter("sample_count > 0")
 
 
 def centroid_fold(size: int):

@@ -53,7 +53,8 @@ class SyndicateStore:
     def _write(self, batch: int, edges: DataFrame, a: str, b: str) -> None:
         labels = self.labels.read(before=batch).select("node", "component")
         stored = self.all_syndicates.read(before=batch).filter("active")
-        changes = graph.component_changes(labels, edges, a, b)
+        given = written(edges.select(a, b).distinct(), "edges")  # a batch of a stream is read once
+        changes = graph.component_changes(labels, given, a, b)
         grown = changes.select("component").distinct()
         # members of the components that changed: those that were there under that name, and the changed ones
         kept = labels.join(grown, "component", "left_semi").join(changes.select("node"), "node", "left_anti")
@@ -66,7 +67,7 @@ class SyndicateStore:
         self.labels.put(batch, changes.select("node", "component", F.lit(batch).cast("long").alias("batch")))
         self.all_syndicates.put(batch, delta)
         self.all_members.put(batch, graph.syndicate_members(delta).join(delta.select("fingerprint", "active", "batch"), "fingerprint"))
-        discard(changes, now, delta)
+        discard(given, changes, now, delta)
 
     def syndicates(self) -> DataFrame:
         return self.all_syndicates.read().filter("active").drop("component", "active", "batch")

@@ -35,6 +35,11 @@ def query(oracle: str | None = None):
     return add
 
 
+def _batch(x, batches: int):
+    """The batch of a row, the first for a null."""
+    return F.coalesce(F.pmod(x, F.lit(batches)), F.lit(0))
+
+
 # --- reports -------------------------------------------------------------
 
 
@@ -328,7 +333,7 @@ def fingerprint_store(spark, sf):
     """Fingerprints of messages that come in five batches, kept as a base and deltas."""
     m, store = A.messages_view(spark, sf), FoldedTable(spark, shared_folder(spark), propagation.FINGERPRINT, propagation.fingerprint_fold, 2)
     for n in range(5):
-        store.put(n, propagation.fingerprints(m.filter(F.pmod("msg_id", F.lit(5)) == n)))
+        store.put(n, propagation.fingerprints(m.filter(_batch(F.col("msg_id"), 5) == n)))
         store.compact()
     return store.read()
 
@@ -397,7 +402,7 @@ def syndicates_incremental(spark, sf):
     """The syndicates and members that are active after the edges of three groups of days, added one after the other."""
     store, edges = SyndicateStore(spark, shared_folder(spark)), A.typed_edges_view(spark, sf)
     for n in range(3):
-        store.add(n, edges.filter(F.pmod(F.dayofyear("ts"), F.lit(3)) == n), "source_id", "target_id")
+        store.add(n, edges.filter(_batch(F.dayofyear("ts"), 3) == n), "source_id", "target_id")
     return store.members().join(store.syndicates().select("fingerprint", "cluster_size"), "fingerprint")
 
 
@@ -549,8 +554,8 @@ def vector_parse(spark, sf):
 @query("WITH " + sql.POSTINGS + " SELECT doc_id, list_transform(vector, lambda x: round(x, 4)) AS embedding FROM encoded")
 def encode_missing(spark, sf):
     """Vectors of the postings that have none and whose text has words."""
-    rows = A.postings_view(spark, sf).filter("embedding IS NULL")
-    found = rows.select("doc_id", embedding.encoded(F.col("text"), A.VECTOR_SIZE).alias("embedding")).filter("embedding IS NOT NULL")
+    rows = A.postings_view(spark, sf).filter(F.col("embedding").isNull() & embedding.has_words(F.col("text")))
+    found = rows.select("doc_id", embedding.encoded(F.col("text"), A.VECTOR_SIZE).alias("embedding"))
     return found.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 4)))
 
 
@@ -559,7 +564,7 @@ def embed_then_centroids(spark, sf):
     """Postings in three batches: missing vectors encoded, sums folded, centroids of the sums."""
     rows, store = A.postings_view(spark, sf), embedding.centroid_store(spark, shared_folder(spark), A.VECTOR_SIZE)
     for n in range(3):
-        embedding.add_postings(store, n, rows.filter(F.pmod("doc_id", F.lit(3)) == n), A.VECTOR_SIZE)
+        embedding.add_postings(store, n, rows.filter(_batch(F.col("doc_id"), 3) == n), A.VECTOR_SIZE)
     return embedding.centroids_of(store.read()).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 4)))
 
 

@@ -18,6 +18,7 @@ from fraudlens import constants as C
 from fraudlens.folded import FoldedTable
 from fraudlens.functions import text
 from fraudlens.operators import entities, graph, propagation, verdict
+from fraudlens.operators.syndicate_store import SyndicateStore
 
 JOB = "conv_id long, turn long, from_number string, body_text string, media_count string, forwarded_many_times string, source string, ts timestamp"
 #: Rows of an Arrow batch that a stateful operator gives.
@@ -83,6 +84,20 @@ def stored_fingerprints(spark: SparkSession, sink_dir: str) -> DataFrame:
     return fingerprint_store(spark, sink_dir).read()
 
 
+def start_syndicates(spark: SparkSession, sink_dir: str, trigger: dict | None = None) -> StreamingQuery:
+    """Edges that ``start_inbound`` stored to the components, syndicates and members of ``stored_syndicates``.
+
+    A batch of edges that was stored again is read again, which changes no component."""
+    stored = spark.readStream.schema(spark.read.parquet(f"{sink_dir}/edges").schema).parquet(f"{sink_dir}/edges")
+    keys = stored.select(text.entity_key(F.col("source_type"), F.col("source_value")).alias("a"), text.entity_key(F.col("target_type"), F.col("target_value")).alias("b"))
+    add = lambda edges, batch_id: stored_syndicates(spark, sink_dir).add(batch_id, edges)
+    return keys.writeStream.foreachBatch(add).option("checkpointLocation", f"{sink_dir}/syndicates/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stored_syndicates(spark: SparkSession, sink_dir: str) -> SyndicateStore:
+    return SyndicateStore(spark, f"{sink_dir}/syndicates/tables")
+
+
 def fingerprint_stream(messages: DataFrame) -> DataFrame:
     """Live state of each fingerprint (update mode)."""
     normal = text.text_normalized(F.coalesce("text", F.lit("")))

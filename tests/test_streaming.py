@@ -32,6 +32,9 @@ def test_inbound_stores_messages_reports_edges_and_fingerprints(spark, tmp_path)
     assert {r.msg_id: (r.risk_score, r.failed) for r in read("results").collect()} == {"0-1": (0.6, False), "1-1": (0.9, False), "2-1": (0.5, True)}
     assert [(r.msg_id, r.scam_phone, r.company_name, r.risk_score) for r in read("reports").collect()] == [("1-1", "9876543210", "Gulf Star", 90)]
     assert [(r.source_value, r.relationship_type, r.target_value) for r in read("edges").collect()] == [("Gulf Star", "contact_phone", "9876543210")]
+    inbound.start_syndicates(spark, sink).awaitTermination()
+    joined = lambda: {(r.node, r.component) for r in inbound.stored_syndicates(spark, sink).labels.read().collect()}
+    assert joined() == {("company:Gulf Star", "company:Gulf Star"), ("phone:9876543210", "company:Gulf Star")}
     # a line that arrives later is read by the next run alone; the fingerprint's states are merged
     (source / "b.json").write_text(json.dumps(good[0] | {"conv_id": 9}))
     inbound.start_inbound(spark, str(source), sink).awaitTermination()
@@ -41,6 +44,16 @@ def test_inbound_stores_messages_reports_edges_and_fingerprints(spark, tmp_path)
     inbound.store_batch(read("messages").filter("batch = 0").drop("batch"), 7, sink, analyse)
     inbound.store_batch(read("messages").filter("batch = 0").drop("batch"), 7, sink, analyse)
     assert read("reports").count() == 2
+    # edges of later batches reach the syndicates
+    more = [("9876543210", "9876543211"), ("9876543212", "9876543213")]
+    for n, pair in enumerate(more):
+        spark.createDataFrame([("phone", pair[0], "phone", pair[1])], "source_type string, source_value string, target_type string, target_value string").coalesce(1).write.parquet(f"{sink}/edges/batch={8 + n}")
+    inbound.start_syndicates(spark, sink).awaitTermination()
+    assert joined() >= {("phone:9876543211", "company:Gulf Star"), ("phone:9876543213", "phone:9876543212")}
+    assert [r.phones for r in inbound.stored_syndicates(spark, sink).syndicates().collect()] == []
+    spark.createDataFrame([("phone", "9876543211", "phone", "9876543212")], "source_type string, source_value string, target_type string, target_value string").coalesce(1).write.parquet(f"{sink}/edges/batch=10")
+    inbound.start_syndicates(spark, sink).awaitTermination()
+    assert [r.phones for r in inbound.stored_syndicates(spark, sink).syndicates().collect()] == [[f"987654321{i}" for i in range(4)]]
 
 
 def test_stream_of_messages_is_deduplicated(spark, tmp_path):
