@@ -203,13 +203,42 @@ def language_command(x: Column) -> Column:
     return F.when(v.isin(*english), "en").when(v.isin(*hindi), "hi")
 
 
+# ISO 8601: a day of a month or of a week, then perhaps a clock time with a fraction, then perhaps an offset.
+_DAY = r"(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{4})([0-9]{2})([0-9]{2})|([0-9]{4})-W([0-9]{2})(?:-([1-7])(?![0-9]))?|([0-9]{4})W([0-9]{2})([1-7])?(?![0-9]))"
+_CLOCK = r"([01][0-9]|2[0-3])(?::([0-5][0-9])(?::([0-5][0-9])(?:[.,]([0-9]+))?)?|([0-5][0-9])(?:([0-5][0-9])(?:[.,]([0-9]+))?)?)?"
+_OFFSET = r"([+-])([01][0-9]|2[0-3])(?::([0-5][0-9])(?::([0-5][0-9]))?|([0-5][0-9])([0-5][0-9])?)?"
+_ISO = rf"^{_DAY}(?:(?s:.){_CLOCK}(?:{_OFFSET})?)?\z"
+#: year, month, day, week, day of the week, hour, minute, second, fraction, sign, hours, minutes and seconds of the offset
+_ISO_PARTS = "$1$4$7$10;$2$5;$3$6;$8$11;$9$12;$13;$14$17;$15$18;$16$19;$20;$21;$22$24;$23$25"
+
+
+def _instant(parts: Column) -> Column:
+    year, month, day, week, weekday, hour, minute, second, fraction, sign, *offset = (F.get(parts, F.lit(i)) for i in range(13))
+    number = lambda c, empty: F.coalesce(c.try_cast("int"), F.lit(empty))
+    in_week_one = F.concat(year, F.lit("-01-04")).try_cast("date")
+    of_week = F.date_add(F.trunc(in_week_one, "week"), (number(week, 1) - 1) * 7 + number(weekday, 1) - 1)
+    exists = (F.date_part(F.lit("YEAROFWEEK"), of_week) == number(year, 0)) & (F.year(of_week) <= 9999)
+    date = F.when(week == "", F.concat_ws("-", year, month, day).try_cast("date")).when(exists, of_week)
+    two = lambda c: F.lpad(c, 2, "0")
+    clock = F.concat(two(hour), F.lit(":"), two(minute), F.lit(":"), two(second), F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0"))
+    at = F.concat(date.cast("string"), F.lit(" "), clock, F.lit("+00:00")).try_cast("timestamp")
+    hours, minutes, seconds = (number(c, 0) * F.when(sign == "-", -1).otherwise(1) for c in offset)
+    return F.when(year != "0000", at - F.make_dt_interval(F.lit(0), hours, minutes, seconds.cast("decimal(18,6)")))
+
+
 def parsed_timestamp(x: Column) -> Column:
-    """An ISO 8601 date or time as an instant: ``Z`` and offsets are read, a
-    time without one is UTC; null if it does not parse."""
-    v = F.regexp_replace(stripped(x), "Z$", "+00:00")
-    iso = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?:[+-][0-9]{2}:[0-9]{2})?)?$")
-    offset = v.rlike("[+-][0-9]{2}:[0-9]{2}$")
-    return F.when(iso, F.when(offset, v).otherwise(F.concat(v, F.when(F.length(v) == 10, F.lit(" 00:00:00+00:00")).otherwise(F.lit("+00:00")))).try_cast("timestamp"))
+    """An ISO 8601 date or time as an instant; null if it does not parse.
+
+    Dates may be basic (``20240506``) or of a week (``2024-W19-1``; a week alone
+    is its Monday). Any one character parts date and time, except a digit after a
+    week date, where one could not tell it from a day; a time may end after
+    the hour or the minute and need no colons. ``Z`` and offsets are read, a time
+    without one is UTC. Of a fraction six digits are kept.
+    """
+    v = F.replace(x, F.lit("Z"), F.lit("+00:00"))
+    parts = F.split(F.regexp_replace(v, _ISO, _ISO_PARTS), ";")
+    # in an array, so that the text is matched once for all parts
+    return F.when(v.rlike(_ISO), F.get(F.transform(F.array(parts), _instant), F.lit(0)))
 
 
 def iso_timestamp(x: Column) -> Column:

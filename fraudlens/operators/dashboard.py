@@ -175,6 +175,8 @@ def network_from_edges(edges: DataFrame, newest: int = 300) -> DataFrame:
 
 
 def network_view(edges: DataFrame, reports: DataFrame) -> DataFrame:
-    """Nodes of stored edges, or of the reports if no edge is stored."""
+    """Nodes of stored edges, or of the reports (``links`` null) if no edge is stored. Decided when it runs, by a one-row count of at most one edge."""
     stored = network_from_edges(edges)
-    return stored if not edges.isEmpty() else network_nodes(reports).withColumn("links", F.lit(None).cast("long"))
+    none = edges.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
+    told = network_nodes(reports).withColumn("links", F.lit(None).cast("long"))
+    return stored.unionByName(told.crossJoin(F.broadcast(none)).filter("_none").drop("_none"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +96,32 @@ def edges_resolved(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return out.filter("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
+def _append(frame: DataFrame, table: str, key: str, buckets: int, folder: str | None) -> None:
+    writer = frame.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", f"{folder}/{table}") if folder else writer).saveAsTable(table)
+
+
+def store_vertices(vertices: DataFrame, table: str, buckets: int = 256, folder: str | None = None) -> DataFrame:
+    """The vertices (id, entity_type, value) of ``table``, after those that it lacks were appended.
+
+    The table is bucketed by id, so look-ups by id exchange the other side only,
+    and finding the new rows exchanges none of the stored ones. A null id is not stored; of equal ids one row
+    is. ``buckets`` is set once for a table: about the stored bytes over 256 MB. May run again.
+    """
+    spark = vertices.sparkSession
+    found = vertices.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("entity_type", "value")).alias("v")).select("id", "v.entity_type", "v.value")
+    if spark.catalog.tableExists(table):
+        found = new_vertices(found, spark.table(table))
+    _append(found, table, "id", buckets, folder)
+    return spark.table(table)
+
+
+def store_edges(edges: DataFrame, table: str, buckets: int = 256, folder: str | None = None) -> DataFrame:
+    """Edges appended to ``table``, which is bucketed by source_id; an edge without one is kept in the bucket of null."""
+    _append(edges, table, "source_id", buckets, folder)
+    return edges.sparkSession.table(table)
+
+
 def adjacency(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distinct (node, neighbour) in both directions, without self-loops."""
     one = edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour"))
@@ -99,33 +129,89 @@ def adjacency(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return both.filter("node <> neighbour AND node <> '' AND neighbour <> ''").distinct()
 
 
-def component_summaries(components: DataFrame) -> DataFrame:
-    """One row for each component of entity keys: its name, members, phones, payment ids, risk, whether it qualifies, fingerprint."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint and counts of each component of batches sorted by (component, node).
+
+    What is held is one batch and the state of one hash, however many members a component has.
+    """
+    now, schema = None, None
+
+    def closed() -> dict:
+        return {"component": now["component"], "fingerprint": now["hash"].hexdigest(), **{c: now[c] for c in ("cluster_size", "phone", "upi")}}
+
+    for batch in batches:
+        schema = pa.schema([batch.schema.field("component"), ("fingerprint", pa.string()), ("cluster_size", pa.int64()), ("phone", pa.int64()), ("upi", pa.int64())])
+        done = []
+        for name, node, kind in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "kind"))):
+            if now is None or name != now["component"]:
+                if now:
+                    done.append(closed())
+                now = {"component": name, "hash": hashlib.sha256(), "last": None, "cluster_size": 0, "phone": 0, "upi": 0}
+            if node == now["last"]:
+                continue
+            now["hash"].update(node.encode() if now["last"] is None else b"|" + node.encode())
+            now["last"], now["cluster_size"] = node, now["cluster_size"] + 1
+            if kind in ("phone", "upi"):
+                now[kind] += 1
+        yield pa.RecordBatch.from_pylist(done, schema)
+    if now:
+        yield pa.RecordBatch.from_pylist([closed()], schema)
+
+
+def component_digests(components: DataFrame) -> DataFrame:
+    """One narrow row for each component of entity keys (component, node): fingerprint, member counts, risk, whether it qualifies.
+
+    A fingerprint is the SHA-256 of the sorted members, which has to be taken in
+    order: the rows are sorted (a sort spills) and pass by it in batches, so a
+    component of any number of members needs no more memory than a small one.
+    Keys without a value are left out; a key that comes twice counts once.
+    """
     parts = components.select("component", "node", text.entity_key_parts(F.col("node")).alias("p")).filter("p.entity_value <> ''")
-    kind = lambda k: F.sort_array(F.collect_set(F.when(F.col("p.entity_type") == k, F.col("p.entity_value"))))
-    grouped = parts.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("entities"), kind("phone").alias("phones"), kind("upi").alias("upis"))
-    n_phones, n_upis, n = F.size("phones"), F.size("upis"), F.size("entities")
-    return grouped.select(
+    ordered = parts.select("component", "node", F.col("p.entity_type").alias("kind")).repartition("component").sortWithinPartitions("component", "node")
+    kind = components.schema["component"].dataType.simpleString()
+    found = ordered.mapInArrow(_digests, f"component {kind}, fingerprint string, cluster_size long, phone long, upi long")
+    phones, upis, n = F.col("phone"), F.col("upi"), F.col("cluster_size")
+    return found.select(
         "component",
-        F.sha2(F.array_join("entities", "|"), 256).alias("fingerprint"),
-        n.cast("long").alias("cluster_size"),
-        "phones",
-        "upis",
-        "entities",
-        scores.cluster_risk(n_phones, n_upis, n).alias("risk_score"),
-        ((n_phones >= 3) | ((n_phones >= 2) & (n_upis >= 1))).alias("is_potential_syndicate"),
+        "fingerprint",
+        "cluster_size",
+        phones.alias("n_phones"),
+        upis.alias("n_upis"),
+        scores.cluster_risk(phones, upis, n).alias("risk_score"),
+        ((phones >= 3) | ((phones >= 2) & (upis >= 1))).alias("is_potential_syndicate"),
     )
 
 
+def qualifying(digests: DataFrame) -> DataFrame:
+    return digests.filter("is_potential_syndicate").drop("is_potential_syndicate")
+
+
+def digest_members(components: DataFrame, digests: DataFrame) -> DataFrame:
+    """(fingerprint, entity_key, entity_type, entity_value, risk_score), one row for each
+    member of the components of ``digests``. A join, so no row holds all members of a component and AQE can split a giant one."""
+    rows = components.select("component", F.col("node").alias("entity_key"), text.entity_key_parts(F.col("node")).alias("p")).filter("p.entity_value <> ''")
+    return rows.join(digests.select("component", "fingerprint", "risk_score"), "component").select("fingerprint", "entity_key", "p.entity_type", "p.entity_value", "risk_score")
+
+
+def with_lists(digests: DataFrame, members: DataFrame) -> DataFrame:
+    """``digests`` with the sorted phones, payment ids and entities of each, for readers that want
+    a syndicate as one row; one too large for a row is read from ``members``."""
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("entity_type") == k, F.col("entity_value"))))
+    lists = members.groupBy("fingerprint").agg(of("phone").alias("phones"), of("upi").alias("upis"), F.sort_array(F.collect_set("entity_key")).alias("entities"))
+    return digests.join(lists, "fingerprint").select("fingerprint", "cluster_size", "phones", "upis", "entities", "risk_score")
+
+
 def syndicates(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Components of an edge table that qualify."""
-    return component_summaries(connected_components(edges, a, b)).filter("is_potential_syndicate").drop("is_potential_syndicate", "component")
+    """Components of an edge table that qualify, with their lists."""
+    components = connected_components(edges, a, b)
+    found = qualifying(component_digests(components))
+    return with_lists(found, digest_members(components, found))
 
 
-def syndicate_members(found: DataFrame) -> DataFrame:
-    """(fingerprint, entity_key, entity_type, entity_value, risk_score), one row for each member."""
-    rows = found.select("fingerprint", "risk_score", F.explode("entities").alias("entity_key"))
-    return rows.select("fingerprint", "entity_key", text.entity_key_parts(F.col("entity_key")).alias("p"), "risk_score").select("fingerprint", "entity_key", "p.entity_type", "p.entity_value", "risk_score").distinct()
+def syndicate_members(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Members of the components of an edge table that qualify."""
+    components = connected_components(edges, a, b)
+    return digest_members(components, qualifying(component_digests(components)))
 
 
 def syndicate_membership(entity_rows: DataFrame, members: DataFrame) -> DataFrame:

@@ -94,15 +94,16 @@ def company_name(x: Column) -> Column:
     passed over, and of the others only what is near enough before the first
     suffix, and what follows, is matched."""
 
-    def match(run: Column) -> Column:
-        at = F.regexp_instr(run, F.lit(f"(?i){SUFFIX}"))
-        head = F.substring(run, F.lit(1), at - 1)
-        blanks = F.length(head) - F.length(F.regexp_replace(head, "[ \\t\\n\\r]+$", ""))
-        near = F.substring(run, F.greatest(F.lit(1), at - blanks - 46), F.length(run))
+    def match(x: Column) -> Column:
+        blanks = F.length(x["head"]) - F.length(F.regexp_replace(x["head"], "[ \\t\\n\\r]+$", ""))
+        near = F.substring(x["run"], F.greatest(F.lit(1), F.length(x["head"]) + 1 - blanks - 46), F.length(x["run"]))
         return F.nullif(F.regexp_extract(near, COMPANY, 1), F.lit(""))
 
-    runs = F.filter(F.regexp_extract_all(x, F.lit(COMPANY_RUN), F.lit(0)), lambda run: run.rlike(f"(?i){SUFFIX}"))
-    found = F.filter(F.transform(runs, match), lambda name: name.isNotNull())
+    # each step is a struct, so the suffix of a run is looked for once
+    runs = F.regexp_extract_all(x, F.lit(COMPANY_RUN), F.lit(0))
+    placed = F.filter(F.transform(runs, lambda run: F.struct(run.alias("run"), F.regexp_instr(run, F.lit(f"(?i){SUFFIX}")).alias("at"))), lambda x: x["at"] > 0)
+    heads = F.transform(placed, lambda x: F.struct(x["run"].alias("run"), F.substring(x["run"], F.lit(1), x["at"] - 1).alias("head")))
+    found = F.filter(F.transform(heads, match), lambda name: name.isNotNull())
     return F.trim(F.regexp_replace(F.get(found, F.lit(0)), text.BLANKS, " "))
 
 

@@ -10,7 +10,7 @@ from fraudlens.operators import graph
 from fraudlens.storage import discard, written
 
 LABELS = "node string, component string, batch long"
-SYNDICATES = "fingerprint string, component string, cluster_size long, phones array<string>, upis array<string>, entities array<string>, risk_score double, active boolean, batch long"
+SYNDICATES = "fingerprint string, component string, cluster_size long, n_phones long, n_upis long, risk_score double, active boolean, batch long"
 MEMBERS = "fingerprint string, entity_key string, entity_type string, entity_value string, risk_score double, active boolean, batch long"
 
 
@@ -58,19 +58,27 @@ class SyndicateStore:
         grown = changes.select("component").distinct()
         # members of the components that changed: those that were there under that name, and the changed ones
         kept = labels.join(grown, "component", "left_semi").join(changes.select("node"), "node", "left_anti")
-        now = graph.component_summaries(kept.unionByName(changes.select("node", "component"))).filter("is_potential_syndicate")
-        now = written(now.drop("is_potential_syndicate").select("*", F.lit(True).alias("active"), F.lit(batch).cast("long").alias("batch")), "syndicates")
+        whole = kept.unionByName(changes.select("node", "component"))
+        now = graph.qualifying(graph.component_digests(whole))
+        now = written(now.withColumns({"active": F.lit(True), "batch": F.lit(batch).cast("long")}), "syndicates")
         touched = grown.union(changes.filter("was IS NOT NULL").select("was")).distinct()
         old = stored.join(touched, "component", "left_semi").join(now.select("fingerprint"), "fingerprint", "left_anti")
         old = old.withColumns({"active": F.lit(False), "batch": F.lit(batch).cast("long")})
-        delta = written(now.unionByName(old), "delta")
+        old = written(old, "old")
+        # members of the new ones, and those stored of the ones that go
+        fresh = graph.digest_members(whole, now).withColumn("active", F.lit(True))
+        gone = self.all_members.read(before=batch).join(old.select("fingerprint"), "fingerprint", "left_semi").drop("batch").withColumn("active", F.lit(False))
         self.labels.put(batch, changes.select("node", "component", F.lit(batch).cast("long").alias("batch")))
-        self.all_syndicates.put(batch, delta)
-        self.all_members.put(batch, graph.syndicate_members(delta).join(delta.select("fingerprint", "active", "batch"), "fingerprint"))
-        discard(given, changes, now, delta)
+        self.all_syndicates.put(batch, now.unionByName(old))
+        self.all_members.put(batch, fresh.unionByName(gone).withColumn("batch", F.lit(batch).cast("long")))
+        discard(given, changes, now, old)
 
-    def syndicates(self) -> DataFrame:
+    def digests(self) -> DataFrame:
+        """The active syndicates without their members."""
         return self.all_syndicates.read().filter("active").drop("component", "active", "batch")
 
+    def syndicates(self) -> DataFrame:
+        return graph.with_lists(self.digests(), self.members())
+
     def members(self) -> DataFrame:
         return self.all_members.read().filter("active").drop("active", "batch")

@@ -13,10 +13,3 @@ def upsert_latest(base: DataFrame, updates: DataFrame, keys: list[str], order_co
     both = base.withColumn("_new", F.lit(0)).unionByName(updates.select(*base.columns).withColumn("_new", F.lit(1)))
     latest = both.groupBy(*keys).agg(F.max_by(F.struct(*base.columns), F.struct(F.col(order_col), F.col("_new"))).alias("_row"))
     return latest.select("_row.*")
-
-
-def merge_into(table: str, updates: DataFrame, keys: list[str]) -> None:
-    """The same on a catalog table that supports MERGE."""
-    on = " AND ".join(f"t.`{k}` <=> u.`{k}`" for k in keys)
-    updates.createOrReplaceTempView("_updates")
-    updates.sparkSession.sql(f"MERGE INTO {table} t USING _updates u ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")

@@ -7,6 +7,7 @@ the domain tables are written a second time there, as common table expressions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,10 +143,22 @@ def network_nodes(spark, sf):
     return dashboard.network_nodes(A.reports_view(spark, sf))
 
 
+def _weighted_edges(spark, sf):
+    e = A.typed_edges_view(spark, sf).groupBy(F.col("source_id").alias("entity_a"), F.col("target_id").alias("entity_b")).agg(F.count(F.lit(1)).alias("weight"), F.max("ts").alias("last_seen"))
+    return e.withColumns({"entity_a_type": F.lit("phone"), "entity_b_type": F.lit("upi")})
+
+
 @query("WITH " + sql.TYPED_EDGES + sql.NETWORK_FROM_EDGES)
 def network_from_edges(spark, sf):
-    e = A.typed_edges_view(spark, sf).groupBy(F.col("source_id").alias("entity_a"), F.col("target_id").alias("entity_b")).agg(F.count(F.lit(1)).alias("weight"), F.max("ts").alias("last_seen"))
-    return dashboard.network_from_edges(e.withColumns({"entity_a_type": F.lit("phone"), "entity_b_type": F.lit("upi")}))
+    return dashboard.network_from_edges(_weighted_edges(spark, sf))
+
+
+@query("SELECT 'edges' AS of, node, \"group\", label, links FROM (WITH " + sql.TYPED_EDGES + sql.NETWORK_FROM_EDGES + ") x UNION ALL SELECT 'reports', node, \"group\", label, NULL FROM (" + sql.with_reports(sql.NODES) + ") y")
+def network_view(spark, sf):
+    """Both cases: edges are stored, and none is."""
+    edges, reports = _weighted_edges(spark, sf), A.reports_view(spark, sf)
+    of = lambda name, e: dashboard.network_view(e, reports).select(F.lit(name).alias("of"), "*")
+    return of("edges", edges).unionByName(of("reports", edges.filter("weight < 0")))
 
 
 @query(f"SELECT event_id, {sql.score_to_int('value')} AS score FROM events")
@@ -394,7 +407,7 @@ def syndicates(spark, sf):
 
 @query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + ", m AS (SELECT fingerprint, risk_score, unnest(entities) AS entity_key FROM synd) SELECT fingerprint, entity_key, split_part(entity_key, ':', 1) AS entity_type, split_part(entity_key, ':', 2) AS entity_value, risk_score FROM m")
 def syndicate_members(spark, sf):
-    return graph.syndicate_members(graph.syndicates(_edge_keys(spark, sf)))
+    return graph.syndicate_members(_edge_keys(spark, sf))
 
 
 @query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + ", m AS (SELECT fingerprint, cluster_size, risk_score, unnest(entities) AS entity_key FROM synd) SELECT fingerprint, cluster_size, entity_key, split_part(entity_key, ':', 1) AS entity_type, split_part(entity_key, ':', 2) AS entity_value, risk_score FROM m")
@@ -403,23 +416,42 @@ def syndicates_incremental(spark, sf):
     store, edges = SyndicateStore(spark, shared_folder(spark)), A.typed_edges_view(spark, sf)
     for n in range(3):
         store.add(n, edges.filter(_batch(F.dayofyear("ts"), 3) == n), "source_id", "target_id")
-    return store.members().join(store.syndicates().select("fingerprint", "cluster_size"), "fingerprint")
+    return store.members().join(store.digests().select("fingerprint", "cluster_size"), "fingerprint")
 
 
 @query("WITH RECURSIVE " + sql.COMPONENTS + sql.SYNDICATES + sql.MEMBERSHIP)
 def syndicate_membership(spark, sf):
     events = A.table(spark, sf, "events")
     rows = events.select(F.col("event_id").alias("msg_id"), F.lit("phone").alias("entity_type"), F.col("user_id").cast("string").alias("value"))
-    return graph.syndicate_membership(rows, graph.syndicate_members(graph.syndicates(_edge_keys(spark, sf))))
+    return graph.syndicate_membership(rows, graph.syndicate_members(_edge_keys(spark, sf)))
 
 
-@query("WITH " + sql.TYPED_EDGES + ", e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM typed_edges) SELECT a, b FROM e WHERE CAST(split_part(a, ':', 2) AS BIGINT) % 10 <> 0")
-def edges_resolved(spark, sf):
+_RESOLVED = "WITH " + sql.TYPED_EDGES + ", e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM typed_edges) SELECT a, b FROM e WHERE CAST(split_part(a, ':', 2) AS BIGINT) % 10 <> 0"
+
+
+def _edges_and_vertices(spark, sf):
+    """Edges between ids, and the vertices of those ids that are known."""
     e = A.typed_edges_view(spark, sf).select("source_id", "target_id").distinct()
     ids = e.select(graph.vertex_id(F.lit("n"), F.col("source_id")).alias("source_id"), graph.vertex_id(F.lit("n"), F.col("target_id")).alias("target_id"))
     nodes = e.select(F.explode(F.array("source_id", "target_id")).alias("k")).distinct().withColumn("p", text.entity_key_parts(F.col("k")))
     known = nodes.filter("NOT (p.entity_type = 'phone' AND CAST(p.entity_value AS BIGINT) % 10 = 0)")
-    return graph.edges_resolved(ids, known.select(graph.vertex_id(F.lit("n"), F.col("k")).alias("id"), "p.entity_type", F.col("p.entity_value").alias("value")))
+    return ids, known.select(graph.vertex_id(F.lit("n"), F.col("k")).alias("id"), "p.entity_type", F.col("p.entity_value").alias("value"))
+
+
+@query(_RESOLVED)
+def edges_resolved(spark, sf):
+    return graph.edges_resolved(*_edges_and_vertices(spark, sf))
+
+
+@query(_RESOLVED)
+def edges_resolved_stored(spark, sf):
+    """The same from tables stored by bucket; the vertices arrive twice."""
+    edges, vertices = _edges_and_vertices(spark, sf)
+    name, folder = f"stored_{uuid.uuid4().hex}", shared_folder(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    graph.store_vertices(vertices.filter("entity_type = 'phone'"), f"{name}_vertices", buckets, folder)
+    stored = graph.store_vertices(vertices, f"{name}_vertices", buckets, folder)
+    return graph.edges_resolved(graph.store_edges(edges, f"{name}_edges", buckets, folder), stored)
 
 
 def _report_entities(spark, sf):

@@ -75,8 +75,10 @@ def test_syndicates_of_increments_equal_one_run(spark, tmp_path, seed):
             assert told() == before
     whole = spark.createDataFrame([e for p in parts for e in p], schema).coalesce(1)
     found = graph.syndicates(whole)
-    want = (rows(graph.connected_components(whole, "a", "b")), rows(found), rows(graph.syndicate_members(found).select(*store().members().columns)))
+    want = (rows(graph.connected_components(whole, "a", "b")), rows(found), rows(graph.syndicate_members(whole).select(*store().members().columns)))
     assert len(want[1]) > 0 and told() == want
+    named = [(r.fingerprint, hashlib.sha256("|".join(r.entities).encode()).hexdigest(), sorted(r.entities) == r.entities) for r in store().syndicates().collect()]
+    assert all(a == b and in_order for a, b, in_order in named)
     store().add(0, edges[0])  # again, folded since
     assert told() == want and store().labels.folded() == 2
 

@@ -1,9 +1,12 @@
 """Operators on small hand-made tables, against plain Python."""
 
 import datetime as dt
+import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +270,90 @@ def test_timestamps(spark, value, want):
     assert one(spark, lambda x: text.iso_timestamp(text.parsed_timestamp(x)), value) == want
 
 
+def test_timestamps_equal_the_iso_reader_of_python(spark):
+    rng = random.Random(21)
+    days = ["2024-05-06", "20240506", "2024-W19-1", "2024W191", "2024-W19", "2024W19", "2020-W53-7", "2021-W53-1", "2024-02-30", "0000-01-01", "2024-W00-1", "2024-W19-8", "2024-0506", "9999-W52-7", "2024"]
+    seps = ["T", " ", "t", "-", "_", "\u0928", "1", "", "+"]
+    clocks = ["07", "0708", "07:08", "070809", "07:08:09", "07:08:09.5", "070809,123456789", "23:59:59.999999", "24:00", "07:60", "0708:09", "7:08", "07:0", "10", ""]
+    offsets = ["", "", "Z", "+05", "-0530", "+05:30", "+05:30:15", "-053015", "+24:00", "+5", "z", "ZZ", " ", "\n"]
+    texts = [a + b + c + d for a in days for b in seps for c in clocks for d in rng.sample(offsets, 5)] + days + [" 2024-05-06", "2024-05-06Z", "2024-05-06\n", "2024-05-06T", "\u0968024-05-06"]
+    # digits right after the day of a week are left out: what they mean is not defined
+    texts = [t for t in texts if not re.match("[0-9]{4}(W[0-9]{2}[1-7]?[0-9]|-W[0-9]{2}-[0-9]{3})", t) or len(t) == 8]
+
+    def plain(v):
+        try:
+            at = dt.datetime.fromisoformat(v.replace("Z", "+00:00"))
+            at = at if at.tzinfo else at.replace(tzinfo=dt.UTC)
+            return round((at - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) / dt.timedelta(microseconds=1))
+        except ValueError:
+            return None
+
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1).select(F.unix_micros(text.parsed_timestamp(F.col("x"))).alias("t")).collect()]
+    assert [(t, g, plain(t)) for t, g in zip(texts, got) if g != plain(t)] == []
+    assert sum(g is not None for g in got) > 500
+    assert one(spark, text.parsed_timestamp, "2024W19107") is None
+
+
+def test_network_view_falls_back(spark):
+    reports = spark.createDataFrame([(1, "9876543210", "a@upi", "Cook", " ")], "id long, scam_phone string, upi_id string, job_role string, company_name string")
+    edges = spark.createDataFrame([("phone:1", "upi:2", "phone", "upi", dt.datetime(2024, 1, 1))], "entity_a string, entity_b string, entity_a_type string, entity_b_type string, last_seen timestamp")
+    rows = lambda frame: sorted(str(tuple(r)) for r in frame.collect())
+    assert rows(dashboard.network_view(edges, reports)) == rows(dashboard.network_from_edges(edges))
+    fallen = dashboard.network_view(edges.filter("false"), reports)
+    assert rows(fallen.drop("links")) == rows(dashboard.network_nodes(reports)) and fallen.count() > 0
+    assert fallen.filter("links IS NOT NULL").count() == 0
+
+
+def test_a_giant_component_is_digested_in_flat_memory(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("phone:0").alias("component"), F.concat(F.lit("phone:"), F.col("id").cast("string")).alias("node"))
+    few = spark.createDataFrame([("a", "phone:b|1"), ("a", "phone:b|1"), ("a", "upi:\u00e9"), ("a", "phone:"), ("a", "plain"), ("a", "phone:b"), ("e", "phone:")], "component string, node string")
+    got = {r.component: r for r in graph.component_digests(rows.unionByName(few).withColumn("extra", F.lit(1))).collect()}
+    want = hashlib.sha256("|".join(sorted(f"phone:{i}" for i in range(n))).encode()).hexdigest()
+    assert (got["phone:0"].fingerprint, got["phone:0"].cluster_size, got["phone:0"].n_phones, got["phone:0"].n_upis) == (want, n, n, 0)
+    mixed = sorted({"phone:b|1", "upi:\u00e9", "plain", "phone:b"}, key=str.encode)
+    assert got["a"].fingerprint == hashlib.sha256("|".join(mixed).encode()).hexdigest()
+    assert (got["a"].cluster_size, got["a"].n_phones, got["a"].n_upis, got["a"].is_potential_syndicate) == (4, 2, 1, True) and set(got) == {"phone:0", "a"}
+    assert graph.component_digests(rows.filter("false")).count() == 0
+
+    # batches as a task gets them: what is held does not grow with the members
+    def batches(size):
+        for lo in range(0, size, 1000):
+            yield pa.RecordBatch.from_pydict({"component": ["c"] * 1000, "node": [f"phone:{i:07d}" for i in range(lo, lo + 1000)], "kind": ["phone"] * 1000})
+
+    peaks = []
+    for size in (20_000, 400_000):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in graph._digests(batches(size))) == 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_stored_graph_exchanges_the_other_side_only(spark):
+    vertices = spark.createDataFrame([(str(i), "phone", f"v{i}") for i in range(50)] + [("1", "phone", "v1"), (None, "upi", "x")], "id string, entity_type string, value string")
+    edges = spark.createDataFrame([(str(i), str(i * 7 % 60)) for i in range(50)] + [(None, "1"), ("1", None)], "source_id string, target_id string")
+    rows = lambda frame: sorted(str(tuple(r)) for r in frame.collect())
+    graph.store_vertices(vertices.filter("id < '3'"), "kept_vertices", 4)
+    for _ in range(2):
+        stored = graph.store_vertices(vertices, "kept_vertices", 4)
+    assert rows(stored) == rows(vertices.filter("id IS NOT NULL").distinct())
+    kept = graph.store_edges(edges, "kept_edges", 4)
+    found = graph.edges_resolved(kept, stored)
+    assert rows(found) == rows(graph.edges_resolved(edges, vertices.filter("id IS NOT NULL").distinct())) and found.count() > 0
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = graph.edges_resolved(kept, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP TABLE kept_vertices")
+        spark.sql("DROP TABLE kept_edges")
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_evidence(spark):
     row = {"msg_id": 1, "text": " hi ", "company": "", "phones": ["1", "2"], "salary": 0, "fee": 5, "location": None, "role": "Cook", "upi_ids": [], "urgency_flags": None, "sim_to_legitimate": 0.25, "sim_to_scam": None, "boundary_distance": 0.1,
            "embedding_score": 0.5, "contradictions": 0, "checks": None, "contradiction_details": ["x"], "seen_count": 3, "source_channels_count": 1, "forwarded_flag": True, "propagation_score": 0.3, "is_broadcast": False, "media_context": None}
