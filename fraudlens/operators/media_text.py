@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,11 +33,41 @@ def media_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", "length", kind.alias("kind"), sniffed.alias("format"), F.coalesce(F.col("length") <= most * 1024 * 1024, F.lit(False)).alias("accepted"))
 
 
+#: What parts the words of a run; a word that holds it is a run of its own.
+_PART = "\x00"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (doc_id, block, par, line, pos, w) that follow one another in a batch and in a line, as one row each."""
+    keys = ("doc_id", "block", "par", "line")
+    for batch in batches:
+        n, words = batch.num_rows, batch["w"]
+        if not n:
+            continue
+        apart = pc.match_substring(words, _PART).to_numpy(zero_copy_only=False)
+        new = apart.copy()
+        new[1:] |= apart[:-1]
+        for c in keys:  # a null begins a run
+            new[1:] |= pc.fill_null(pc.not_equal(batch[c][1:], batch[c][:-1]), True).to_numpy(zero_copy_only=False)
+        new[0] = True
+        starts = np.flatnonzero(new)
+        ends = pa.array(np.append(starts, n).astype(np.int32))
+        told = pc.binary_join(pa.ListArray.from_arrays(ends, words), _PART)
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(starts)) for c in keys), pa.ListArray.from_arrays(ends, batch["pos"]), told], names=[*keys, "pos", "t"])
+
+
 def ocr_lines(words: DataFrame) -> DataFrame:
     """(doc_id, text): words joined to lines in order, a blank line where the
-    block changes. Words of negative confidence and empty words are dropped."""
-    good = words.filter((F.col("conf") >= 0) & (F.trim("word") != ""))
-    lines = good.groupBy("doc_id", "block", "par", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.trim("word").alias("w")))), lambda x: x["w"]), " ").alias("t"))
+    block changes. Words of negative confidence and empty words are dropped.
+
+    Neighbouring words of a line leave a task as one row, and rows are exchanged once, by document."""
+    good = words.filter((F.col("conf") >= 0) & (F.trim("word") != "")).select("doc_id", "block", "par", "line", "pos", F.trim("word").alias("w"))
+    kinds = dict(good.dtypes)
+    runs = good.mapInArrow(_runs, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "block", "par", "line")) + f", pos array<{kinds['pos']}>, t string").repartition("doc_id")
+    pieces = F.when(F.size("pos") == 1, F.array("t")).otherwise(F.split("t", _PART))
+    items = F.zip_with("pos", pieces, lambda p, w: F.struct(p.alias("pos"), w.alias("w")))
+    lines = runs.groupBy("doc_id", "block", "par", "line").agg(F.collect_list(items).alias("i"))
+    lines = lines.select("doc_id", "block", "par", "line", F.array_join(F.transform(F.sort_array(F.flatten("i")), lambda x: x["w"]), " ").alias("t"))
     ordered = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block", "par", "line", "t"))).alias("l"))
     spaced = F.transform("l", lambda x, i: F.when((i > 0) & (F.get(F.col("l"), i - 1)["block"] != x["block"]), F.concat(F.lit("\n"), x["t"])).otherwise(x["t"]))
     return ordered.select("doc_id", F.array_join(spaced, "\n").alias("text"))
