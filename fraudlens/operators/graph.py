@@ -293,26 +293,36 @@ def consistency_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     role whose licences are not exactly one; companies with neither a valid
     phone nor a named contact."""
     v = vertices.select(F.trim("id").alias("id"), F.lower(F.trim(F.coalesce("entity_type", F.lit("")))).alias("kind"), F.trim("value").alias("value")).filter("id <> ''")
+    v = written(v, "graph_vertices")  # both tables are read several times below, what they are made of once
     end = lambda p: v.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "kind", "value")])
     rel = F.lower(F.trim(F.coalesce("relationship_type", F.lit(""))))
     e = edges.select(F.trim("source_id").alias("s_id"), F.trim("target_id").alias("t_id"), rel.alias("rel")).filter("s_id <> '' AND t_id <> '' AND rel <> ''")
-    e = e.join(end("s"), "s_id").join(end("t"), "t_id")
+    e = written(e.join(end("s"), "s_id").join(end("t"), "t_id"), "graph_edges")
     low = F.nullif(F.lower("t_value"), F.lit(""))
     from_company = F.col("s_kind") == "company"
     cleaned = F.regexp_replace(F.coalesce("t_value", F.lit("")), r"[ \t\n\r\f()\-]", "")
-    by_company = e.filter(from_company).groupBy(F.col("s_id").alias("id")).agg(
-        F.count_distinct(F.when((F.col("rel") == "located_in") & (F.col("t_kind") == "location"), low)).alias("places"),
-        F.count_distinct(F.when(F.col("rel").isin(*ROLE_RELATIONS) | (F.col("t_kind") == "role"), low)).alias("roles"),
-        F.count_distinct(F.when(F.col("rel").isin(*LICENCE_RELATIONS) | F.col("t_kind").isin("license", "license_number"), low)).alias("licences"),
-        F.coalesce(F.bool_or((F.col("rel") == "contact_phone") & (F.col("t_kind") == "phone") & cleaned.rlike("^[+]?[0-9]{10,15}$")), F.lit(False)).alias("has_phone"),
-        F.coalesce(F.bool_or(F.col("rel").isin("hr_contact", "contact_person") & F.col("t_kind").isin("person", "agent") & low.isNotNull()), F.lit(False)).alias("has_person"),
-    )
-    companies = v.filter("kind = 'company'").select("id").join(by_company, "id", "left").na.fill(0, ["places", "roles", "licences"]).na.fill(False, ["has_phone", "has_person"])
-    located = e.filter("rel = 'located_in' AND t_kind = 'location'").select("s_id", "s_kind", low.alias("place")).filter("place IS NOT NULL")
-    direct = located.filter("s_kind = 'phone'").select(F.col("s_id").alias("phone"), "place")
-    contacts = e.filter(from_company & (F.col("rel") == "contact_phone") & (F.col("t_kind") == "phone")).select(F.col("s_id").alias("company"), F.col("t_id").alias("phone")).distinct()
-    through = contacts.join(located.filter("s_kind = 'company'").select(F.col("s_id").alias("company"), "place").distinct(), "company").select("phone", "place")
-    phones = direct.unionByName(through).groupBy("phone").agg(F.count_distinct("place").alias("places"))
+    # whether there are none, one or more values follows from the least and the largest, so values need not be counted apart
+    ends = lambda x, name: (F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max"))
+    number = lambda name: F.when(F.col(f"{name}_min").isNull(), 0).when(F.col(f"{name}_min") == F.col(f"{name}_max"), 1).otherwise(2)
+    tests = {
+        "place": F.when((F.col("rel") == "located_in") & (F.col("t_kind") == "location"), low),
+        "role": F.when(F.col("rel").isin(*ROLE_RELATIONS) | (F.col("t_kind") == "role"), low),
+        "licence": F.when(F.col("rel").isin(*LICENCE_RELATIONS) | F.col("t_kind").isin("license", "license_number"), low),
+        "has_phone": (F.col("rel") == "contact_phone") & (F.col("t_kind") == "phone") & cleaned.rlike("^[+]?[0-9]{10,15}$"),
+        "has_person": F.col("rel").isin("hr_contact", "contact_person") & F.col("t_kind").isin("person", "agent") & low.isNotNull(),
+    }
+    # distinct first, by hash and in each task: most edges of a company say the same
+    told = e.filter(from_company).select(F.col("s_id").alias("id"), *[F.coalesce(x, F.lit(False)).alias(n) if n.startswith("has") else x.alias(n) for n, x in tests.items()]).distinct()
+    by_company = told.groupBy("id").agg(*[x for n in ("place", "role", "licence") for x in ends(n, n)], F.bool_or("has_phone").alias("has_phone"), F.bool_or("has_person").alias("has_person"))
+    companies = v.filter("kind = 'company'").select("id").join(by_company, "id", "left").na.fill(False, ["has_phone", "has_person"])
+    companies = companies.withColumns({"places": number("place"), "roles": number("role"), "licences": number("licence")})
+    located = e.filter("rel = 'located_in' AND t_kind = 'location'").select("s_id", "s_kind", low.alias("place")).filter("place IS NOT NULL").distinct()
+    direct = located.filter("s_kind = 'phone'").select(F.col("s_id").alias("phone"), F.col("place").alias("place_min"), F.col("place").alias("place_max"))
+    contacts = e.filter(from_company & (F.col("rel") == "contact_phone") & (F.col("t_kind") == "phone")).select(F.col("s_id").alias("company"), F.col("t_id").alias("phone"))
+    # one row for each company, so a phone meets each of its companies once and not all their places
+    places = located.filter("s_kind = 'company'").groupBy(F.col("s_id").alias("company")).agg(*ends("place", "place"))
+    through = contacts.join(places, "company").select("phone", "place_min", "place_max")
+    phones = direct.unionByName(through).distinct().groupBy("phone").agg(F.min("place_min").alias("place_min"), F.max("place_max").alias("place_max")).select("phone", number("place").alias("places"))
     check = lambda test, fails: (F.sum(test.cast("long")), F.sum((test & fails).cast("long")))
     sums = {"company_location": check(F.col("places") > 0, F.col("places") > 1), "role_licence": check(F.col("roles") > 0, F.col("licences") != 1), "contact": check(F.lit(True), ~F.col("has_phone") & ~F.col("has_person"))}
     columns = [x.alias(f"{n}_{k}") for n, pair in sums.items() for k, x in zip(("checks", "fails"), pair)]
