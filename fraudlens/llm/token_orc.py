@@ -6,9 +6,10 @@ ORC stores the integers with run-length encoding and keeps row indexes and, on
 doc_id, Bloom filters. Readers split a file between its stripes, and
 ``lookup_tokens`` reads only the stripes and row groups that an id may be in.
 
-The ids of a word do not depend on its neighbours (the tokenizer drops white
-space and never merges across it), so each task keeps a bounded table from
-words to their ids and encodes unknown words in batches.
+The ids of a pre-token do not depend on its neighbours (the tokenizer drops white
+space and never merges across pre-tokens), so texts are cut into them in numpy, each
+task keeps a bounded table from pre-tokens to their ids, and unknown ones are encoded
+in batches. Texts are taken in slices of bounded bytes; only a longer text is one by itself.
 
 Defined cases: null text is empty and gets the end id alone; null ids sort
 first; rows that repeat an id stay separate rows, ordered by a hash of the text and dealt
@@ -17,6 +18,7 @@ over as many ranges as they fill; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -33,9 +35,10 @@ from pyspark.sql import Window
 from fraudlens.llm.storage import cut, shared_folder
 
 END_ID = 2
-#: Words, and half as many pre-tokens, that a task remembers.
-TABLE_WORDS = 700_000
-ROWS_A_BATCH = 2048
+#: Pre-tokens and odd words that a task remembers.
+TABLE_WORDS = 350_000
+#: Most rows and bytes of texts that are looked up together, and bytes that are cut at once.
+ROWS_A_BATCH, BYTES_A_BATCH, BYTES_A_CUT = 2048, 8 << 20, 512 << 10
 #: Bytes of a stripe, the unit of parallel reads, and rows of an index entry, the unit that a lookup skips.
 STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 10_000
 #: Columns of the files; ``tie`` orders rows of one id.
@@ -63,14 +66,83 @@ class Bounded(dict):
         return unknown
 
 
+#: Kinds of characters below U+0180. What is odd goes to the tokenizer with the whole word it is in: characters
+#: from U+0180 on, whose normalisation depends on tables, U+0130, whose lower case is two characters, controls
+#: that are blanks to some libraries only, and what may begin a special token.
+LETTER, NUMBER, OTHER, BLANK, ODD = range(5)
+
+
+def _kind(c: str) -> int:
+    if c == "\u0130" or "\x1c" <= c <= "\x1f":
+        return ODD
+    return BLANK if c.isspace() else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
+
+
+_KINDS = np.array([_kind(chr(i)) for i in range(0x180)], np.uint8)
+_LOWER = np.array([ord(chr(i).lower()[0]) for i in range(0x180)], np.uint16)
+_BYTE_KINDS = np.concatenate([_KINDS[:128], np.full(128, ODD, np.uint8)])
+_BYTE_LOWER = bytes(range(256)).lower()
+
+
+def slices(texts: pa.StringArray, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of slices of at most ``rows`` rows and ``size`` bytes, or of one row."""
+    ends, at = np.cumsum([0, *pc.binary_length(texts).to_pylist()]), 0
+    while at < len(texts):
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1), len(texts))
+        yield at, to - at
+        at = to
+
+
+def cut_texts(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """(the tokenizer's own pre-tokens in lower case, and odd words as they are, of all texts on end;
+    where each text begins among them and the last one ends). The bytes of all texts are cut at once."""
+    rows = texts.cast(pa.binary()).to_pylist()
+    raw = bytearray(b"\n").join([*rows, b""])
+    chars = np.frombuffer(raw.translate(_BYTE_LOWER), np.uint8)
+    kinds = _BYTE_KINDS[chars]
+    pairs = np.flatnonzero((chars >= 0xC2) & (chars <= 0xC5))  # characters of two bytes below U+0180
+    if len(pairs):
+        code = (chars[pairs] & 31).astype(np.uint16) << 6 | chars[pairs + 1] & 63
+        kinds[pairs] = kinds[pairs + 1] = _KINDS[code]
+        chars[pairs], chars[pairs + 1] = 0xC0 | _LOWER[code] >> 6, 0x80 | _LOWER[code] & 63
+    special = np.flatnonzero(chars == ord("<"))
+    kinds[special[chars[special + 1] == ord("|")]] = ODD
+    blank = kinds == BLANK
+    odd = kinds == ODD
+    if odd.any():
+        first = ~blank
+        first[1:] &= blank[:-1]
+        word = np.cumsum(first, dtype=np.int32)
+        whole = np.zeros(word[-1] + 1, bool)
+        whole[word[odd]] = True
+        odd = whole[word] & ~blank
+        kinds[odd] = ODD
+        chars[odd] = np.frombuffer(raw, np.uint8)[odd]
+    starts = kinds == NUMBER  # each by itself
+    starts[0] = True
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    starts[pairs + 1] = False
+    quotes = np.flatnonzero((chars == ord("'")) & (kinds == OTHER) & starts)
+    if len(quotes):  # 's 't 'm 'd 're 've 'll
+        a, b = chars[quotes + 1], chars[np.minimum(quotes + 2, len(chars) - 1)]
+        two = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        three = np.isin(a, np.frombuffer(b"rv", np.uint8)) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        starts[quotes[two | three] + 1] = False
+        starts[quotes[two] + 2] = starts[quotes[three] + 3] = True
+    at = np.flatnonzero(starts)
+    sizes, kept = np.diff(at, append=len(chars)), ~blank[at]
+    at, offsets = at[kept], np.zeros(np.count_nonzero(kept) + 1, np.int32)
+    np.cumsum(sizes[kept], out=offsets[1:])
+    units = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(chars[~blank]))
+    return units, np.searchsorted(at, np.cumsum([0, *(len(row) + 1 for row in rows)]))
+
+
 class WordTable:
-    """Ids of white-space separated words as little-endian unsigned 32-bit integers.
+    """Ids of pre-tokens as little-endian unsigned 32-bit integers.
 
-    New words are cut into the tokenizer's own pre-tokens, which many words
-    share; merges never leave a pre-token, so new ones are encoded many
-    together and told apart by the end-of-word mark of their last id. Words with
-    characters from U+0180 on, whose normalisation depends on tables, or with
-    what may be a special token go to the tokenizer as they are."""
+    Many words share a pre-token, and merges never leave one, so new ones are encoded many
+    together and told apart by the end-of-word mark of their last id. Odd words
+    (see ``cut_texts``) go to the tokenizer as they are."""
 
     def __init__(self, path: str, most: int = TABLE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,58 +152,47 @@ class WordTable:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.tokenizer, self.ids, self.pieces = Tokenizer.from_file(path), Bounded(most), Bounded(most // 2)
-        simple = [chr(i) for i in range(0x180)]
-        kind = lambda k: "".join(re.escape(c) for c in simple if unicodedata.category(c)[0] == k)
-        letter, number = kind("L"), kind("N")
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+").findall
-        self.unlike = re.compile("[^\x00-\u017f]|\u0130").search  # the lower case of U+0130 is two characters
-        self.special = re.compile("[^\x00-\u017f]|[\x1c-\x1f]|<\\|").search
-        self.words = re.compile("(?:[^\\s]|[\x1c-\x1f])+").findall
-        vocabulary = self.tokenizer.get_vocab()
+        self.path, self.ids = path, Bounded(most)
+        self.odd = re.compile("[\u0180-\U0010ffff\u0130\x1c-\x1f]|<\\|").search
+        vocabulary = self.plain.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        some = [pieces[at : at + 100] for at in range(0, len(pieces), 100)]
-        for names, coded in zip(some, self.plain.encode_batch_fast(list(map(" ".join, some)), add_special_tokens=False)):
-            ids = np.array(coded.ids, dtype="<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(names):
-                raise ValueError("pre-tokens and end marks differ in number")
-            raw, start = ids.tobytes(), 0
-            for name, end in zip(names, ends):
-                self.pieces[name] = raw[4 * start : 4 * end]
-                start = end
-
-    def _learn(self, words: set[str]) -> None:
-        letters = [word for word in words if word.isalpha()]
-        # a word of letters below U+0180 is one pre-token, its lower case
-        single = [word for word in letters if word.isascii()]
-        single += [word for word in letters if not word.isascii() and not self.unlike(word)]
-        cut, odd = {}, []
-        for word in words.difference(single):
-            if self.special(word):
-                odd.append(word)
-            else:
-                cut[word] = self.cut(word.lower())
-        lower = list(map(str.lower, single))
-        self._learn_pieces(list(self.pieces.missing(set(lower).union(*cut.values()))))
-        get = self.pieces.__getitem__
-        self.ids.update(zip(single, map(get, lower)))
-        for word, pieces in cut.items():
-            self.ids[word] = b"".join(map(get, pieces))
-        for word, coded in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.ids[word] = np.array(coded.ids, dtype="<u4").tobytes()
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _learn(self, names: set[str]) -> None:
+        odd = list(filter(self.odd, names))
+        for at in range(0, len(odd), 1000):
+            for word, coded in zip(some := odd[at : at + 1000], self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.ids[word] = np.array(coded.ids, dtype="<u4").tobytes()
+        pieces = list(names.difference(odd)) if odd else list(names)
+        for first in range(0, len(pieces), 10_000):
+            some = [pieces[at : at + 100] for at in range(first, min(first + 10_000, len(pieces)), 100)]
+            for each, coded in zip(some, self.plain.encode_batch_fast(list(map(" ".join, some)), add_special_tokens=False)):
+                ids = np.array(coded.ids, dtype="<u4")
+                ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(ends) != len(each):
+                    raise ValueError("pre-tokens and end marks differ in number")
+                raw = ids.tobytes()
+                self.ids.update(zip(each, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, where each text begins and the last one ends).
 
-        Arrow splits the texts and numbers their distinct words; only those
-        are looked up here, and their ids are gathered by number."""
-        odd = pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py()  # blanks to Arrow but not to the tokenizer
-        words = pa.array([self.words(x) for x in texts.to_pylist()], pa.list_(pa.string())) if odd else pc.utf8_split_whitespace(texts)
-        numbered = words.flatten().dictionary_encode()
+        Arrow numbers the distinct pre-tokens; only those are looked up here,
+        and their ids are gathered by number."""
+        units, rows, n = [pa.array([], pa.string())], [np.zeros(1, np.int64)], 0
+        for at, many in slices(texts, len(texts), BYTES_A_CUT):
+            some, ends = cut_texts(texts.slice(at, many))
+            units.append(some)
+            rows.append(ends[1:] + n)
+            n += len(some)
+        numbered, rows = pa.concat_arrays(units).dictionary_encode(), np.concatenate(rows)
+        del units
         names = numbered.dictionary.to_pylist()
         unknown = self.ids.missing(set(names))
         if unknown:
@@ -141,8 +202,8 @@ class WordTable:
         np.cumsum(np.fromiter(map(len, coded), np.int32, len(coded)) // 4, out=ends[1:])
         pool = np.frombuffer(b"".join(coded), "<u4")
         each = pa.ListArray.from_arrays(pa.array(ends), pa.array(pool)).take(numbered.indices)
-        ids, ends, rows = each.flatten().to_numpy(), each.offsets.to_numpy(), words.offsets.to_numpy()
-        return ids, (ends - ends[0])[rows - rows[0]]
+        ids, ends = each.flatten().to_numpy(), each.offsets.to_numpy()
+        return ids, (ends - ends[0])[rows]
 
 
 #: Tables outlive a task where Spark keeps its Python workers.
@@ -159,10 +220,10 @@ def encode_partition(path: str, end_id: int, most: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = word_table(path, most)
-            for at in range(0, batch.num_rows, ROWS_A_BATCH):
-                rows = batch.slice(at, ROWS_A_BATCH)
+            for at, many in slices(batch["text"], ROWS_A_BATCH, BYTES_A_BATCH):
+                rows = batch.slice(at, many)
                 found, ends = table.encode(rows["text"])
-                values = np.insert(found, ends[1:], end_id).astype("<i4")
+                values = np.insert(found, ends[1:], end_id).view("<i4")
                 ids = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["tie"], rows["part"], ids], names=["doc_id", "tie", "part", "ids"])
 

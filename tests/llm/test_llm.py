@@ -144,6 +144,45 @@ def test_word_table_begins_anew(spark):
         assert all((x == y).all() for x, y in zip(a, b))
 
 
+def test_texts_are_cut_as_the_tokenizer_does():
+    """Bytes are cut in slices of any size: contractions, numbers, two-byte letters and odd words stay whole."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from fraudlens.llm import token_orc
+
+    t, table, rng = Tokenizer.from_file(token_orc.default_tokenizer()), token_orc.WordTable(token_orc.default_tokenizer(), 500), random.Random(5)
+    parts = "'s 'T 're 'VE 'm 'll 'D ' '' 'l the ThE é É Ÿ ß ẞ İ ı ſ Σ ΑΣ J\u030c e\u0301 1 23 ½ ² ٣ . ... , — “ 日本 😀 ﬁ < <| |> <|endoftext|> <|ENDOFTEXT|>".split()
+    parts += [" ", "  ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\x00", "\x7f", *map(chr, range(0x180))]
+    for cut in (1, 60, token_orc.BYTES_A_CUT):
+        texts = ["", "it'"] + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(300)] + ["", "é"]
+        assert sum(n for _, n in token_orc.slices(pa.array(texts), len(texts), cut)) == len(texts)
+        before, token_orc.BYTES_A_CUT = token_orc.BYTES_A_CUT, cut
+        try:
+            ids, ends = table.encode(pa.array(["left out", *texts]).slice(1))
+        finally:
+            token_orc.BYTES_A_CUT = before
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [len(x) for x in table.encode(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_encoding_is_bounded():
+    """A task remembers no more names than it may, and long texts leave it in batches of bounded size."""
+    import pyarrow as pa
+
+    from fraudlens.llm import token_orc
+
+    path, most = token_orc.default_tokenizer(), 1000
+    table = token_orc.WordTable(path, most)
+    for k in range(30):
+        table.encode(pa.array([" ".join(f"{a}{b}{chr(97 + k % 26)}." for a in "abcdefghij" for b in "klmnopqrst")]))
+        assert sum(len(x) for x in vars(table).values() if isinstance(x, dict)) <= most
+    texts = ["word, " * 100_000] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array([0] * 40, pa.int32()), pa.array(texts)], names=["doc_id", "tie", "part", "text"])
+    sizes = [x.num_rows for x in token_orc.encode_partition(path, 2, most)([batch])]
+    assert sum(sizes) == 40 and max(sizes) <= token_orc.BYTES_A_BATCH // len(texts[0])
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
