@@ -9,7 +9,7 @@ doc_id, Bloom filters. Readers split a file between its stripes, and
 The ids of a pre-token do not depend on its neighbours (the tokenizer drops white
 space and never merges across pre-tokens), so texts are cut into them in numpy, each
 task keeps a bounded table from pre-tokens to their ids, and unknown ones are encoded
-in batches. Texts are taken in slices of bounded bytes; only a longer text is one by itself.
+in batches. Texts are taken in slices of bounded bytes, and longer ones cut at blanks.
 
 Defined cases: null text is empty and gets the end id alone; null ids sort
 first; rows that repeat an id stay separate rows, ordered by a hash of the text and dealt
@@ -82,6 +82,7 @@ _KINDS = np.array([_kind(chr(i)) for i in range(0x180)], np.uint8)
 _LOWER = np.array([ord(chr(i).lower()[0]) for i in range(0x180)], np.uint16)
 _BYTE_KINDS = np.concatenate([_KINDS[:128], np.full(128, ODD, np.uint8)])
 _BYTE_LOWER = bytes(range(256)).lower()
+_BLANK = re.compile(rb"[\x20\x09-\x0d]").search
 
 
 def slices(texts: pa.StringArray, rows: int, size: int) -> Iterator[tuple[int, int]]:
@@ -93,6 +94,18 @@ def slices(texts: pa.StringArray, rows: int, size: int) -> Iterator[tuple[int, i
         at = to
 
 
+def at_blanks(text: pa.StringArray, size: int) -> list[pa.StringArray]:
+    """The one text cut after the first blank behind every ``size`` bytes; no pre-token and no odd word crosses one."""
+    raw = text.cast(pa.binary())[0].as_buffer()
+    ends = [0]
+    while ends[-1] + size < len(raw) and (found := _BLANK(raw, ends[-1] + size)):
+        ends.append(found.end())
+    if len(ends) == 1 or ends[-1] < len(raw):
+        ends.append(len(raw))
+    parts = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(np.array(ends, np.int32)), raw)
+    return [parts.slice(at, 1) for at in range(len(parts))]
+
+
 def cut_texts(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     """(the tokenizer's own pre-tokens in lower case, and odd words as they are, of all texts on end;
     where each text begins among them and the last one ends). The bytes of all texts are cut at once."""
@@ -187,10 +200,13 @@ class WordTable:
         and their ids are gathered by number."""
         units, rows, n = [pa.array([], pa.string())], [np.zeros(1, np.int64)], 0
         for at, many in slices(texts, len(texts), BYTES_A_CUT):
-            some, ends = cut_texts(texts.slice(at, many))
-            units.append(some)
-            rows.append(ends[1:] + n)
-            n += len(some)
+            some = texts.slice(at, many)
+            for part in [some] if many > 1 else at_blanks(some, BYTES_A_CUT):
+                found, ends = cut_texts(part)
+                units.append(found)
+                ends = ends + n
+                n = ends[-1]
+            rows.append(ends[1:])
         numbered, rows = pa.concat_arrays(units).dictionary_encode(), np.concatenate(rows)
         del units
         names = numbered.dictionary.to_pylist()

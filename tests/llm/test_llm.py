@@ -183,6 +183,27 @@ def test_encoding_is_bounded():
     assert sum(sizes) == 40 and max(sizes) <= token_orc.BYTES_A_BATCH // len(texts[0])
 
 
+def test_long_text_is_cut_at_blanks():
+    """What numpy holds while it cuts does not grow with the length of one text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fraudlens.llm import token_orc
+
+    table = token_orc.WordTable(token_orc.default_tokenizer())
+    texts = pa.array(["Many, words' \n" * 2_000_000])  # 28 MB
+    assert [x[0].as_py() for x in token_orc.at_blanks(pa.array(["é b  ccc d"]), 3)] == ["é b ", " ccc ", "d"]
+    table.encode(pa.array(["warm, up"]))
+    tracemalloc.start()
+    try:
+        ids, ends = table.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(ids) == ends[-1] == 8_000_000 and peak < 3 * texts.nbytes
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
