@@ -5,7 +5,8 @@ sequences spell the same bytes; byte offsets at which tokens of both end cut the
 into groups, and the last tokens of a group, which end together, are a link.
 
 Texts are cut at blanks between words, where tokens of both always end, so a task keeps a
-bounded table of distinct chunks with their groups and aligns each new one once.
+bounded table of distinct chunks with their groups and aligns each new one once. Texts are taken
+in slices of bounded bytes, and longer ones cut at such blanks.
 
 Most groups are one token of each side with the same bytes. For them an array
 computed once gives B's id of each A id; such groups are counted in vectors as long as A's
@@ -24,8 +25,10 @@ columns are never read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +41,10 @@ from pyspark.sql import functions as F
 from fraudlens.llm.storage import cut
 from fraudlens.llm.token_orc import Bounded
 
-#: Bytes of text that are worked on at once (a longer text alone), and salts of the join with pair counts.
-SLICE_BYTES, SALTS = 4 << 20, 8
-#: Chunks a task remembers, and chunks aligned together.
-TABLE_CHUNKS, JOINED = 250_000, 200
+#: Bytes of texts that are worked on at once (a longer text in parts of as many characters), ids summed at once, and salts of the join with pair counts.
+SLICE_BYTES, SUMMED, SALTS = 1 << 20, 1 << 20, 8
+#: Chunks a task remembers, chunks aligned as one text, and chunks aligned at once.
+TABLE_CHUNKS, JOINED, TOGETHER = 250_000, 200, 5000
 MARK = "▁"
 _BREAK = re.compile(r"(?<=[^ ]) (?=\S)")
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, same array<int>, pairs array<long>, times array<int>"
@@ -143,9 +146,29 @@ def chunks_of(text: str) -> list[str]:
     return _BREAK.split(text)
 
 
-#: What is known of a chunk: whether both sides spell it, tokens of A and B, groups as text, A ids of one-to-one links, irregular links.
-Known = tuple[bool, int, int, bytes, bytes, bytes]
-WRONG: Known = (False, 0, 0, b"", b"", b"")
+def together(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """(number of its text, part) of all texts in order, ``SLICE_BYTES`` characters at a time. Longer texts are
+    cut at the first blank behind as many that ends a chunk, so a text's chunks are those of its parts."""
+    some, room = [], SLICE_BYTES
+    for i, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            found = _BREAK.search(text, at + SLICE_BYTES)
+            part = text[at : found.start() if found else len(text)]
+            at = found.end() if found else len(text)
+            if some and len(part) > room:
+                yield some
+                some, room = [], SLICE_BYTES
+            some.append((i, part))
+            room -= len(part)
+    if some:
+        yield some
+
+
+#: What is known of a chunk begins with its tokens of A and B (0 unless both sides spell it) and the sizes of the first two of what follows:
+#: groups as text, A ids of one-to-one links, irregular links. One value of bytes takes half the memory of a tuple of them.
+HEAD = struct.Struct("<4I")
+WRONG = bytes(HEAD.size)
 
 
 class ChunkTable:
@@ -159,16 +182,14 @@ class ChunkTable:
         plain = [x for x in chunks if MARK not in x and x.split() == [x]]
         single = list(set(chunks).difference(plain))
         some = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
-        for members in (some, None):
-            members = members if members is not None else [[x] for x in single]
-            if members:
-                fit = self._aligned(members)
-                if members is some:
-                    single += [x for i, group in enumerate(members) if i not in fit for x in group]
-                else:
-                    self.known.update({group[0]: WRONG for i, group in enumerate(members) if i not in fit})
-
-    def _aligned(self, members: list[list[str]]) -> set[int]:
+        many = max(1, TOGETHER // JOINED)
+        for at in range(0, len(some), many):
+            single += itertools.chain.from_iterable(self._aligned(some[at : at + many]))
+        for at in range(0, len(single), TOGETHER):
+            self.known.update((x, WRONG) for [x] in self._aligned([[x] for x in single[at : at + TOGETHER]]))
+
+    def _aligned(self, members: list[list[str]]) -> list[list[str]]:
+        """Learns chunks, each member's as one text. Those that both sides do not spell are given back."""
         t, g = self.t, self.t.aligned(list(map(" ".join, members)))
         names = [x for i in g.rows for x in members[i]]
         told, told_end = t.described(g)
@@ -181,38 +202,67 @@ class ChunkTable:
         odd = [x - y for x, y in zip([0, *upto.tolist()], one)]
         same_ids, pairs = link_a[same].astype("<i4").tobytes(), (link_a * t.span + link_b)[~same].astype("<i8").tobytes()
         for k, name in enumerate(names):
-            self.known[name] = (True, n_a[k + 1] - n_a[k], n_b[k + 1] - n_b[k], told[text[k] : text[k + 1]], same_ids[4 * one[k] : 4 * one[k + 1]], pairs[8 * odd[k] : 8 * odd[k + 1]])
-        return set(g.rows)
+            x, y = told[text[k] : text[k + 1]], same_ids[4 * one[k] : 4 * one[k + 1]]
+            self.known[name] = b"".join((HEAD.pack(n_a[k + 1] - n_a[k], n_b[k + 1] - n_b[k], len(x), len(y)), x, y, pairs[8 * odd[k] : 8 * odd[k + 1]]))
+        fit = set(g.rows)
+        return [x for i, x in enumerate(members) if i not in fit]
 
     def align(self, texts: list[str | None]) -> list[pa.Array]:
         """The columns of COUNTED after doc_id."""
-        split = [chunks_of(x) if x else [] for x in texts]
-        numbered = pa.array([x for some in split for x in some], pa.string()).dictionary_encode()
+        n, spans = len(texts), len(self.t.a_bytes) * self.t.span
+        wrong, totals, hashes = np.zeros(n, bool), np.zeros((4, n), np.int64), [None] * n
+        same, irregular, times = [np.empty(0, "<i4")], [], []
+        for some in together(texts):
+            row = np.array([i for i, _ in some])
+            fits, n_a, n_b, told, ids, pairs = self._found([part for _, part in some])
+            n_same, n_pairs = np.diff(ids[1]) // 4, np.diff(pairs[1]) // 8
+            wrong[row[~fits]] = True
+            np.add.at(totals, (slice(None), row), [n_a, n_b, n_same + n_pairs, n_same])
+            for i, x, y in zip(row.tolist(), told[1].tolist(), told[1][1:].tolist()):
+                if x < y and hashes[i]:
+                    hashes[i].update(b";")
+                elif x < y:
+                    hashes[i] = hashlib.sha256()
+                if x < y:
+                    hashes[i].update(told[0][x : y - 1])
+            same.append(np.frombuffer(ids[0], "<i4"))
+            for held, found in zip((irregular, times), np.unique(np.repeat(row, n_pairs) * spans + np.frombuffer(pairs[0], "<i8"), return_counts=True)):
+                held.append(found)
+        if len(irregular) == 1:
+            (irregular,), (times,) = irregular, times
+        else:  # parts of one text may share pairs
+            irregular, which = np.unique(np.concatenate([np.empty(0, np.int64), *irregular]), return_inverse=True)
+            times = np.bincount(which, np.concatenate([np.empty(0), *times]), len(irregular))
+        same, kept = np.concatenate(same), ~wrong[irregular // spans]
+        if wrong.any():
+            same, irregular, times = same[~np.repeat(wrong, totals[3])], irregular[kept], times[kept]
+            totals[:, wrong] = 0
+        sha = [x.hexdigest() if x and not bad else "" for x, bad in zip(hashes, wrong)]
+        return [
+            *map(pa.array, totals[:3]), pa.array(sha, pa.string()), _lists(same, totals[3], pa.int32()),
+            *(_lists(x, np.bincount(irregular // spans, minlength=n), kind) for x, kind in ((irregular % spans, pa.int64()), (times.astype(np.int32), pa.int32()))),
+        ]
+
+    def _found(self, parts: list[str]) -> tuple:
+        """Whether each part is spelt by both sides, its tokens of A and B, and (all values on end, where each part's begin and the last one's end) of its groups as text, ids and pairs."""
+        split = list(map(chunks_of, parts))
+        numbered = pa.array(itertools.chain.from_iterable(split), pa.string()).dictionary_encode()
+        ends = np.cumsum([0, *map(len, split)])
+        del split
         names = numbered.dictionary.to_pylist()
         unknown = self.known.missing(set(names))
         if unknown:
             self.learn(list(unknown))
-        fits, n_a, n_b, *held = zip(*map(self.known.__getitem__, names)) if names else ((),) * 6
+        found = list(map(self.known.__getitem__, names))
+        n_a, n_b, *cuts = np.array(list(map(HEAD.unpack_from, found)), np.int64).T
+        cuts = np.cumsum([np.full(len(found), HEAD.size), *cuts], axis=0)
+        held = [[x[a:b] for x, a, b in zip(found, *at)] for at in (cuts[:2].tolist(), cuts[1:].tolist(), (cuts[2].tolist(), itertools.repeat(None)))]
         index = numbered.indices.to_numpy()
-        per_row = np.array(list(map(len, split)), np.int64)
-        row = np.repeat(np.arange(len(texts)), per_row)
-        wrong = np.bincount(row, ~np.array(fits, bool)[index], len(texts)) > 0
-        kept = ~wrong[row]
-        index, row, per_row = index[kept], row[kept], np.where(wrong, 0, per_row)
-        ends = np.concatenate([[0], np.cumsum(per_row)])
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(np.array(x, np.int64)[index])])[ends])
-        told, same, pairs = (_joined(x, index, ends) for x in held)
-        sha = [hashlib.sha256(told[0][x : y - 1]).hexdigest() if x < y else "" for x, y in zip(told[1].tolist(), told[1][1:].tolist())]
-        n_same, n_pairs = np.diff(same[1]) // 4, np.diff(pairs[1]) // 8
-        spans = len(self.t.a_bytes) * self.t.span
-        irregular, times = np.unique(np.repeat(np.arange(len(texts)), n_pairs) * spans + np.frombuffer(pairs[0], "<i8"), return_counts=True)
-        return [
-            *map(pa.array, (total(n_a), total(n_b), n_same + n_pairs)), pa.array(sha, pa.string()), _lists(np.frombuffer(same[0], "<i4"), n_same, pa.int32()),
-            *(_lists(x, np.bincount(irregular // spans, minlength=len(texts)), kind) for x, kind in ((irregular % spans, pa.int64()), (times.astype(np.int32), pa.int32()))),
-        ]
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[index])])[ends])
+        return total(n_a > 0) == np.diff(ends), total(n_a), total(n_b), *(_joined(x, index, ends) for x in held)
 
 
-def _joined(values: tuple[bytes, ...], index: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+def _joined(values: list[bytes], index: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The values of all chunks end to end, and where each row begins and the last one ends."""
     taken = pa.array(values, pa.large_binary()).take(pa.array(index))
     offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
@@ -266,21 +316,31 @@ def _vector_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(batch["same"].flatten().to_numpy(), minlength=size)
+            ids = batch["same"].flatten().to_numpy()
+            for at in range(0, len(ids), SUMMED):
+                total += np.bincount(ids[at : at + SUMMED], minlength=size)
         a = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(total[a])], names=["a", "n"])
 
     return run
 
 
+def _sums(values: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each row's ids' values. A row's ids begin where the one before ends; ``SUMMED`` are taken at once."""
+    upto = np.zeros(len(ends), np.int64)
+    for at in range(0, len(ids), SUMMED):
+        running = np.concatenate([[0], np.cumsum(values[ids[at : at + SUMMED]])])
+        upto += running[np.clip(ends - at, 0, len(running) - 1)]
+    return np.diff(upto)
+
+
 def _same_links(counts: np.ndarray, best: np.ndarray):
     """Sums over each text's one-to-one groups from the shared vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ends = batch["same"].flatten().to_numpy(), batch["same"].offsets.to_numpy()
-            ends = ends - ends[0]
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x[ids])])[ends]) for x in (best.astype(np.int64), counts)]
+            sums = [_sums(x, ids, ends - ends[0]) for x in (best.astype(np.int64), counts)]
             kept = [batch[x] for x in ("_row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sums)], names=["_row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "best", "total"])
 

@@ -3,9 +3,13 @@
 import hashlib
 import random
 import re
+import sys
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -105,3 +109,71 @@ def test_only_irregular_groups_are_pairs():
     assert n_groups[1] == 0 and same[1] == pairs[1] == [] and len(same[0]) >= 3
     assert all(t.a_bytes[i] == t.b_bytes[t.same[i]] for i in same[0])
     assert all(t.same[p // t.span] != p % t.span for p in pairs[0]) and len(same[0]) + len(pairs[0]) <= n_groups[0]
+
+
+def _peak(work):
+    """What ``work`` returns, and the most bytes that Python and numpy held meanwhile beyond what they did before."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_does_not_grow_with_a_text_or_a_slice():
+    """Beyond the ids that a text's row holds, 4 bytes for each group and as many while the parts' are put together."""
+    table = alignment.ChunkTable(alignment.tokenizers(alignment.default_paths()), 50_000)
+    short, long = ("The reader reads many unbelievable things. " * n for n in (1000, 100_000))  # 4 MB
+    table.align([short])
+    (columns, peak), (several, together) = _peak(lambda: table.align([long])), _peak(lambda: table.align([short] * 100))
+    assert columns[2].to_pylist()[0] == sum(several[2].to_pylist()) + 1 - 100  # the last blank is a token of its own
+    assert peak < 5 * len(long) and together < 5 * len(long)
+
+
+def test_many_new_chunks_are_aligned_some_at_a_time(monkeypatch):
+    table = alignment.ChunkTable(alignment.tokenizers(alignment.default_paths()), 50_000)
+    sizes, aligned = [], alignment.Tokenizers.aligned
+    monkeypatch.setattr(alignment.Tokenizers, "aligned", lambda t, texts: sizes.append(sum(len(x.split()) for x in texts)) or aligned(t, texts))
+    table.align([" ".join(f"word{i}" for i in range(30_000))])
+    assert sum(sizes) == 30_000 and max(sizes) <= 5_000
+
+
+def test_a_remembered_chunk_is_small():
+    """The table's own size for a chunk, without the chunk."""
+    table = alignment.ChunkTable(alignment.tokenizers(alignment.default_paths()), 50_000)
+    table.align([" ".join(f"word{i}" for i in range(20_000))])
+    held = [sys.getsizeof(x) + sum(map(sys.getsizeof, x) if isinstance(x, tuple) else ()) for x in table.known.values()]
+    assert len(held) == 20_000 and sum(held) / len(held) < 180
+
+
+def test_a_long_text_in_parts_equals_plain(monkeypatch):
+    """Parts of one text share pairs, and one part that is not spelt leaves the whole text without tokens."""
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 40)
+    table = alignment.ChunkTable(alignment.tokenizers(alignment.default_paths()), 50)
+    odd = "unbelievable things don't 日本語 end. \n Then  more\tcame, naïvely " * 9
+    texts = [odd, "a " + odd + "▁ " + odd, odd[:100], None, "▁ " + odd, odd + "▁", "short"]
+    rows = [(r[1], r[2], r[3], r[7]) for r in plain(list(enumerate(texts)))]
+    got = table.align(texts)
+    assert list(zip(*(c.to_pylist() for c in got[:4]))) == rows and [x[0] > 0 for x in rows] == [True, False, True, False, False, False, True]
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 1 << 20)
+    whole = alignment.ChunkTable(table.t, 50).align(texts)
+    assert [c.to_pylist() for c in got] == [c.to_pylist() for c in whole] and max(got[6].to_pylist()[0]) >= 9
+
+
+def test_sums_over_ids_take_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts, best = rng.integers(0, 1 << 40, 1000), rng.random(1000) < 0.5
+    same = [rng.integers(0, 1000, n).tolist() for n in (0, 5, 0, 7, 8, 1, 30, 0)]
+    batch = pa.RecordBatch.from_pydict({x: list(range(8)) for x in ("_row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")} | {"same": pa.array(same, pa.list_(pa.int32()))})
+    monkeypatch.setattr(alignment, "SUMMED", 7)
+    for rows in (batch, batch.slice(2, 4), batch.slice(7), batch.slice(8)):
+        (found,) = alignment._same_links(counts, best)(iter([rows]))
+        assert found["total"].to_pylist() == [int(counts[x].sum()) for x in rows["same"].to_pylist()]
+        assert found["best"].to_pylist() == [int(best[x].sum()) for x in rows["same"].to_pylist()]
+    (found,) = alignment._vector_counts(1000)(iter([batch, batch.slice(2, 4)]))
+    want = Counter(i for rows in (batch, batch.slice(2, 4)) for x in rows["same"].to_pylist() for i in x)
+    assert dict(zip(found["a"].to_pylist(), found["n"].to_pylist())) == want
+    monkeypatch.setattr(alignment, "SUMMED", 1 << 20)
+    large = pa.RecordBatch.from_pydict({x: [0] for x in ("_row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")} | {"same": pa.array([[5] * 8_000_000], pa.list_(pa.int32()))})
+    (found,), peak = _peak(lambda: list(alignment._same_links(counts, best)(iter([large]))))
+    assert found["total"].to_pylist() == [8_000_000 * int(counts[5])] and peak < 40 << 20
